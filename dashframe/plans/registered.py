@@ -548,3 +548,238 @@ def export_bundle(spark, sf_dir):
     out = export_long(T(spark, sf_dir, "lineitem"), EXPORT_VISUALS, FLAGSHIP_MEASURES,
                       EXPORT_FILTERS)
     return out.withColumn("value", r4(F.col("value")))
+
+
+# ============================================================== profiling
+
+from dashframe.operators import profile as P  # noqa: E402
+from dashframe.operators.transform import apply_types, rename_columns  # noqa: E402
+
+
+def _union(parts):
+    return "\nunion all\n".join(parts)
+
+
+_NULL_COLS = ("o_orderkey", "grp", "price", "status")
+
+
+@register("profile_columns", f"with t as {D.NULL_ORDERS_SQL}\n" + _union([
+    f"""select '{c}' as column_name, count(*) as row_count, count(*) - count({c}) as null_count,
+  count(distinct {c}) + max(case when {c} is null then 1 else 0 end) as unique_count from t"""
+    for c in _NULL_COLS]))
+def profile_columns(spark, sf_dir):
+    return P.column_profile(D.null_orders(spark, sf_dir))
+
+
+_TYPED_SQL = """with t as (select c_mktsegment, c_name, c_acctbal,
+  strftime(date '1990-01-01' + cast(c_custkey as integer), '%Y-%m-%d') as uniq_date_text,
+  strftime(date '1995-01-01' + cast(c_custkey % 30 as integer), '%Y-%m-%d') as rep_date_text,
+  'k' || cast((c_custkey * 2) // 3 as varchar) as mid_text,
+  null::varchar as all_null, c_acctbal > 0 as flag from customer)
+"""
+_DATE_RX = ("^[0-9]{4}-[0-9]{2}-[0-9]{2}", "^[0-9]{2}/[0-9]{2}/[0-9]{4}",
+            "^[0-9]{2}-[0-9]{2}-[0-9]{4}", "^[0-9]{4}/[0-9]{2}/[0-9]{2}")
+
+
+def _type_rule_sql(c):
+    dated = " or ".join(f"regexp_matches({c}, '{rx}')" for rx in _DATE_RX)
+    return f"""select '{c}' as column_name, case when nn = 0 then 'unknown'
+  when u / nn < 0.5 then 'categorical' when d / nn > 0.7 then 'datetime'
+  when u / nn > 0.8 then 'text' else 'categorical' end as column_type
+from (select count({c}) as nn,
+  count(distinct {c}) + max(case when {c} is null then 1 else 0 end) as u,
+  count(case when {dated} then 1 end) as d from t)"""
+
+
+@register("profile_types", _TYPED_SQL + _union(
+    [_type_rule_sql(c) for c in ("c_mktsegment", "c_name", "uniq_date_text", "rep_date_text",
+                                 "mid_text", "all_null")]
+    + ["select 'c_acctbal', 'numeric'", "select 'flag', 'boolean'"]))
+def profile_types(spark, sf_dir):
+    return P.detect_types(D.typed_customers(spark, sf_dir))
+
+
+_NUM_COLS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber")
+
+
+@register("profile_numeric", _union([
+    f"""select '{c}' as column_name, min({c})::double as min, max({c})::double as max,
+  round(avg({c}::double), 4) as mean, round(median({c}::double), 4) as median,
+  round(coalesce(stddev_samp({c}::double), 0), 4) as std, round(sum({c}::double), 4) as sum
+from lineitem""" for c in _NUM_COLS]))
+def profile_numeric(spark, sf_dir):
+    out = P.numeric_stats(T(spark, sf_dir, "lineitem").select(*_NUM_COLS))
+    return rounded(out, ["mean", "median", "std", "sum"])
+
+
+_TOP_COLS = ("o_orderstatus", "o_orderpriority", "o_custkey")
+
+
+@register("profile_top_values", "with f as (" + _union([
+    f"select '{c}' as column_name, cast({c} as varchar) as value, count(*) as count "
+    f"from orders group by {c}" for c in _TOP_COLS]) + """)
+select *, row_number() over (partition by column_name order by count desc, value asc nulls first)
+  as rank from f qualify rank <= 10""")
+def profile_top_values(spark, sf_dir):
+    return P.top_values(T(spark, sf_dir, "orders"), list(_TOP_COLS))
+
+
+@register("profile_samples", f"with t as {D.NULL_CUSTOMERS_SQL},\nl as (" + _union([
+    "select c_custkey as k, 'c_name' as column_name, c_name as value from t",
+    "select c_custkey, 'segment', segment from t",
+    "select c_custkey, 'c_nationkey', cast(c_nationkey as varchar) from t"]) + """),
+f as (select *, row_number() over (partition by column_name order by k) as pos from l
+      where value is not null qualify pos <= 10)
+select column_name, string_agg(value, '|' order by pos) as samples,
+  string_agg(case when pos <= 3 then substring(value, 1, 18) end, ' · ' order by pos) as preview
+from f group by column_name""")
+def profile_samples(spark, sf_dir):
+    t = D.null_customers(spark, sf_dir)
+    return P.sample_values(t, "c_custkey", ["c_name", "segment", "c_nationkey"])
+
+
+@register("profile_dates", """
+select 'o_orderdate' as column_name, cast(min(o_orderdate) as varchar) as min_date,
+  cast(max(o_orderdate) as varchar) as max_date from orders""")
+def profile_dates(spark, sf_dir):
+    return P.datetime_range(T(spark, sf_dir, "orders"))
+
+
+@register("unique_values", f"""select distinct segment from {D.NULL_CUSTOMERS_SQL} t
+order by segment nulls first limit 100""")
+def q_unique_values(spark, sf_dir):
+    return P.unique_values(D.null_customers(spark, sf_dir), "segment")
+
+
+@register("unique_values_sorted", "select distinct p_brand from part where p_brand is not null")
+def q_unique_sorted(spark, sf_dir):
+    return P.sorted_unique(T(spark, sf_dir, "part"), "p_brand")
+
+
+@register("numeric_summary", """
+select 'l_extendedprice' as column_name, min(l_extendedprice) as min, max(l_extendedprice) as max,
+  round(avg(l_extendedprice), 4) as mean, round(median(l_extendedprice), 4) as median,
+  round(stddev_samp(l_extendedprice), 4) as std,
+  round(quantile_cont(l_extendedprice, 0.25), 4) as q1,
+  round(quantile_cont(l_extendedprice, 0.75), 4) as q3 from lineitem""")
+def q_numeric_summary(spark, sf_dir):
+    out = P.numeric_summary(T(spark, sf_dir, "lineitem"), "l_extendedprice")
+    return rounded(out, ["mean", "median", "std", "q1", "q3"])
+
+
+# =============================================================== cleaning
+
+@register("clean_numeric", """
+select l_orderkey, l_linenumber, round(l_extendedprice, 2) as brl, round(l_tax, 2) as plain,
+  null::double as junk, l_extendedprice as native from lineitem""")
+def clean_numeric(spark, sf_dir):
+    t = D.messy_lines(spark, sf_dir)
+    return apply_types(t, {"brl": "numeric", "plain": "numeric", "junk": "numeric",
+                           "native": "numeric"})
+
+
+@register("clean_date", """
+select o_orderkey, cast(o_orderdate as date) as d_iso, cast(o_orderdate as date) as d_br,
+  cast(o_orderdate as date) as d_dash, cast(o_orderdate as date) as d_slash,
+  null::date as d_bad from orders""")
+def clean_date(spark, sf_dir):
+    t = D.messy_dates(spark, sf_dir)
+    return apply_types(t, {c: "datetime" for c in ("d_iso", "d_br", "d_dash", "d_slash", "d_bad")})
+
+
+@register("cast_text", """
+select c_custkey, c_name, cast(c_nationkey as varchar) as c_nationkey, c_acctbal, c_mktsegment
+from customer""")
+def cast_text(spark, sf_dir):
+    return apply_types(T(spark, sf_dir, "customer"),
+                       {"c_nationkey": "categorical", "c_mktsegment": "text"})
+
+
+@register("type_overrides", """
+select l_orderkey, cast(l_linenumber as varchar) as l_linenumber,
+  round(l_extendedprice, 2) as brl, replace(format('{:.2f}', l_tax), '.', ',') as plain,
+  case l_linenumber % 3 when 0 then 'abc' when 1 then '' else '1,2,3' end as junk,
+  l_extendedprice as native, cast(l_orderkey as double) as key_num from lineitem""")
+def type_overrides(spark, sf_dir):
+    t = D.messy_lines(spark, sf_dir).withColumn("key_num", F.col("l_orderkey"))
+    return apply_types(t, {"brl": "numeric", "l_linenumber": "categorical", "junk": "boolean",
+                           "nope": "numeric", "native": "numeric", "key_num": "numeric",
+                           "plain": "unknown"})
+
+
+@register("rename_dedupe", "select n_nationkey as key, n_name as key_1, n_regionkey as n_name "
+                           "from nation")
+def q_rename_dedupe(spark, sf_dir):
+    return rename_columns(T(spark, sf_dir, "nation"),
+                          {"n_nationkey": "key", "n_name": "key", "n_regionkey": "n_name"})
+
+
+@register("rename_collision", "select n_nationkey, n_name as n_regionkey_1, n_regionkey "
+                              "from nation")
+def q_rename_collision(spark, sf_dir):
+    return rename_columns(T(spark, sf_dir, "nation"), {"n_name": "n_regionkey"})
+
+
+# ============================================================= formatting
+
+from dashframe.functions import format as X  # noqa: E402
+from dashframe.functions import text as XT  # noqa: E402
+
+
+@register("format_numbers", """
+select o_orderkey,
+  case when abs(o_totalprice) >= 1000000 then format('{:.2f}', o_totalprice / 1000000) || 'M'
+       when abs(o_totalprice) >= 1000 then format('{:.2f}', o_totalprice / 1000) || 'K'
+       else format('{:.2f}', o_totalprice) end as short,
+  case when abs(o_totalprice / 10) >= 1000000 then format('{:.2f}', o_totalprice / 10 / 1000000) || 'M'
+       when abs(o_totalprice / 10) >= 1000 then format('{:.2f}', o_totalprice / 10 / 1000) || 'K'
+       else format('{:.2f}', o_totalprice / 10) end as short_tenth,
+  format('{:,}', o_custkey * 1000) as whole from orders""")
+def format_numbers(spark, sf_dir):
+    o = T(spark, sf_dir, "orders")
+    return o.select("o_orderkey", X.short_number(F.col("o_totalprice")).alias("short"),
+                    X.short_number(F.col("o_totalprice") / 10).alias("short_tenth"),
+                    X.short_number(F.col("o_custkey") * 1000, is_float=False).alias("whole"))
+
+
+@register("format_labels", f"""
+select o_orderkey, coalesce(format('{{:,.2f}}', price), '') as price_label,
+  coalesce(cast(grp as varchar), '') as grp_label, coalesce(status, '') as status_label
+from {D.NULL_ORDERS_SQL} t""")
+def format_labels(spark, sf_dir):
+    t = D.null_orders(spark, sf_dir)
+    return t.select("o_orderkey", X.value_label(F.col("price")).alias("price_label"),
+                    X.value_label(F.col("grp"), is_float=False).alias("grp_label"),
+                    X.value_label(F.col("status"), is_float=False).alias("status_label"))
+
+
+@register("format_dates", """
+select event_id, strftime(ts, '%d/%m %H:%M') as short, strftime(ts, '%Y-%m-%d %H:%M') as iso,
+  strftime(ts, '%d/%m/%Y %H:%M') as full, date_trunc('second', ts) as parsed,
+  null::timestamp as unparsed from events""")
+def format_dates(spark, sf_dir):
+    e = T(spark, sf_dir, "events")
+    iso_text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    return e.select("event_id", X.format_ts(F.col("ts"), "short").alias("short"),
+                    X.format_ts(F.col("ts"), "iso").alias("iso"),
+                    X.format_ts(F.col("ts"), "full").alias("full"),
+                    X.parse_iso(iso_text).cast("timestamp_ntz").alias("parsed"),
+                    X.parse_iso(F.concat(iso_text, F.lit("x"))).cast("timestamp_ntz")
+                    .alias("unparsed"))
+
+
+@register("text_cut", """
+select p_partkey,
+  case when length(p_name) > 10 then substring(p_name, 1, 10) || '…' else p_name end as name10,
+  case when length(p_brand) > 6 then substring(p_brand, 1, 6) || '…' else p_brand end as brand6,
+  upper(substring(p_type, 1, 1)) || lower(substring(p_type, 2)) as type_title,
+  'file_' || p_partkey || '.v2' as stem, 'file_' || p_partkey || '.v2.xlsx' as base
+from part""")
+def text_cut(spark, sf_dir):
+    p = T(spark, sf_dir, "part")
+    path = F.concat(F.lit("uploads/u1/file_"), F.col("p_partkey").cast("string"),
+                    F.lit(".v2.xlsx"))
+    return p.select("p_partkey", XT.cut(F.col("p_name"), 10).alias("name10"),
+                    XT.cut(F.col("p_brand"), 6).alias("brand6"),
+                    XT.title_of(F.col("p_type")).alias("type_title"),
+                    XT.file_stem(path).alias("stem"), XT.base_name(path).alias("base"))
