@@ -783,3 +783,285 @@ def text_cut(spark, sf_dir):
                     XT.cut(F.col("p_brand"), 6).alias("brand6"),
                     XT.title_of(F.col("p_type")).alias("type_title"),
                     XT.file_stem(path).alias("stem"), XT.base_name(path).alias("base"))
+
+
+# ============================================================== documents
+
+from dashframe.operators import documents as N  # noqa: E402
+
+_DOC_ROWS = """with s as (select o_orderkey as k, o_custkey, o_orderstatus, o_orderdate,
+    unnest(range(0, 3)) as i from orders),
+sl as (select * from s where i <= k % 3),
+v as (select *, unnest(range(0, 2)) as j from sl),
+vz as (select *, (k + i * 2 + j) % 5 = 4 as nocfg,
+    ['column_chart', 'table', 'measures', 'pie_chart'][(k + i + j) % 4 + 1] as kind,
+    ['l_returnflag', 'l_linestatus', 'l_shipdate'][(k + j) % 3 + 1] as xcol
+  from v where j < (k + i) % 3)
+"""
+
+
+def _docs(spark, sf_dir):
+    return N.parse(D.analysis_documents(spark, sf_dir))
+
+
+@register("docs_flatten", _DOC_ROWS + """
+select 'an' || k as analysis_id, i + 1 as slide_pos, 's' || k || '_' || i as slide_id,
+  'Slide ' || i as slide_title, j + 1 as viz_pos, 'v' || k || '_' || i || '_' || j as viz_id,
+  case when nocfg then null else kind end as viz_type,
+  case when nocfg then null else xcol end as x_column,
+  case when nocfg then null else 'l_quantity' end as y_column,
+  case when nocfg then null else 'sum' end as aggregation,
+  case when nocfg then null else (k + j) % 2 = 0 end as show_values
+from vz""")
+def docs_flatten(spark, sf_dir):
+    return N.flatten(_docs(spark, sf_dir))
+
+
+@register("docs_counts", _DOC_ROWS + """
+select 'an' || o_orderkey as analysis_id, o_orderkey % 3 + 1 as slide_count,
+  coalesce(c.viz_count, 0) as viz_count, coalesce(c.configured_count, 0) as configured_count,
+  coalesce(c.exportable_count, 0) as exportable_count,
+  cast(case when o_orderstatus = 'F' then 1 else 0 end as bigint) as measure_count
+from orders left join (select k, count(*) as viz_count,
+    count(*) filter (where not nocfg) as configured_count,
+    count(*) filter (where not nocfg and kind <> 'measures') as exportable_count
+  from vz group by k) c on c.k = o_orderkey""")
+def docs_counts(spark, sf_dir):
+    return N.counts(_docs(spark, sf_dir))
+
+
+@register("docs_history", """
+select 'an' || o_orderkey as analysis_id, 'Analysis ' || o_orderkey as name,
+  strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') as created_at,
+  strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') as updated_at,
+  o_orderkey % 3 + 1 as slide_count, 'file_' || o_custkey || '.xlsx' as file_name from orders""")
+def docs_history(spark, sf_dir):
+    return N.history(_docs(spark, sf_dir))
+
+
+@register("docs_reorder", _DOC_ROWS + """
+select 'an' || k as analysis_id,
+  cast(case when i = 2 then 1 when k % 3 = 2 then 2 else 1 end as bigint) as slide_pos,
+  's' || k || '_' || i as slide_id,
+  cast(least((k + i) % 3, 2) as bigint) as viz_count
+from sl where i in (0, 2)""")
+def docs_reorder(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    num = F.substring(F.col("doc.id"), 3, 30)
+    d = d.withColumn("order", F.array(F.concat(F.lit("s"), num, F.lit("_2")), F.lit("zz"),
+                                      F.concat(F.lit("s"), num, F.lit("_0"))))
+    d = N.reorder_slides(d, "order")
+    return d.select(F.col("doc.id").alias("analysis_id"),
+                    F.posexplode("doc.slides").alias("p", "s")).select(
+        "analysis_id", (F.col("p") + 1).cast("long").alias("slide_pos"),
+        F.col("s.id").alias("slide_id"),
+        F.size(F.col("s.visualizations")).cast("long").alias("viz_count"))
+
+
+@register("docs_roundtrip", """
+select 'an' || o_orderkey as id, 'Analysis ' || o_orderkey as name,
+  o_orderkey % 3 + 1 as slides, 'uploads/' || o_custkey || '.xlsx' as file_path from orders""")
+def docs_roundtrip(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    again = N.parse(d.select(N.to_document(F.col("doc")).alias("data")))
+    return again.select(F.col("doc.id").alias("id"), F.col("doc.name").alias("name"),
+                        F.size("doc.slides").cast("long").alias("slides"),
+                        F.col("doc.file_path").alias("file_path"))
+
+
+# ================================================================ catalog
+
+from dashframe.operators import catalog as K  # noqa: E402
+
+
+def _cat(spark, sf_dir):
+    return (D.catalog_files(spark, sf_dir), D.catalog_sheets(spark, sf_dir),
+            D.catalog_columns(spark, sf_dir), D.catalog_visualizations(spark, sf_dir))
+
+
+@register("catalog_orphans", f"""select * from {D.FILES_SQL} f where not exists (
+  select 1 from {D.SHEETS_SQL} s join {D.VIZ_SQL} v on v.sheet_id = s.sheet_id
+  where s.file_id = f.file_id)""")
+def catalog_orphans(spark, sf_dir):
+    f, s, _, v = _cat(spark, sf_dir)
+    return K.orphan_files(f, s, v)
+
+
+@register("catalog_in_use", f"""select * from {D.FILES_SQL} f where exists (
+  select 1 from {D.SHEETS_SQL} s join {D.VIZ_SQL} v on v.sheet_id = s.sheet_id
+  where s.file_id = f.file_id)""")
+def catalog_in_use(spark, sf_dir):
+    f, s, _, v = _cat(spark, sf_dir)
+    return K.files_in_use(f, s, v)
+
+
+@register("catalog_dangling", f"""select * from {D.VIZ_SQL} v
+where not exists (select 1 from {D.SHEETS_SQL} s where s.sheet_id = v.sheet_id)""")
+def catalog_dangling(spark, sf_dir):
+    _, s, _, v = _cat(spark, sf_dir)
+    return K.dangling_visualizations(v, s)
+
+
+@register("catalog_tree", f"""
+select f.file_id, f.file_name, s.sheet_id, s.sheet_name,
+  coalesce(c.column_count, 0) as column_count, c.column_names
+from {D.FILES_SQL} f left join {D.SHEETS_SQL} s on s.file_id = f.file_id
+left join (select sheet_id, count(*) as column_count,
+  string_agg(column_name, ',' order by column_name) as column_names
+  from {D.COLUMNS_SQL} group by sheet_id) c on c.sheet_id = s.sheet_id""")
+def catalog_tree(spark, sf_dir):
+    f, s, c, _ = _cat(spark, sf_dir)
+    return K.file_tree(f, s, c)
+
+
+@register("catalog_dashboards", f"""select dashboard_id, viz_type, count(*) as viz_count
+from {D.VIZ_SQL} v group by dashboard_id, viz_type""")
+def catalog_dashboards(spark, sf_dir):
+    return K.dashboard_visuals(D.catalog_visualizations(spark, sf_dir))
+
+
+@register("catalog_first_file", f"""
+with fv as (select * from {D.VIZ_SQL} v
+  qualify row_number() over (partition by dashboard_id order by created_at, viz_id) = 1)
+select fv.dashboard_id, fv.viz_id, fv.sheet_id, s.file_id, f.file_name
+from fv left join {D.SHEETS_SQL} s on s.sheet_id = fv.sheet_id
+left join {D.FILES_SQL} f on f.file_id = s.file_id""")
+def catalog_first_file(spark, sf_dir):
+    f, s, _, v = _cat(spark, sf_dir)
+    return K.first_file(v, s, f)
+
+
+_DOOMED_SQL = f"""(select f.file_id from {D.FILES_SQL} f join customer c on c.c_custkey = f.user_id
+  where c.c_mktsegment = 'AUTOMOBILE')"""
+
+
+@register("catalog_cascade", f"""
+select 'files' as table_name, count(*) as row_count from {D.FILES_SQL} f
+  where file_id not in (select file_id from {_DOOMED_SQL})
+union all select 'file_sheets', count(*) from {D.SHEETS_SQL} s
+  where file_id not in (select file_id from {_DOOMED_SQL})
+union all select 'sheet_columns', count(*) from {D.COLUMNS_SQL} c
+  where sheet_id not in (select sheet_id from {D.SHEETS_SQL} s
+                         where file_id in (select file_id from {_DOOMED_SQL}))
+union all select 'blocking_visualizations', count(*) from {D.VIZ_SQL} v
+  where sheet_id in (select sheet_id from {D.SHEETS_SQL} s
+                     where file_id in (select file_id from {_DOOMED_SQL}))""")
+def catalog_cascade(spark, sf_dir):
+    f, s, c, v = _cat(spark, sf_dir)
+    cust = T(spark, sf_dir, "customer").where(F.col("c_mktsegment") == "AUTOMOBILE")
+    doomed = f.join(cust, f["user_id"] == cust["c_custkey"], "left_semi")
+    left = K.cascade_delete(f, s, c, v, doomed)
+    parts = [df.agg(F.count(F.lit(1)).alias("row_count"))
+             .select(F.lit(name).alias("table_name"), "row_count")
+             for name, df in left.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("catalog_upsert", f"""
+select coalesce(n.analysis_id, o.analysis_id) as analysis_id,
+  coalesce(o.user_id, n.user_id) as user_id,
+  case when n.analysis_id is not null then n.name else o.name end as name,
+  case when n.analysis_id is not null then coalesce(n.storage_path, o.storage_path)
+       else o.storage_path end as storage_path,
+  case when n.analysis_id is not null then n.updated_at else o.updated_at end as updated_at
+from {D.ANALYSES_OLD_SQL} o full outer join {D.ANALYSES_NEW_SQL} n
+  on o.analysis_id = n.analysis_id""")
+def catalog_upsert(spark, sf_dir):
+    return K.upsert(D.analyses_old(spark, sf_dir), D.analyses_new(spark, sf_dir), "analysis_id",
+                    keep_if_null=["storage_path"], keep_old=["user_id"])
+
+
+@register("catalog_merge", f"""
+select * from {D.ANALYSES_OLD_SQL} o
+union all select * from {D.ANALYSES_NEW_SQL} n
+  where analysis_id not in (select analysis_id from {D.ANALYSES_OLD_SQL} o2)""")
+def catalog_merge(spark, sf_dir):
+    return K.merge_missing(D.analyses_old(spark, sf_dir), D.analyses_new(spark, sf_dir),
+                           "analysis_id")
+
+
+_DELETE_REQ_SQL = """(select 'a' || c_custkey as analysis_id,
+  cast(c_nationkey + c_custkey % 2 as bigint) as user_id
+  from customer where c_mktsegment = 'BUILDING')"""
+
+
+@register("catalog_delete", f"""select * from {D.ANALYSES_OLD_SQL} o where not exists (
+  select 1 from {_DELETE_REQ_SQL} r where r.analysis_id = o.analysis_id and r.user_id = o.user_id)""")
+def catalog_delete(spark, sf_dir):
+    c = T(spark, sf_dir, "customer").where(F.col("c_mktsegment") == "BUILDING")
+    req = c.select(F.concat(F.lit("a"), F.col("c_custkey").cast("string")).alias("analysis_id"),
+                   (F.col("c_nationkey") + F.col("c_custkey") % 2).cast("long").alias("user_id"))
+    return K.delete_by_key_and_owner(D.analyses_old(spark, sf_dir), req, "analysis_id", "user_id")
+
+
+@register("catalog_page", f"""select *, row_number() over (partition by user_id
+  order by updated_at desc, analysis_id) as rank from {D.ANALYSES_OLD_SQL} o
+qualify rank > 5 and rank <= 10""")
+def catalog_page(spark, sf_dir):
+    return K.page_owner(D.analyses_old(spark, sf_dir), "user_id", "updated_at", "analysis_id",
+                        limit=5, offset=5)
+
+
+@register("catalog_search", f"""select *, row_number() over (partition by user_id
+  order by updated_at desc, analysis_id) as rank from {D.ANALYSES_OLD_SQL} o
+where contains(lower(name), 'mer#00000012') qualify rank <= 10""")
+def catalog_search(spark, sf_dir):
+    hits = K.search_names(D.analyses_old(spark, sf_dir), "name", "MER#00000012")
+    return K.page_owner(hits, "user_id", "updated_at", "analysis_id", limit=10)
+
+
+@register("catalog_search_literal", f"""select * from {D.ANALYSES_OLD_SQL} o
+where contains(lower(name), 'r_0') or contains(lower(name), '#%')""")
+def catalog_search_literal(spark, sf_dir):
+    a = D.analyses_old(spark, sf_dir)
+    return K.search_names(a, "name", "r_0").unionByName(K.search_names(a, "name", "#%"))
+
+
+@register("catalog_lookup", """select * from customer where lower(c_name) in (
+  select lower(upper(c_name)) from customer where c_mktsegment = 'MACHINERY')""")
+def catalog_lookup(spark, sf_dir):
+    c = T(spark, sf_dir, "customer")
+    wanted = c.where(F.col("c_mktsegment") == "MACHINERY").select(F.upper("c_name").alias("q"))
+    return K.lookup_ci(c, "c_name", wanted, "q")
+
+
+@register("catalog_recent", f"""select *, row_number() over (partition by user_id
+  order by updated_at desc, analysis_id) as rank from {D.ANALYSES_OLD_SQL} o qualify rank <= 8""")
+def catalog_recent(spark, sf_dir):
+    return K.recent(D.analyses_old(spark, sf_dir), "user_id", "updated_at", "analysis_id", 8)
+
+
+def _now():
+    return F.lit(D.SESSION_NOW).cast("timestamp_ntz")
+
+
+@register("latest_per_owner", f"""select * from {D.SESSIONS_SQL} s
+where expires_at > timestamp '{D.SESSION_NOW}'
+qualify row_number() over (partition by user_id order by last_activity desc, session_id desc) = 1""")
+def latest_per_owner(spark, sf_dir):
+    return K.latest_per_owner(D.sessions(spark, sf_dir), _now())
+
+
+@register("drop_expired", f"""select * from {D.SESSIONS_SQL} s
+where expires_at > timestamp '{D.SESSION_NOW}'""")
+def drop_expired(spark, sf_dir):
+    return K.unexpired(D.sessions(spark, sf_dir), _now())
+
+
+@register("drop_expired_count", f"""select count(*) filter (where expires_at <= timestamp
+  '{D.SESSION_NOW}') as removed, count(*) filter (where expires_at > timestamp
+  '{D.SESSION_NOW}') as remaining from {D.SESSIONS_SQL} s""")
+def drop_expired_count(spark, sf_dir):
+    s = D.sessions(spark, sf_dir)
+    live = F.col("expires_at") > _now()
+    return s.agg(F.count_if(~live).alias("removed"), F.count_if(live).alias("remaining"))
+
+
+@register("count_per_owner", f"""select user_id, count(*) as row_count,
+  (select count(*) from {D.ANALYSES_OLD_SQL} o2) as total_rows
+from {D.ANALYSES_OLD_SQL} o group by user_id""")
+def count_per_owner(spark, sf_dir):
+    return K.count_per_owner(D.analyses_old(spark, sf_dir), "user_id")
