@@ -1065,3 +1065,51 @@ def drop_expired_count(spark, sf_dir):
 from {D.ANALYSES_OLD_SQL} o group by user_id""")
 def count_per_owner(spark, sf_dir):
     return K.count_per_owner(D.analyses_old(spark, sf_dir), "user_id")
+
+
+# ================================================================= ingest
+
+from dashframe.session import shared_dir  # noqa: E402
+from dashframe.sources import tables as S  # noqa: E402
+from dashframe.sources import workbook as W  # noqa: E402
+
+
+@register("ingest_csv", "select * from customer")
+def ingest_csv(spark, sf_dir):
+    """Customer written as CSV to the shared folder, read back with the
+    declared schema."""
+    c = T(spark, sf_dir, "customer")
+    target = shared_dir(spark, "ingest-csv")
+    c.write.mode("overwrite").option("header", "true").csv(target)
+    return S.read_csv(spark, target, c.schema)
+
+
+def _customer_books(spark, sf_dir):
+    c = T(spark, sf_dir, "customer")
+    return W.workbook_cells(W.frame_to_workbooks(c, "c_mktsegment"))
+
+
+@register("ingest_workbooks", """
+select cast(c_custkey as double) as c_custkey, c_name, cast(c_nationkey as double) as c_nationkey,
+  c_acctbal, c_mktsegment as sheet_name from customer""")
+def ingest_workbooks(spark, sf_dir):
+    """S1-S3 + C4: customer as workbooks (one per partition, one sheet per
+    segment), read back cell by cell, widened by header and typed."""
+    from dashframe.operators.transform import apply_types
+    wide = W.sheet_table(_customer_books(spark, sf_dir), all_sheets=True)
+    typed = apply_types(wide, {"c_custkey": "numeric", "c_nationkey": "numeric",
+                               "c_acctbal": "numeric"})
+    return typed.drop("path")
+
+
+@register("sheet_catalog", """
+select c_mktsegment as sheet_name, h.column_name, h.data_type, count(*) as row_count
+from customer, (values ('c_custkey', 'Int64'), ('c_name', 'String'), ('c_nationkey', 'Int64'),
+  ('c_acctbal', 'Float64')) h(column_name, data_type)
+group by c_mktsegment, h.column_name, h.data_type""")
+def sheet_catalog(spark, sf_dir):
+    """Per sheet name, its columns, their storage types and data rows
+    (summed over the files that hold the sheet)."""
+    cat = W.sheet_catalog(_customer_books(spark, sf_dir))
+    return cat.groupBy("sheet_name", "column_name").agg(
+        F.first("data_type").alias("data_type"), F.sum("row_count").alias("row_count"))
