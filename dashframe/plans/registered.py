@@ -1113,3 +1113,20 @@ def sheet_catalog(spark, sf_dir):
     cat = W.sheet_catalog(_customer_books(spark, sf_dir))
     return cat.groupBy("sheet_name", "column_name").agg(
         F.first("data_type").alias("data_type"), F.sum("row_count").alias("row_count"))
+
+
+# ============================================================== streaming
+
+@register("stream_refresh", """
+select l_returnflag, l_linestatus, round(sum(l_extendedprice * (1 - l_discount)), 4) as revenue,
+  round(sum(l_quantity), 4) as l_quantity
+from lineitem where l_quantity > 10 group by l_returnflag, l_linestatus""")
+def stream_refresh(spark, sf_dir):
+    """The flagship chart kept by a file stream over the lineitem folder."""
+    from dashframe.streaming.refresh import refresh_once
+    schema = T(spark, sf_dir, "lineitem").schema
+    spec = ChartSpec("column_chart", x_column="l_returnflag", color_column="l_linestatus",
+                     y_columns=("revenue", "l_quantity"))
+    out = refresh_once(spark, sf_dir, schema, spec, FLAGSHIP_MEASURES, FLAGSHIP_FILTERS,
+                       glob="lineitem.parquet")
+    return rounded(out, ["revenue", "l_quantity"])
