@@ -57,7 +57,10 @@ DEFAULT_AGGREGATION = "sum"
 
 def parse(df: DataFrame, json_col: str = "data", name: str = "doc") -> DataFrame:
     """N1 / S9 read: JSON text -> typed struct with defaults for missing keys."""
-    raw = F.from_json(F.col(json_col), ANALYSIS)
+    # Parsed once into its own column; the defaults below read that column
+    # (an expensive expression is not inlined twice by the optimizer).
+    df = df.withColumn("__raw", F.from_json(F.col(json_col), ANALYSIS))
+    raw = F.col("__raw")
     slides = F.transform(F.coalesce(raw["slides"], F.array().cast(T.ArrayType(SLIDE))),
                          lambda s: s.withField("layout", F.coalesce(s["layout"],
                                                                     F.lit(DEFAULT_LAYOUT)))
@@ -67,7 +70,7 @@ def parse(df: DataFrame, json_col: str = "data", name: str = "doc") -> DataFrame
               .withField("slides", slides)
               .withField("measures", F.coalesce(raw["measures"],
                                                 F.array().cast(T.ArrayType(MEASURE)))))
-    return df.withColumn(name, doc)
+    return df.withColumn(name, doc).drop("__raw")
 
 
 def to_document(doc: Column) -> Column:
@@ -79,12 +82,14 @@ def flatten(df: DataFrame, doc: str = "doc", keep: list[str] | None = None) -> D
     """One row per (analysis, slide, visual) with 1-based positions."""
     keep = keep or []
     slides = df.select(*keep, F.col(f"{doc}.id").alias("analysis_id"),
-                       F.posexplode(F.col(f"{doc}.slides")).alias("slide_pos", "slide"))
+                       F.posexplode_outer(F.col(f"{doc}.slides")).alias("slide_pos", "slide")) \
+        .where(F.col("slide").isNotNull())
     vis = slides.select(*keep, "analysis_id",
                         (F.col("slide_pos") + 1).cast("long").alias("slide_pos"),
                         F.col("slide.id").alias("slide_id"),
                         F.col("slide.title").alias("slide_title"),
-                        F.posexplode(F.col("slide.visualizations")).alias("viz_pos", "viz"))
+                        F.posexplode_outer(F.col("slide.visualizations"))
+                        .alias("viz_pos", "viz")).where(F.col("viz").isNotNull())
     return vis.select(*keep, "analysis_id", "slide_pos", "slide_id", "slide_title",
                       (F.col("viz_pos") + 1).cast("long").alias("viz_pos"),
                       F.col("viz.id").alias("viz_id"),
@@ -120,11 +125,13 @@ def counts(df: DataFrame, doc: str = "doc") -> DataFrame:
 def reorder_slides(df: DataFrame, order_col: str, doc: str = "doc") -> DataFrame:
     """Slides put in the order of an id list; unknown ids are ignored and
     slides not listed are dropped."""
-    by_id = F.map_from_entries(F.transform(F.col(f"{doc}.slides"),
-                                           lambda s: F.struct(s["id"], s)))
-    picked = F.filter(F.transform(F.col(order_col), lambda i: F.element_at(by_id, i)),
-                      lambda s: s.isNotNull())
-    return df.withColumn(doc, F.col(doc).withField("slides", picked))
+    order = F.col(order_col)
+    listed = F.filter(F.col(f"{doc}.slides"), lambda s: F.array_contains(order, s["id"]))
+    keyed = F.transform(listed, lambda s: F.struct(
+        F.array_position(order, s["id"]).alias("p"), s.alias("s")))
+    ordered = F.array_sort(keyed, lambda a, b: (a["p"] - b["p"]).cast("int"))
+    return df.withColumn(doc, F.col(doc).withField("slides",
+                                                    F.transform(ordered, lambda x: x["s"])))
 
 
 def history(df: DataFrame, doc: str = "doc") -> DataFrame:
@@ -134,3 +141,17 @@ def history(df: DataFrame, doc: str = "doc") -> DataFrame:
                      F.col(f"{doc}.updated_at").alias("updated_at"),
                      F.size(F.col(f"{doc}.slides")).cast("long").alias("slide_count"),
                      F.col(f"{doc}.data_schema.file_name").alias("file_name"))
+
+
+def slide_rows(df: DataFrame, doc: str = "doc") -> DataFrame:
+    """One row per slide (1-based position, id, visual count).
+
+    Exploding uses the *outer* generator plus a NULL filter: a plain explode
+    lets the optimizer infer a ``size(array) > 0`` filter and push it under
+    the projection, evaluating the whole document expression twice."""
+    rows = df.select(F.col(f"{doc}.id").alias("analysis_id"),
+                     F.posexplode_outer(F.col(f"{doc}.slides")).alias("p", "s"))
+    return rows.where(F.col("s").isNotNull()).select(
+        "analysis_id", (F.col("p") + 1).cast("long").alias("slide_pos"),
+        F.col("s.id").alias("slide_id"),
+        F.size(F.col("s.visualizations")).cast("long").alias("viz_count"))

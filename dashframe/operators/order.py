@@ -43,13 +43,19 @@ def with_position(df: DataFrame, order: list[Column], name: str = "position") ->
     """1-based position of every row in a global order, computed without a
     single-partition window.
 
-    The sort range-partitions the rows; each row's rank inside its partition
+    A range exchange splits the rows into ordered partitions; each row's rank
+    inside its partition
     comes from ``monotonically_increasing_id`` (partition index in the upper
     bits, record number in the lower ones), and the partition offsets come
     from per-partition counts -- one row per partition, so that side is
     broadcast with a size bound of the partition count.
     """
-    tagged = (df.orderBy(*order)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Sorting each input partition before the range exchange makes the
+    # sampled bounds, hence every row's partition, identical in both uses of
+    # ``tagged`` (a global orderBy would drop that inner sort).
+    tagged = (df.sortWithinPartitions(*order).repartitionByRange(parts, *order)
+              .sortWithinPartitions(*order)
               .withColumn("__pid", F.spark_partition_id())
               .withColumn("__mid", F.monotonically_increasing_id()))
     counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))

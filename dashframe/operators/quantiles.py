@@ -52,26 +52,37 @@ def rank_select(df: DataFrame, group_cols: list[str], value_col: str,
     gk = [f"__g{i}" for i in range(len(g))]
     base = df.select(*gcols, col(value_col).alias("__v")).where(F.col("__v").isNotNull())
     freq = base.groupBy(*gk, "__v").agg(F.count(F.lit(1)).alias("__cnt"))
-    ranged = (freq.repartitionByRange(parts, *[F.col(k) for k in gk], F.col("__v"))
+    # The range bounds come from sampling the input in the order it is read;
+    # sorting each partition first makes that order -- and so the slice a
+    # value lands in -- the same every time the frame is evaluated (both
+    # join branches below, and any task retry).
+    keys = [F.col(k) for k in gk] + [F.col("__v")]
+    ranged = (freq.sortWithinPartitions(*keys).repartitionByRange(parts, *keys)
               .withColumn("__pid", F.spark_partition_id()))
-    slice_w = (Window.partitionBy("__pid", *gk).orderBy("__v")
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = ranged.withColumn("__lcum", F.sum("__cnt").over(slice_w))
+    # Slice = (range partition, group): its size and its offset in the group.
     slices = ranged.groupBy("__pid", *gk).agg(F.sum("__cnt").alias("__ptot"))
     before = (Window.partitionBy(*gk).orderBy("__pid")
               .rowsBetween(Window.unboundedPreceding, -1)) if gk else \
         Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*gk) if gk else Window.partitionBy()
     offsets = slices.select(
-        "__pid", *gk,
+        "__pid", *gk, "__ptot",
         F.coalesce(F.sum("__ptot").over(before), F.lit(0)).alias("__off"),
         F.sum("__ptot").over(whole).alias(_N))
-    keyed = _null_safe_join(local, offsets, ["__pid"] + gk)
-    placed = keyed.select(*gk, "__v", _N,
-                          (F.col("__off") + F.col("__lcum")).alias("__end"),
-                          (F.col("__off") + F.col("__lcum") - F.col("__cnt")).alias("__start"))
     n = F.col(_N)
     pos_cols = {name: fn(n) for name, fn in positions.items()}
+    # Only slices holding a wanted position are sorted further (at most
+    # len(positions) slices per group), so the running count touches a
+    # small part of the frequency table.
+    holds = [(F.col("__off") <= p) & (p < F.col("__off") + F.col("__ptot"))
+             for p in pos_cols.values()]
+    wanted = offsets.where(reduce(lambda a, b: a | b, holds)).drop("__ptot")
+    target = _null_safe_join(ranged, wanted, ["__pid"] + gk)
+    slice_w = (Window.partitionBy("__pid", *gk).orderBy("__v")
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = target.select(*gk, "__v", _N, "__cnt",
+                           (F.col("__off") + F.sum("__cnt").over(slice_w)).alias("__end")) \
+        .withColumn("__start", F.col("__end") - F.col("__cnt"))
     covers = [(F.col("__start") <= p) & (p < F.col("__end")) for p in pos_cols.values()]
     hits = placed.where(reduce(lambda a, b: a | b, covers))
     aggs = [F.max(F.when((F.col("__start") <= p) & (p < F.col("__end")), F.col("__v"))).alias(name)

@@ -850,12 +850,7 @@ def docs_reorder(spark, sf_dir):
     num = F.substring(F.col("doc.id"), 3, 30)
     d = d.withColumn("order", F.array(F.concat(F.lit("s"), num, F.lit("_2")), F.lit("zz"),
                                       F.concat(F.lit("s"), num, F.lit("_0"))))
-    d = N.reorder_slides(d, "order")
-    return d.select(F.col("doc.id").alias("analysis_id"),
-                    F.posexplode("doc.slides").alias("p", "s")).select(
-        "analysis_id", (F.col("p") + 1).cast("long").alias("slide_pos"),
-        F.col("s.id").alias("slide_id"),
-        F.size(F.col("s.visualizations")).cast("long").alias("viz_count"))
+    return N.slide_rows(N.reorder_slides(d, "order"))
 
 
 @register("docs_roundtrip", """
