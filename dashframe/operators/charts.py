@@ -260,3 +260,23 @@ def chart_dataset(df: DataFrame, spec: ChartSpec, sort_by: str = "none") -> Data
         raise ChartSpecError(f"no dataset for {spec.visualization_type.value}")
     from dashframe.spec import SORTABLE
     return fn(df, spec, sort_by if spec.visualization_type in SORTABLE else "none")
+
+
+def generic_payload(df: DataFrame, spec: ChartSpec) -> DataFrame:
+    """The older one-call payload -- aggregate y by x with the spec's
+    function (output ``{y}_{fn}``) for every visual but scatter and
+    histogram, then keep the columns the visual reads."""
+    from dashframe.operators.aggregate import aggregate
+    from dashframe.spec import AGGREGATION_FUNCTIONS, AggregationConfig
+    vt = spec.visualization_type
+    x, y, fn = spec.x_column, spec.y_column, spec.aggregation
+    if x and y and fn and vt not in (V.SCATTER_PLOT, V.HISTOGRAM) and \
+            fn in AGGREGATION_FUNCTIONS and vt != V.METRIC_CARD:
+        _need(df, x, y)
+        return aggregate(df, AggregationConfig((x,), y, fn))
+    if vt == V.METRIC_CARD:
+        return metric_card(df, spec)
+    keep = [c for c in (x, y, spec.color_column, spec.size_column) if c and c in df.columns]
+    if not keep:
+        raise ChartSpecError("no column to return")
+    return df.select(*[col(c) for c in dict.fromkeys(keep)])

@@ -168,3 +168,36 @@ def unique_values(df: DataFrame, column: str, limit: int = 100) -> DataFrame:
 def sorted_unique(df: DataFrame, column: str) -> DataFrame:
     """Sorted non-null distinct values (filter picker)."""
     return df.select(col(column)).where(col(column).isNotNull()).distinct().orderBy(col(column))
+
+
+def preview_stats(df: DataFrame, limit: int | None = 5) -> DataFrame:
+    """Min, max and mean of the first ``limit`` numeric columns (all of
+    them when ``limit`` is None), one pass."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    nums = [c for c in df.columns if is_numeric(types[c])]
+    nums = nums[:limit] if limit else nums
+    return numeric_stats(df, nums).select("column_name", "min", "max", "mean")
+
+
+def measure_schema(df: DataFrame, measures) -> list[tuple[str, str]]:
+    """The semantic schema after measures are added (measures are
+    numeric columns at the end); resolved from the plan, no job runs."""
+    from dashframe.operators.transform import compute_measures
+    out, _ = compute_measures(df, measures)
+    return [(f.name, semantic_type(f.dataType).value) for f in out.schema.fields]
+
+
+def column_profile_approx(df: DataFrame, columns: list[str] | None = None,
+                          rsd: float = 0.02) -> DataFrame:
+    """P6 for very wide or very large tables: HyperLogLog distinct counts
+    (named approximate; relative error about ``rsd``) in one aggregate
+    without a shuffle of the values."""
+    columns = columns or list(df.columns)
+    parts = [F.struct(F.lit(c).alias("column_name"), F.count(F.lit(1)).alias("row_count"),
+                      F.count_if(col(c).isNull()).alias("null_count"),
+                      (F.approx_count_distinct(col(c), rsd)
+                       + F.max(col(c).isNull().cast("int"))).cast("long")
+                      .alias("approx_unique_count")).alias(f"__p{i}")
+             for i, c in enumerate(columns)]
+    row = df.agg(F.array(*parts).alias("p"))
+    return row.select(F.inline("p"))

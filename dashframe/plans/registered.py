@@ -1125,3 +1125,37 @@ def stream_refresh(spark, sf_dir):
     out = refresh_once(spark, sf_dir, schema, spec, FLAGSHIP_MEASURES, FLAGSHIP_FILTERS,
                        glob="lineitem.parquet")
     return rounded(out, ["revenue", "l_quantity"])
+
+
+# ===================================================== more profile/ingest
+
+@register("profile_preview", _union([
+    f"""select '{c}' as column_name, min({c})::double as min, max({c})::double as max,
+  round(avg({c}::double), 4) as mean from orders""" for c in ("o_orderkey", "o_custkey",
+                                                               "o_totalprice")]))
+def profile_preview(spark, sf_dir):
+    return rounded(P.preview_stats(T(spark, sf_dir, "orders")), ["mean"])
+
+
+@register("chart_generic", """
+select o_orderpriority, round(var_samp(o_totalprice), 4) as o_totalprice_var from orders
+group by o_orderpriority""")
+def chart_generic(spark, sf_dir):
+    from dashframe.operators.charts import generic_payload
+    spec = ChartSpec("line_chart", x_column="o_orderpriority", y_column="o_totalprice",
+                     aggregation="var")
+    return rounded(generic_payload(T(spark, sf_dir, "orders"), spec), ["o_totalprice_var"])
+
+
+@register("ingest_pipeline", """
+select l_orderkey::double as l_orderkey, cast(l_linenumber as varchar) as l_linenumber,
+  round(l_extendedprice, 2) as brl, round(l_tax, 2) as plain,
+  case l_linenumber % 3 when 0 then 'abc' when 1 then '' else '1,2,3' end as junk,
+  l_extendedprice as native from lineitem""")
+def ingest_pipeline(spark, sf_dir):
+    """L3 on messy text: detected types (text stays text), the user marks the
+    money columns numeric and the line number categorical; stored, read back."""
+    from dashframe.plans.ingest import ingest
+    got = ingest(D.messy_lines(spark, sf_dir), "ingest-lines",
+                 {"brl": "numeric", "plain": "numeric", "l_linenumber": "categorical"})
+    return got.table

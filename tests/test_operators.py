@@ -1,5 +1,6 @@
 """Unit tests on small literal frames: null rules, edge frames, odd names."""
 
+import json
 import math
 
 import pytest
@@ -183,3 +184,29 @@ def test_empty_frame_aggregates(spark):
     df = spark.createDataFrame([], "k string, v double")
     assert rows(aggregate(df, AggregationConfig(("k",), "v", "median"))) == []
     assert rows(table_aggregate(df, "v", "sum")) == [(0.0,)]
+
+
+def test_offered_operators_by_type(spark):
+    from pyspark.sql import types as T
+    from dashframe.operators.filters import offered_operators
+    assert "contains" not in offered_operators(T.DoubleType())
+    assert "gt" not in offered_operators(T.StringType())
+    assert "gt" in offered_operators(T.TimestampNTZType())
+
+
+def test_reorder_ignores_unknown_and_drops_unlisted(spark):
+    from dashframe.operators import documents as N
+    doc = {"id": "a", "slides": [{"id": "s1"}, {"id": "s2"}, {"id": "s3"}]}
+    df = spark.createDataFrame([(json.dumps(doc),)], "data string")
+    d = N.parse(df).withColumn("order", F.array(F.lit("s3"), F.lit("zz"), F.lit("s1")))
+    got = [r["slide_id"] for r in N.slide_rows(N.reorder_slides(d, "order"))
+           .orderBy("slide_pos").collect()]
+    assert got == ["s3", "s1"]
+
+
+def test_parse_fills_defaults(spark):
+    from dashframe.operators import documents as N
+    df = spark.createDataFrame([('{"id": "x", "slides": [{"id": "s"}]}',)], "data string")
+    r = N.parse(df).select("doc.name", "doc.measures", "doc.slides").first()
+    assert r["name"] == N.DEFAULT_NAME and r["measures"] == []
+    assert r["slides"][0]["layout"] == "single" and r["slides"][0]["visualizations"] == []
