@@ -33,3 +33,37 @@ def test_filter_and_complement_partition(spark, values, cut):
     kept, rest = df.where(p).count(), df.where(~p).count()
     nulls = df.where(F.col("v").isNull()).count()
     assert kept + rest + nulls == len(values)
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", "c"]), st.integers(-20, 20)),
+                min_size=1, max_size=60))
+def test_box_quartiles_are_members_and_ordered(spark, data):
+    from dashframe.operators.charts import box_plot
+    from dashframe.spec import ChartSpec
+    df = spark.createDataFrame(data, "g string, y long").repartition(3)
+    for r in box_plot(df, ChartSpec("box_plot", x_column="g", y_column="y")).collect():
+        vals = sorted(v for g, v in data if g == r["group"])
+        n = len(vals)
+        assert (r["n"], r["lower"], r["q1"], r["median"], r["q3"], r["upper"]) == \
+            (n, vals[0], vals[n // 4], vals[n // 2], vals[3 * n // 4], vals[-1])
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.dictionaries(st.integers(0, 30), st.one_of(st.none(), st.text(max_size=3)),
+                       max_size=15),
+       st.dictionaries(st.integers(0, 30), st.one_of(st.none(), st.text(max_size=3)),
+                       max_size=15))
+def test_upsert_idempotent_and_keeps_old_path(spark, old, new):
+    from dashframe.operators.catalog import upsert
+    schema = "k long, p string"
+    o = spark.createDataFrame(list(old.items()), schema)
+    n = spark.createDataFrame(list(new.items()), schema)
+    once = upsert(o, n, "k", keep_if_null=["p"])
+    twice = upsert(once, n, "k", keep_if_null=["p"])
+    a = sorted(map(tuple, once.collect()))
+    assert a == sorted(map(tuple, twice.collect()))
+    want = dict(old)
+    for k, v in new.items():
+        want[k] = v if v is not None else old.get(k)
+    assert a == sorted(want.items())
