@@ -96,17 +96,30 @@ def scatter_plot(df, spec: ChartSpec, sort_by="none", max_points: int | None = N
     return top_rows(rows, max_points, cols) if max_points else rows
 
 
-def _histogram_stats(values: DataFrame) -> Column:
-    """One scalar struct: min, max, bin count, bin width (G7 rules)."""
+# Above this HyperLogLog estimate the true distinct count is surely >= 20
+# (relative error about 5%), so the exact count is not needed.
+_SURELY_MANY = 2 * HISTOGRAM_MAX_BINS
+
+
+def histogram_bins(values: DataFrame) -> tuple[float, float, int, float] | None:
+    """G7 rules as numbers: (min, max, bins, width); None when no value.
+
+    One small job reads min, max and a HyperLogLog estimate; the exact
+    distinct count (needed only when fewer than 20 values could be
+    distinct) runs only when the estimate is low, where it is cheap."""
     v = F.col("__v")
-    stats = values.agg(F.min(v).alias("mn"), F.max(v).alias("mx"),
-                       F.count_distinct(v).alias("nd"))
-    bins = F.least(F.col("nd"), F.lit(HISTOGRAM_MAX_BINS))
-    rng = (F.col("mx") - F.col("mn")).cast("double")
-    rng = F.when(rng == 0, F.lit(1.0)).otherwise(rng)
-    return stats.select(F.struct(
-        F.col("mn").cast("double").alias("mn"), F.col("mx").cast("double").alias("mx"),
-        bins.cast("int").alias("bins"), (rng / bins).alias("w"))).scalar()
+    row = values.agg(F.min(v).alias("mn"), F.max(v).alias("mx"),
+                     F.approx_count_distinct(v).alias("approx")).first()
+    if row["mn"] is None:
+        return None
+    if row["approx"] >= _SURELY_MANY:
+        bins = HISTOGRAM_MAX_BINS
+    else:
+        exact = values.agg(F.count_distinct(v)).first()[0]
+        bins = min(HISTOGRAM_MAX_BINS, int(exact))
+    mn, mx = float(row["mn"]), float(row["mx"])
+    rng = (row["mx"] - row["mn"]) or 1
+    return mn, mx, bins, rng / bins
 
 
 def histogram(df, spec: ChartSpec, sort_by="none"):
@@ -120,22 +133,26 @@ def histogram(df, spec: ChartSpec, sort_by="none"):
         .where(F.col("__v").isNotNull())
     if is_floating(df.schema[x].dataType):
         values = values.where(~F.isnan("__v"))
-    st = _histogram_stats(values.select("__v"))
-    mn, w, bins = st["mn"], st["w"], st["bins"]
-    idx = F.least(F.floor((F.col("__v") - mn) / w), bins - 1).cast("int")
-    keyed = values.withColumn("bin", idx)
+    stats = histogram_bins(values.select("__v"))
     spark = df.sparkSession
-    grid = (spark.range(HISTOGRAM_MAX_BINS).select(F.col("id").cast("int").alias("bin"))
-            .where(F.col("bin") < bins))
+    if stats is None:
+        schema = "bin int, " + (f"`{split}` string, " if split else "") + \
+            "count long, bin_start double, bin_end double"
+        return spark.createDataFrame([], schema)
+    mn, _, bins, w = stats
+    mn_c, w_c = F.lit(mn), F.lit(w)
+    idx = F.least(F.floor((F.col("__v") - mn_c) / w_c), F.lit(bins - 1)).cast("int")
+    keyed = values.withColumn("bin", idx)
 
     def _edges(frame):
-        return frame.withColumn("bin_start", mn + F.col("bin") * w) \
-                    .withColumn("bin_end", mn + (F.col("bin") + 1) * w)
+        return frame.withColumn("bin_start", mn_c + F.col("bin") * w_c) \
+                    .withColumn("bin_end", mn_c + (F.col("bin") + 1) * w_c)
 
     if split:
         counts = keyed.groupBy("bin", col(split)).agg(F.count(F.lit(1)).alias("count"))
         return _edges(counts).orderBy("bin", asc(split))
     counts = keyed.groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
+    grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     full = grid.join(counts, "bin", "left").select(
         "bin", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
     return _edges(full).orderBy("bin")
