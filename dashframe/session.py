@@ -47,16 +47,28 @@ def checkpoint_root(spark: SparkSession) -> str:
     local tests; on a cluster the setting names a shared filesystem path.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    sc = _context(spark)
+    if not root and sc is not None:
+        root = sc.getCheckpointDir()
     if not root:
         root = os.path.join(os.environ.get("TMPDIR", "/tmp"), "dashframe-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
+        try:
+            spark.conf.set("spark.checkpoint.dir", root)
+        except Exception:  # static in some deployments; the value is still used below
+            pass
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+def _context(spark):
+    """The SparkContext when the session has one (not under Spark Connect)."""
+    try:
+        return spark.sparkContext
+    except Exception:
+        return None
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint root."""
     return f"{checkpoint_root(spark)}/dashframe/{name}-{uuid.uuid4().hex[:12]}"
@@ -67,8 +79,12 @@ def spread(df, min_partitions: int | None = None):
     row-level work.  A few large single-row-group files scan as a few tasks;
     a many-file input already has enough partitions and is returned as is,
     so no shuffle is added at scale."""
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    sc = _context(df.sparkSession)
+    if sc is None:
+        return df
+    target = min_partitions or sc.defaultParallelism
+    try:
+        current = df.rdd.getNumPartitions()
+    except Exception:
+        return df
+    return df.repartition(target) if current < target else df
