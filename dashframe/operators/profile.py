@@ -97,9 +97,10 @@ def numeric_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     columns = [c for c in (columns or df.columns) if is_numeric(types[c])]
     longv = (df.select(*[col(c).cast("double").alias(c) for c in columns])
              .unpivot([], columns, "column_name", "value").where(F.col("value").isNotNull()))
+    ranged = F.when(~F.isnan("value"), F.col("value"))  # min/max skip NaN
     v = F.col("value")
     base = longv.groupBy("column_name").agg(
-        F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"),
+        F.min(ranged).alias("min"), F.max(ranged).alias("max"), F.avg(v).alias("mean"),
         F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"), F.sum(v).alias("sum"),
         F.count(v).alias("n"))
     med = grouped_quantiles(longv, ["column_name"], "value", {"median": 0.5}).drop("n")

@@ -210,3 +210,19 @@ def test_parse_fills_defaults(spark):
     r = N.parse(df).select("doc.name", "doc.measures", "doc.slides").first()
     assert r["name"] == N.DEFAULT_NAME and r["measures"] == []
     assert r["slides"][0]["layout"] == "single" and r["slides"][0]["visualizations"] == []
+
+
+def test_boolean_measures_sum_as_counts_and_text_sum_rejected(spark):
+    df = spark.createDataFrame([("a", True, "x"), ("a", False, "y"), ("a", True, None)],
+                               "k string, b boolean, t string")
+    assert rows(chart_aggregate(df, "k", ["b"], "sum")) == [("a", 2)]
+    assert rows(chart_aggregate(df, "k", ["t"], "count")) == [("a", 2)]
+    with pytest.raises(ValueError):
+        chart_aggregate(df, "k", ["t"], "mean")
+
+
+def test_profile_min_max_skip_nan(spark):
+    from dashframe.operators.profile import numeric_stats
+    df = spark.createDataFrame([(float("nan"),), (2.0,), (3.0,)], "v double")
+    r = numeric_stats(df).first()
+    assert (r["min"], r["max"]) == (2.0, 3.0)
