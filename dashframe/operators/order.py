@@ -50,11 +50,11 @@ def with_position(df: DataFrame, order: list[Column], name: str = "position") ->
     from per-partition counts -- one row per partition, so that side is
     broadcast with a size bound of the partition count.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Sorting each input partition before the range exchange makes the
     # sampled bounds, hence every row's partition, identical in both uses of
-    # ``tagged`` (a global orderBy would drop that inner sort).
-    tagged = (df.sortWithinPartitions(*order).repartitionByRange(parts, *order)
+    # ``tagged`` (a global orderBy would drop that inner sort).  AQE may
+    # merge adjacent ranges, which keeps partition order.
+    tagged = (df.sortWithinPartitions(*order).repartitionByRange(*order)
               .sortWithinPartitions(*order)
               .withColumn("__pid", F.spark_partition_id())
               .withColumn("__mid", F.monotonically_increasing_id()))

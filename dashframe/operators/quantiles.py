@@ -38,15 +38,15 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
 
 
 def rank_select(df: DataFrame, group_cols: list[str], value_col: str,
-                positions: dict[str, "callable"], partitions: int | None = None) -> DataFrame:
+                positions: dict[str, "callable"]) -> DataFrame:
     """For each group: ``n`` (non-null count) and, per entry of ``positions``,
     the value at 0-based sorted position ``positions[name](n_column)``.
 
     ``positions`` maps an output name to a function of the group size Column
-    returning a (long) position Column.
+    returning a (long) position Column.  The range exchange takes its
+    partition count from ``spark.sql.shuffle.partitions``; AQE then merges
+    adjacent ranges to the advisory size, which keeps them in order.
     """
-    spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     g = list(group_cols)
     gcols = [col(k).alias(f"__g{i}") for i, k in enumerate(g)]
     gk = [f"__g{i}" for i in range(len(g))]
@@ -57,7 +57,7 @@ def rank_select(df: DataFrame, group_cols: list[str], value_col: str,
     # value lands in -- the same every time the frame is evaluated (both
     # join branches below, and any task retry).
     keys = [F.col(k) for k in gk] + [F.col("__v")]
-    ranged = (freq.sortWithinPartitions(*keys).repartitionByRange(parts, *keys)
+    ranged = (freq.sortWithinPartitions(*keys).repartitionByRange(*keys)
               .withColumn("__pid", F.spark_partition_id()))
     # Slice = (range partition, group): its size and its offset in the group.
     slices = ranged.groupBy("__pid", *gk).agg(F.sum("__cnt").alias("__ptot"))

@@ -74,11 +74,16 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/dashframe/{name}-{uuid.uuid4().hex[:12]}"
 
 
+# Inputs with more splits than this are never reshuffled by spread().
+SPREAD_MAX_SPLITS = 64
+
+
 def spread(df, min_partitions: int | None = None):
     """Round-robin an under-partitioned input across the cores before heavy
-    row-level work.  A few large single-row-group files scan as a few tasks;
-    a many-file input already has enough partitions and is returned as is,
-    so no shuffle is added at scale."""
+    row-level work.  Only small inputs qualify (at most SPREAD_MAX_SPLITS
+    splits, a few GB at the default split size) -- a few single-row-group
+    files that scan as a few tasks; anything larger is returned as is, so no
+    shuffle of a big table is ever added."""
     sc = _context(df.sparkSession)
     if sc is None:
         return df
@@ -87,4 +92,4 @@ def spread(df, min_partitions: int | None = None):
         current = df.rdd.getNumPartitions()
     except Exception:
         return df
-    return df.repartition(target) if current < target else df
+    return df.repartition(target) if current < min(target, SPREAD_MAX_SPLITS + 1) else df
