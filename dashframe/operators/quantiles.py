@@ -129,3 +129,16 @@ def box_positions() -> dict:
         "q3": lambda n: F.floor(n * 3 / 4).cast("long"),
         "upper": lambda n: (n - 1).cast("long"),
     }
+
+
+def approx_grouped_quantiles(df: DataFrame, group_cols: list[str], value_col: str,
+                             quantiles: dict[str, float], accuracy: int = 10000) -> DataFrame:
+    """Approximate quantiles per group (``percentile_approx``: bounded memory
+    per group, rank error about 1/accuracy).  Named approximate on purpose;
+    the exact path is :func:`grouped_quantiles`."""
+    names, qs = list(quantiles), [quantiles[k] for k in quantiles]
+    v = col(value_col).cast("double")
+    agg = df.where(v.isNotNull()).groupBy(*[col(k) for k in group_cols]).agg(
+        F.count(v).alias("n"), F.percentile_approx(v, qs, accuracy).alias("__q"))
+    return agg.select(*[col(k) for k in group_cols], "n",
+                      *[F.col("__q")[i].alias(name) for i, name in enumerate(names)])

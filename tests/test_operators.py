@@ -226,3 +226,11 @@ def test_profile_min_max_skip_nan(spark):
     df = spark.createDataFrame([(float("nan"),), (2.0,), (3.0,)], "v double")
     r = numeric_stats(df).first()
     assert (r["min"], r["max"]) == (2.0, 3.0)
+
+
+def test_approx_quantiles_close_to_exact(spark):
+    from dashframe.operators.quantiles import approx_grouped_quantiles
+    df = spark.range(0, 10001).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("v"))
+    ex = {r["g"]: r["m"] for r in grouped_quantiles(df, ["g"], "v", {"m": 0.5}).collect()}
+    ap = {r["g"]: r["m"] for r in approx_grouped_quantiles(df, ["g"], "v", {"m": 0.5}).collect()}
+    assert all(abs(ex[g] - ap[g]) <= 10 for g in ex)
