@@ -97,3 +97,8 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0,
     """R9 over the whole table, deep offsets included."""
     placed = with_position(df, order, name)
     return placed.where((F.col(name) > offset) & (F.col(name) <= offset + limit))
+
+
+def preview(df: DataFrame, n: int = 10) -> DataFrame:
+    """R6 preview: the first n rows in a total order over all columns."""
+    return top_rows(df, n)

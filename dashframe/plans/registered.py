@@ -1159,3 +1159,37 @@ def ingest_pipeline(spark, sf_dir):
     got = ingest(D.messy_lines(spark, sf_dir), "ingest-lines",
                  {"brl": "numeric", "plain": "numeric", "l_linenumber": "categorical"})
     return got.table
+
+
+@register("catalog_upsert_files", f"""
+with n as (select file_id, user_id, file_name || '_v2' as file_name,
+    case when file_size_kb < 100000 then null else storage_path || '.v2' end as storage_path,
+    file_size_kb + 1 as file_size_kb, uploaded_at
+  from {D.FILES_SQL} f where uploaded_at >= timestamp '1999-01-01')
+select coalesce(n.file_id, o.file_id) as file_id, coalesce(o.user_id, n.user_id) as user_id,
+  case when n.file_id is not null then n.file_name else o.file_name end as file_name,
+  case when n.file_id is not null then coalesce(n.storage_path, o.storage_path)
+       else o.storage_path end as storage_path,
+  case when n.file_id is not null then n.file_size_kb else o.file_size_kb end as file_size_kb,
+  case when n.file_id is not null then n.uploaded_at else o.uploaded_at end as uploaded_at
+from {D.FILES_SQL} o full outer join n on o.file_id = n.file_id""")
+def catalog_upsert_files(spark, sf_dir):
+    """A re-upload batch (every file uploaded from 1999 on comes back
+    renamed and resized; small ones without a new storage path) merged into
+    the file catalog."""
+    f = D.catalog_files(spark, sf_dir)
+    size = F.col("file_size_kb")
+    recent = F.col("uploaded_at") >= F.lit("1999-01-01 00:00:00").cast("timestamp_ntz")
+    new = f.where(recent).select(
+        "file_id", "user_id", F.concat("file_name", F.lit("_v2")).alias("file_name"),
+        F.when(size < 100000, F.lit(None)).otherwise(F.concat("storage_path", F.lit(".v2")))
+        .alias("storage_path"), (size + 1).alias("file_size_kb"), "uploaded_at")
+    return K.upsert(f, new, "file_id", keep_if_null=["storage_path"], keep_old=["user_id"])
+
+
+@register("preview_rows", """
+select * from orders order by o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate,
+  o_orderpriority limit 10""")
+def preview_rows(spark, sf_dir):
+    from dashframe.operators.order import preview
+    return preview(T(spark, sf_dir, "orders"))

@@ -261,3 +261,17 @@ def frame_to_workbooks(df: DataFrame, sheet_col: str, prefix: str = "book") -> D
                             "content": [xlsx_bytes(sheets)]})
 
     return df.mapInPandas(build, "path string, content binary")
+
+
+# Fixed value: the sheet name reported for a file whose sheets cannot be read.
+FALLBACK_SHEET = "Sheet1"
+
+
+def file_sheet_names(files: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """S2 per file: its sheet names, or the fallback name when the file
+    yields no readable sheet."""
+    cells = cells if cells is not None else workbook_cells(files)
+    names = sheet_names(cells)
+    return (files.select("path").join(names, "path", "left")
+            .select("path", F.coalesce("sheet_index", F.lit(0)).alias("sheet_index"),
+                    F.coalesce("sheet_name", F.lit(FALLBACK_SHEET)).alias("sheet_name")))

@@ -76,3 +76,23 @@ def test_measure_schema_and_approx_profile(spark):
     prof = {r["column_name"]: r for r in column_profile_approx(df).collect()}
     assert prof["l_returnflag"]["approx_unique_count"] == 3
     assert prof["l_quantity"]["null_count"] == 0
+
+
+def test_file_sheet_names_fallback(spark):
+    good = W.xlsx_bytes([("Data", ["a"], [(1,)])])
+    files = spark.createDataFrame([("ok.xlsx", good), ("bad.xlsx", b"oops")],
+                                  "path string, content binary")
+    got = {r["path"]: r["sheet_name"] for r in W.file_sheet_names(files).collect()}
+    assert got == {"ok.xlsx": "Data", "bad.xlsx": "Sheet1"}
+
+
+def test_documents_write_and_read_back(spark):
+    from dashframe.operators import documents as N
+    from dashframe.plans import derived as D
+    docs = N.parse(D.analysis_documents(spark, SF))
+    out = shared_dir(spark, "docs-test")
+    S.write_documents(docs.select(N.to_document(F.col("doc")).alias("data")), out)
+    back = N.parse(spark.read.text(out).withColumnRenamed("value", "line")
+                   .select(F.get_json_object("line", "$.data").alias("data")))
+    assert back.count() == docs.count()
+    assert back.select("doc.id").exceptAll(docs.select("doc.id")).count() == 0
