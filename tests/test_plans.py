@@ -35,7 +35,30 @@ def test_partial_aggregation_before_shuffle(spark):
     assert "partial_sum" in p
 
 
-def test_top_values_limit_before_shuffle(spark):
-    p = E.queries()["profile_top_values"](spark, SF)._jdf.queryExecution().executedPlan()
-    s = p.toString()
-    assert "WindowGroupLimit" in s or "Partial" in s
+def executed(df):
+    """The final adaptive plan of an executed query."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_top_k_per_group_limits_map_side(spark):
+    for name in ("profile_top_values", "catalog_recent", "latest_per_owner"):
+        p = plan(E.queries()[name](spark, SF))
+        assert "WindowGroupLimit" in p and "Partial" in p, name
+
+
+def test_histogram_has_no_exact_distinct_shuffle(spark):
+    p = plan(E.queries()["chart_histogram"](spark, SF))
+    assert "count(distinct" not in p.lower()
+
+
+def test_median_splits_groups_by_range_and_reuses_it(spark):
+    p = executed(E.queries()["agg_median"](spark, SF))
+    assert "rangepartitioning" in p
+    assert "ReusedExchange" in p
+    assert "percentile" not in p.lower()  # no per-group value map
+
+
+def test_pie_total_is_a_scalar_subquery_not_a_join(spark):
+    p = plan(E.queries()["chart_pie"](spark, SF))
+    assert "Subquery" in p and "CartesianProduct" not in p and "NestedLoopJoin" not in p
