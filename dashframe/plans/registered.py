@@ -1193,3 +1193,17 @@ select * from orders order by o_orderkey, o_custkey, o_orderstatus, o_totalprice
 def preview_rows(spark, sf_dir):
     from dashframe.operators.order import preview
     return preview(T(spark, sf_dir, "orders"))
+
+
+@register("users_page", """
+select * from (select c_custkey as user_id, c_name as username,
+    lower(c_name) || '@example.com' as email,
+    row_number() over (order by c_custkey desc) as position from customer)
+where position > 100 and position <= 200""")
+def users_page(spark, sf_dir):
+    """R9 over a whole table: users newest first (highest key), page 2 of 100."""
+    from dashframe.operators.order import page
+    c = T(spark, sf_dir, "customer")
+    users = c.select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("username"),
+                     F.concat(F.lower("c_name"), F.lit("@example.com")).alias("email"))
+    return page(users, [F.col("user_id").desc()], limit=100, offset=100)
