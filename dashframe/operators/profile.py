@@ -92,17 +92,25 @@ def detect_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def numeric_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Per numeric column min, max, mean, median, std (0.0 when n = 1),
-    sum -- all as double over the non-null values; no row when empty."""
+    sum -- all as double over the non-null values; no row when empty.
+
+    The plain statistics are one wide aggregate (a single output row, turned
+    into one row per column); only the exact medians need the long form."""
     types = {f.name: f.dataType for f in df.schema.fields}
     columns = [c for c in (columns or df.columns) if is_numeric(types[c])]
+    per_col = []
+    for c in columns:
+        v = col(c).cast("double")
+        ranged = F.when(~F.isnan(v), v)  # min/max skip NaN
+        per_col.append(F.struct(
+            F.lit(c).alias("column_name"), F.min(ranged).alias("min"),
+            F.max(ranged).alias("max"), F.avg(v).alias("mean"),
+            F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"), F.sum(v).alias("sum"),
+            F.count(v).alias("n")))
+    base = df.agg(F.array(*per_col).alias("__p")).select(F.inline("__p")) \
+        .where(F.col("n") > 0)
     longv = (df.select(*[col(c).cast("double").alias(c) for c in columns])
              .unpivot([], columns, "column_name", "value").where(F.col("value").isNotNull()))
-    ranged = F.when(~F.isnan("value"), F.col("value"))  # min/max skip NaN
-    v = F.col("value")
-    base = longv.groupBy("column_name").agg(
-        F.min(ranged).alias("min"), F.max(ranged).alias("max"), F.avg(v).alias("mean"),
-        F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"), F.sum(v).alias("sum"),
-        F.count(v).alias("n"))
     med = grouped_quantiles(longv, ["column_name"], "value", {"median": 0.5}).drop("n")
     std = F.when(F.col("n") > 1, F.col("std")).otherwise(F.lit(0.0))
     return base.join(med, "column_name").select(
