@@ -1080,8 +1080,10 @@ def ingest_csv(spark, sf_dir):
 
 
 def _customer_books(spark, sf_dir):
+    """Customer as workbooks, parsed once into the shared store: the Python
+    parse is the expensive step, and the widening reads the cells twice."""
     c = T(spark, sf_dir, "customer")
-    return W.workbook_cells(W.frame_to_workbooks(c, "c_mktsegment"))
+    return S.store(W.workbook_cells(W.frame_to_workbooks(c, "c_mktsegment")), "workbook-cells")
 
 
 @register("ingest_workbooks", """

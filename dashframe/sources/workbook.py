@@ -116,7 +116,9 @@ def workbook_cells(files: DataFrame) -> DataFrame:
 
 
 def read_workbook_cells(spark: SparkSession, path: str) -> DataFrame:
-    """S1 (folder form): every .xlsx under ``path``."""
+    """S1 (folder form): every .xlsx under ``path``.  Shaping reads the cells
+    more than once, so store them first (``sources.tables.store``) when the
+    folder is large: the parse then runs once."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx")
              .option("recursiveFileLookup", "true").load(path))
     return workbook_cells(files)
@@ -238,27 +240,25 @@ def xlsx_bytes(sheets: list[tuple[str, list[str], list[tuple]]]) -> bytes:
 
 
 def frame_to_workbooks(df: DataFrame, sheet_col: str, prefix: str = "book") -> DataFrame:
-    """Every partition of ``df`` as one workbook (one sheet per value of
-    ``sheet_col``), returned as ``(path, content)`` rows like ``binaryFile``."""
+    """``df`` as workbooks -- one per Arrow batch of each partition (so a task
+    holds one batch at a time), one sheet per value of ``sheet_col`` -- returned
+    as ``(path, content)`` rows like ``binaryFile`` produces."""
     cols = [c for c in df.columns if c != sheet_col]
 
     def build(batches):
         import pandas as pd
         from pyspark import TaskContext
-        frames = list(batches)
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True)
-        if pdf.empty:
-            return
-        sheets = []
-        for name, part in pdf.groupby(sheet_col, sort=True, dropna=False):
-            rows = [tuple(None if pd.isna(v) else (v.item() if hasattr(v, "item") else v)
-                          for v in rec) for rec in part[cols].itertuples(index=False)]
-            sheets.append((str(name), cols, rows))
         pid = TaskContext.get().partitionId()
-        yield pd.DataFrame({"path": [f"{prefix}-{pid:05d}.xlsx"],
-                            "content": [xlsx_bytes(sheets)]})
+        for i, pdf in enumerate(batches):
+            if pdf.empty:
+                continue
+            sheets = []
+            for name, part in pdf.groupby(sheet_col, sort=True, dropna=False):
+                rows = [tuple(None if pd.isna(v) else (v.item() if hasattr(v, "item") else v)
+                              for v in rec) for rec in part[cols].itertuples(index=False)]
+                sheets.append((str(name), cols, rows))
+            yield pd.DataFrame({"path": [f"{prefix}-{pid:05d}-{i:05d}.xlsx"],
+                                "content": [xlsx_bytes(sheets)]})
 
     return df.mapInPandas(build, "path string, content binary")
 
