@@ -9,8 +9,6 @@ by the optimizer from table statistics.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 

@@ -7,18 +7,18 @@ heatmap axes) come from scalar subqueries, never from the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dashframe.functions.columns import col
 from dashframe.functions.format import short_number
 from dashframe.operators.aggregate import chart_agg_expr, chart_aggregate, null_safe_sum
 from dashframe.operators.filters import search_table
-from dashframe.operators.order import asc, top_rows
+from dashframe.operators.order import asc, chart_order, top_rows
 from dashframe.operators.quantiles import box_positions, rank_select
 from dashframe.schema import is_floating, is_integral
 from dashframe.spec import (CHART_AGGREGATIONS, HEATMAP_AXIS_CAP, HISTOGRAM_MAX_BINS,
-                            SCREEN_TABLE_ROWS, ChartSpec, VisualizationType as V)
+                            SCREEN_TABLE_ROWS, SORTABLE, ChartSpec, VisualizationType as V)
 
 
 class ChartSpecError(ValueError):
@@ -77,7 +77,6 @@ def pie_chart(df, spec: ChartSpec, sort_by="none"):
     y = spec.y_column or (spec.y_columns[0] if spec.y_columns else None)
     _need(df, spec.x_column, y)
     agged = chart_aggregate(df, spec.x_column, [y], spec.aggregation, None, sort_by)
-    from dashframe.operators.order import chart_order
     return share_of_total(agged, y).orderBy(*chart_order([spec.x_column], y, sort_by))
 
 
@@ -165,14 +164,13 @@ def box_plot(df, spec: ChartSpec, sort_by="none"):
     y, x = spec.y_column, spec.x_column
     if x and x in df.columns:
         base = df.where(col(x).isNotNull()).select(col(x).alias("group"), col(y).alias("__y"))
-        order_key = "group"
     else:
         base = df.select(F.lit(y).alias("group"), col(y).alias("__y"))
-        order_key = "group"
     stats = rank_select(base, ["group"], "__y", box_positions())
+    # Groups are labelled as text but ordered by their own values.
     out = stats.select(col("group").cast("string").alias("group"), "n", "lower", "q1",
                        "median", "q3", "upper", col("group").alias("__order"))
-    return out.orderBy(asc("__order")).drop("__order") if order_key else out
+    return out.orderBy(asc("__order")).drop("__order")
 
 
 # ------------------------------------------------------------------- heatmap
@@ -275,7 +273,6 @@ def chart_dataset(df: DataFrame, spec: ChartSpec, sort_by: str = "none") -> Data
     fn = _DISPATCH.get(spec.visualization_type)
     if fn is None:
         raise ChartSpecError(f"no dataset for {spec.visualization_type.value}")
-    from dashframe.spec import SORTABLE
     return fn(df, spec, sort_by if spec.visualization_type in SORTABLE else "none")
 
 

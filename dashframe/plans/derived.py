@@ -174,8 +174,8 @@ SHEETS_SQL = """(select distinct l_orderkey * 8 + l_linenumber as sheet_id,
   l_orderkey as file_id, 'Sheet' || l_linenumber as sheet_name from lineitem)"""
 
 
-def catalog_columns(spark, sf_dir) -> DataFrame:
-    s = catalog_sheets(spark, sf_dir)
+def catalog_columns(spark, sf_dir, sheets: DataFrame | None = None) -> DataFrame:
+    s = sheets if sheets is not None else catalog_sheets(spark, sf_dir)
     return s.select(F.explode(F.array(
         F.struct((F.col("sheet_id") * 2).alias("column_id"), F.col("sheet_id"),
                  F.lit("l_quantity").alias("column_name"), F.lit("Float64").alias("data_type")),

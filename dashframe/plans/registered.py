@@ -14,7 +14,7 @@ from dashframe.operators.charts import (bar_chart, box_plot, column_chart, heatm
                                         pivot_wide, scatter_plot, table_view)
 from dashframe.operators.filters import (apply_dashboard_filters, apply_filters,
                                          search_column, search_table)
-from dashframe.operators.order import asc, chart_order, top_rows, with_position
+from dashframe.operators.order import chart_order, with_position
 from dashframe.operators.transform import compute_measures
 from dashframe.plans import derived as D
 from dashframe.plans.dashboard import export_long, render_visual
@@ -870,8 +870,9 @@ from dashframe.operators import catalog as K  # noqa: E402
 
 
 def _cat(spark, sf_dir):
-    return (D.catalog_files(spark, sf_dir), D.catalog_sheets(spark, sf_dir),
-            D.catalog_columns(spark, sf_dir), D.catalog_visualizations(spark, sf_dir))
+    sheets = D.catalog_sheets(spark, sf_dir)
+    return (D.catalog_files(spark, sf_dir), sheets, D.catalog_columns(spark, sf_dir, sheets),
+            D.catalog_visualizations(spark, sf_dir))
 
 
 @register("catalog_orphans", f"""select * from {D.FILES_SQL} f where not exists (
