@@ -52,7 +52,8 @@ def column_profile(df: DataFrame, columns: list[str] | None = None,
         F.count(F.lit(1)).alias("unique_count"))
 
 
-def detect_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def detect_types(df: DataFrame, columns: list[str] | None = None,
+                 approx: bool = False) -> DataFrame:
     """``column_name, column_type``.
 
     Non-text columns take their type from the schema.  Text columns: no
@@ -60,6 +61,10 @@ def detect_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     categorical; more than 70% of the non-null values start like a date ->
     datetime; ratio above 0.8 -> text; otherwise categorical.  The date share
     is measured over the whole column, not a leading sample.
+
+    ``approx=True`` takes the distinct counts from HyperLogLog sketches in a
+    single aggregate (no shuffle of the values): for very large free-text
+    columns, at the price of exactness near the 0.5 / 0.8 thresholds.
     """
     columns = columns or list(df.columns)
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -69,7 +74,15 @@ def detect_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     parts = []
     if fixed:
         parts.append(spark.createDataFrame(fixed, "column_name string, column_type string"))
-    if text_cols:
+    if text_cols and approx:
+        per_col = [F.struct(
+            F.lit(c).alias("column_name"), F.count(col(c)).alias("non_null"),
+            (F.approx_count_distinct(col(c), 0.01)
+             + F.max(col(c).isNull().cast("int"))).alias("uniq"),
+            F.count_if(col(c).isNotNull() & looks_like_date(col(c))).alias("dated"))
+            for c in text_cols]
+        stats = df.agg(F.array(*per_col).alias("__p")).select(F.inline("__p"))
+    elif text_cols:
         freq = value_frequencies(df, text_cols)
         v, cnt = F.col("value"), F.col("count")
         stats = freq.groupBy("column_name").agg(
@@ -77,10 +90,12 @@ def detect_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             F.count(F.lit(1)).alias("uniq"),
             F.coalesce(F.sum(F.when(v.isNotNull() & looks_like_date(v), cnt)), F.lit(0))
             .alias("dated"))
-        ratio = F.col("uniq") / F.col("non_null")
+    if text_cols:
+        ratio = F.try_divide(F.col("uniq"), F.col("non_null"))
         kind = (F.when(F.col("non_null") == 0, ColumnType.UNKNOWN.value)
                 .when(ratio < CATEGORICAL_RATIO, ColumnType.CATEGORICAL.value)
-                .when(F.col("dated") / F.col("non_null") > DATE_SHARE, ColumnType.DATETIME.value)
+                .when(F.try_divide(F.col("dated"), F.col("non_null")) > DATE_SHARE,
+                      ColumnType.DATETIME.value)
                 .when(ratio > TEXT_RATIO, ColumnType.TEXT.value)
                 .otherwise(ColumnType.CATEGORICAL.value))
         parts.append(stats.select("column_name", kind.alias("column_type")))

@@ -19,11 +19,13 @@ class Ingested:
 
 
 def ingest(df: DataFrame, name: str, overrides: dict | None = None,
-           keep: bool = True) -> Ingested:
-    """Detect column types (one job over a frequency table), let the caller's
-    overrides win, cast in one projection, and (``keep``) store the typed
-    table under the shared folder, returning the stored copy."""
-    detected = {r["column_name"]: r["column_type"] for r in detect_types(df).collect()}
+           keep: bool = True, approx_types: bool = False) -> Ingested:
+    """Detect column types (one job over a frequency table, or over sketches
+    with ``approx_types``), let the caller's overrides win, cast in one
+    projection, and (``keep``) store the typed table under the shared folder,
+    returning the stored copy."""
+    detected = {r["column_name"]: r["column_type"]
+                for r in detect_types(df, approx=approx_types).collect()}
     chosen = {c: ColumnType((overrides or {}).get(c, detected.get(c, "unknown")))
               for c in df.columns}
     typed = apply_types(df, chosen)

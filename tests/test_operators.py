@@ -234,3 +234,12 @@ def test_approx_quantiles_close_to_exact(spark):
     ex = {r["g"]: r["m"] for r in grouped_quantiles(df, ["g"], "v", {"m": 0.5}).collect()}
     ap = {r["g"]: r["m"] for r in approx_grouped_quantiles(df, ["g"], "v", {"m": 0.5}).collect()}
     assert all(abs(ex[g] - ap[g]) <= 10 for g in ex)
+
+
+def test_approx_type_detection_agrees_with_exact(spark):
+    from dashframe.operators.profile import detect_types
+    from dashframe.plans import derived as D
+    t = D.typed_customers(spark, "/root/testdata/sf0.001")
+    exact = {r[0]: r[1] for r in detect_types(t).collect()}
+    approx = {r[0]: r[1] for r in detect_types(t, approx=True).collect()}
+    assert exact == approx
