@@ -37,6 +37,36 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
     return left.join(right, cond, "inner").drop(*[right[k] for k in keys])
 
 
+def _ranged_frequencies(df: DataFrame, group_cols: list[str], value_col: str,
+                        ranges: int | None = None) -> DataFrame:
+    """``(__g0.., __v, __cnt, __pid)``: the frequency table cut into value
+    ranges, ``__pid`` being the range (task) that holds each row.  Without
+    ``ranges`` the count starts at ``spark.sql.shuffle.partitions`` and AQE
+    may merge adjacent small ranges."""
+    gcols = [col(k).alias(f"__g{i}") for i, k in enumerate(group_cols)]
+    gk = [f"__g{i}" for i in range(len(group_cols))]
+    base = df.select(*gcols, col(value_col).alias("__v")).where(F.col("__v").isNotNull())
+    freq = base.groupBy(*gk, "__v").agg(F.count(F.lit(1)).alias("__cnt"))
+    # The range bounds come from sampling the input in the order it is read;
+    # sorting each partition first makes that order -- and so the slice a
+    # value lands in -- the same every time the frame is evaluated (both
+    # join branches in rank_select, and any task retry).
+    keys = [F.col(k) for k in gk] + [F.col("__v")]
+    sorted_ = freq.sortWithinPartitions(*keys)
+    ranged = sorted_.repartitionByRange(ranges, *keys) if ranges else \
+        sorted_.repartitionByRange(*keys)
+    return ranged.withColumn("__pid", F.spark_partition_id())
+
+
+def slice_sizes(df: DataFrame, group_cols: list[str], value_col: str,
+                ranges: int | None = None) -> DataFrame:
+    """Rows of the frequency table per (range slice, group) -- how a hot group
+    is spread over tasks."""
+    ranged = _ranged_frequencies(df, group_cols, value_col, ranges)
+    return ranged.groupBy("__pid", *[f"__g{i}" for i in range(len(group_cols))]).agg(
+        F.count(F.lit(1)).alias("distinct_values"), F.sum("__cnt").alias("rows"))
+
+
 def rank_select(df: DataFrame, group_cols: list[str], value_col: str,
                 positions: dict[str, "callable"]) -> DataFrame:
     """For each group: ``n`` (non-null count) and, per entry of ``positions``,
@@ -48,17 +78,8 @@ def rank_select(df: DataFrame, group_cols: list[str], value_col: str,
     adjacent ranges to the advisory size, which keeps them in order.
     """
     g = list(group_cols)
-    gcols = [col(k).alias(f"__g{i}") for i, k in enumerate(g)]
     gk = [f"__g{i}" for i in range(len(g))]
-    base = df.select(*gcols, col(value_col).alias("__v")).where(F.col("__v").isNotNull())
-    freq = base.groupBy(*gk, "__v").agg(F.count(F.lit(1)).alias("__cnt"))
-    # The range bounds come from sampling the input in the order it is read;
-    # sorting each partition first makes that order -- and so the slice a
-    # value lands in -- the same every time the frame is evaluated (both
-    # join branches below, and any task retry).
-    keys = [F.col(k) for k in gk] + [F.col("__v")]
-    ranged = (freq.sortWithinPartitions(*keys).repartitionByRange(*keys)
-              .withColumn("__pid", F.spark_partition_id()))
+    ranged = _ranged_frequencies(df, g, value_col)
     # Slice = (range partition, group): its size and its offset in the group.
     slices = ranged.groupBy("__pid", *gk).agg(F.sum("__cnt").alias("__ptot"))
     before = (Window.partitionBy(*gk).orderBy("__pid")
