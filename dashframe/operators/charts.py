@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dashframe.functions.columns import col
-from dashframe.functions.format import short_number
+from dashframe.functions.format import short_number, value_label
 from dashframe.operators.aggregate import chart_agg_expr, chart_aggregate, null_safe_sum
 from dashframe.operators.filters import search_table
 from dashframe.operators.order import asc, chart_order, top_rows
-from dashframe.operators.quantiles import box_positions, rank_select
+from dashframe.operators.quantiles import box_positions, grouped_quantiles, rank_select
 from dashframe.schema import is_floating, is_integral
 from dashframe.spec import (CHART_AGGREGATIONS, HEATMAP_AXIS_CAP, HISTOGRAM_MAX_BINS,
                             SCREEN_TABLE_ROWS, SORTABLE, ChartSpec, VisualizationType as V)
@@ -157,16 +157,24 @@ def histogram(df, spec: ChartSpec, sort_by="none"):
     return _edges(full).orderBy("bin")
 
 
-def box_plot(df, spec: ChartSpec, sort_by="none"):
-    """Positional quartiles (sorted values at n//4, n//2, 3n//4, plus
-    first and last) per x group; NULL values and the NULL group are left out."""
+def box_plot(df, spec: ChartSpec, sort_by="none", method: str = "positional"):
+    """Quartiles per x group; NULL values and the NULL group are left
+    out.  ``positional`` (the image export's rule): sorted values at n//4,
+    n//2, 3n//4, plus first and last; ``linear``: interpolated quartiles (the
+    interactive plot's rule)."""
     _need(df, spec.y_column)
     y, x = spec.y_column, spec.x_column
     if x and x in df.columns:
         base = df.where(col(x).isNotNull()).select(col(x).alias("group"), col(y).alias("__y"))
     else:
         base = df.select(F.lit(y).alias("group"), col(y).alias("__y"))
-    stats = rank_select(base, ["group"], "__y", box_positions())
+    if method == "linear":
+        q = {"lower": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "upper": 1.0}
+        stats = grouped_quantiles(base, ["group"], "__y", q)
+    elif method == "positional":
+        stats = rank_select(base, ["group"], "__y", box_positions())
+    else:
+        raise ChartSpecError(f"unknown quartile method {method!r}")
     # Groups are labelled as text but ordered by their own values.
     out = stats.select(col("group").cast("string").alias("group"), "n", "lower", "q1",
                        "median", "q3", "upper", col("group").alias("__order"))
@@ -261,6 +269,25 @@ def metric_card(df, spec: ChartSpec, sort_by="none"):
                       short_number(F.col("__value"), is_float).alias("formatted"))
 
 
+def with_value_labels(data: DataFrame, spec: ChartSpec) -> DataFrame:
+    """Value labels drawn when ``show_values`` is set: ``{y}_label`` per
+    measure -- ``1,234.50`` style for column and bar charts (X9), the value
+    rounded to 2 places as text for line and area charts."""
+    vt = spec.visualization_type
+    ys = [y for y in dict.fromkeys(spec.effective_y) if y in data.columns]
+    if vt in (V.LINE_CHART, V.AREA_CHART):
+        ys = [spec.y_column] if spec.y_column in data.columns else []
+    out = data
+    for y in ys:
+        is_float = is_floating(data.schema[y].dataType)
+        if vt in (V.LINE_CHART, V.AREA_CHART):
+            text = F.bround(col(y), 2).cast("string")
+        else:
+            text = value_label(col(y), is_float)
+        out = out.withColumn(f"{y}_label", text)
+    return out
+
+
 _DISPATCH = {
     V.COLUMN_CHART: column_chart, V.BAR_CHART: bar_chart, V.LINE_CHART: line_chart,
     V.AREA_CHART: area_chart, V.PIE_CHART: pie_chart, V.SCATTER_PLOT: scatter_plot,
@@ -273,7 +300,11 @@ def chart_dataset(df: DataFrame, spec: ChartSpec, sort_by: str = "none") -> Data
     fn = _DISPATCH.get(spec.visualization_type)
     if fn is None:
         raise ChartSpecError(f"no dataset for {spec.visualization_type.value}")
-    return fn(df, spec, sort_by if spec.visualization_type in SORTABLE else "none")
+    data = fn(df, spec, sort_by if spec.visualization_type in SORTABLE else "none")
+    if spec.show_values and spec.visualization_type in (V.COLUMN_CHART, V.BAR_CHART,
+                                                         V.LINE_CHART, V.AREA_CHART):
+        data = with_value_labels(data, spec)
+    return data
 
 
 def generic_payload(df: DataFrame, spec: ChartSpec) -> DataFrame:

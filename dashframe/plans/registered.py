@@ -1210,3 +1210,16 @@ def users_page(spark, sf_dir):
     users = c.select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("username"),
                      F.concat(F.lower("c_name"), F.lit("@example.com")).alias("email"))
     return page(users, [F.col("user_id").desc()], limit=100, offset=100)
+
+
+@register("chart_value_labels", """
+select o_orderpriority, round(sum(o_totalprice), 4) as o_totalprice,
+  format('{:,.2f}', sum(o_totalprice)) as o_totalprice_label from orders
+group by o_orderpriority""")
+def chart_value_labels(spark, sf_dir):
+    """G1 with show_values: each bar carries its ``1,234.50`` label."""
+    from dashframe.operators.charts import chart_dataset
+    spec = ChartSpec("column_chart", x_column="o_orderpriority", y_column="o_totalprice",
+                     show_values=True)
+    out = chart_dataset(T(spark, sf_dir, "orders"), spec, "value_desc")
+    return out.withColumn("o_totalprice", r4(F.col("o_totalprice")))

@@ -243,3 +243,20 @@ def test_approx_type_detection_agrees_with_exact(spark):
     exact = {r[0]: r[1] for r in detect_types(t).collect()}
     approx = {r[0]: r[1] for r in detect_types(t, approx=True).collect()}
     assert exact == approx
+
+
+def test_value_labels_when_shown(spark):
+    from dashframe.operators.charts import chart_dataset
+    df = spark.createDataFrame([("a", 1234.5), ("a", 0.004), ("b", None)], "x string, y double")
+    col_rows = chart_dataset(df, ChartSpec("column_chart", x_column="x", y_column="y",
+                                           show_values=True)).collect()
+    assert {r["x"]: r["y_label"] for r in col_rows} == {"a": "1,234.50", "b": "0.00"}
+    line_rows = chart_dataset(df, ChartSpec("line_chart", x_column="x", y_column="y",
+                                            show_values=True)).collect()
+    assert {r["x"]: r["y_label"] for r in line_rows} == {"a": "1234.5", "b": "0.0"}
+
+
+def test_box_linear_quartiles(spark):
+    df = spark.createDataFrame([("g", float(v)) for v in [1, 2, 3, 4]], "g string, y double")
+    r = box_plot(df, ChartSpec("box_plot", x_column="g", y_column="y"), method="linear").first()
+    assert (r["lower"], r["q1"], r["median"], r["q3"], r["upper"]) == (1.0, 1.75, 2.5, 3.25, 4.0)
