@@ -66,3 +66,40 @@ def records(df: DataFrame, name: str = "record") -> DataFrame:
 def write_documents(docs: DataFrame, path: str) -> None:
     """Analysis documents as JSON lines."""
     docs.write.mode("overwrite").json(path)
+
+
+class TableCache:
+    """Cleaned tables by analysis id.  The stored Parquet copy is the
+    source of truth; the cache only keeps DataFrame handles (persisted
+    plans), so a miss -- a new driver, an evicted entry -- reloads the typed
+    table from its path instead of re-parsing the raw upload."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._frames: dict[str, DataFrame] = {}
+        self._paths: dict[str, str] = {}
+
+    def put(self, analysis_id: str, df: DataFrame, path: str | None = None) -> DataFrame:
+        target = path or shared_dir(self.spark, f"analysis-{analysis_id}")
+        stored = store(df, analysis_id, target)
+        self.drop(analysis_id)
+        self._frames[analysis_id], self._paths[analysis_id] = stored, target
+        return stored
+
+    def get(self, analysis_id: str, storage_path: str | None = None) -> DataFrame | None:
+        if analysis_id in self._frames:
+            return self._frames[analysis_id]
+        path = storage_path or self._paths.get(analysis_id)
+        if not path:
+            return None
+        df = read_table(self.spark, path).persist(StorageLevel.MEMORY_AND_DISK)
+        self._frames[analysis_id], self._paths[analysis_id] = df, path
+        return df
+
+    def drop(self, analysis_id: str | None = None) -> None:
+        """Forget one entry (or all); the stored copies stay."""
+        ids = [analysis_id] if analysis_id else list(self._frames)
+        for i in ids:
+            frame = self._frames.pop(i, None)
+            if frame is not None:
+                frame.unpersist()

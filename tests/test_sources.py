@@ -96,3 +96,15 @@ def test_documents_write_and_read_back(spark):
                    .select(F.get_json_object("line", "$.data").alias("data")))
     assert back.count() == docs.count()
     assert back.select("doc.id").exceptAll(docs.select("doc.id")).count() == 0
+
+
+def test_table_cache_reloads_from_store(spark):
+    df = spark.read.parquet(f"{SF}/nation.parquet")
+    cache = S.TableCache(spark)
+    cache.put("a1", df)
+    path = cache._paths["a1"]
+    assert cache.get("a1").count() == 25
+    cache.drop()
+    assert cache.get("missing") is None
+    fresh = S.TableCache(spark)  # a new driver: only the path is known
+    assert fresh.get("a1", storage_path=path).count() == 25
