@@ -679,12 +679,18 @@ def clean_numeric(spark, sf_dir):
 
 
 @register("clean_date", """
-select o_orderkey, cast(o_orderdate as date) as d_iso, cast(o_orderdate as date) as d_br,
-  cast(o_orderdate as date) as d_dash, cast(o_orderdate as date) as d_slash,
-  null::date as d_bad from orders""")
+select o_orderkey, strftime(cast(o_orderdate as date), '%Y-%m-%d') as d_iso,
+  strftime(cast(o_orderdate as date), '%Y-%m-%d') as d_br,
+  strftime(cast(o_orderdate as date), '%Y-%m-%d') as d_dash,
+  strftime(cast(o_orderdate as date), '%Y-%m-%d') as d_slash,
+  null::varchar as d_bad from orders""")
 def clean_date(spark, sf_dir):
-    t = D.messy_dates(spark, sf_dir)
-    return apply_types(t, {c: "datetime" for c in ("d_iso", "d_br", "d_dash", "d_slash", "d_bad")})
+    """C2 on four text shapes plus an impossible date; the parsed dates are
+    printed as ISO text so the comparison does not depend on how a client
+    library converts DATE values."""
+    cols = ("d_iso", "d_br", "d_dash", "d_slash", "d_bad")
+    typed = apply_types(D.messy_dates(spark, sf_dir), {c: "datetime" for c in cols})
+    return typed.select("o_orderkey", *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in cols])
 
 
 @register("cast_text", """
