@@ -1229,3 +1229,30 @@ def chart_value_labels(spark, sf_dir):
                      show_values=True)
     out = chart_dataset(T(spark, sf_dir, "orders"), spec, "value_desc")
     return out.withColumn("o_totalprice", r4(F.col("o_totalprice")))
+
+
+register("filter_date", "select * from orders where o_orderdate >= timestamp '1998-01-01' "
+                        "and o_orderdate < timestamp '1999-06-30 12:00:00'")(
+    _dash("orders", [{"col": "o_orderdate", "op": "gte", "val": "1998-01-01"},
+                     {"col": "o_orderdate", "op": "lt", "val": "1999-06-30 12:00:00"}]))
+
+
+@register("search_chart_numeric", """
+select c_nationkey, count(c_custkey) as c_custkey from customer
+where contains(lower(cast(c_nationkey as varchar)), '1') group by c_nationkey""")
+def search_chart_numeric(spark, sf_dir):
+    """F21 on a numeric x: the search matches the text form of the key."""
+    c = search_column(T(spark, sf_dir, "customer"), "c_nationkey", "1")
+    return column_chart(c, ChartSpec("column_chart", x_column="c_nationkey",
+                                     y_column="c_custkey", aggregation="count"))
+
+
+@register("agg_sum_int", """
+select p_type, cast(coalesce(sum(p_size), 0) as bigint) as p_size_sum,
+  cast(min(p_size) as integer) as p_size_min from part group by p_type""")
+def agg_sum_int(spark, sf_dir):
+    """A1/A4 on an integer column: the sum stays integral (BIGINT)."""
+    p = T(spark, sf_dir, "part")
+    s = aggregate(p, AggregationConfig(("p_type",), "p_size", "sum"))
+    m = aggregate(p, AggregationConfig(("p_type",), "p_size", "min"))
+    return s.join(m, "p_type")
