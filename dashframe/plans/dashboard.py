@@ -154,3 +154,28 @@ def write_bundle(df: DataFrame, visuals: list[dict], out_dir: str, measures=None
                   "status string, error string")
     man.coalesce(1).write.mode("overwrite").parquet(f"{out_dir}/_manifest")
     return spark.read.parquet(f"{out_dir}/_manifest")
+
+
+def visuals_of(document: str | dict) -> tuple[list[dict], list[dict]]:
+    """One analysis document (its JSON text or dict) -> (visuals, measures) as
+    the export expects them; visuals without a config are dropped.  A
+    document is a small per-analysis record, read on the driver."""
+    import json
+    doc = json.loads(document) if isinstance(document, str) else document
+    visuals = []
+    for slide in doc.get("slides") or []:
+        for viz in slide.get("visualizations") or []:
+            if viz.get("config"):
+                visuals.append({"slide_id": slide.get("id"), "viz_id": viz.get("id"),
+                                "config": viz["config"]})
+    return visuals, list(doc.get("measures") or [])
+
+
+def export_analysis(df: DataFrame, document: str | dict, out_dir: str | None = None,
+                    filters_by_viz: dict | None = None) -> DataFrame:
+    """L2 for a stored analysis: its measures and visuals, exported as the
+    long table (or, with ``out_dir``, as a bundle whose manifest is returned)."""
+    visuals, measures = visuals_of(document)
+    if out_dir:
+        return write_bundle(df, visuals, out_dir, measures, filters_by_viz)
+    return export_long(df, visuals, measures, filters_by_viz)

@@ -108,3 +108,22 @@ def test_table_cache_reloads_from_store(spark):
     assert cache.get("missing") is None
     fresh = S.TableCache(spark)  # a new driver: only the path is known
     assert fresh.get("a1", storage_path=path).count() == 25
+
+
+def test_export_from_analysis_document(spark):
+    from dashframe.plans.dashboard import export_analysis, visuals_of
+    doc = {"id": "a", "measures": FLAGSHIP_MEASURES, "slides": [
+        {"id": "s1", "visualizations": [
+            {"id": "v1", "config": {"visualization_type": "column_chart",
+                                    "x_column": "l_returnflag", "y_column": "revenue"}},
+            {"id": "v2", "config": None}]},
+        {"id": "s2", "visualizations": [
+            {"id": "v3", "config": {"visualization_type": "metric_card",
+                                    "y_column": "l_quantity", "aggregation": "count"}}]}]}
+    visuals, measures = visuals_of(json.dumps(doc))
+    assert [v["viz_id"] for v in visuals] == ["v1", "v3"] and measures == FLAGSHIP_MEASURES
+    li = spark.read.parquet(f"{SF}/lineitem.parquet")
+    out = export_analysis(li, doc).collect()
+    assert {(r["viz_id"], r["measure"]) for r in out} == {("v1", "revenue"), ("v3", "l_quantity")}
+    metric = [r["value"] for r in out if r["viz_id"] == "v3"]
+    assert metric == [float(li.count())]
