@@ -13,15 +13,22 @@ from __future__ import annotations
 
 import io
 import re
+import sys
 import zipfile
 from xml.etree import ElementTree as ET
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from dashframe.operators.order import asc
 
+# The parser and the writer run in Python workers.  Serialising this module's
+# functions by value ships them with the job, so executors need no install of
+# the package (it only uses the standard library, pandas and pyspark there).
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
        "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
        "pr": "http://schemas.openxmlformats.org/package/2006/relationships"}
