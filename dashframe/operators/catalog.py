@@ -158,3 +158,24 @@ def count_per_owner(table: DataFrame, owner: str) -> DataFrame:
     per = table.groupBy(col(owner)).agg(F.count(F.lit(1)).alias("row_count"))
     total = table.agg(F.count(F.lit(1))).scalar()
     return per.withColumn("total_rows", total)
+
+
+def cascade_delete_users(files, sheets, columns, viz, doomed_users: DataFrame,
+                         owner: str = "user_id", dashboard_owner: str = "dashboard_id") -> dict:
+    """J5 from the top: removing users removes their files (and, down the
+    chain, sheets and columns) and their dashboards' visualizations.  A
+    surviving visualization that points at a removed sheet blocks the delete
+    (that reference has no cascade) and is returned as a blocker."""
+    users = doomed_users.select(F.col(owner).alias("__u")).distinct()
+    doomed_files = files.join(users, files[owner] == users["__u"], "left_semi")
+    by_file = cascade_delete(files, sheets, columns, viz, doomed_files)
+    gone_sheets = sheets.join(doomed_files.select("file_id"), "file_id", "left_semi") \
+        .select("sheet_id")
+    kept_viz = viz.join(users, viz[dashboard_owner] == users["__u"], "left_anti")
+    return {
+        "files": by_file["files"],
+        "file_sheets": by_file["file_sheets"],
+        "sheet_columns": by_file["sheet_columns"],
+        "visualizations": kept_viz,
+        "blocking_visualizations": kept_viz.join(gone_sheets, "sheet_id", "left_semi"),
+    }

@@ -1256,3 +1256,34 @@ def agg_sum_int(spark, sf_dir):
     s = aggregate(p, AggregationConfig(("p_type",), "p_size", "sum"))
     m = aggregate(p, AggregationConfig(("p_type",), "p_size", "min"))
     return s.join(m, "p_type")
+
+
+_DOOMED_USERS_SQL = "(select c_custkey as user_id from customer where c_mktsegment = 'HOUSEHOLD')"
+
+
+@register("catalog_cascade_users", f"""
+with f as {D.FILES_SQL}, s as {D.SHEETS_SQL}, v as {D.VIZ_SQL},
+gf as (select file_id from f where user_id in (select user_id from {_DOOMED_USERS_SQL})),
+gs as (select sheet_id from s where file_id in (select file_id from gf)),
+kv as (select * from v where dashboard_id not in (select user_id from {_DOOMED_USERS_SQL}))
+select 'files' as table_name, count(*) as row_count from f
+  where file_id not in (select file_id from gf)
+union all select 'file_sheets', count(*) from s where file_id not in (select file_id from gf)
+union all select 'sheet_columns', count(*) from {D.COLUMNS_SQL} c
+  where sheet_id not in (select sheet_id from gs)
+union all select 'visualizations', count(*) from kv
+union all select 'blocking_visualizations', count(*) from kv
+  where sheet_id in (select sheet_id from gs)""")
+def catalog_cascade_users(spark, sf_dir):
+    """J5 from users: the household-segment customers leave."""
+    f, s, c, v = _cat(spark, sf_dir)
+    doomed = T(spark, sf_dir, "customer").where(F.col("c_mktsegment") == "HOUSEHOLD") \
+        .select(F.col("c_custkey").alias("user_id"))
+    left = K.cascade_delete_users(f, s, c, v, doomed)
+    parts = [df.agg(F.count(F.lit(1)).alias("row_count"))
+             .select(F.lit(name).alias("table_name"), "row_count")
+             for name, df in left.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
