@@ -164,10 +164,11 @@ FILES_SQL = """(select o_orderkey as file_id, o_custkey as user_id,
 
 def catalog_sheets(spark, sf_dir) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    return (li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("sheet_id"),
-                      F.col("l_orderkey").alias("file_id"),
-                      F.concat(F.lit("Sheet"), F.col("l_linenumber").cast("string"))
-                      .alias("sheet_name")).distinct())
+    keys = li.select("l_orderkey", "l_linenumber").distinct()
+    return keys.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("sheet_id"),
+                       F.col("l_orderkey").alias("file_id"),
+                       F.concat(F.lit("Sheet"), F.col("l_linenumber").cast("string"))
+                       .alias("sheet_name"))
 
 
 SHEETS_SQL = """(select distinct l_orderkey * 8 + l_linenumber as sheet_id,
