@@ -209,15 +209,16 @@ def pivot_wide(df: DataFrame, x: str, y: str, value: str, fn: str = "sum",
                x_values: list | None = None, max_values: int = 1000) -> DataFrame:
     """Aggregate per (y, x), then spread x into columns (absent -> NULL).
     The x labels become column names, so their count is checked."""
-    cells = df.groupBy(col(y), col(x)).agg(
+    # pivot() takes a column *name*, so x is carried under a plain alias.
+    cells = df.groupBy(col(y).alias(y), col(x).alias("__x")).agg(
         chart_agg_expr(col(value), fn, df.schema[value].dataType).alias("__val"))
     if x_values is None:
-        found = [r[0] for r in cells.select(col(x)).distinct().orderBy(asc(x))
+        found = [r[0] for r in cells.select("__x").distinct().orderBy(asc("__x"))
                  .limit(max_values + 1).collect()]
         if len(found) > max_values:
             raise ChartSpecError(f"more than {max_values} pivot columns")
         x_values = found
-    return (cells.groupBy(col(y)).pivot(x, x_values).agg(F.first("__val"))
+    return (cells.groupBy(col(y)).pivot("__x", x_values).agg(F.first("__val"))
             .orderBy(asc(y)))
 
 

@@ -32,7 +32,8 @@ def long_values(df: DataFrame, columns: list[str] | None = None,
     columns = columns or [c for c in df.columns if c not in (ids or [])]
     id_cols = [col(i) for i in ids or []]
     framed = df.select(*id_cols, *[col(c).cast("string").alias(c) for c in columns])
-    return framed.unpivot(ids or [], columns, "column_name", "value")
+    return framed.unpivot([col(i) for i in ids or []], [col(c) for c in columns],
+                          "column_name", "value")
 
 
 def value_frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -125,7 +126,8 @@ def numeric_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     base = df.agg(F.array(*per_col).alias("__p")).select(F.inline("__p")) \
         .where(F.col("n") > 0)
     longv = (df.select(*[col(c).cast("double").alias(c) for c in columns])
-             .unpivot([], columns, "column_name", "value").where(F.col("value").isNotNull()))
+             .unpivot([], [col(c) for c in columns], "column_name", "value")
+             .where(F.col("value").isNotNull()))
     med = grouped_quantiles(longv, ["column_name"], "value", {"median": 0.5}).drop("n")
     std = F.when(F.col("n") > 1, F.col("std")).otherwise(F.lit(0.0))
     return base.join(med, "column_name").select(

@@ -104,7 +104,7 @@ def long_form(data: DataFrame, spec: ChartSpec) -> DataFrame:
                          (series if series is not None else F.lit(None).cast("string"))
                          .alias("series"),
                          *[col(v).cast("double").alias(v) for v in values])
-    return framed.unpivot(["label", "series"], values, "measure", "value")
+    return framed.unpivot(["label", "series"], [col(v) for v in values], "measure", "value")
 
 
 def export_long(df: DataFrame, visuals: list[dict], measures=None,

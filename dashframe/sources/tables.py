@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dashframe.functions.columns import col
 from dashframe.session import shared_dir
 from dashframe.spec import ALLOWED_EXTENSIONS, MAX_UPLOAD_BYTES
 
@@ -60,7 +61,7 @@ def release(df: DataFrame) -> None:
 
 def records(df: DataFrame, name: str = "record") -> DataFrame:
     """Each row as one JSON record."""
-    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias(name))
+    return df.select(F.to_json(F.struct(*[col(c) for c in df.columns])).alias(name))
 
 
 def write_documents(docs: DataFrame, path: str) -> None:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from dashframe.functions.columns import col
 from dashframe.operators.order import asc
 
 # The parser and the writer run in Python workers.  Serialising this module's
@@ -171,8 +172,8 @@ def sheet_table(cells: DataFrame, sheet: str | None = None, all_sheets: bool = F
             .agg(F.first("value")).drop("row"))
     typed = {r["header"]: ("long" if r["fractional"] == 0 else "double")
              for r in kinds if r["other"] == 0}
-    return wide.select(*[F.col(f"`{c}`").cast(typed[c]).alias(c) if c in typed
-                         else F.col(f"`{c}`") for c in wide.columns])
+    return wide.select(*[col(c).cast(typed[c]).alias(c) if c in typed else col(c)
+                         for c in wide.columns])
 
 
 _INT = r"^-?\d+$"

@@ -260,3 +260,28 @@ def test_box_linear_quartiles(spark):
     df = spark.createDataFrame([("g", float(v)) for v in [1, 2, 3, 4]], "g string, y double")
     r = box_plot(df, ChartSpec("box_plot", x_column="g", y_column="y"), method="linear").first()
     assert (r["lower"], r["q1"], r["median"], r["q3"], r["upper"]) == (1.0, 1.75, 2.5, 3.25, 4.0)
+
+
+def test_odd_column_names_through_filters_charts_profile(spark):
+    from dashframe.operators.charts import chart_dataset
+    from dashframe.operators.profile import column_profile, top_values
+    df = spark.createDataFrame([("a", 1.0, 2), ("a", 3.0, None), ("b", None, 5)],
+                               "`cat.egory x` string, `val``ue` double, `n [k]` int")
+    kept, skipped = apply_dashboard_filters(df, [{"col": "n [k]", "op": "is_not_null"}])
+    assert kept.count() == 2 and skipped == []
+    spec = ChartSpec("column_chart", x_column="cat.egory x", y_column="val`ue")
+    got = {r[0]: r[1] for r in chart_dataset(df, spec).collect()}
+    assert got == {"a": 4.0, "b": 0.0}
+    prof = {r["column_name"]: (r["null_count"], r["unique_count"])
+            for r in column_profile(df).collect()}
+    assert prof == {"cat.egory x": (0, 2), "val`ue": (1, 3), "n [k]": (1, 3)}
+    assert top_values(df, ["cat.egory x"]).first()["value"] == "a"
+
+
+def test_pivot_with_odd_names(spark):
+    from dashframe.operators.charts import pivot_wide
+    df = spark.createDataFrame([("p", "x.1", 1.0), ("p", "x.1", 2.0), ("q", "y", 5.0)],
+                               "`row.key` string, `col``key` string, v double")
+    out = {r["row.key"]: (r["x.1"], r["y"]) for r in pivot_wide(df, "col`key", "row.key", "v")
+           .collect()}
+    assert out == {"p": (3.0, None), "q": (None, 5.0)}
