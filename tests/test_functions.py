@@ -50,3 +50,23 @@ def test_iso_parsing_and_formats(spark):
     row = spark.range(1).select(X.format_ts(ts, "short").alias("s"), X.format_ts(ts, "iso").alias("i"),
                                 X.format_ts(ts, "full").alias("f")).first()
     assert (row["s"], row["i"], row["f"]) == ("05/03 10:20", "2024-03-05 10:20", "05/03/2024 10:20")
+
+
+def test_text_dates_day_first_and_invalid(spark):
+    from dashframe.functions.clean import text_to_date
+    d = text_to_date(F.col("v"))
+    assert one(spark, d, "05/03/2024") == dt.date(2024, 3, 5)
+    assert one(spark, d, "05-03-2024 10:00") == dt.date(2024, 3, 5)
+    assert one(spark, d, "2024/03/05") == dt.date(2024, 3, 5)
+    assert one(spark, d, "31/02/2024") is None
+    assert one(spark, d, "2024-13-45") is None
+    assert one(spark, d, "soon") is None
+
+
+def test_locale_number_cleaning(spark):
+    from dashframe.functions.clean import clean_numeric_text
+    c = clean_numeric_text(F.col("v"))
+    cases = {"R$ 1.234,56": 1234.56, "R$ 1.234,56": 1234.56, "-1.234,5": -1234.5,
+             "12,5": 12.5, "1,2,3": None, "": None, "abc": None, "1 000": 1000.0}
+    for text, want in cases.items():
+        assert one(spark, c, text) == want, text
