@@ -130,23 +130,31 @@ def export_long(df: DataFrame, visuals: list[dict], measures=None,
 
 
 def write_bundle(df: DataFrame, visuals: list[dict], out_dir: str, measures=None,
-                 filters_by_viz: dict | None = None) -> DataFrame:
+                 filters_by_viz: dict | None = None, concurrency: int = 4) -> DataFrame:
     """Every visual's dataset under ``out_dir/slide_id=../viz_id=..``
-    and a manifest table (one row per visual: rows, status, error)."""
+    and a manifest table (one row per visual: rows, status, error).
+
+    The visuals are independent small jobs over the cached base, so up to
+    ``concurrency`` of them are submitted at once from driver threads."""
+    from concurrent.futures import ThreadPoolExecutor
+
     base, parts = export_datasets(df, visuals, measures, filters_by_viz, persist=True)
     spark = df.sparkSession
-    manifest = []
+
+    def write_one(part):
+        slide_id, viz_id, vtype, data, err = part
+        path = f"{out_dir}/slide_id={slide_id}/viz_id={viz_id}"
+        if data is None:
+            return (slide_id, viz_id, vtype, None, "skipped", err)
+        try:
+            data.write.mode("overwrite").parquet(path)
+            return (slide_id, viz_id, vtype, path, "ok", None)
+        except Exception as exc:  # a failing visual does not stop the export
+            return (slide_id, viz_id, vtype, None, "failed", str(exc)[:500])
+
     try:
-        for slide_id, viz_id, vtype, data, err in parts:
-            path = f"{out_dir}/slide_id={slide_id}/viz_id={viz_id}"
-            if data is None:
-                manifest.append((slide_id, viz_id, vtype, None, "skipped", err))
-                continue
-            try:
-                data.write.mode("overwrite").parquet(path)
-                manifest.append((slide_id, viz_id, vtype, path, "ok", None))
-            except Exception as exc:  # a failing visual does not stop the export
-                manifest.append((slide_id, viz_id, vtype, None, "failed", str(exc)[:500]))
+        with ThreadPoolExecutor(max_workers=max(1, concurrency)) as pool:
+            manifest = list(pool.map(write_one, parts))
     finally:
         base.unpersist()
     man = spark.createDataFrame(
