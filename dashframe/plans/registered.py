@@ -1287,3 +1287,15 @@ def catalog_cascade_users(spark, sf_dir):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+@register("chart_box_linear", """
+select l_linestatus as "group", count(l_quantity) as n, min(l_quantity) as lower,
+  round(quantile_cont(l_quantity, 0.25), 4) as q1, round(quantile_cont(l_quantity, 0.5), 4)
+    as median, round(quantile_cont(l_quantity, 0.75), 4) as q3, max(l_quantity) as upper
+from lineitem where l_linestatus is not null and l_quantity is not null group by l_linestatus""")
+def chart_box_linear(spark, sf_dir):
+    """G9 with interpolated quartiles (the interactive plot's rule)."""
+    spec = ChartSpec("box_plot", x_column="l_linestatus", y_column="l_quantity")
+    out = box_plot(T(spark, sf_dir, "lineitem"), spec, method="linear")
+    return rounded(out, ["q1", "median", "q3"])
