@@ -285,3 +285,14 @@ def test_pivot_with_odd_names(spark):
     out = {r["row.key"]: (r["x.1"], r["y"]) for r in pivot_wide(df, "col`key", "row.key", "v")
            .collect()}
     assert out == {"p": (3.0, None), "q": (None, 5.0)}
+
+
+def test_sort_only_for_sortable_visuals(spark):
+    from dashframe.operators.charts import chart_dataset
+    df = spark.createDataFrame([("a", 3.0), ("b", 1.0), ("c", 2.0)], "x string, y double")
+    line = chart_dataset(df, ChartSpec("line_chart", x_column="x", y_column="y"), "value_desc")
+    assert [r["x"] for r in line.collect()] == ["a", "b", "c"]
+    col_ = chart_dataset(df, ChartSpec("column_chart", x_column="x", y_column="y"), "value_desc")
+    assert [r["x"] for r in col_.collect()] == ["a", "c", "b"]
+    pie = chart_dataset(df, ChartSpec("pie_chart", x_column="x", y_column="y"), "x_desc")
+    assert [r["x"] for r in pie.collect()] == ["c", "b", "a"]
