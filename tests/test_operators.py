@@ -296,3 +296,12 @@ def test_sort_only_for_sortable_visuals(spark):
     assert [r["x"] for r in col_.collect()] == ["a", "c", "b"]
     pie = chart_dataset(df, ChartSpec("pie_chart", x_column="x", y_column="y"), "x_desc")
     assert [r["x"] for r in pie.collect()] == ["c", "b", "a"]
+
+
+def test_typed_contains_is_regex_dashboard_contains_is_literal(spark):
+    from dashframe.operators.filters import apply_filters
+    df = spark.createDataFrame([("small ring",), ("r.ng x",)], "name string")
+    typed = apply_filters(df, [FilterCondition("name", "contains", "r.ng")])
+    dash, _ = apply_dashboard_filters(df, [{"col": "name", "op": "contains", "val": "r.ng"}])
+    assert sorted(r[0] for r in typed.collect()) == ["r.ng x", "small ring"]
+    assert [r[0] for r in dash.collect()] == ["r.ng x"]
