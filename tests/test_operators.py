@@ -305,3 +305,13 @@ def test_typed_contains_is_regex_dashboard_contains_is_literal(spark):
     dash, _ = apply_dashboard_filters(df, [{"col": "name", "op": "contains", "val": "r.ng"}])
     assert sorted(r[0] for r in typed.collect()) == ["r.ng x", "small ring"]
     assert [r[0] for r in dash.collect()] == ["r.ng x"]
+
+
+def test_skipped_measures_are_reported(spark):
+    df = spark.createDataFrame([(1.0, "x")], "a double, t string")
+    out, skipped = compute_measures(df, [
+        {"name": "ok", "expression": "[a] * 2"}, {"name": "bad_ref", "expression": "[zz] + 1"},
+        {"name": "", "expression": "[a]"}, {"name": "blank", "expression": " "},
+        {"name": "text", "expression": "[t] * 2"}, {"name": "syntax", "expression": "[a] +* 1"}])
+    assert out.columns == ["a", "t", "ok"]
+    assert skipped == ["bad_ref", "<blank>", "blank", "text", "syntax"]
