@@ -28,3 +28,14 @@ def test_entry_runs(spark):
 def test_every_query_has_sql_or_is_declared_rows_only():
     rows_only = set(E.queries()) - set(E.oracle_sql())
     assert rows_only <= {"ingest_csv", "ingest_workbooks", "sheet_catalog", "stream_refresh"}
+
+
+def test_oracle_sql_uses_only_registered_views():
+    import re
+    views = set("region nation customer supplier part orders lineitem events documents "
+                "embeddings pages benchmark labels conversations".split())
+    for name, sql in E.oracle_sql().items():
+        assert "read_parquet" not in sql and "/root/" not in sql, name
+        assert re.fullmatch(r"[a-z][a-z0-9_]*", name), name
+        used = set(re.findall(r"\b(?:from|join)\s+([a-z_]+)\b", sql.lower()))
+        assert used & views, name
