@@ -67,3 +67,19 @@ def test_upsert_idempotent_and_keeps_old_path(spark, old, new):
     for k, v in new.items():
         want[k] = v if v is not None else old.get(k)
     assert a == sorted(want.items())
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", "c", None]), st.integers(-5, 5)),
+                min_size=0, max_size=40), st.integers(1, 4))
+def test_top_per_group_matches_brute_force(spark, data, k):
+    from dashframe.operators.order import top_per_group
+    rows = [(g, v, i) for i, (g, v) in enumerate(data)]
+    df = spark.createDataFrame(rows, "g string, v long, id long").repartition(3)
+    got = sorted((r["g"] or "", r["id"], r["rank"]) for r in
+                 top_per_group(df, ["g"], [F.col("v").desc(), F.col("id").asc()], k).collect())
+    want = []
+    for g in {r[0] for r in rows}:
+        members = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))[:k]
+        want += [(g or "", r[2], pos + 1) for pos, r in enumerate(members)]
+    assert got == sorted(want)
