@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dashframe.llm import bpe
+from dashframe.llm import bpe, winnow
 from dashframe.llm.common import table
 
 QUERIES: dict = {}
@@ -22,3 +22,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"),
                           public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
                           public_tokenizers.PATTERN)
+
+
+@query
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.contamination(table(spark, sf_dir, "documents"),
+                                table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
+SQL["op4_winnowing"] = winnow.SQL
