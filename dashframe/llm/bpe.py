@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dashframe.llm.common import slices
 from dashframe.llm.pretoken import Memo, encode_texts
 
 _NEVER = 1 << 62
@@ -231,7 +232,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches):
         coder = codec(ranks_path, pattern)
-        for b in batches:
+        for b in slices(batches):
             ids, offsets = coder.encode_all(b.column(1))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()),
@@ -247,14 +248,15 @@ def decode(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         coder = codec(ranks_path, pattern)
-        for b in batches:
-            tokens = b.column(1)
-            flat = tokens.flatten().to_numpy(zero_copy_only=False).tolist()
-            ends = (tokens.offsets.to_numpy() - tokens.offsets[0].as_py()).tolist()
-            decoded = [coder.decode(flat[i:j]) for i, j in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(decoded, pa.binary())],
-                names=["doc_id", "tokens", "decoded"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                tokens = b.column(1)
+                flat = tokens.flatten().to_numpy(zero_copy_only=False)
+                ends = (tokens.offsets.to_numpy() - tokens.offsets[0].as_py()).tolist()
+                decoded = [coder.decode(flat[i:j].tolist()) for i, j in zip(ends, ends[1:])]
+                yield pa.RecordBatch.from_arrays([b.column(0), tokens, pa.array(decoded, pa.binary())],
+                                                 names=["doc_id", "tokens", "decoded"])
 
     return df.select("doc_id", "tokens").mapInArrow(
         run, "doc_id long, tokens array<int>, decoded binary")

@@ -9,6 +9,7 @@ import zipfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +72,20 @@ def binary_values(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
+def slices(batches, text_col: str = "text", chars: int = 4 << 20):
+    """Arrow batches cut so that each holds at most ``chars`` bytes of text (or
+    one row): bounds a task's memory whatever the batch size."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(text_col)), 0).to_numpy(zero_copy_only=False)
+        total = np.cumsum(sizes)
+        at = 0
+        while at < b.num_rows:
+            base = total[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(total, base + chars, side="right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 # Every character that a Unicode-aware \s may match, in RE2's syntax.
 _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 150_000
 MEMO_KEY_CHARS = 64
 
 

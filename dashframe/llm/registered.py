@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dashframe.llm import bpe, winnow
+from dashframe.llm import bpe, quality, winnow
 from dashframe.llm.common import table
 
 QUERIES: dict = {}
@@ -31,3 +31,8 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op4_winnowing"] = winnow.SQL
+
+
+@query
+def op8_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents")).drop("text_key")

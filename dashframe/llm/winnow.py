@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dashframe.llm.common import binary_values, gram_hashes, mix, stored, text_key, word_hashes
+from dashframe.llm.common import (binary_values, gram_hashes, mix, slices, stored, text_key,
+                                  word_hashes)
 
 WINDOW = 13
 K = 7
@@ -91,7 +92,7 @@ def document_marks(docs: DataFrame, short: list[int], known) -> DataFrame:
 
     def run(batches):
         keep = None if known is None else known.value
-        for b in batches:
+        for b in slices(batches):
             n, fps, places = [], [], []
             for text in binary_values(b, "text"):
                 h = word_hashes(words(text))
