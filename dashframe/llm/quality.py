@@ -37,9 +37,13 @@ H = 0.75              # share of a group that the estimate rests on
 STEPS = 5             # concentration steps
 LEAST = 50            # documents of a group with an estimate of its own
 CUTOFF = 200.0        # squared robust distance; see README
-FLOOR = (0.05, 0.01, 0.05, 0.05, 0.02)   # least standard deviation per statistic
+# Least standard deviation per statistic.  Most documents have no symbol, no
+# repeated line and no repeated window, so the subset's own spread is nil.
+FLOOR = (0.1, 0.02, 0.1, 0.5, 0.15, 0.05, 0.05)
 _SYMBOLS = b"#*$%&|<>"
-_DIM = 5
+_UPPER = bytes(range(65, 91))
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+_DIM = 7
 _PAIRS = [(i, j) for i in range(_DIM) for j in range(i, _DIM)]
 
 
@@ -58,24 +62,26 @@ def repeated_words(h: np.ndarray) -> int:
     return int((np.cumsum(edge)[:-1] > 0).sum())
 
 
-def stats_of(text: bytes | None) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+def stats_of(text: bytes | None) -> tuple[int, ...]:
+    """The values of _STATS; n_upper counts A-Z, n_marks ASCII punctuation."""
     if not text:
-        return 0, 0, 0, 0, 0
+        return (0,) * len(_STATS)
     words = text.split()
     joined = b"".join(words)
     follow = np.frombuffer(joined, np.uint8) & 0xC0 == 0x80
     lines = [x for x in text.split(b"\n") if x.strip()]
     return (len(words), len(joined) - int(follow.sum()),
             len(text) - len(text.translate(None, _SYMBOLS)), len(lines) - len(set(lines)),
-            repeated_words(word_hashes(words)))
+            repeated_words(word_hashes(words)), len(text) - len(text.translate(None, _UPPER)),
+            len(text) - len(text.translate(None, _MARKS)))
 
 
-_STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+          "n_upper", "n_marks")
 
 
 def text_stats(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_key, lang, source`` and the five statistics per row."""
+    """``doc_id, text_key, lang, source`` and the statistics per row."""
 
     def run(batches):
         for b in slices(batches):
@@ -99,7 +105,9 @@ def _vector() -> list[Column]:
     return [F.log1p(n), F.log(F.col("word_chars") / n),
             F.log1p(100 * F.col("n_symbols") / F.col("word_chars")),
             F.log1p(100 * F.col("n_dup_lines") / n),
-            F.asin(F.sqrt(F.col("n_repeat_words") / n))]
+            F.asin(F.sqrt(F.col("n_repeat_words") / n)),
+            F.asin(F.sqrt(F.col("n_upper") / F.col("word_chars"))),
+            F.asin(F.sqrt(F.col("n_marks") / F.col("word_chars")))]
 
 
 def _x(i: int) -> Column:
@@ -204,7 +212,7 @@ REWEIGHT = 0.975
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_key``, the five statistics, ``base_failed``, ``distance``
+    """``doc_id, text_key``, the statistics, ``base_failed``, ``distance``
     (squared, NULL without an estimate) and ``kept`` for every row."""
     n = F.col("n_words")
     stats = stored(text_stats(docs).withColumn(
