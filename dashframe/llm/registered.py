@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dashframe.llm import bpe, quality, winnow
+from dashframe.llm import bpe, line_dedup, quality, winnow
 from dashframe.llm.common import table
 
 QUERIES: dict = {}
@@ -36,3 +36,8 @@ SQL["op4_winnowing"] = winnow.SQL
 @query
 def op8_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+@query
+def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
