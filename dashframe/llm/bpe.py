@@ -262,10 +262,14 @@ def decode(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         run, "doc_id long, tokens array<int>, decoded binary")
 
 
+def digests():
+    """SHA-256 of the decimal ids joined by commas, and of the decoded bytes."""
+    ids = F.array_join(F.col("tokens").cast("array<string>"), ",")
+    return [F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+            F.sha2(F.col("decoded"), 256).alias("decoded_sha256")]
+
+
 def round_trip(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Encode every text, decode the ids, and give the digests of both."""
     both = decode(encode(df, ranks_path, pattern), ranks_path, pattern)
-    ids = F.array_join(F.col("tokens").cast("array<string>"), ",")
-    return both.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"),
-                       F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
-                       F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+    return both.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), *digests())

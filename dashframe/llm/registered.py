@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dashframe.llm import bpe, line_dedup, quality, winnow
+from dashframe.llm import bpe, line_dedup, ngram_join, quality, winnow
 from dashframe.llm.common import table
 
 QUERIES: dict = {}
@@ -41,3 +41,11 @@ def op8_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_set_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+SQL["op5_set_relations"] = ngram_join.SQL
