@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dashframe.llm import bpe, line_dedup, ngram_join, quality, winnow
+from dashframe.llm import (bpe, interpolated_lm, line_dedup, ngram_join, quality, token_files,
+                           winnow)
 from dashframe.llm.common import table
 
 QUERIES: dict = {}
@@ -49,3 +50,15 @@ def op5_set_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op5_set_relations"] = ngram_join.SQL
+
+
+@query
+def op7_bit_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return token_files.read(token_files.write(table(spark, sf_dir, "documents"),
+                                              public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@query
+def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolated_lm.scores(table(spark, sf_dir, "documents"))
