@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dashframe.llm import (bpe, interpolated_lm, line_dedup, ngram_join, quality, token_files,
-                           winnow)
+from dashframe.llm import (bpe, interpolated_lm, language_id, line_dedup, ngram_join, pii,
+                           quality, token_files, toxicity, winnow)
 from dashframe.llm.common import table
 
 QUERIES: dict = {}
@@ -62,3 +62,18 @@ def op7_bit_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolated_lm.scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_nb_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
