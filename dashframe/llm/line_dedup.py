@@ -4,10 +4,11 @@ Lines (lower case, trimmed) are reduced to distinct ones; each gets the
 minimum of ``BANDS * ROWS`` keyed hashes over its character shingles: up to
 ``SHINGLE`` characters from the start of every word, and from every ``STRIDE``
 characters of a longer word, so that each character is in one and an edit moves
-no other word's shingle.  Lines with an equal band meet in a bucket; every member is compared with the bucket's first line
-by the exact Jaccard similarity of the shingle sets.  Members that are not
-similar to it meet again where they also share a later band, and so on, so that
-a bucket of unlike lines that one common phrase brought together falls apart.
+no other word's shingle.  Lines with an equal band meet in a bucket; every member is compared with the bucket's ``HEADS``
+head lines by the exact Jaccard similarity of the shingle sets.  Where a member
+is like none of them, the bucket's members meet again where they also share a
+later band, and so on, so that a bucket of unlike lines that one common phrase
+brought together falls apart.
 Verified links go through distributed union-find, and one line per component
 stays: its first in the document with the smallest id.
 
@@ -36,6 +37,7 @@ STRIDE = 8
 ROWS = 3
 BANDS = 6
 SIMILARITY = 0.8
+HEADS = 3
 _PIECES = f"(?s)(?=(.{{1,{SHINGLE}}}))\\S{{1,{STRIDE}}}\\s*"
 _KEYS = [random.Random(7).getrandbits(63) for _ in range(ROWS * BANDS)]
 
@@ -89,6 +91,10 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
                        .alias("similar"))
 
 
+def _order(k: int) -> Column:
+    return F.col("id").bitwiseXOR(F.col("bucket")).bitwiseXOR(F.lit(_KEYS[k]))
+
+
 def similar_lines(docs: DataFrame) -> DataFrame:
     """``id, component, first_doc`` of every line that is not the only one of
     its kind; ``first_doc`` is the smallest id of a document with one."""
@@ -101,16 +107,30 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     rows = bands.select("id", F.posexplode("bands").alias("band", "bucket"))
     edges = None
     for _ in range(BANDS):
-        heads = stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"))
-                       .where("n > 1"), "op6-buckets")
+        # A head is the least id under a key of its own: plain longs, so that
+        # the buckets are aggregated before they are dealt.
+        heads = stored(rows.groupBy("bucket").agg(
+            F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.max("id").alias("most"),
+            *[F.min(_order(k)).alias(f"head{k}") for k in range(HEADS)])
+            .where("least != most").drop("least", "most"), "op6-buckets")
         if heads.isEmpty():
             break
-        members = stored(rows.join(heads, "bucket").where("id != lo"), "op6-members")
-        checked = stored(_verified(members.select("lo", "id").distinct(), lines), "op6-pairs")
-        found = checked.where("similar").select(F.col("lo").alias("a"), F.col("id").alias("b"))
+        members = stored(rows.join(heads, "bucket").select(
+            "bucket", "band", "id", "n", F.array_distinct(F.array(
+                *[F.col(f"head{k}").bitwiseXOR(F.col("bucket")).bitwiseXOR(F.lit(_KEYS[k]))
+                  for k in range(HEADS)])).alias("heads")), "op6-members")
+        met = members.select("bucket", "id", F.explode("heads").alias("head")).where("id != head") \
+            .withColumns({"lo": F.least("id", "head"), "hi": F.greatest("id", "head")})
+        checked = stored(_verified(met.select("lo", F.col("hi").alias("id")).distinct(), lines),
+                         "op6-pairs").withColumnRenamed("id", "hi")
+        found = checked.where("similar").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
         edges = found if edges is None else edges.unionAll(found)
-        unlike = members.where("n > 2").join(checked.where(~F.col("similar")), ["lo", "id"])
-        rows = unlike.join(bands, "id").select(
+        # Buckets of more than HEADS lines with a line that is like no head.
+        alone = met.join(checked, ["lo", "hi"]).groupBy("bucket", "id").agg(
+            F.max("similar").alias("like")).where(~F.col("like")).select("bucket").distinct()
+        open_rows = members.where((F.col("n") > HEADS + 1) & ~F.array_contains("heads", F.col("id"))) \
+            .join(alone, "bucket", "left_semi")
+        rows = open_rows.join(bands, "id").select(
             "id", "bucket", F.col("band").alias("last"), F.posexplode("bands").alias("band", "next")) \
             .where("band > last").select("id", "band", F.xxhash64("bucket", "next").alias("bucket"))
     if edges is None:
