@@ -74,7 +74,7 @@ def test_switches_are_labelled_by_word(spark):
     model = language_id.fit([(r[2], r[1]) for r in bilingual(80)])
     import pyarrow as pa
     text = "the house walking under stone " * 4 + "der garten und nicht schön " * 4
-    marginal, is_word, _ = model.label(pa.array([text]))
+    marginal, is_word, _ = model.label(pa.array([text.strip()]))
     best = marginal.argmax(axis=1)
     assert is_word.all() and (best[:20] == model.labels.index("en")).mean() >= 0.9 \
         and (best[20:] == model.labels.index("de")).mean() >= 0.9
@@ -132,7 +132,7 @@ def test_base_spans_equal_the_patterns():
     for _ in range(30000):
         t = "".join(rng.choice("a.@-+1 2(5)_.3é") for _ in range(rng.randint(0, 26)))
         assert brute_spans(t) == pii.base_spans(t), t
-    t = "mail bob.x@site.example.org, 10.0.0.255 300.1.1.1 4111 1111 1111 1111 x 4111 1111 1111 1112 +49 (30) 123-4567"
+    t = "mail bob.x@site.example.org, 10.0.0.255 300.1.1.1 x 4111 1111 1111 1111 x 4111 1111 1111 1112 +49 (30) 123-4567"
     assert [k for _, k, _ in pii.base_spans(t)] == [k for _, k, _ in brute_spans(t)] == [0, 1, 2, 3]
     assert pii.base_spans("a" * 200000 + "@" + "1" * 200000 + "1.1." * 50000) is not None
 
@@ -153,7 +153,8 @@ def people(n):
 def test_repeated_entities_get_the_same_label(spark):
     rows = people(150)
     number = "2345678"
-    rows.append(row(7, "call +1555" + number + " now the river and then call 1555" + number + " now over 1999 stones"))
+    rows.append(row(7, "call +1555" + number + " now the river and then call 1555" + number + " now over 1999 stones "
+                    + prose(random.Random(1), 4000)))     # too long to be learned from
     got = {r.doc_id: r for r in pii.detect(docs(spark, rows + odd_rows()[:3])).collect()}
     for i, text, *_ in rows:
         base = brute_spans(text)
