@@ -9,7 +9,8 @@ count sketch.  A set's prefix in that order holds so many shingles that two
 linked sets share at least ``need`` of them, so sets that share fewer with all
 others drop out.  An inverted list is cut into blocks by set size and by
 position: two sets whose first common shingle stands beyond ``size / 19`` in
-both cannot link, so blocks of far positions are never joined with each other.
+both cannot link, so blocks of far positions are never joined with each other,
+and within blocks only places that sum to at most ``(size + size) / 19`` meet.
 
 Answers: in every list, all sets are compared with one head set and their
 overlaps with it kept.  What is linked forms components, and sets of one
@@ -247,6 +248,7 @@ def _rest(mixed: DataFrame, tested: DataFrame) -> DataFrame:
     met = x.join(y, ["token", "window"]).where(
         (F.col("sid1") < F.col("sid2")) & (F.col("part1") != F.col("part2"))
         & (F.col("near") | F.col("near2")) & (F.col("window") == F.greatest("block", "block2"))
+        & ((F.col("pos1") + F.col("pos2")) * 19 <= F.col("size1") + F.col("size2"))
         & _sizes_fit(F.col("size1"), F.col("size2")))
     pairs = met.select(F.col("sid1").alias("a"), F.col("sid2").alias("b"),
                        F.col("size1").alias("s1"), F.col("size2").alias("s2")).distinct() \
