@@ -165,7 +165,7 @@ def _index(docs: DataFrame, sketch: DataFrame) -> DataFrame:
     count = np.zeros(1 << SKETCH_BITS, np.int64)
     for cell, n in sketch.groupBy("cell").agg(F.sum("n")).collect():   # at most 2 ** SKETCH_BITS rows
         count[cell] = n
-    entries = _prefixes(docs, docs.sparkSession.sparkContext.broadcast(count))
+    entries = stored(_prefixes(docs, docs.sparkSession.sparkContext.broadcast(count)), "op5-prefixes")
     shared = entries.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")) \
         .where("lo != hi").select("token")
     kept = stored(entries.join(shared, "token"), "op5-shared")
