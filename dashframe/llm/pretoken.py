@@ -19,8 +19,9 @@ import pyarrow.compute as pc
 # Every character that a Unicode-aware \s may match, in RE2's syntax.
 _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-MEMO_ENTRIES = 150_000
+MEMO_ENTRIES = 500_000      # about 200 bytes each
 MEMO_KEY_CHARS = 64
+SLICE = 8 << 20             # bytes of text reduced to distinct chunks at once
 
 
 class Memo(dict):
@@ -64,17 +65,18 @@ def distinct_chunks(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]
 
 def encode_texts(texts: pa.Array, encode_chunks, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, flat int32; offsets by text).  ``encode_chunks`` gives
-    a sequence of ids for each of a list of chunks."""
+    a sequence of ids for each of a list of chunks; answers are kept as the
+    bytes of 32-bit ids."""
     names, codes, offsets = distinct_chunks(texts)
     used = np.zeros(len(names), bool)
     used[codes] = True
-    answers = [memo.get(n) if u else () for n, u in zip(names, used.tolist())]
+    answers = [memo.get(n) if u else b"" for n, u in zip(names, used.tolist())]
     missing = [i for i, a in enumerate(answers) if a is None]
     for i, ids in zip(missing, encode_chunks([names[i] for i in missing])):
-        answers[i] = ids
-        memo.keep(names[i], ids)
-    sizes = np.fromiter(map(len, answers), np.int64, len(answers))
-    flat = np.fromiter(chain.from_iterable(answers), np.int32, int(sizes.sum()))
+        answers[i] = np.array(ids, np.int32).tobytes()
+        memo.keep(names[i], answers[i])
+    sizes = np.fromiter(map(len, answers), np.int64, len(answers)) // 4
+    flat = np.frombuffer(b"".join(answers), np.int32)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     taken = sizes[codes]
     ends = np.concatenate([[0], np.cumsum(taken)])
