@@ -1,6 +1,7 @@
 """Measure expressions: ``[Column]`` references, + - * /, unary minus,
 parentheses and numbers.  Parsed through a whitelist walk of Python's ``ast``
-into a Spark ``Column``; nothing is evaluated.  Division by zero yields NULL.
+into a Spark ``Column``; nothing is evaluated.  Division by zero and integer
+overflow yield NULL.  An expression without a column is no measure.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from dashframe.functions.columns import col
 
+# Fixed value: how an expression names a column.
 _REF = re.compile(r"\[([^\]]+)\]")
 
 
@@ -35,6 +37,8 @@ def parse_measure(expression: str) -> Column:
         return f"__ref{len(names) - 1}__"
 
     source = _REF.sub(_slot, expression.strip())
+    if not names:
+        raise MeasureError("no column in the expression")
     try:
         tree = ast.parse(source, mode="eval")
     except SyntaxError as exc:
@@ -46,11 +50,11 @@ def parse_measure(expression: str) -> Column:
         if isinstance(node, ast.BinOp):
             left, right = walk(node.left), walk(node.right)
             if isinstance(node.op, ast.Add):
-                return left + right
+                return F.try_add(left, right)
             if isinstance(node.op, ast.Sub):
-                return left - right
+                return F.try_subtract(left, right)
             if isinstance(node.op, ast.Mult):
-                return left * right
+                return F.try_multiply(left, right)
             if isinstance(node.op, ast.Div):
                 return F.try_divide(left, right)
             raise MeasureError(f"operator not allowed: {type(node.op).__name__}")
@@ -67,21 +71,16 @@ def parse_measure(expression: str) -> Column:
     return walk(tree)
 
 
+OPERATORS = "+-*/"
+
+
 def compose_expression(parts: list[dict]) -> str:
-    """M3: flat expression from picked columns joined by operators.
-
-    ``parts`` are ``{"op": "+", "col": "name"}``; the first part's operator is
-    ignored and parts without a column are skipped.
-    """
-    tokens: list[str] = []
-    for i, part in enumerate(parts):
-        name = part.get("col") or ""
-        if not name:
-            continue
-        if i > 0 and tokens:
-            op = part.get("op", "+")
-            if op not in ("+", "-", "*", "/"):
-                raise MeasureError(f"operator not allowed: {op!r}")
-            tokens.append(op)
-        tokens.append(f"[{name}]")
-    return " ".join(tokens)
+    """M3: a flat expression from picked columns, ``{"op": "+", "col": "name"}``
+    each; what comes first needs no operator, and a part that names no column
+    has no say."""
+    picked = [(p.get("op") or "+", p["col"]) for p in parts if p.get("col")]
+    wrong = [op for op, _ in picked[1:] if len(op) != 1 or op not in OPERATORS]
+    if wrong:
+        raise MeasureError(f"operator not allowed: {wrong[0]!r}")
+    text = "".join(f" {op} [{name}]" for op, name in picked)
+    return text[3:]

@@ -87,23 +87,19 @@ def upsert(old: DataFrame, new: DataFrame, key: str, keep_if_null: list[str] | N
     """Insert-or-update by key.  Columns of ``keep_if_null`` keep the
     old value when the new one is NULL; ``keep_old`` columns are never
     updated (for example the owner); other columns take the new value."""
-    keep_if_null, keep_old = set(keep_if_null or []), set(keep_old or [])
-    o, n = old.alias("o"), new.alias("n")
-    joined = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
-    has_new = F.col(f"n.{key}").isNotNull()
-    out = []
-    for c in old.columns:
-        oc, nc = F.col(f"o.{c}"), F.col(f"n.{c}")
-        if c == key:
-            v = F.coalesce(nc, oc)
-        elif c in keep_old:
-            v = F.coalesce(oc, nc)
-        elif c in keep_if_null:
-            v = F.when(has_new, F.coalesce(nc, oc)).otherwise(oc)
-        else:
-            v = F.when(has_new, nc).otherwise(oc)
-        out.append(v.alias(c))
-    return joined.select(*out)
+    kept = set(keep_if_null or []) | set(keep_old or [])
+    # Rows that the batch doesn't touch pass by; only the batch is looked up,
+    # and its side can be broadcast when it is small.
+    untouched = old.join(new.select(key), key, "left_anti")
+    before = old.select(key, *[col(c).alias(f"__{c}") for c in old.columns if c in kept])
+    batch = new.join(before, key, "left")
+
+    def value(c: str) -> Column:
+        if c in set(keep_old or []):
+            return F.coalesce(col(f"__{c}"), col(c))
+        return F.coalesce(col(c), col(f"__{c}")) if c in kept else col(c)
+
+    return untouched.unionByName(batch.select(*[value(c).alias(c) for c in old.columns]))
 
 
 def delete_by_key_and_owner(table: DataFrame, requests: DataFrame, key: str,

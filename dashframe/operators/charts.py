@@ -1,8 +1,9 @@
 """Chart datasets: the rows each visual draws.
 
 ``chart_dataset(df, spec, sort_by)`` dispatches on the visual type.  Every
-dataset is a lazy plan; small per-query constants (totals, histogram range,
-heatmap axes) come from scalar subqueries, never from the driver.
+dataset is a lazy plan; totals, heatmap axes and scales come from scalar
+subqueries.  Only a histogram's range and bin count and a pivot's labels, which
+shape the plan, are read by the driver.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dashframe.operators.aggregate import chart_agg_expr, chart_aggregate, null_
 from dashframe.operators.filters import search_table
 from dashframe.operators.order import asc, chart_order, top_rows
 from dashframe.operators.quantiles import box_positions, grouped_quantiles, rank_select
-from dashframe.schema import is_floating, is_integral
+from dashframe.schema import is_datetime, is_floating, is_integral, is_numeric
 from dashframe.spec import (CHART_AGGREGATIONS, HEATMAP_AXIS_CAP, HISTOGRAM_MAX_BINS,
                             SCREEN_TABLE_ROWS, SORTABLE, ChartSpec, VisualizationType as V)
 
@@ -72,11 +73,16 @@ def share_of_total(df: DataFrame, value: str, name: str = "share") -> DataFrame:
     return df.withColumn(name, mag / safe * 100)
 
 
+def table_by_key(df: DataFrame, x: str, y: str, fn: str) -> DataFrame:
+    """One measure by one key, unsorted."""
+    return df.groupBy(col(x)).agg(chart_agg_expr(col(y), fn, df.schema[y].dataType).alias(y))
+
+
 def pie_chart(df, spec: ChartSpec, sort_by="none"):
     """One y by x with its share of the total."""
     y = spec.y_column or (spec.y_columns[0] if spec.y_columns else None)
     _need(df, spec.x_column, y)
-    agged = chart_aggregate(df, spec.x_column, [y], spec.aggregation, None, sort_by)
+    agged = table_by_key(df, spec.x_column, y, spec.aggregation)
     return share_of_total(agged, y).orderBy(*chart_order([spec.x_column], y, sort_by))
 
 
@@ -117,8 +123,14 @@ def histogram_bins(values: DataFrame) -> tuple[float, float, int, float] | None:
         exact = values.agg(F.count_distinct(v)).first()[0]
         bins = min(HISTOGRAM_MAX_BINS, int(exact))
     mn, mx = float(row["mn"]), float(row["mx"])
-    rng = (row["mx"] - row["mn"]) or 1
-    return mn, mx, bins, rng / bins
+    return mn, mx, bins, ((mx - mn) or 1) / bins
+
+
+def _label_counts(df: DataFrame, x: str, split: str | None) -> DataFrame:
+    """A text column's histogram: one bin per value, in text order."""
+    keys = [col(x).cast("string").alias("bin")] + ([col(split)] if split else [])
+    rows = df.where(col(x).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
+    return rows.orderBy(asc("bin"), *([asc(split)] if split else []))
 
 
 def histogram(df, spec: ChartSpec, sort_by="none"):
@@ -128,7 +140,12 @@ def histogram(df, spec: ChartSpec, sort_by="none"):
     x = spec.x_column
     split = spec.color_column if spec.color_column in df.columns and \
         spec.color_column != x else None
-    values = df.select(col(x).alias("__v"), *([col(split)] if split else [])) \
+    kind = df.schema[x].dataType
+    if not is_numeric(kind) and not is_datetime(kind):
+        return _label_counts(df, x, split)
+    # Dates are binned by their seconds.
+    number = col(x) if is_numeric(kind) else F.unix_micros(col(x).cast("timestamp")) / 1e6
+    values = df.select(number.alias("__v"), *([col(split)] if split else [])) \
         .where(F.col("__v").isNotNull())
     if is_floating(df.schema[x].dataType):
         values = values.where(~F.isnan("__v"))
@@ -158,38 +175,53 @@ def histogram(df, spec: ChartSpec, sort_by="none"):
 
 
 def box_plot(df, spec: ChartSpec, sort_by="none", method: str = "positional"):
-    """Quartiles per x group; NULL values and the NULL group are left
-    out.  ``positional`` (the image export's rule): sorted values at n//4,
+    """Quartiles per x group (and series, when a colour column is
+    set); NULL values and the NULL group are left out.  ``positional`` (the image export's rule): sorted values at n//4,
     n//2, 3n//4, plus first and last; ``linear``: interpolated quartiles (the
     interactive plot's rule)."""
     _need(df, spec.y_column)
-    y, x = spec.y_column, spec.x_column
-    if x and x in df.columns:
-        base = df.where(col(x).isNotNull()).select(col(x).alias("group"), col(y).alias("__y"))
-    else:
-        base = df.select(F.lit(y).alias("group"), col(y).alias("__y"))
+    y, x, color = spec.y_column, spec.x_column, spec.color_column
+    group = col(x) if x and x in df.columns else F.lit(y)
+    keys = {"group": group}
+    if color and color in df.columns and color != x:
+        keys["series"] = col(color)
+    base = df.select(*[c.alias(k) for k, c in keys.items()], col(y).alias("__y")) \
+        .where(F.col("group").isNotNull())
     if method == "linear":
         q = {"lower": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "upper": 1.0}
-        stats = grouped_quantiles(base, ["group"], "__y", q)
+        stats = grouped_quantiles(base, list(keys), "__y", q)
     elif method == "positional":
-        stats = rank_select(base, ["group"], "__y", box_positions())
+        stats = rank_select(base, list(keys), "__y", box_positions())
     else:
         raise ChartSpecError(f"unknown quartile method {method!r}")
     # Groups are labelled as text but ordered by their own values.
-    out = stats.select(col("group").cast("string").alias("group"), "n", "lower", "q1",
-                       "median", "q3", "upper", col("group").alias("__order"))
-    return out.orderBy(asc("__order")).drop("__order")
+    out = stats.select(*[col(k).cast("string").alias(k) for k in keys], "n", "lower", "q1",
+                       "median", "q3", "upper", *[col(k).alias(f"__{k}") for k in keys])
+    return out.orderBy(*[asc(f"__{k}") for k in keys]).drop(*[f"__{k}" for k in keys])
 
 
 # ------------------------------------------------------------------- heatmap
 
+def _cells(df: DataFrame, x: str, y: str, value: Column) -> DataFrame:
+    return (df.where(col(x).isNotNull() & col(y).isNotNull())
+            .groupBy(col(x).cast("string").alias("x"), col(y).cast("string").alias("y"))
+            .agg(value.alias("value")))
+
+
+def heatmap_all(df: DataFrame, x: str, y: str, value: str, fn: str = "sum") -> DataFrame:
+    """Every (x, y) pair that occurs with the spec's aggregation, and the
+    scale's ends on each row."""
+    cells = _cells(df, x, y, chart_agg_expr(col(value), fn, df.schema[value].dataType))
+    scale = cells.agg(F.struct(F.min("value").alias("lo"), F.max("value").alias("hi"))).scalar()
+    return cells.select("x", "y", "value", scale["lo"].alias("min_value"),
+                        scale["hi"].alias("max_value")).orderBy("y", "x")
+
+
 def heatmap_cells(df: DataFrame, x: str, y: str, value: str) -> DataFrame:
-    """A15 / G10 long form: sum per (x, y) with NULL -> 0; axes are the first
-    20 labels of each side in text order; absent pairs read 0; every row also
-    carries the min and max over all cells for the colour scale."""
-    cells = (df.where(col(x).isNotNull() & col(y).isNotNull())
-             .groupBy(col(x).cast("string").alias("x"), col(y).cast("string").alias("y"))
-             .agg(null_safe_sum(col(value)).alias("value")))
+    """A15, the image export's form: sum per (x, y) with NULL -> 0; axes are the
+    first 20 labels of each side in text order; absent pairs read 0; every row
+    also carries the min and max over all cells for the colour scale."""
+    cells = _cells(df, x, y, null_safe_sum(col(value)))
     xs = cells.select("x").distinct().orderBy("x").limit(HEATMAP_AXIS_CAP) \
         .agg(F.sort_array(F.collect_list("x")).alias("a")).scalar()
     ys = cells.select("y").distinct().orderBy("y").limit(HEATMAP_AXIS_CAP) \
@@ -206,44 +238,38 @@ def heatmap_cells(df: DataFrame, x: str, y: str, value: str) -> DataFrame:
 
 
 def pivot_wide(df: DataFrame, x: str, y: str, value: str, fn: str = "sum",
-               x_values: list | None = None, max_values: int = 1000) -> DataFrame:
-    """Aggregate per (y, x), then spread x into columns (absent -> NULL).
-    The x labels become column names, so their count is checked."""
-    # pivot() takes a column *name*, so x is carried under a plain alias.
-    cells = df.groupBy(col(y).alias(y), col(x).alias("__x")).agg(
-        chart_agg_expr(col(value), fn, df.schema[value].dataType).alias("__val"))
+               x_values: list | None = None) -> DataFrame:
+    """Aggregate per (y, x) with x spread into columns (absent -> NULL).
+    The x labels are the result's column names, so they are listed first."""
     if x_values is None:
-        found = [r[0] for r in cells.select("__x").distinct().orderBy(asc("__x"))
-                 .limit(max_values + 1).collect()]
-        if len(found) > max_values:
-            raise ChartSpecError(f"more than {max_values} pivot columns")
-        x_values = found
-    return (cells.groupBy(col(y)).pivot("__x", x_values).agg(F.first("__val"))
-            .orderBy(asc(y)))
+        labels = df.select(col(x).alias("__x")).distinct()
+        x_values = [r[0] for r in labels.orderBy(asc("__x")).collect()]
+    # pivot() takes a column *name*, so x is carried under a plain alias.
+    return (df.withColumn("__x", col(x)).groupBy(col(y)).pivot("__x", x_values)
+            .agg(chart_agg_expr(col(value), fn, df.schema[value].dataType)).orderBy(asc(y)))
 
 
 def heatmap(df, spec: ChartSpec, sort_by="none"):
     value = spec.color_column or spec.y_column
     _need(df, spec.x_column, spec.y_column, value)
-    return heatmap_cells(df, spec.x_column, spec.y_column, value)
+    return heatmap_all(df, spec.x_column, spec.y_column, value, spec.aggregation)
 
 
 # ----------------------------------------------------------- table & metric
 
 def table_columns(df: DataFrame, spec: ChartSpec) -> list[str]:
-    """y_columns, else [x, y, color], else the first ten columns."""
-    if spec.y_columns:
-        return [c for c in spec.y_columns if c in df.columns]
-    if spec.x_column or spec.y_column:
-        return [c for c in (spec.x_column, spec.y_column, spec.color_column)
-                if c and c in df.columns]
-    return list(df.columns[:10])
+    """The first of three choices that names anything -- the listed
+    columns, the axes and the series, the first ten of the table -- without
+    names that the table lacks."""
+    axes = (spec.x_column, spec.y_column)
+    choice = spec.y_columns or (any(axes) and (*axes, spec.color_column)) or df.columns[:10]
+    return [c for c in dict.fromkeys(choice) if c in df.columns]
 
 
 def table_view(df, spec: ChartSpec, sort_by="none", search: str | None = None,
                max_rows: int = SCREEN_TABLE_ROWS):
     """Searched, projected, capped rows."""
-    cols = list(dict.fromkeys(table_columns(df, spec)))
+    cols = table_columns(df, spec)
     if not cols:
         raise ChartSpecError("no valid column to show")
     rows = search_table(df, search).select(*[col(c) for c in cols])
@@ -282,7 +308,9 @@ def with_value_labels(data: DataFrame, spec: ChartSpec) -> DataFrame:
     for y in ys:
         is_float = is_floating(data.schema[y].dataType)
         if vt in (V.LINE_CHART, V.AREA_CHART):
-            text = F.bround(col(y), 2).cast("string")
+            text = F.bround(col(y), 2).cast("decimal(38,2)").cast("string") if is_float \
+                else F.bround(col(y), 2).cast("string")
+            text = F.regexp_replace(text, r"(\.\d)0$", "$1") if is_float else text
         else:
             text = value_label(col(y), is_float)
         out = out.withColumn(f"{y}_label", text)

@@ -21,18 +21,38 @@ CONFIG = T.StructType([
     T.StructField("color_column", T.StringType()),
     T.StructField("size_column", T.StringType()),
     T.StructField("aggregation", T.StringType()),
+    T.StructField("show_legend", T.BooleanType()),
+    T.StructField("show_grid", T.BooleanType()),
     T.StructField("show_values", T.BooleanType()),
+    T.StructField("color_scheme", T.StringType()),
+    T.StructField("custom_options", T.MapType(T.StringType(), T.StringType())),
 ])
+_NUMBERS = T.MapType(T.StringType(), T.DoubleType())
 VISUAL = T.StructType([
     T.StructField("id", T.StringType()),
-    T.StructField("comment", T.StringType()),
     T.StructField("config", CONFIG),
+    T.StructField("position", _NUMBERS),
+    T.StructField("size", _NUMBERS),
+    T.StructField("comment", T.StringType()),
+    T.StructField("data_snapshot", T.MapType(T.StringType(), T.StringType())),
 ])
 SLIDE = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("title", T.StringType()),
-    T.StructField("layout", T.StringType()),
     T.StructField("visualizations", T.ArrayType(VISUAL)),
+    T.StructField("layout", T.StringType()),
+    T.StructField("background_color", T.StringType()),
+    T.StructField("created_at", T.StringType()),
+    T.StructField("updated_at", T.StringType()),
+])
+COLUMN = T.StructType([
+    T.StructField("name", T.StringType()),
+    T.StructField("type", T.StringType()),
+    T.StructField("original_name", T.StringType()),
+    T.StructField("sample_values", T.ArrayType(T.StringType())),
+    T.StructField("null_count", T.LongType()),
+    T.StructField("unique_count", T.LongType()),
+    T.StructField("statistics", T.MapType(T.StringType(), T.StringType())),
 ])
 MEASURE = T.StructType([T.StructField("name", T.StringType()),
                         T.StructField("expression", T.StringType())])
@@ -40,6 +60,7 @@ ANALYSIS = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("name", T.StringType()),
     T.StructField("data_schema", T.StructType([
+        T.StructField("columns", T.ArrayType(COLUMN)),
         T.StructField("file_name", T.StringType()),
         T.StructField("row_count", T.LongType())])),
     T.StructField("slides", T.ArrayType(SLIDE)),
@@ -49,10 +70,42 @@ ANALYSIS = T.StructType([
     T.StructField("measures", T.ArrayType(MEASURE)),
 ])
 
-# Defaults for keys missing from a stored document.
-DEFAULT_NAME = "Untitled Analysis"
-DEFAULT_LAYOUT = "single"
+# What a key missing from a stored document means.
 DEFAULT_AGGREGATION = "sum"
+ANALYSIS_DEFAULTS = {"name": "New Analysis"}
+SLIDE_DEFAULTS = {"title": "Untitled Slide", "layout": "single", "background_color": "#FFFFFF"}
+VISUAL_DEFAULTS = {"comment": "", "position": {"x": 0.0, "y": 0.0},
+                   "size": {"width": 400.0, "height": 300.0}}
+CONFIG_DEFAULTS = {"title": "", "aggregation": DEFAULT_AGGREGATION, "show_legend": True,
+                   "show_grid": True, "show_values": False, "color_scheme": "default"}
+
+
+def _literal(value) -> Column:
+    if isinstance(value, dict):
+        return F.create_map(*[F.lit(x) for pair in value.items() for x in pair])
+    return F.lit(value)
+
+
+def _filled(c: Column, fields: T.StructType, defaults: dict) -> Column:
+    """``c`` with its NULL fields replaced; lists and option maps become empty."""
+    for f in fields:
+        if f.name in defaults:
+            c = c.withField(f.name, F.coalesce(c[f.name], _literal(defaults[f.name])))
+        elif isinstance(f.dataType, T.ArrayType):
+            c = c.withField(f.name, F.coalesce(c[f.name], F.array().cast(f.dataType)))
+        elif f.name == "custom_options":
+            c = c.withField(f.name, F.coalesce(c[f.name], F.create_map().cast(f.dataType)))
+    return c
+
+
+def _visual(v: Column) -> Column:
+    config = F.when(v["config"].isNotNull(), _filled(v["config"], CONFIG, CONFIG_DEFAULTS))
+    return _filled(v, VISUAL, VISUAL_DEFAULTS).withField("config", config)
+
+
+def _slide(s: Column) -> Column:
+    visuals = F.transform(F.coalesce(s["visualizations"], F.array().cast(T.ArrayType(VISUAL))), _visual)
+    return _filled(s, SLIDE, SLIDE_DEFAULTS).withField("visualizations", visuals)
 
 
 def parse(df: DataFrame, json_col: str = "data", name: str = "doc") -> DataFrame:
@@ -61,21 +114,14 @@ def parse(df: DataFrame, json_col: str = "data", name: str = "doc") -> DataFrame
     # (an expensive expression is not inlined twice by the optimizer).
     df = df.withColumn("__raw", F.from_json(F.col(json_col), ANALYSIS))
     raw = F.col("__raw")
-    slides = F.transform(F.coalesce(raw["slides"], F.array().cast(T.ArrayType(SLIDE))),
-                         lambda s: s.withField("layout", F.coalesce(s["layout"],
-                                                                    F.lit(DEFAULT_LAYOUT)))
-                         .withField("visualizations", F.coalesce(
-                             s["visualizations"], F.array().cast(T.ArrayType(VISUAL)))))
-    doc = (raw.withField("name", F.coalesce(raw["name"], F.lit(DEFAULT_NAME)))
-              .withField("slides", slides)
-              .withField("measures", F.coalesce(raw["measures"],
-                                                F.array().cast(T.ArrayType(MEASURE)))))
+    slides = F.transform(F.coalesce(raw["slides"], F.array().cast(T.ArrayType(SLIDE))), _slide)
+    doc = _filled(raw, ANALYSIS, ANALYSIS_DEFAULTS).withField("slides", slides)
     return df.withColumn(name, doc).drop("__raw")
 
 
 def to_document(doc: Column) -> Column:
-    """N2 / S9 write: struct -> JSON text."""
-    return F.to_json(doc)
+    """N2 / S9 write: struct -> JSON text with every key, unset ones as null."""
+    return F.to_json(doc, {"ignoreNullFields": "false"})
 
 
 def flatten(df: DataFrame, doc: str = "doc", keep: list[str] | None = None) -> DataFrame:

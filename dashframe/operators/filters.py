@@ -19,12 +19,12 @@ import datetime as _dt
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dashframe.functions.columns import col
-from dashframe.schema import is_datetime, is_floating, is_integral, is_numeric, is_string
+from dashframe.schema import is_datetime, is_integral, is_numeric, is_string
 from dashframe.spec import FilterCondition
 
 
@@ -83,44 +83,44 @@ class _Skip(Exception):
     pass
 
 
-def coerce_value(dtype: T.DataType, value):
-    """F16: float for floating columns, ``int(float(v))`` (truncation) for
-    integral ones, the value unchanged otherwise."""
-    if is_floating(dtype) or isinstance(dtype, T.DecimalType):
-        try:
-            return float(value)
-        except (TypeError, ValueError):
-            return value
-    if is_integral(dtype):
-        try:
-            return int(float(value))
-        except (TypeError, ValueError, OverflowError):
-            return value
-    return value
+def _as_number(value, whole: bool):
+    if isinstance(value, bool):
+        raise _Skip("non-numeric value for a numeric column")
+    try:
+        number = float(value)
+        return int(number) if whole else number
+    except (TypeError, ValueError, OverflowError):
+        raise _Skip("non-numeric value for a numeric column") from None
+
+
+def _as_date(value, dtype: T.DataType) -> Column:
+    """The value as a date literal; text that doesn't read as one is skipped
+    (it would make the predicate NULL for every row)."""
+    if not isinstance(value, (str, _dt.date, _dt.datetime)):
+        raise _Skip("value is not a date")
+    literal = F.lit(value).try_cast(dtype)
+    one_row = SparkSession.active().sql("select 1")      # planned away: no job
+    if isinstance(value, str) and one_row.select(literal).first()[0] is None:
+        raise _Skip("value is not a date")
+    return literal
 
 
-def _comparable_literal(dtype: T.DataType, value) -> Column:
-    """A literal the column can be compared with, or _Skip."""
+def comparable_literal(dtype: T.DataType, value) -> Column:
+    """The value as a literal of the column's kind -- a number (cut to
+    a whole one for an integral column), text, a date or a boolean -- or
+    ``_Skip`` with the reason why it is none."""
     if value is None or isinstance(value, (list, tuple, set, dict)):
         raise _Skip("value does not fit the column")
     if is_numeric(dtype):
-        if isinstance(value, bool) or not isinstance(value, (int, float)):
-            raise _Skip("non-numeric value for a numeric column")
-        return F.lit(value)
-    if is_string(dtype):
-        if not isinstance(value, str):
-            raise _Skip("non-text value for a text column")
-        return F.lit(value)
+        return F.lit(_as_number(value, is_integral(dtype)))
     if is_datetime(dtype):
-        if isinstance(value, (_dt.date, _dt.datetime)):
-            return F.lit(value).cast(dtype)
-        if isinstance(value, str):
-            return F.lit(value).try_cast(dtype)
-        raise _Skip("value is not a date")
-    if isinstance(dtype, T.BooleanType):
-        if not isinstance(value, bool):
-            raise _Skip("non-boolean value for a boolean column")
-        return F.lit(value)
+        return _as_date(value, dtype)
+    for kind, own, reason in ((T.BooleanType, bool, "non-boolean value for a boolean column"),
+                              (T.StringType, str, "non-text value for a text column")):
+        if isinstance(dtype, kind):
+            if not isinstance(value, own):
+                raise _Skip(reason)
+            return F.lit(value)
     raise _Skip("column type cannot be compared")
 
 
@@ -132,8 +132,8 @@ def dashboard_predicate(dtype: T.DataType, name: str, op: str, val) -> Column:
         return c.isNotNull()
     text = c.cast("string")
     if op == "in":
-        values = [v.strip() for v in str(val).split(",") if v.strip()]
-        return text.isin(values) if values else F.lit(False)
+        wanted = set(map(str.strip, str(val).split(","))) - {""}
+        return text.isin(sorted(wanted)) if wanted else F.lit(False)
     if op == "contains":
         return text.contains(str(val))
     if op == "starts_with":
@@ -141,7 +141,7 @@ def dashboard_predicate(dtype: T.DataType, name: str, op: str, val) -> Column:
     if op == "eq" and isinstance(val, (list, tuple)):
         values = [str(v) for v in val]
         return text.isin(values) if values else F.lit(False)
-    lit = _comparable_literal(dtype, coerce_value(dtype, val))
+    lit = comparable_literal(dtype, val)
     if op == "eq":
         return c == lit
     if op == "ne":

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dashframe.functions.columns import col
+from dashframe.session import store
 
 
 def asc(name: str) -> Column:
@@ -43,27 +44,19 @@ def with_position(df: DataFrame, order: list[Column], name: str = "position") ->
     """1-based position of every row in a global order, computed without a
     single-partition window.
 
-    A range exchange splits the rows into ordered partitions; each row's rank
-    inside its partition
-    comes from ``monotonically_increasing_id`` (partition index in the upper
-    bits, record number in the lower ones), and the partition offsets come
-    from per-partition counts -- one row per partition, so that side is
-    broadcast with a size bound of the partition count.
+    The sorted rows are written once, each with its partition and its place in
+    it; the partitions' offsets (one row each) are counted from the same files.
+    As nothing is sorted twice, positions do not depend on how often, or with
+    which partitions, the plan is evaluated.
     """
-    # Sorting each input partition before the range exchange makes the
-    # sampled bounds, hence every row's partition, identical in both uses of
-    # ``tagged`` (a global orderBy would drop that inner sort).  AQE may
-    # merge adjacent ranges, which keeps partition order.
-    tagged = (df.sortWithinPartitions(*order).repartitionByRange(*order)
-              .sortWithinPartitions(*order)
-              .withColumn("__pid", F.spark_partition_id())
-              .withColumn("__mid", F.monotonically_increasing_id()))
-    counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
+    placed = store(df.orderBy(*order).withColumn("__pid", F.spark_partition_id())
+                   .withColumn("__mid", F.monotonically_increasing_id()), "positions")
+    counts = placed.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
     before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__pid", F.coalesce(F.sum("__cnt").over(before), F.lit(0))
                             .alias("__off"))
     local = F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33)
-    return (tagged.join(F.broadcast(offsets), "__pid")
+    return (placed.join(offsets, "__pid")
             .withColumn(name, (F.col("__off") + local + 1).cast("long"))
             .drop("__pid", "__mid", "__off"))
 
@@ -94,9 +87,10 @@ def page_per_group(df: DataFrame, group_cols: list[str], order: list[Column],
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0,
          name: str = "position") -> DataFrame:
-    """R9 over the whole table, deep offsets included."""
-    placed = with_position(df, order, name)
-    return placed.where((F.col(name) > offset) & (F.col(name) <= offset + limit))
+    """R9 over the whole table, deep offsets included: the ordered rows after
+    ``offset``, with their positions.  Only the page is numbered."""
+    rows = df.orderBy(*order).offset(offset).limit(limit)
+    return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long") + offset)
 
 
 def preview(df: DataFrame, n: int = 10) -> DataFrame:

@@ -114,6 +114,19 @@ def numeric_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     into one row per column); only the exact medians need the long form."""
     types = {f.name: f.dataType for f in df.schema.fields}
     columns = [c for c in (columns or df.columns) if is_numeric(types[c])]
+    base = _plain_stats(df, columns)
+    longv = (df.select(*[col(c).cast("double").alias(c) for c in columns])
+             .unpivot([], [col(c) for c in columns], "column_name", "value")
+             .where(F.col("value").isNotNull()))
+    med = grouped_quantiles(longv, ["column_name"], "value", {"median": 0.5}).drop("n")
+    std = F.when(F.col("n") > 1, F.col("std")).otherwise(F.lit(0.0))
+    return base.join(med, "column_name").select(
+        "column_name", "min", "max", "mean", "median", std.alias("std"), "sum")
+
+
+def _plain_stats(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column_name, min, max, mean, std, sum, n`` of numeric columns, from one
+    row of aggregates."""
     per_col = []
     for c in columns:
         v = col(c).cast("double")
@@ -123,15 +136,8 @@ def numeric_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             F.max(ranged).alias("max"), F.avg(v).alias("mean"),
             F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"), F.sum(v).alias("sum"),
             F.count(v).alias("n")))
-    base = df.agg(F.array(*per_col).alias("__p")).select(F.inline("__p")) \
+    return df.agg(F.array(*per_col).alias("__p")).select(F.inline("__p")) \
         .where(F.col("n") > 0)
-    longv = (df.select(*[col(c).cast("double").alias(c) for c in columns])
-             .unpivot([], [col(c) for c in columns], "column_name", "value")
-             .where(F.col("value").isNotNull()))
-    med = grouped_quantiles(longv, ["column_name"], "value", {"median": 0.5}).drop("n")
-    std = F.when(F.col("n") > 1, F.col("std")).otherwise(F.lit(0.0))
-    return base.join(med, "column_name").select(
-        "column_name", "min", "max", "mean", "median", std.alias("std"), "sum")
 
 
 def numeric_summary(df: DataFrame, column: str) -> DataFrame:
@@ -140,7 +146,8 @@ def numeric_summary(df: DataFrame, column: str) -> DataFrame:
     keyed = df.select(F.lit(column).alias("column_name"), col(column).cast("double").alias("v"))
     q = grouped_quantiles(keyed, ["column_name"], "v", {"median": 0.5, "q1": 0.25, "q3": 0.75})
     v = F.col("v")
-    base = keyed.groupBy("column_name").agg(F.min(v).alias("min"), F.max(v).alias("max"),
+    ranged = F.when(~F.isnan(v), v)  # min/max skip NaN
+    base = keyed.groupBy("column_name").agg(F.min(ranged).alias("min"), F.max(ranged).alias("max"),
                                             F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"))
     return base.join(q, "column_name").select("column_name", "min", "max", "mean", "median",
                                               "std", "q1", "q3")
@@ -196,13 +203,11 @@ def sorted_unique(df: DataFrame, column: str) -> DataFrame:
     return df.select(col(column)).where(col(column).isNotNull()).distinct().orderBy(col(column))
 
 
-def preview_stats(df: DataFrame, limit: int | None = 5) -> DataFrame:
-    """Min, max and mean of the first ``limit`` numeric columns (all of
-    them when ``limit`` is None), one pass."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    nums = [c for c in df.columns if is_numeric(types[c])]
-    nums = nums[:limit] if limit else nums
-    return numeric_stats(df, nums).select("column_name", "min", "max", "mean")
+def preview_stats(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Min, max and mean of every numeric column (of the first ``limit``
+    of them when it is set), in one aggregate."""
+    nums = [f.name for f in df.schema.fields if is_numeric(f.dataType)][:limit]
+    return _plain_stats(df, nums).select("column_name", "min", "max", "mean")
 
 
 def measure_schema(df: DataFrame, measures) -> list[tuple[str, str]]:

@@ -5,11 +5,13 @@ position k of group g".  The plan:
 
 1. frequency table ``(g, v, cnt)`` -- a partial/final aggregate, so duplicate
    values collapse before the shuffle;
-2. range partitioning on ``(g, v)``: a hot group is cut into value ranges that
-   land in different tasks;
-3. a running count inside each (partition, group) slice, plus a per-slice
-   total; the slice totals (at most partitions x groups rows) give each slice
-   its offset inside the group;
+2. slices by value: split points are computed once, as constants of the plan,
+   and a row's slice is the number of them below its value.  The slice is a
+   function of the value alone, so it is the same wherever and however often
+   the frame is evaluated, and a hot group is cut into value ranges that land
+   in different tasks;
+3. a running count inside each (slice, group), plus a total per slice: the
+   totals (at most slices x groups rows) give each its offset in the group;
 4. each frequency row then knows the positions ``[start, end)`` it covers, and
    the wanted positions are picked with a grouped ``max(when(...))``.
 
@@ -24,45 +26,51 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dashframe.functions.columns import col
 
 _N = "__n"
 
 
+SLICES = 32
+
+
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    if not keys:
-        return left.join(right, on=[], how="inner")
     cond = reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[k]) for k in keys))
     return left.join(right, cond, "inner").drop(*[right[k] for k in keys])
 
 
-def _ranged_frequencies(df: DataFrame, group_cols: list[str], value_col: str,
-                        ranges: int | None = None) -> DataFrame:
-    """``(__g0.., __v, __cnt, __pid)``: the frequency table cut into value
-    ranges, ``__pid`` being the range (task) that holds each row.  Without
-    ``ranges`` the count starts at ``spark.sql.shuffle.partitions`` and AQE
-    may merge adjacent small ranges."""
+def _split_points(base: DataFrame, slices: int) -> list:
+    """Values that cut the column into about equal parts; none for types that
+    have no quantile sketch."""
+    kind = base.schema["__v"].dataType
+    if slices < 2 or not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType,
+                                           T.TimestampNTZType)):
+        return []
+    at = [i / slices for i in range(1, slices)]
+    found = base.agg(F.percentile_approx("__v", at, 1000)).first()[0]
+    return sorted(set(v for v in found or [] if v == v))
+
+
+def _sliced_frequencies(df: DataFrame, group_cols: list[str], value_col: str,
+                        slices: int = SLICES) -> DataFrame:
+    """``(__g0.., __v, __cnt, __pid)``: the frequency table with each row's
+    slice ``__pid``, ascending with the value."""
     gcols = [col(k).alias(f"__g{i}") for i, k in enumerate(group_cols)]
     gk = [f"__g{i}" for i in range(len(group_cols))]
     base = df.select(*gcols, col(value_col).alias("__v")).where(F.col("__v").isNotNull())
+    kind = base.schema["__v"].dataType
+    above = [(F.col("__v") > F.lit(s).cast(kind)).cast("int") for s in _split_points(base, slices)]
     freq = base.groupBy(*gk, "__v").agg(F.count(F.lit(1)).alias("__cnt"))
-    # The range bounds come from sampling the input in the order it is read;
-    # sorting each partition first makes that order -- and so the slice a
-    # value lands in -- the same every time the frame is evaluated (both
-    # join branches in rank_select, and any task retry).
-    keys = [F.col(k) for k in gk] + [F.col("__v")]
-    sorted_ = freq.sortWithinPartitions(*keys)
-    ranged = sorted_.repartitionByRange(ranges, *keys) if ranges else \
-        sorted_.repartitionByRange(*keys)
-    return ranged.withColumn("__pid", F.spark_partition_id())
+    return freq.withColumn("__pid", reduce(lambda a, b: a + b, above, F.lit(0)))
 
 
 def slice_sizes(df: DataFrame, group_cols: list[str], value_col: str,
-                ranges: int | None = None) -> DataFrame:
-    """Rows of the frequency table per (range slice, group) -- how a hot group
+                ranges: int = SLICES) -> DataFrame:
+    """Rows of the frequency table per (slice, group) -- how a hot group
     is spread over tasks."""
-    ranged = _ranged_frequencies(df, group_cols, value_col, ranges)
+    ranged = _sliced_frequencies(df, group_cols, value_col, ranges)
     return ranged.groupBy("__pid", *[f"__g{i}" for i in range(len(group_cols))]).agg(
         F.count(F.lit(1)).alias("distinct_values"), F.sum("__cnt").alias("rows"))
 
@@ -73,14 +81,12 @@ def rank_select(df: DataFrame, group_cols: list[str], value_col: str,
     the value at 0-based sorted position ``positions[name](n_column)``.
 
     ``positions`` maps an output name to a function of the group size Column
-    returning a (long) position Column.  The range exchange takes its
-    partition count from ``spark.sql.shuffle.partitions``; AQE then merges
-    adjacent ranges to the advisory size, which keeps them in order.
+    returning a (long) position Column.
     """
     g = list(group_cols)
     gk = [f"__g{i}" for i in range(len(g))]
-    ranged = _ranged_frequencies(df, g, value_col)
-    # Slice = (range partition, group): its size and its offset in the group.
+    ranged = _sliced_frequencies(df, g, value_col)
+    # Slice = (value range, group): its size and its offset in the group.
     slices = ranged.groupBy("__pid", *gk).agg(F.sum("__cnt").alias("__ptot"))
     before = (Window.partitionBy(*gk).orderBy("__pid")
               .rowsBetween(Window.unboundedPreceding, -1)) if gk else \

@@ -10,8 +10,8 @@ S11 the export is a *bundle*: one Parquet dataset per visual plus a manifest.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -50,45 +50,64 @@ def render_visual(df: DataFrame, spec: ChartSpec, measures=None, filters=None,
     return Rendered(data, bad_filters, bad_measures)
 
 
+@dataclass
+class Exported:
+    slide_id: str
+    viz_id: str
+    viz_type: str
+    spec: ChartSpec | None = None
+    data: DataFrame | None = None
+    error: str | None = None
+    skipped_filters: list = field(default_factory=list)
+
+
 def export_datasets(df: DataFrame, visuals: list[dict], measures=None,
-                    filters_by_viz: dict | None = None, persist: bool = True):
+                    filters_by_viz: dict | None = None) -> tuple[list[Exported], list[str]]:
     """L2: ``visuals`` are ``{"slide_id", "viz_id", "config": {...}}``.
-    Returns (base, [(slide_id, viz_id, viz_type, DataFrame | None, error)])."""
-    base, _ = compute_measures(df, measures or [])
-    if persist:
-        base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    Returns what each visual gives, failures included, and the measures that
+    were skipped.  Nothing is cached: each visual scans the columns it reads."""
+    base, bad_measures = compute_measures(df, measures or [])
     out = []
     for v in visuals:
         cfg = v.get("config") or {}
         vtype = cfg.get("visualization_type")
         if not vtype or vtype == V.MEASURES.value:
             continue
+        one = Exported(v["slide_id"], v["viz_id"], vtype)
+        out.append(one)
         try:
-            spec = ChartSpec.from_dict(cfg)
-            rows, _ = apply_dashboard_filters(base, (filters_by_viz or {}).get(v["viz_id"], []))
-            if spec.visualization_type == V.TABLE:
-                data = table_view(rows, spec, max_rows=EXPORT_TABLE_ROWS)
-            elif spec.visualization_type == V.METRIC_CARD:
-                data = metric_card(rows, spec)
+            one.spec = ChartSpec.from_dict(cfg)
+            rows, one.skipped_filters = apply_dashboard_filters(
+                base, (filters_by_viz or {}).get(v["viz_id"], []))
+            if one.spec.visualization_type == V.TABLE:
+                one.data = table_view(rows, one.spec, max_rows=EXPORT_TABLE_ROWS)
+            elif one.spec.visualization_type == V.METRIC_CARD:
+                one.data = metric_card(rows, one.spec)
             else:
-                data = chart_dataset(rows, spec, "none")
-            out.append((v["slide_id"], v["viz_id"], spec.visualization_type.value, data, None))
-        except (ChartSpecError, AnalysisException, ValueError) as exc:
-            out.append((v["slide_id"], v["viz_id"], vtype, None, str(exc)))
-    return base, out
+                one.data = chart_dataset(rows, one.spec, "none")
+        except Exception as exc:  # whatever it is, it is this visual's alone
+            one.error = str(exc)
+    return out, bad_measures
 
 
 def long_form(data: DataFrame, spec: ChartSpec) -> DataFrame:
     """One visual's dataset as ``(label, series, measure, value)`` rows, so the
     datasets of an analysis can share one table."""
     vt = spec.visualization_type
+    if vt in (V.TABLE, V.SCATTER_PLOT):
+        # Rows of any shape travel as records.
+        return data.select(F.to_json(F.struct(*map(col, data.columns))).alias("label"),
+                           F.lit(None).cast("string").alias("series"), F.lit("row").alias("measure"),
+                           F.lit(None).cast("double").alias("value"))
     if vt == V.METRIC_CARD:
         return data.select(F.col("label"), F.lit(None).cast("string").alias("series"),
                            F.lit(spec.y_column).alias("measure"), F.col("value"))
     if vt == V.HISTOGRAM:
-        label, series, values = F.col("bin").cast("string"), None, ["count"]
+        label, values = F.col("bin").cast("string"), ["count"]
+        series = col(spec.color_column).cast("string") if spec.color_column in data.columns else None
     elif vt == V.BOX_PLOT:
-        label, series, values = F.col("group"), None, ["n", "lower", "q1", "median", "q3", "upper"]
+        label, values = F.col("group"), ["n", "lower", "q1", "median", "q3", "upper"]
+        series = F.col("series") if "series" in data.columns else None
     elif vt == V.HEATMAP:
         label, series, values = F.col("x"), F.col("y"), ["value"]
     else:
@@ -109,59 +128,58 @@ def long_form(data: DataFrame, spec: ChartSpec) -> DataFrame:
 
 def export_long(df: DataFrame, visuals: list[dict], measures=None,
                 filters_by_viz: dict | None = None) -> DataFrame:
-    """The whole export as one table: chart and metric visuals in long form,
-    tagged with slide and visual ids (tables keep their own shape; see
-    :func:`write_bundle`)."""
-    _, parts = export_datasets(df, visuals, measures, filters_by_viz, persist=False)
+    """The whole export as one table in long form, tagged with slide and visual
+    ids.  Rows of tables and scatters are records; a failing visual has one
+    row with the measure ``error`` and the error text as its label."""
+    parts, _ = export_datasets(df, visuals, measures, filters_by_viz)
     frames = []
-    for slide_id, viz_id, vtype, data, err in parts:
-        if data is None or vtype in (V.TABLE.value, V.SCATTER_PLOT.value):
-            continue
-        spec = ChartSpec.from_dict(next(v["config"] for v in visuals if v["viz_id"] == viz_id))
-        frames.append(long_form(data, spec).select(
-            F.lit(slide_id).alias("slide_id"), F.lit(viz_id).alias("viz_id"),
-            F.lit(vtype).alias("viz_type"), "label", "series", "measure", "value"))
+    for p in parts:
+        if p.data is None:
+            rows = df.sparkSession.createDataFrame(
+                [(p.error, None, "error", None)],
+                "label string, series string, measure string, value double")
+        else:
+            rows = long_form(p.data, p.spec)
+        frames.append(rows.select(
+            F.lit(p.slide_id).alias("slide_id"), F.lit(p.viz_id).alias("viz_id"),
+            F.lit(p.viz_type).alias("viz_type"), "label", "series", "measure", "value"))
     if not frames:
         raise ChartSpecError("nothing to export")
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    return reduce(DataFrame.unionByName, frames)
 
 
 def write_bundle(df: DataFrame, visuals: list[dict], out_dir: str, measures=None,
                  filters_by_viz: dict | None = None, concurrency: int = 4) -> DataFrame:
-    """Every visual's dataset under ``out_dir/slide_id=../viz_id=..``
-    and a manifest table (one row per visual: rows, status, error).
+    """Every visual's dataset under ``out_dir/slide_id=../viz_id=..`` and a
+    manifest with one row per visual: path, rows, status, the whole error, and
+    the filters and measures that were skipped.
 
-    The visuals are independent small jobs over the cached base, so up to
-    ``concurrency`` of them are submitted at once from driver threads."""
+    The visuals are independent small jobs, so up to ``concurrency`` of them
+    are submitted at once from driver threads."""
     from concurrent.futures import ThreadPoolExecutor
 
-    base, parts = export_datasets(df, visuals, measures, filters_by_viz, persist=True)
+    parts, bad_measures = export_datasets(df, visuals, measures, filters_by_viz)
     spark = df.sparkSession
 
-    def write_one(part):
-        slide_id, viz_id, vtype, data, err = part
-        path = f"{out_dir}/slide_id={slide_id}/viz_id={viz_id}"
-        if data is None:
-            return (slide_id, viz_id, vtype, None, "skipped", err)
-        try:
-            data.write.mode("overwrite").parquet(path)
-            return (slide_id, viz_id, vtype, path, "ok", None)
-        except Exception as exc:  # a failing visual does not stop the export
-            return (slide_id, viz_id, vtype, None, "failed", str(exc)[:500])
-
-    try:
-        with ThreadPoolExecutor(max_workers=max(1, concurrency)) as pool:
-            manifest = list(pool.map(write_one, parts))
-    finally:
-        base.unpersist()
-    man = spark.createDataFrame(
-        manifest, "slide_id string, viz_id string, viz_type string, path string, "
-                  "status string, error string")
+    def write_one(p: Exported):
+        path, rows, status, error = f"{out_dir}/slide_id={p.slide_id}/viz_id={p.viz_id}", None, "failed", p.error
+        if p.data is not None:
+            try:
+                p.data.write.mode("overwrite").parquet(path)
+                rows, status = spark.read.schema(p.data.schema).parquet(path).count(), "ok"
+            except Exception as exc:  # a failing visual does not stop the export
+                error = str(exc)
+        return (p.slide_id, p.viz_id, p.viz_type, path if status == "ok" else None, rows, status,
+                error, [f"{x.index}: {x.reason}" for x in p.skipped_filters], bad_measures)
+
+    with ThreadPoolExecutor(max_workers=max(1, concurrency)) as pool:
+        manifest = list(pool.map(write_one, parts))
+    schema = ("slide_id string, viz_id string, viz_type string, path string, rows long, "
+              "status string, error string, skipped_filters array<string>, "
+              "skipped_measures array<string>")
+    man = spark.createDataFrame(manifest, schema)
     man.coalesce(1).write.mode("overwrite").parquet(f"{out_dir}/_manifest")
-    return spark.read.parquet(f"{out_dir}/_manifest")
+    return spark.read.schema(schema).parquet(f"{out_dir}/_manifest")
 
 
 def visuals_of(document: str | dict) -> tuple[list[dict], list[dict]]:

@@ -6,8 +6,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dashframe.session import spread
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -50,7 +48,7 @@ NBSP = " "
 def messy_lines(spark, sf_dir) -> DataFrame:
     """Locale-formatted numbers from lineitem: ``R$ 1.234,56`` (a no-break
     space after the symbol on even line numbers), ``0,05`` and junk."""
-    li = spread(table(spark, sf_dir, "lineitem"))
+    li = table(spark, sf_dir, "lineitem")
     br = F.translate(F.format_number("l_extendedprice", 2), ",.", ".,")
     sym = F.when(F.col("l_linenumber") % 2 == 0, F.lit("R$" + NBSP)).otherwise(F.lit("R$ "))
     junk = (F.when(F.col("l_linenumber") % 3 == 0, F.lit("abc"))
@@ -63,7 +61,7 @@ def messy_lines(spark, sf_dir) -> DataFrame:
 
 
 def messy_dates(spark, sf_dir) -> DataFrame:
-    o = spread(table(spark, sf_dir, "orders"))
+    o = table(spark, sf_dir, "orders")
     d = F.col("o_orderdate")
     return o.select("o_orderkey",
                     F.date_format(d, "yyyy-MM-dd").alias("d_iso"),
@@ -96,7 +94,7 @@ def analysis_documents(spark, sf_dir) -> DataFrame:
     from the order row alone -- 1 to 3 slides, 0 to 2 visuals per slide,
     a visual type and columns picked from the keys -- so no grouping is
     needed and every document is bounded."""
-    o = spread(table(spark, sf_dir, "orders"))
+    o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     kinds = F.array(*[F.lit(v) for v in ("column_chart", "table", "measures", "pie_chart")])
     xs = F.array(*[F.lit(v) for v in ("l_returnflag", "l_linestatus", "l_shipdate")])
@@ -214,6 +212,17 @@ def _analyses(c: DataFrame, minutes: int) -> DataFrame:
                     .alias("updated_at"))
 
 
+def analyses(spark, sf_dir) -> DataFrame:
+    """One saved analysis per customer."""
+    return _analyses(table(spark, sf_dir, "customer"), 0)
+
+
+ANALYSES_SQL = """(select 'a' || c_custkey as analysis_id, cast(c_nationkey as bigint) as user_id,
+  c_name as name, 'analyses/' || c_custkey || '.parquet' as storage_path,
+  timestamp '2024-01-01 00:00:00' + to_minutes(cast(c_custkey as bigint)) as updated_at
+  from customer)"""
+
+
 def analyses_old(spark, sf_dir) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     return _analyses(c.where(F.col("c_nationkey") < 15), 0)

@@ -990,36 +990,38 @@ _DELETE_REQ_SQL = """(select 'a' || c_custkey as analysis_id,
   from customer where c_mktsegment = 'BUILDING')"""
 
 
-@register("catalog_delete", f"""select * from {D.ANALYSES_OLD_SQL} o where not exists (
+@register("catalog_delete", f"""select * from {D.ANALYSES_SQL} o where not exists (
   select 1 from {_DELETE_REQ_SQL} r where r.analysis_id = o.analysis_id and r.user_id = o.user_id)""")
 def catalog_delete(spark, sf_dir):
     c = T(spark, sf_dir, "customer").where(F.col("c_mktsegment") == "BUILDING")
     req = c.select(F.concat(F.lit("a"), F.col("c_custkey").cast("string")).alias("analysis_id"),
                    (F.col("c_nationkey") + F.col("c_custkey") % 2).cast("long").alias("user_id"))
-    return K.delete_by_key_and_owner(D.analyses_old(spark, sf_dir), req, "analysis_id", "user_id")
+    return K.delete_by_key_and_owner(D.analyses(spark, sf_dir), req, "analysis_id", "user_id")
 
 
 @register("catalog_page", f"""select *, row_number() over (partition by user_id
-  order by updated_at desc, analysis_id) as rank from {D.ANALYSES_OLD_SQL} o
+  order by updated_at desc, analysis_id) as rank from {D.ANALYSES_SQL} o
 qualify rank > 5 and rank <= 10""")
 def catalog_page(spark, sf_dir):
-    return K.page_owner(D.analyses_old(spark, sf_dir), "user_id", "updated_at", "analysis_id",
+    return K.page_owner(D.analyses(spark, sf_dir), "user_id", "updated_at", "analysis_id",
                         limit=5, offset=5)
 
 
 @register("catalog_search", f"""select *, row_number() over (partition by user_id
-  order by updated_at desc, analysis_id) as rank from {D.ANALYSES_OLD_SQL} o
+  order by updated_at desc, analysis_id) as rank from {D.ANALYSES_SQL} o
 where contains(lower(name), 'mer#00000012') qualify rank <= 10""")
 def catalog_search(spark, sf_dir):
-    hits = K.search_names(D.analyses_old(spark, sf_dir), "name", "MER#00000012")
+    hits = K.search_names(D.analyses(spark, sf_dir), "name", "MER#00000012")
     return K.page_owner(hits, "user_id", "updated_at", "analysis_id", limit=10)
 
 
-@register("catalog_search_literal", f"""select * from {D.ANALYSES_OLD_SQL} o
-where contains(lower(name), 'r_0') or contains(lower(name), '#%')""")
+@register("catalog_search_literal", f"""select * from {D.ANALYSES_SQL} o
+where contains(lower(name), 'r#0') or contains(lower(name), 'r_0') or contains(lower(name), '#%')""")
 def catalog_search_literal(spark, sf_dir):
-    a = D.analyses_old(spark, sf_dir)
-    return K.search_names(a, "name", "r_0").unionByName(K.search_names(a, "name", "#%"))
+    a = D.analyses(spark, sf_dir)
+    # Wildcard signs are literal: only the first of the three finds rows.
+    return K.search_names(a, "name", "R#0").unionByName(K.search_names(a, "name", "r_0")) \
+        .unionByName(K.search_names(a, "name", "#%"))
 
 
 @register("catalog_lookup", """select * from customer where lower(c_name) in (
@@ -1031,9 +1033,9 @@ def catalog_lookup(spark, sf_dir):
 
 
 @register("catalog_recent", f"""select *, row_number() over (partition by user_id
-  order by updated_at desc, analysis_id) as rank from {D.ANALYSES_OLD_SQL} o qualify rank <= 8""")
+  order by updated_at desc, analysis_id) as rank from {D.ANALYSES_SQL} o qualify rank <= 8""")
 def catalog_recent(spark, sf_dir):
-    return K.recent(D.analyses_old(spark, sf_dir), "user_id", "updated_at", "analysis_id", 8)
+    return K.recent(D.analyses(spark, sf_dir), "user_id", "updated_at", "analysis_id", 8)
 
 
 def _now():
@@ -1063,10 +1065,10 @@ def drop_expired_count(spark, sf_dir):
 
 
 @register("count_per_owner", f"""select user_id, count(*) as row_count,
-  (select count(*) from {D.ANALYSES_OLD_SQL} o2) as total_rows
-from {D.ANALYSES_OLD_SQL} o group by user_id""")
+  (select count(*) from {D.ANALYSES_SQL} o2) as total_rows
+from {D.ANALYSES_SQL} o group by user_id""")
 def count_per_owner(spark, sf_dir):
-    return K.count_per_owner(D.analyses_old(spark, sf_dir), "user_id")
+    return K.count_per_owner(D.analyses(spark, sf_dir), "user_id")
 
 
 # ================================================================= ingest
@@ -1299,3 +1301,200 @@ def chart_box_linear(spark, sf_dir):
     spec = ChartSpec("box_plot", x_column="l_linestatus", y_column="l_quantity")
     out = box_plot(T(spark, sf_dir, "lineitem"), spec, method="linear")
     return rounded(out, ["q1", "median", "q3"])
+
+
+# ========================================== whole-table and edge-case queries
+
+from dashframe.operators.charts import chart_dataset, heatmap_all  # noqa: E402
+from dashframe.operators.order import page  # noqa: E402
+from dashframe.plans.dashboard import write_bundle  # noqa: E402
+
+
+@register("orders_page", """
+select *, row_number() over (order by o_orderkey) as position from orders
+qualify position > (select count(*) // 2 from orders) and position <= (select count(*) // 2 from orders) + 100""")
+def orders_page(spark, sf_dir):
+    """R9 with a deep offset: a page from the middle of the table."""
+    o = T(spark, sf_dir, "orders")
+    return page(o, [F.col("o_orderkey").asc()], limit=100, offset=o.count() // 2)
+
+
+@register("orders_position", """
+select o_orderkey, row_number() over (order by o_totalprice desc, o_orderkey) as position from orders""")
+def orders_position(spark, sf_dir):
+    """A global position for every row."""
+    o = T(spark, sf_dir, "orders")
+    return with_position(o, [F.col("o_totalprice").desc(), F.col("o_orderkey").asc()]) \
+        .select("o_orderkey", "position")
+
+
+@register("profile_preview_all", _union([
+    f"""select '{c}' as column_name, min({c})::double as min, max({c})::double as max,
+  round(avg({c}::double), 4) as mean from lineitem""" for c in (
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+        "l_discount", "l_tax")]))
+def profile_preview_all(spark, sf_dir):
+    return rounded(P.preview_stats(T(spark, sf_dir, "lineitem")), ["mean"])
+
+
+_HEAT_SQL = """
+with cells as (select event_type as x, cast(user_id as varchar) as y, {fn}(value) as value from events
+    where event_type is not null and user_id is not null group by all)
+select x, y, round(value, 8) as value, round((select min(value) from cells), 8) as min_value,
+  round((select max(value) from cells), 8) as max_value from cells"""
+
+
+@register("chart_heatmap_mean", _HEAT_SQL.format(fn="avg"))
+def chart_heatmap_mean(spark, sf_dir):
+    spec = ChartSpec("heatmap", x_column="event_type", y_column="user_id", color_column="value",
+                     aggregation="mean")
+    out = chart_dataset(T(spark, sf_dir, "events"), spec)
+    return out.select("x", "y", *[F.round(c, 8).alias(c) for c in ("value", "min_value", "max_value")])
+
+
+@register("chart_heatmap_all", _HEAT_SQL.format(fn="sum"))
+def chart_heatmap_all(spark, sf_dir):
+    out = heatmap_all(T(spark, sf_dir, "events"), "event_type", "user_id", "value")
+    return out.select("x", "y", *[F.round(c, 8).alias(c) for c in ("value", "min_value", "max_value")])
+
+
+@register("chart_box_color", """
+with r as (select l_returnflag as g, l_linestatus as s, l_extendedprice as v,
+  row_number() over (partition by l_returnflag, l_linestatus order by l_extendedprice) - 1 as i,
+  count(*) over (partition by l_returnflag, l_linestatus) as n from lineitem)
+select g as "group", s as series, max(n) as n, min(v) as lower,
+  max(case when i = n // 4 then v end) as q1, max(case when i = n // 2 then v end) as median,
+  max(case when i = (n * 3) // 4 then v end) as q3, max(v) as upper
+from r group by g, s""")
+def chart_box_color(spark, sf_dir):
+    spec = ChartSpec("box_plot", x_column="l_returnflag", y_column="l_extendedprice",
+                     color_column="l_linestatus")
+    return chart_dataset(T(spark, sf_dir, "lineitem"), spec)
+
+
+register("filter_bad_date", "select * from orders where o_totalprice > 1000")(
+    _dash("orders", [{"col": "o_orderdate", "op": "gte", "val": "not a date"},
+                     {"col": "o_totalprice", "op": "gt", "val": 1000}]))
+
+
+@register("chart_line_labels", """
+select o_orderpriority, round(sum(o_totalprice), 4) as o_totalprice,
+  regexp_replace(cast(cast(round(sum(o_totalprice), 2) as decimal(38,2)) as varchar), '(\\.\\d)0$', '\\1')
+    as o_totalprice_label from orders group by o_orderpriority""")
+def chart_line_labels(spark, sf_dir):
+    """G3 with show_values: large sums print in full."""
+    spec = ChartSpec("line_chart", x_column="o_orderpriority", y_column="o_totalprice",
+                     show_values=True)
+    out = chart_dataset(T(spark, sf_dir, "orders"), spec)
+    return out.withColumn("o_totalprice", r4(F.col("o_totalprice")))
+
+
+@register("measure_overflow", """
+select o_orderkey, case when o_orderkey::hugeint * 4000000000000000000 between -9223372036854775808
+  and 9223372036854775807 then o_orderkey * 4000000000000000000 end as big from orders""")
+def measure_overflow(spark, sf_dir):
+    out, _ = compute_measures(T(spark, sf_dir, "orders"), [
+        {"name": "big", "expression": "[o_orderkey] * 4000000000000000000"}])
+    return out.select("o_orderkey", "big")
+
+
+@register("measure_constant_skipped", "select o_orderkey, o_totalprice from orders")
+def measure_constant_skipped(spark, sf_dir):
+    """An expression that names no column is no measure."""
+    out, skipped = compute_measures(T(spark, sf_dir, "orders"), [{"name": "five", "expression": "5"}])
+    assert skipped == ["five"]
+    return out.select("o_orderkey", "o_totalprice")
+
+
+BUNDLE_VISUALS = EXPORT_VISUALS + [
+    {"slide_id": "s3", "viz_id": "v7", "config": {
+        "visualization_type": "table", "y_columns": ["l_orderkey", "l_tax"]}},
+    {"slide_id": "s3", "viz_id": "v8", "config": {
+        "visualization_type": "scatter_plot", "x_column": "l_quantity", "y_column": "l_tax"}},
+    {"slide_id": "s4", "viz_id": "v9", "config": {
+        "visualization_type": "histogram", "x_column": "l_shipdate"}},
+    {"slide_id": "s4", "viz_id": "v10", "config": {
+        "visualization_type": "heatmap", "x_column": "l_returnflag", "y_column": "l_linestatus",
+        "color_column": "l_tax", "aggregation": "mean"}},
+    {"slide_id": "s4", "viz_id": "v11", "config": {
+        "visualization_type": "box_plot", "x_column": "l_returnflag", "y_column": "l_tax"}},
+]
+
+
+@register("export_manifest", """
+with m as (select 's1' as slide_id, 'v1' as viz_id, 'column_chart' as viz_type,
+  (select count(distinct l_returnflag) from lineitem where l_quantity >= 25) as "rows", 'ok' as status
+union all select 's1', 'v2', 'pie_chart', (select count(distinct l_linestatus) from lineitem), 'ok'
+union all select 's2', 'v3', 'metric_card', 1, 'ok'
+union all select 's2', 'v5', 'bar_chart', null, 'failed'
+union all select 's3', 'v6', 'line_chart', (select count(distinct l_linestatus) from lineitem), 'ok'
+union all select 's3', 'v7', 'table', (select least(count(*), 100) from lineitem), 'ok'
+union all select 's3', 'v8', 'scatter_plot', (select count(*) from lineitem), 'ok'
+union all select 's4', 'v9', 'histogram', 20, 'ok'
+union all select 's4', 'v10', 'heatmap',
+  (select count(*) from (select distinct l_returnflag, l_linestatus from lineitem)), 'ok'
+union all select 's4', 'v11', 'box_plot', (select count(distinct l_returnflag) from lineitem), 'ok')
+select *, case when viz_id = 'v3' then 1 else 0 end as skipped from m""")
+def export_manifest(spark, sf_dir):
+    """The bundle is written and its manifest read back."""
+    filters = {**EXPORT_FILTERS, "v3": EXPORT_FILTERS["v3"] + [{"col": "no_such", "op": "eq", "val": 1}]}
+    man = write_bundle(T(spark, sf_dir, "lineitem"), BUNDLE_VISUALS, shared_dir(spark, "bundle"),
+                       FLAGSHIP_MEASURES, filters)
+    return man.select("slide_id", "viz_id", "viz_type", "rows", "status",
+                      F.size("skipped_filters").alias("skipped"))
+
+
+@register("docs_defaults", """
+select o_orderkey as id, 'New Analysis' as name, 'Untitled Slide' as title, 'single' as layout,
+  '#FFFFFF' as background_color, '' as comment, 400.0::double as width, 'sum' as aggregation,
+  true as show_legend, false as show_values, 0 as y_columns, 0 as measures from orders""")
+def docs_defaults(spark, sf_dir):
+    """What a document with hardly a key means."""
+    text = F.concat(F.lit('{"id": "'), F.col("o_orderkey").cast("string"), F.lit(
+        '", "slides": [{"visualizations": [{"config": {"visualization_type": "table"}}]}]}'))
+    doc, slide = "doc", F.col("doc.slides")[0]
+    viz = slide["visualizations"][0]
+    return N.parse(T(spark, sf_dir, "orders").select(text.alias("data"))).select(
+        F.col("doc.id").cast("long").alias("id"), F.col("doc.name").alias("name"),
+        slide["title"].alias("title"), slide["layout"].alias("layout"),
+        slide["background_color"].alias("background_color"), viz["comment"].alias("comment"),
+        viz["size"]["width"].alias("width"), viz["config"]["aggregation"].alias("aggregation"),
+        viz["config"]["show_legend"].alias("show_legend"),
+        viz["config"]["show_values"].alias("show_values"),
+        F.size(viz["config"]["y_columns"]).alias("y_columns"), F.size("doc.measures").alias("measures"))
+
+
+@register("docs_roundtrip_whole", """
+select 'an' || o_orderkey as id, true as same from orders""")
+def docs_roundtrip_whole(spark, sf_dir):
+    """Writing and reading a document again changes nothing in it."""
+    d = _docs(spark, sf_dir).select("doc", N.to_document(F.col("doc")).alias("data"))
+    again = N.parse(d.withColumnRenamed("doc", "before"))
+    return again.select(F.col("doc.id").alias("id"),
+                        (N.to_document(F.col("doc")) == F.col("data")).alias("same"))
+
+
+@register("format_rounding", """
+select o_orderkey, round_even(o_totalprice, 1) as even, abs(o_custkey - 100) as magnitude from orders""")
+def format_rounding(spark, sf_dir):
+    """Half-even rounding and absolute values."""
+    return T(spark, sf_dir, "orders").select(
+        "o_orderkey", F.bround("o_totalprice", 1).alias("even"),
+        F.abs(F.col("o_custkey") - 100).alias("magnitude"))
+
+
+@register("table_records", """
+select count(*) as n, count(distinct n_nationkey) as keys from nation""")
+def table_records(spark, sf_dir):
+    """Rows as records and back."""
+    nation = T(spark, sf_dir, "nation")
+    back = S.records(nation).select(F.from_json("record", nation.schema).alias("r"))
+    return back.agg(F.count("r").alias("n"), F.count_distinct("r.n_nationkey").alias("keys"))
+
+
+@register("store_reload", "select * from customer")
+def store_reload(spark, sf_dir):
+    """The stored copy of a table, read by its path."""
+    path = shared_dir(spark, "reload")
+    S.store(T(spark, sf_dir, "customer"), "customer", path)
+    return S.read_table(spark, path)

@@ -51,6 +51,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root and sc is not None:
         root = sc.getCheckpointDir()
     if not root:
+        if sc is not None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all nodes share")
         root = os.path.join(os.environ.get("TMPDIR", "/tmp"), "dashframe-checkpoints")
         try:
             spark.conf.set("spark.checkpoint.dir", root)
@@ -70,26 +72,19 @@ def _context(spark):
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder under the shared checkpoint root."""
-    return f"{checkpoint_root(spark)}/dashframe/{name}-{uuid.uuid4().hex[:12]}"
-
-
-# Inputs with more splits than this are never reshuffled by spread().
-SPREAD_MAX_SPLITS = 64
-
-
-def spread(df, min_partitions: int | None = None):
-    """Round-robin an under-partitioned input across the cores before heavy
-    row-level work.  Only small inputs qualify (at most SPREAD_MAX_SPLITS
-    splits, a few GB at the default split size) -- a few single-row-group
-    files that scan as a few tasks; anything larger is returned as is, so no
-    shuffle of a big table is ever added."""
-    sc = _context(df.sparkSession)
-    if sc is None:
-        return df
-    target = min_partitions or sc.defaultParallelism
-    try:
-        current = df.rdd.getNumPartitions()
-    except Exception:
-        return df
-    return df.repartition(target) if current < min(target, SPREAD_MAX_SPLITS + 1) else df
+    """A fresh, unique folder under the shared checkpoint root, removed when
+    the application ends."""
+    path = f"{checkpoint_root(spark)}/dashframe/{name}-{uuid.uuid4().hex[:12]}"
+    sc = _context(spark)
+    if sc is not None:
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def store(df, name: str):
+    """Write ``df`` once to the shared folder and read it back: whatever uses
+    the result sees the same rows, however often it is evaluated."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,15 +47,10 @@ def list_uploads(spark: SparkSession, path: str, max_bytes: int = MAX_UPLOAD_BYT
 def store(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write the cleaned table to the shared store and read it back
     (the stored copy is the source of truth; it survives executor loss and
-    cuts lineage).  The returned frame is cached for reuse."""
+    cuts lineage)."""
     target = path or shared_dir(df.sparkSession, name)
     df.write.mode("overwrite").parquet(target)
-    return df.sparkSession.read.parquet(target).persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def release(df: DataFrame) -> None:
-    """Drop a cached table."""
-    df.unpersist()
+    return df.sparkSession.read.schema(df.schema).parquet(target)
 
 
 def records(df: DataFrame, name: str = "record") -> DataFrame:
@@ -71,8 +65,7 @@ def write_documents(docs: DataFrame, path: str) -> None:
 
 class TableCache:
     """Cleaned tables by analysis id.  The stored Parquet copy is the
-    source of truth; the cache only keeps DataFrame handles (persisted
-    plans), so a miss -- a new driver, an evicted entry -- reloads the typed
+    source of truth; the cache only keeps DataFrame handles, so a miss -- a new driver, an evicted entry -- reloads the typed
     table from its path instead of re-parsing the raw upload."""
 
     def __init__(self, spark: SparkSession):
@@ -93,7 +86,7 @@ class TableCache:
         path = storage_path or self._paths.get(analysis_id)
         if not path:
             return None
-        df = read_table(self.spark, path).persist(StorageLevel.MEMORY_AND_DISK)
+        df = read_table(self.spark, path)
         self._frames[analysis_id], self._paths[analysis_id] = df, path
         return df
 
@@ -101,6 +94,4 @@ class TableCache:
         """Forget one entry (or all); the stored copies stay."""
         ids = [analysis_id] if analysis_id else list(self._frames)
         for i in ids:
-            frame = self._frames.pop(i, None)
-            if frame is not None:
-                frame.unpersist()
+            self._frames.pop(i, None)

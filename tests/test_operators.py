@@ -208,7 +208,7 @@ def test_parse_fills_defaults(spark):
     from dashframe.operators import documents as N
     df = spark.createDataFrame([('{"id": "x", "slides": [{"id": "s"}]}',)], "data string")
     r = N.parse(df).select("doc.name", "doc.measures", "doc.slides").first()
-    assert r["name"] == N.DEFAULT_NAME and r["measures"] == []
+    assert r["name"] == N.ANALYSIS_DEFAULTS["name"] and r["measures"] == []
     assert r["slides"][0]["layout"] == "single" and r["slides"][0]["visualizations"] == []
 
 

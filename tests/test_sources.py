@@ -29,7 +29,6 @@ def test_store_round_trip(spark):
     df = spark.read.parquet(f"{SF}/nation.parquet")
     kept = S.store(df, "nation-test")
     assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, df.collect()))
-    S.release(kept)
 
 
 def test_records(spark):
@@ -64,7 +63,8 @@ def test_bundle_writes_datasets_and_manifest(spark):
     out = shared_dir(spark, "bundle-test")
     man = {r["viz_id"]: r for r in write_bundle(li, EXPORT_VISUALS, out, FLAGSHIP_MEASURES,
                                                  EXPORT_FILTERS).collect()}
-    assert man["v1"]["status"] == "ok" and man["v5"]["status"] == "skipped"
+    assert man["v1"]["status"] == "ok" and man["v5"]["status"] == "failed" and "no_such" in man["v5"]["error"]
+    assert man["v1"]["rows"] == 3 and man["v1"]["skipped_measures"] == []
     assert "v4" not in man  # measures panels are not exported
     assert spark.read.parquet(man["v1"]["path"]).count() == 3
 
