@@ -543,6 +543,7 @@ union all select 's1', 'v2', 'pie_chart', l_linestatus, null, 'l_quantity', n fr
 union all select 's1', 'v2', 'pie_chart', l_linestatus, null, 'share',
   round(n / sum(n) over () * 100, 4) from v2
 union all select 's2', 'v3', 'metric_card', 'Average', null, 'revenue', round(a, 4) from v3
+union all select 's2', 'v5', 'bar_chart', 'unknown column ''no_such''', null, 'error', null
 union all select 's3', 'v6', 'line_chart', l_linestatus, null, 'l_tax', round(t, 4) from v6""")
 def export_bundle(spark, sf_dir):
     out = export_long(T(spark, sf_dir, "lineitem"), EXPORT_VISUALS, FLAGSHIP_MEASURES,
