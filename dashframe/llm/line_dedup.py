@@ -4,7 +4,7 @@ Lines (lower case, trimmed) are reduced to distinct ones; each gets the
 minimum of ``BANDS * ROWS`` keyed hashes over its character shingles: up to
 ``SHINGLE`` characters from the start of every word, and from every ``STRIDE``
 characters of a longer word, so that each character is in one and an edit moves
-no other word's shingle.  Lines with an equal band meet in a bucket; every member is compared with the bucket's ``HEADS``
+no other word's shingle.  Only ids and signatures are dealt, not the lines.  Lines with an equal band meet in a bucket; every member is compared with the bucket's ``HEADS``
 head lines by the exact Jaccard similarity of the shingle sets.  Where a member
 is like none of them, the bucket's members meet again where they also share a
 later band, and so on, so that a bucket of unlike lines that one common phrase
@@ -39,7 +39,8 @@ BANDS = 6
 SIMILARITY = 0.8
 HEADS = 3
 _PIECES = f"(?s)(?=(.{{1,{SHINGLE}}}))\\S{{1,{STRIDE}}}\\s*"
-_KEYS = [random.Random(7).getrandbits(63) for _ in range(ROWS * BANDS)]
+_RANDOM = random.Random(7)
+_KEYS = [_RANDOM.getrandbits(63) for _ in range(HEADS)]
 
 
 def _norm(line: Column) -> Column:
@@ -59,30 +60,45 @@ def _shingles(norm: str) -> Column:
     return F.regexp_extract_all(norm, F.lit(_PIECES), F.lit(1))
 
 
-def _signed(lines: DataFrame) -> DataFrame:
-    """Adds ``bands``.  The lines are already dealt by id, so grouping them
-    again moves nothing."""
-    own = ["id", "norm", "first_doc", "copies"]
-    hashes = lines.select(*own, F.explode(_shingles("norm")).alias("shingle")) \
-        .select(*own, F.xxhash64("shingle").alias("h0")).withColumn("h1", F.xxhash64("h0"))
-    mins = hashes.groupBy(*own).agg(*[F.min(_keyed(i)).alias(f"m{i}") for i in range(ROWS * BANDS)])
-    bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b + r * BANDS}" for r in range(ROWS)])
-                      for b in range(BANDS)])
-    return mins.select(*own, bands.alias("bands"))
+def _least(i: int) -> Column:
+    """The minimum of the i-th hash of the shingles."""
+    return F.array_min(F.transform("h", lambda x: F.xxhash64(x, F.lit(i))))
 
 
-def _keyed(i: int) -> Column:
-    """The i-th order of the shingles: one of two hashes, rotated so that other
-    bits lead, under a key of its own."""
-    h, turn = F.col(f"h{i % 2}"), 5 * (i // 2)
-    if turn:
-        h = F.shiftleft(h, turn).bitwiseOR(F.shiftrightunsigned(h, 64 - turn))
-    return h.bitwiseXOR(F.lit(_KEYS[i]))
+def _signed(rows: DataFrame) -> DataFrame:
+    """Adds ``b0 ...``: of every band, the hash of its minima."""
+    rows = rows.withColumn("h", F.transform(_shingles("norm"), lambda s: F.xxhash64(s)))
+    least = [_least(i) for i in range(ROWS * BANDS)]
+    rows = rows.select("id", "doc_id", F.array(*least).alias("m"))
+    bands = [F.xxhash64(F.lit(b), *[F.col("m")[b * ROWS + r] for r in range(ROWS)]).alias(f"b{b}")
+             for b in range(BANDS)]
+    return rows.select("id", "doc_id", *bands)
 
 
-def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+# Cells of the bitmap of line ids, and how many of them a bitmap row holds.
+CELLS = 1 << 23
+
+
+def _cell(line_id: str) -> Column:
+    return F.col(line_id).bitwiseAND(F.lit(CELLS - 1)) + 1
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, norm`` of the lines with these ids.  A bitmap of the ids' cells
+    (CELLS bits, 1 MB, whatever the number of ids) is broadcast, so that of the
+    other lines only a few per cent of false hits are dealt."""
+    bitmap = ids.groupBy(F.bitmap_bucket_number(_cell("id")).alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(_cell("id"))).alias("bits"))
+    rows = line_rows(docs).select("id", "norm", F.bitmap_bucket_number(_cell("id")).alias("part"),
+                                  F.bitmap_bit_position(_cell("id")).alias("bit"))
+    byte = F.conv(F.hex(F.substring("bits", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10)
+    near = rows.join(F.broadcast(bitmap), "part") \
+        .where(F.getbit(byte.cast("int"), (F.col("bit") % 8).cast("int")) == 1)
+    return near.groupBy("id").agg(F.min("norm").alias("norm")).join(ids, "id", "left_semi")
+
+
+def _verified(pairs: DataFrame, text: DataFrame) -> DataFrame:
     """``lo, id, similar`` of pairs of line ids by exact Jaccard similarity."""
-    text = lines.select("id", "norm")
     both = pairs.join(text.withColumnsRenamed({"id": "lo", "norm": "lo_norm"}), "lo").join(text, "id")
     sets = both.select("lo", "id", F.array_distinct(_shingles("lo_norm")).alias("s"),
                        F.array_distinct(_shingles("norm")).alias("t"))
@@ -98,35 +114,37 @@ def _order(k: int) -> Column:
 def similar_lines(docs: DataFrame) -> DataFrame:
     """``id, component, first_doc`` of every line that is not the only one of
     its kind; ``first_doc`` is the smallest id of a document with one."""
-    occurrences = line_rows(docs)
-    lines = occurrences.groupBy("id").agg(F.min("norm").alias("norm"),
-                                          F.min("doc_id").alias("first_doc"),
-                                          F.count(F.lit(1)).alias("copies"))
-    lines = stored(_signed(lines), "op6-lines")
-    bands = lines.select("id", "bands")
+    # What is dealt are ids and signatures; equal lines have equal ones.
+    lines = stored(_signed(line_rows(docs)).groupBy("id").agg(
+        F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"),
+        *[F.min(f"b{b}").alias(f"b{b}") for b in range(BANDS)]), "op6-lines")
+    bands = lines.select("id", F.array(*[f"b{b}" for b in range(BANDS)]).alias("bands"))
     rows = bands.select("id", F.posexplode("bands").alias("band", "bucket"))
-    edges = None
+    edges = text = None
     for _ in range(BANDS):
+        shared = rows.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")) \
+            .where("least != most").select("bucket")
+        met = stored(rows.join(shared, "bucket"), "op6-buckets")
+        if met.isEmpty():
+            break
+        if text is None:
+            text = stored(_texts(docs, met.select("id").distinct()), "op6-texts")
         # A head is the least id under a key of its own: plain longs, so that
         # the buckets are aggregated before they are dealt.
-        heads = stored(rows.groupBy("bucket").agg(
-            F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.max("id").alias("most"),
-            *[F.min(_order(k)).alias(f"head{k}") for k in range(HEADS)])
-            .where("least != most").drop("least", "most"), "op6-buckets")
-        if heads.isEmpty():
-            break
-        members = stored(rows.join(heads, "bucket").select(
+        heads = met.groupBy("bucket").agg(
+            F.count(F.lit(1)).alias("n"), *[F.min(_order(k)).alias(f"head{k}") for k in range(HEADS)])
+        members = stored(met.join(heads, "bucket").select(
             "bucket", "band", "id", "n", F.array_distinct(F.array(
                 *[F.col(f"head{k}").bitwiseXOR(F.col("bucket")).bitwiseXOR(F.lit(_KEYS[k]))
                   for k in range(HEADS)])).alias("heads")), "op6-members")
-        met = members.select("bucket", "id", F.explode("heads").alias("head")).where("id != head") \
+        faced = members.select("bucket", "id", F.explode("heads").alias("head")).where("id != head") \
             .withColumns({"lo": F.least("id", "head"), "hi": F.greatest("id", "head")})
-        checked = stored(_verified(met.select("lo", F.col("hi").alias("id")).distinct(), lines),
+        checked = stored(_verified(faced.select("lo", F.col("hi").alias("id")).distinct(), text),
                          "op6-pairs").withColumnRenamed("id", "hi")
         found = checked.where("similar").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
         edges = found if edges is None else edges.unionAll(found)
         # Buckets of more than HEADS lines with a line that is like no head.
-        alone = met.join(checked, ["lo", "hi"]).groupBy("bucket", "id").agg(
+        alone = faced.join(checked, ["lo", "hi"]).groupBy("bucket", "id").agg(
             F.max("similar").alias("like")).where(~F.col("like")).select("bucket").distinct()
         open_rows = members.where((F.col("n") > HEADS + 1) & ~F.array_contains("heads", F.col("id"))) \
             .join(alone, "bucket", "left_semi")
