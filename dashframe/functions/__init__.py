@@ -1,6 +1,6 @@
 """Column-level expressions (JVM-side ``pyspark.sql.functions`` only)."""
 
-from dashframe.functions.columns import col, has_column
+from dashframe.functions.columns import col
 from dashframe.functions.measures import parse_measure, compose_expression
 
-__all__ = ["col", "has_column", "parse_measure", "compose_expression"]
+__all__ = ["col", "parse_measure", "compose_expression"]

@@ -27,8 +27,3 @@ def base_name(path: Column) -> Column:
 def file_stem(path: Column) -> Column:
     """Base name without its last extension (a leading dot is kept)."""
     return F.regexp_replace(base_name(path), r"(?<=.)\.[^.]*$", "")
-
-
-def contains_ci(c: Column, needle: str) -> Column:
-    """Case-insensitive literal substring test on the text form."""
-    return F.lower(c.cast("string")).contains((needle or "").lower())
