@@ -47,6 +47,40 @@ def file_tree(files: DataFrame, sheets: DataFrame, columns: DataFrame) -> DataFr
                     "column_names"))
 
 
+def file_documents(files: DataFrame, sheets: DataFrame, columns: DataFrame) -> DataFrame:
+    """J2 assembled: one row per file with its sheets and their columns (names
+    and types) nested; a file or sheet without children has an empty list."""
+    per_sheet = columns.groupBy("sheet_id").agg(F.sort_array(F.collect_list(
+        F.struct("column_id", "column_name", "data_type"))).alias("columns"))
+    no_columns = F.array().cast("array<struct<column_id:bigint,column_name:string,data_type:string>>")
+    named = sheets.join(per_sheet, "sheet_id", "left").select(
+        "file_id", F.struct("sheet_id", "sheet_name", F.coalesce("columns", no_columns).alias("columns"))
+        .alias("sheet"))
+    per_file = named.groupBy("file_id").agg(F.sort_array(F.collect_list("sheet")).alias("sheets"))
+    out = files.join(per_file, "file_id", "left")
+    kind = per_file.schema["sheets"].dataType
+    return out.withColumn("sheets", F.coalesce("sheets", F.array().cast(kind)))
+
+
+def dashboard_documents(viz: DataFrame) -> DataFrame:
+    """J3 assembled: one row per dashboard with its visualizations nested, in
+    order of creation."""
+    return viz.groupBy("dashboard_id").agg(F.sort_array(F.collect_list(
+        F.struct("created_at", "viz_id", "sheet_id", "viz_type"))).alias("visualizations"))
+
+
+def upsert_files(old: DataFrame, new: DataFrame) -> DataFrame:
+    """A file that exists takes the new name, path and size and keeps its
+    owner and upload time; other files are added."""
+    return upsert(old, new, "file_id", keep_old=["user_id", "uploaded_at"])
+
+
+def replace_children(old: DataFrame, new: DataFrame, parents: DataFrame, parent: str) -> DataFrame:
+    """The children (sheets, columns) of the given parents are replaced by
+    the new ones; all others stay."""
+    return old.join(parents.select(parent).distinct(), parent, "left_anti").unionByName(new)
+
+
 def dashboard_visuals(viz: DataFrame) -> DataFrame:
     """Dashboard -> its visualizations, counted per type."""
     return viz.groupBy("dashboard_id", "viz_type").agg(F.count(F.lit(1)).alias("viz_count"))

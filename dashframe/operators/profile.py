@@ -18,6 +18,7 @@ from dashframe.functions.columns import col
 from dashframe.operators.order import top_per_group
 from dashframe.operators.quantiles import grouped_quantiles
 from dashframe.schema import is_datetime, is_numeric, is_string, semantic_type
+from dashframe.session import store
 from dashframe.spec import SAMPLE_VALUES, TOP_VALUES, ColumnType
 
 # Thresholds of the text-column type rule.
@@ -54,7 +55,7 @@ def column_profile(df: DataFrame, columns: list[str] | None = None,
 
 
 def detect_types(df: DataFrame, columns: list[str] | None = None,
-                 approx: bool = False) -> DataFrame:
+                 approx: bool = False, freq: DataFrame | None = None) -> DataFrame:
     """``column_name, column_type``.
 
     Non-text columns take their type from the schema.  Text columns: no
@@ -84,7 +85,9 @@ def detect_types(df: DataFrame, columns: list[str] | None = None,
             for c in text_cols]
         stats = df.agg(F.array(*per_col).alias("__p")).select(F.inline("__p"))
     elif text_cols:
-        freq = value_frequencies(df, text_cols)
+        if freq is None:
+            freq = value_frequencies(df, text_cols)
+        freq = freq.where(F.col("column_name").isin(text_cols))
         v, cnt = F.col("value"), F.col("count")
         stats = freq.groupBy("column_name").agg(
             F.coalesce(F.sum(F.when(v.isNotNull(), cnt)), F.lit(0)).alias("non_null"),
@@ -140,6 +143,19 @@ def _plain_stats(df: DataFrame, columns: list[str]) -> DataFrame:
         .where(F.col("n") > 0)
 
 
+def table_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The profile of an upload: type, row, null and distinct counts of every
+    column, and min, max, mean, std and sum of the numeric ones.  Counts and
+    types read one frequency table, which is written once."""
+    columns = columns or list(df.columns)
+    freq = store(value_frequencies(df, columns), "frequencies")
+    numeric = [f.name for f in df.schema.fields if f.name in columns and is_numeric(f.dataType)]
+    out = column_profile(df, columns, freq).join(detect_types(df, columns, freq=freq), "column_name")
+    if not numeric:
+        return out
+    return out.join(_plain_stats(df, numeric).drop("n"), "column_name", "left")
+
+
 def numeric_summary(df: DataFrame, column: str) -> DataFrame:
     """Min, max, mean, median, std, q1, q3 of one column (linear
     interpolation quantiles)."""

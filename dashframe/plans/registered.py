@@ -1499,3 +1499,48 @@ def store_reload(spark, sf_dir):
     path = shared_dir(spark, "reload")
     S.store(T(spark, sf_dir, "customer"), "customer", path)
     return S.read_table(spark, path)
+
+
+_COUNTS = """select '{c}' as column_name, count(*) as row_count,
+  count(*) filter (where {c} is null) as null_count,
+  count(distinct {c}) + max(case when {c} is null then 1 else 0 end) as unique_count, """
+
+
+@register("ingest_profile", _union([
+    _COUNTS.format(c=c) + f"""'numeric' as column_type, min({c})::double as min, max({c})::double as max,
+  round(avg({c}::double), 4) as mean, round(stddev_samp({c}::double), 4) as std,
+  round(sum({c}::double), 2) as sum from customer""" for c in ("c_custkey", "c_nationkey", "c_acctbal")]
+    + [_COUNTS.format(c=c) + f"""case when count(distinct {c}) > 0.8 * count({c}) then 'text' else 'categorical' end,
+  null, null, null, null, null from customer""" for c in ("c_name", "c_mktsegment")]))
+def ingest_profile(spark, sf_dir):
+    """L3: what an upload's profile says of every column."""
+    from dashframe.plans.ingest import ingest
+    names = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+    got = ingest(T(spark, sf_dir, "customer").select(*names), "profiled", keep=False).profile
+    return got.select("column_name", "row_count", "null_count", "unique_count", "column_type", "min", "max",
+                      r4(F.col("mean")).alias("mean"), r4(F.col("std")).alias("std"),
+                      F.round("sum", 2).alias("sum"))
+
+
+@register("catalog_files_nested", f"""
+with c as (select sheet_id, list({{'column_id': column_id, 'column_name': column_name,
+    'data_type': data_type}} order by column_id) as cols from {D.COLUMNS_SQL} group by sheet_id),
+s as (select file_id, list({{'sheet_id': s.sheet_id, 'sheet_name': sheet_name, 'columns': cols}}
+    order by s.sheet_id) as sheets from {D.SHEETS_SQL} s join c on c.sheet_id = s.sheet_id group by file_id)
+select f.file_id, file_name, coalesce(cast(to_json(sheets) as varchar), '[]') as sheets
+from {D.FILES_SQL} f left join s on s.file_id = f.file_id""")
+def catalog_files_nested(spark, sf_dir):
+    files, sheets, columns, _ = _cat(spark, sf_dir)
+    return K.file_documents(files, sheets, columns).select("file_id", "file_name",
+                                                           F.to_json("sheets").alias("sheets"))
+
+
+@register("catalog_dashboards_nested", f"""
+select dashboard_id, count(*) as visuals, string_agg(viz_id || ':' || viz_type, ',' order by created_at, viz_id)
+  as listed from {D.VIZ_SQL} group by dashboard_id""")
+def catalog_dashboards_nested(spark, sf_dir):
+    viz = _cat(spark, sf_dir)[3]
+    return K.dashboard_documents(viz).select(
+        "dashboard_id", F.size("visualizations").cast("long").alias("visuals"),
+        F.array_join(F.transform("visualizations", lambda v: F.concat(
+            v["viz_id"].cast("string"), F.lit(":"), v["viz_type"])), ",").alias("listed"))
