@@ -35,7 +35,8 @@ KEPT = 3000
 LEAST = 4.0     # standard errors of a log ratio that matters
 STEPS = 300
 THRESHOLD = 0.7
-MEMO_WORDS = 100_000
+MEMO_WORDS = 400_000    # most of them have no feature that matters and share one array
+_NONE = np.empty(0, np.int32)
 
 
 def grams(token: str) -> np.ndarray:
@@ -50,6 +51,8 @@ class Grams:
 
     def __init__(self, keep: np.ndarray | None = None):
         self.keep = keep        # bool per feature: those that matter
+        # Without a selection every array is its own, so fewer are kept.
+        self.entries = MEMO_WORDS if keep is not None else MEMO_WORDS // 10
         self.memo: dict[str, np.ndarray] = {}
 
     def of(self, token: str) -> np.ndarray:
@@ -58,7 +61,8 @@ class Grams:
             g = grams(token)
             if self.keep is not None:
                 g = g[self.keep[g]]
-            if len(self.memo) >= MEMO_WORDS:
+                g = g if len(g) else _NONE
+            if len(self.memo) >= self.entries:
                 self.memo.clear()
             if len(token) <= 64:
                 self.memo[token] = g
@@ -145,7 +149,7 @@ def score(docs: DataFrame, weight: np.ndarray, intercept: float) -> DataFrame:
     def run(batches):
         w = shared.value
         find = Grams(w != 0)
-        for b in slices(batches):
+        for b in slices(batches, chars=8 << 20):
             z = np.array([intercept + w[s].sum() for s in find.sets(b.column("text"))])
             p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(p, pa.float64())],
