@@ -18,12 +18,13 @@ import zipfile
 from xml.etree import ElementTree as ET
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from dashframe.functions.columns import col
 from dashframe.operators.order import asc
+from dashframe.spec import MAX_UPLOAD_BYTES
 
 # The parser and the writer run in Python workers.  Serialising this module's
 # functions by value ships them with the job, so executors need no install of
@@ -75,44 +76,61 @@ def parse_xlsx(content: bytes):
         sheets = wb.find("m:sheets", _NS)
         for idx, sheet in enumerate(sheets.findall("m:sheet", _NS) if sheets is not None else []):
             target = rels.get(sheet.get(f"{{{_NS['r']}}}id"), f"xl/worksheets/sheet{idx + 1}.xml")
-            if target not in names:
+            name = sheet.get("name")
+            try:
+                cells = list(_sheet_cells(z, target, shared))
+            except (ET.ParseError, KeyError, IndexError, ValueError, zipfile.BadZipFile) as exc:
+                # The sheet is left out and says so; those after it are read.
+                yield idx, name, 0, 0, f"{type(exc).__name__}: {exc}", "x"
                 continue
-            for _, el in ET.iterparse(z.open(target)):
-                if el.tag != f"{{{_NS['m']}}}c":
-                    continue
-                m = _CELL.fullmatch(el.get("r", ""))
-                if not m:
-                    continue
-                kind = el.get("t", "n")
-                v = el.find("m:v", _NS)
-                if kind in ("inlineStr", "str"):
-                    value = _text(el) if kind == "inlineStr" else (v.text if v is not None else None)
-                    kind = "s"
-                elif v is None or v.text is None:
-                    value = None
-                elif kind == "s":
-                    value = shared[int(v.text)]
-                elif kind == "e":
-                    value = None
-                elif kind == "b":
-                    value = "true" if v.text == "1" else "false"
-                else:
-                    value = v.text
-                el.clear()
-                if value is not None and value != "":
-                    yield (idx, sheet.get("name"), int(m.group(2)), _col_index(m.group(1)), value,
-                           kind)
+            for row, column, value, kind in cells:
+                yield idx, name, row, column, value, kind
+
+
+def _sheet_cells(z: zipfile.ZipFile, target: str, shared: list[str]):
+    """(row, col, value, kind) of a sheet's non-empty cells.  A row or cell
+    that doesn't state its place follows the one before it."""
+    row_tag, cell_tag = f"{{{_NS['m']}}}row", f"{{{_NS['m']}}}c"
+    row = column = 0
+    for event, el in ET.iterparse(z.open(target), events=("start", "end")):
+        if event == "start":
+            if el.tag == row_tag:
+                row, column = int(el.get("r", row + 1)), 0
+            continue
+        if el.tag != cell_tag:
+            continue
+        m = _CELL.fullmatch(el.get("r", ""))
+        row, column = (int(m.group(2)), _col_index(m.group(1))) if m else (row, column + 1)
+        value, kind = _cell_value(el, shared)
+        el.clear()
+        if value:
+            yield row, column, value, kind
+
+
+def _cell_value(el, shared: list[str]) -> tuple[str | None, str]:
+    kind, v = el.get("t", "n"), el.find("m:v", _NS)
+    if kind == "inlineStr":
+        return _text(el), "s"
+    if v is None or v.text is None or kind == "e":
+        return None, kind
+    if kind == "s":
+        return shared[int(v.text)], "s"
+    if kind == "b":
+        return "true" if v.text == "1" else "false", "b"
+    return v.text, "s" if kind == "str" else kind
 
 
 @udtf(returnType=CELLS_SCHEMA)
 class WorkbookCells:
-    """One workbook file in, its cells out; unreadable files yield nothing."""
+    """One workbook file in, its cells out; what cannot be read, a sheet or the
+    whole file, yields one row of kind ``x`` with the error (row 0, which no
+    table holds)."""
 
     def eval(self, content: bytes):
         try:
             yield from parse_xlsx(bytes(content))
-        except (zipfile.BadZipFile, ET.ParseError, KeyError):
-            return
+        except (zipfile.BadZipFile, ET.ParseError, KeyError, ValueError, IndexError) as exc:
+            yield None, None, 0, 0, f"{type(exc).__name__}: {exc}", "x"
 
 
 def workbook_cells(files: DataFrame) -> DataFrame:
@@ -128,23 +146,36 @@ def read_workbook_cells(spark: SparkSession, path: str) -> DataFrame:
     more than once, so store them first (``sources.tables.store``) when the
     folder is large: the parse then runs once."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx")
-             .option("recursiveFileLookup", "true").load(path))
+             .option("recursiveFileLookup", "true").load(path)
+             .where(F.col("length") <= MAX_UPLOAD_BYTES))
     return workbook_cells(files)
 
 
+def read_errors(cells: DataFrame) -> DataFrame:
+    """``(path, sheet_index, sheet_name, error)`` of what could not be read."""
+    return cells.where(F.col("kind") == "x").select("path", "sheet_index", "sheet_name",
+                                                    F.col("value").alias("error"))
+
+
 def sheet_names(cells: DataFrame) -> DataFrame:
     """``(path, sheet_index, sheet_name)``."""
-    return cells.select("path", "sheet_index", "sheet_name").distinct()
+    return cells.where(F.col("sheet_index").isNotNull()) \
+        .select("path", "sheet_index", "sheet_name").distinct()
 
 
 def _headers(cells: DataFrame) -> DataFrame:
-    """Row 1 of each sheet names its columns."""
-    return cells.where(F.col("row") == 1).select("path", "sheet_index", "col",
-                                                 F.col("value").alias("header"))
-
-
-def sheet_table(cells: DataFrame, sheet: str | None = None, all_sheets: bool = False,
-                max_columns: int = 16384) -> DataFrame:
+    """Row 1 of each sheet names its columns; a repeated name, whatever its
+    case, gets ``_1``, ``_2``... from the second on."""
+    again = F.row_number().over(Window.partitionBy(
+        "path", "sheet_index", F.lower("value")).orderBy("col")) - 1
+    return cells.where(F.col("row") == 1).withColumn("again", again).select(
+        "path", "sheet_index", "col",
+        F.when(F.col("again") > 0, F.concat_ws("_", "value", F.col("again").cast("string")))
+        .otherwise(F.col("value")).alias("header"))
+
+
+def sheet_table(cells: DataFrame, sheet: str | None = None,
+                all_sheets: bool = False) -> DataFrame:
     """The table of one sheet per file -- the named one, or the first
     when the name is absent from that file -- or of all sheets.  Rows from
     different files are combined by header name; every value is text."""
@@ -163,16 +194,14 @@ def sheet_table(cells: DataFrame, sheet: str | None = None, all_sheets: bool = F
     # One small row per header name: its cell kinds decide the column type.
     kinds = (body.groupBy("header")
              .agg(F.count_if(F.col("kind") != "n").alias("other"),
-                  F.count_if(~F.col("value").rlike(r"^-?\d+$")).alias("fractional"))
-             .orderBy(asc("header")).limit(max_columns + 1).collect())
-    if len(kinds) > max_columns:
-        raise ValueError("more header names than a sheet can hold")
+                  F.count_if(~F.col("value").rlike(r"^-?\d{1,18}$")).alias("fractional"))
+             .orderBy(asc("header")).collect())
     found = [r["header"] for r in kinds]
     wide = (body.groupBy("path", "sheet_name", "row").pivot("header", found)
             .agg(F.first("value")).drop("row"))
     typed = {r["header"]: ("long" if r["fractional"] == 0 else "double")
              for r in kinds if r["other"] == 0}
-    return wide.select(*[col(c).cast(typed[c]).alias(c) if c in typed else col(c)
+    return wide.select(*[col(c).try_cast(typed[c]).alias(c) if c in typed else col(c)
                          for c in wide.columns])
 
 

@@ -53,9 +53,30 @@ def test_workbook_sheet_selection(spark):
     assert sorted(r["a"] for r in first.collect()) == [1, 2, 9]
 
 
-def test_bad_workbook_yields_no_cells(spark):
-    files = spark.createDataFrame([("bad.xlsx", b"not a zip")], "path string, content binary")
-    assert W.workbook_cells(files).count() == 0
+def _edited(book: bytes, name: str, change) -> bytes:
+    import io
+    import zipfile
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(book)) as a, zipfile.ZipFile(out, "w") as b:
+        for item in a.namelist():
+            data = a.read(item)
+            b.writestr(item, change(data) if item == name else data)
+    return out.getvalue()
+
+
+def test_what_cannot_be_read_is_reported_and_the_rest_is_read(spark):
+    import re
+    book = W.xlsx_bytes([("Broken", ["a"], [(1,)]), ("Good", ["v", "V", "v"], [(1, 2, 3), (4, 5, 6)])])
+    book = _edited(book, "xl/worksheets/sheet1.xml", lambda x: x[:len(x) // 2])
+    # Cells that don't state their place stand where they are.
+    book = _edited(book, "xl/worksheets/sheet2.xml", lambda x: re.sub(rb' r="[A-Z]+[0-9]+"', b"", x))
+    files = spark.createDataFrame([("bad.xlsx", b"not a zip"), ("half.xlsx", book)],
+                                  "path string, content binary")
+    cells = W.workbook_cells(files)
+    errors = {(r.path, r.sheet_name) for r in W.read_errors(cells).collect()}
+    assert errors == {("bad.xlsx", None), ("half.xlsx", "Broken")}
+    table = W.sheet_table(cells, sheet="Good")
+    assert sorted((r["v"], r["V_1"], r["v_2"]) for r in table.collect()) == [(1, 2, 3), (4, 5, 6)]
 
 
 def test_bundle_writes_datasets_and_manifest(spark):
