@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dashframe.llm.common import slices
-from dashframe.llm.pretoken import SLICE, Memo, encode_texts
+from dashframe.llm.pretoken import Memo, encode_texts
 
 _NEVER = 1 << 62
 _WIDTHS = (8, 16, 32, 64)   # bytes of the matches whose trees share a matrix
@@ -187,7 +187,7 @@ class Codec:
         self.bytes_of = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, i in self.ranks.items():
             self.bytes_of[i] = token
-        self.memo = Memo()
+        self.memo = Memo(200_000)
 
     def merge_all(self, pieces: list[bytes]) -> dict[bytes, list[int]]:
         """Ids of each of some distinct matches."""
@@ -232,7 +232,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches):
         coder = codec(ranks_path, pattern)
-        for b in slices(batches, chars=SLICE):
+        for b in slices(batches):
             ids, offsets = coder.encode_all(b.column(1))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()),

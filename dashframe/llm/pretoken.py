@@ -19,17 +19,20 @@ import pyarrow.compute as pc
 # Every character that a Unicode-aware \s may match, in RE2's syntax.
 _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-MEMO_ENTRIES = 500_000      # about 200 bytes each
 MEMO_KEY_CHARS = 64
-SLICE = 8 << 20             # bytes of text reduced to distinct chunks at once
 
 
 class Memo(dict):
-    """chunk -> answer, emptied when full so that its memory is bounded."""
+    """chunk -> answer (about 200 bytes each), emptied when full so that its
+    memory is bounded."""
+
+    def __init__(self, entries: int):
+        super().__init__()
+        self.entries = entries
 
     def keep(self, key: str, value) -> None:
         if len(key) <= MEMO_KEY_CHARS:
-            if len(self) >= MEMO_ENTRIES:
+            if len(self) >= self.entries:
                 self.clear()
             self[key] = value
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dashframe.llm.common import slices, stored
-from dashframe.llm.pretoken import SLICE, Memo, encode_texts
+from dashframe.llm.pretoken import Memo, encode_texts
 from dashframe.session import shared_dir
 
 MAGIC = b"DFPACK01"
@@ -141,7 +141,7 @@ def _tokenizer(path: str):
             out += [e.ids for e in batch(names[i:i + (1 << 14)], add_special_tokens=False)]
         return out
 
-    return encode_chunks, Memo(), t.get_vocab_size()
+    return encode_chunks, Memo(500_000), t.get_vocab_size()
 
 
 def write(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -164,7 +164,7 @@ def write(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 {"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()),
                  "path": [path], "n_docs": [len(doc_ids)], "n_ids": [len(ids)]})
 
-        for b in slices(batches, chars=SLICE):
+        for b in slices(batches, chars=8 << 20):
             ids, offsets = encode_texts(b.column("text"), encode_chunks, memo)
             counts = np.diff(offsets) + 1
             whole = np.full(int(counts.sum()), END, np.int32)
