@@ -41,6 +41,7 @@ HEADS = 3
 _PIECES = f"(?s)(?=(.{{1,{SHINGLE}}}))\\S{{1,{STRIDE}}}\\s*"
 _RANDOM = random.Random(7)
 _KEYS = [_RANDOM.getrandbits(63) for _ in range(HEADS)]
+_BAND_KEYS = [b * (1 << 64) // BANDS - (1 << 63) + _RANDOM.getrandbits(60) for b in range(BANDS)]
 
 
 def _norm(line: Column) -> Column:
@@ -60,15 +61,19 @@ def _shingles(norm: str) -> Column:
     return F.regexp_extract_all(norm, F.lit(_PIECES), F.lit(1))
 
 
-def _least(i: int) -> Column:
-    """The minimum of the i-th hash of the shingles."""
-    return F.array_min(F.transform("h", lambda x: F.xxhash64(x, F.lit(i))))
+def _least(row: int, band: int) -> Column:
+    """The minimum of a band's row: each row has a hash of its own, and under
+    the bands' keys, which lead to as many parts of its range, a minimum is the
+    hash nearest to a key."""
+    return F.array_min(F.transform(f"h{row}", lambda x: x.bitwiseXOR(F.lit(_BAND_KEYS[band]))))
 
 
 def _signed(rows: DataFrame) -> DataFrame:
     """Adds ``b0 ...``: of every band, the hash of its minima."""
-    rows = rows.withColumn("h", F.transform(_shingles("norm"), lambda s: F.xxhash64(s)))
-    least = [_least(i) for i in range(ROWS * BANDS)]
+    rows = rows.withColumn("h0", F.transform(_shingles("norm"), lambda s: F.xxhash64(s)))
+    for r in range(1, ROWS):
+        rows = rows.withColumn(f"h{r}", F.transform(f"h{r - 1}", lambda x: F.xxhash64(x)))
+    least = [_least(r, b) for b in range(BANDS) for r in range(ROWS)]
     rows = rows.select("id", "doc_id", F.array(*least).alias("m"))
     bands = [F.xxhash64(F.lit(b), *[F.col("m")[b * ROWS + r] for r in range(ROWS)]).alias(f"b{b}")
              for b in range(BANDS)]
