@@ -71,20 +71,26 @@ def _context(spark):
         return None
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder under the shared checkpoint root, removed when
-    the application ends."""
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop file system, Path) of a path; driver side."""
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(sc._jsc.hadoopConfiguration()), target
+
+
+def shared_dir(spark: SparkSession, name: str, temporary: bool = False) -> str:
+    """A fresh, unique folder under the shared checkpoint root; a temporary one
+    is removed when the application ends."""
     path = f"{checkpoint_root(spark)}/dashframe/{name}-{uuid.uuid4().hex[:12]}"
-    sc = _context(spark)
-    if sc is not None:
-        target = sc._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(target)
+    if temporary and _context(spark) is not None:
+        fs, target = file_system(spark, path)
+        fs.deleteOnExit(target)
     return path
 
 
 def store(df, name: str):
     """Write ``df`` once to the shared folder and read it back: whatever uses
     the result sees the same rows, however often it is evaluated."""
-    path = shared_dir(df.sparkSession, name)
+    path = shared_dir(df.sparkSession, name, temporary=True)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
