@@ -51,7 +51,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage at files that
     outlive any executor."""
     spark = df.sparkSession
-    path = shared_dir(spark, name)
+    path = shared_dir(spark, name, temporary=True)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
