@@ -38,7 +38,7 @@ SEQUENCES = 1500
 SPAN = (4, 40)
 FEATURES = 1 << 16
 LEXICON_COUNT = 3
-MEMO_WORDS = 200_000
+MEMO_WORDS = 400_000
 
 
 def bare(token: str) -> str:
