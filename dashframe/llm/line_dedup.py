@@ -1,10 +1,9 @@
 """Fuzzy line dedup by MinHash (operator 6, DataFrame functions only).
 
 Lines (lower case, trimmed) are reduced to distinct ones; each gets the
-minimum of ``BANDS * ROWS`` keyed hashes over its character shingles: up to
-``SHINGLE`` characters from the start of every word, and from every ``STRIDE``
-characters of a longer word, so that each character is in one and an edit moves
-no other word's shingle.  Only ids and signatures are dealt, not the lines.  Lines with an equal band meet in a bucket; every member is compared with the bucket's ``HEADS``
+minimum of ``BANDS * ROWS`` keyed hashes over all its shingles of ``SHINGLE``
+characters (a shorter line is one shingle).  Only ids and minima are dealt, not
+the lines.  Lines with an equal band meet in a bucket; every member is compared with the bucket's ``HEADS``
 head lines by the exact Jaccard similarity of the shingle sets.  Where a member
 is like none of them, the bucket's members meet again where they also share a
 later band, and so on, so that a bucket of unlike lines that one common phrase
@@ -13,8 +12,8 @@ Verified links go through distributed union-find, and one line per component
 stays: its first in the document with the smallest id.
 
 A pair of similarity 0.8 shares a band with probability
-``1 - (1 - 0.8 ** ROWS) ** BANDS`` = 98.7 % and two bands with 90 %; a pair of
-0.9 with 99.96 % and 99.4 %.  Buckets are pre-aggregated and every step is
+``1 - (1 - 0.8 ** ROWS) ** BANDS`` = 99.7 % and two bands with 97 %; a pair of
+0.9 with 99.999 % and 99.96 %.  Buckets are pre-aggregated and every step is
 linear in a bucket's size.
 
 Defined cases: blank lines are never dropped; NULL text has no line and stays
@@ -32,13 +31,11 @@ from pyspark.sql import functions as F
 from dashframe.llm.common import stored, text_key
 from dashframe.llm.components import components
 
-SHINGLE = 12
-STRIDE = 8
+SHINGLE = 9           # UTF-16 code units
 ROWS = 3
-BANDS = 6
+BANDS = 8
 SIMILARITY = 0.8
 HEADS = 3
-_PIECES = f"(?s)(?=(.{{1,{SHINGLE}}}))\\S{{1,{STRIDE}}}\\s*"
 _RANDOM = random.Random(7)
 _KEYS = [_RANDOM.getrandbits(63) for _ in range(HEADS)]
 _BAND_KEYS = [b * (1 << 64) // BANDS - (1 << 63) + _RANDOM.getrandbits(60) for b in range(BANDS)]
@@ -57,27 +54,45 @@ def line_rows(docs: DataFrame) -> DataFrame:
         .where("norm != ''").withColumn("id", F.xxhash64("norm"))
 
 
-def _shingles(norm: str) -> Column:
-    return F.regexp_extract_all(norm, F.lit(_PIECES), F.lit(1))
+def _units(norm: str) -> Column:
+    """UTF-16, of which a part is read without counting from the start."""
+    return F.encode(norm, "UTF-16BE")
+
+
+def _starts(units: str) -> Column:
+    return F.sequence(F.lit(0), F.greatest(
+        (F.octet_length(units) / 2).cast("int") - SHINGLE, F.lit(0)))
+
+
+def _shingle(units: str, at: Column) -> Column:
+    return F.xxhash64(F.substring(units, at * 2 + 1, F.lit(2 * SHINGLE)))
+
+
+def _shingles(units: str) -> Column:
+    """The set of a line's shingle hashes."""
+    return F.array_distinct(F.transform(_starts(units), lambda at: _shingle(units, at)))
 
 
 def _least(row: int, band: int) -> Column:
     """The minimum of a band's row: each row has a hash of its own, and under
     the bands' keys, which lead to as many parts of its range, a minimum is the
     hash nearest to a key."""
-    return F.array_min(F.transform(f"h{row}", lambda x: x.bitwiseXOR(F.lit(_BAND_KEYS[band]))))
+    return F.min(F.col(f"h{row}").bitwiseXOR(F.lit(_BAND_KEYS[band]))).alias(f"m{row}_{band}")
 
 
 def _signed(rows: DataFrame) -> DataFrame:
-    """Adds ``b0 ...``: of every band, the hash of its minima."""
-    rows = rows.withColumn("h0", F.transform(_shingles("norm"), lambda s: F.xxhash64(s)))
+    """``id, first_doc, copies, b0 ...`` of every distinct line: of every band,
+    the hash of its minima.  Equal lines have equal ones."""
+    rows = rows.select("id", "doc_id", _units("norm").alias("units"))
+    rows = rows.select("id", "doc_id", "units", F.explode(_starts("units")).alias("at"))
+    rows = rows.select("id", "doc_id", "at", _shingle("units", F.col("at")).alias("h0"))
     for r in range(1, ROWS):
-        rows = rows.withColumn(f"h{r}", F.transform(f"h{r - 1}", lambda x: F.xxhash64(x)))
-    least = [_least(r, b) for b in range(BANDS) for r in range(ROWS)]
-    rows = rows.select("id", "doc_id", F.array(*least).alias("m"))
-    bands = [F.xxhash64(F.lit(b), *[F.col("m")[b * ROWS + r] for r in range(ROWS)]).alias(f"b{b}")
-             for b in range(BANDS)]
-    return rows.select("id", "doc_id", *bands)
+        rows = rows.withColumn(f"h{r}", F.xxhash64(f"h{r - 1}"))
+    lines = rows.groupBy("id").agg(
+        F.min("doc_id").alias("first_doc"), F.count_if(F.col("at") == 0).alias("copies"),
+        *[_least(r, b) for b in range(BANDS) for r in range(ROWS)])
+    return lines.select("id", "first_doc", "copies", *[
+        F.xxhash64(F.lit(b), *[f"m{r}_{b}" for r in range(ROWS)]).alias(f"b{b}") for b in range(BANDS)])
 
 
 # Cells of the bitmap of line ids, and how many of them a bitmap row holds.
@@ -105,8 +120,8 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, text: DataFrame) -> DataFrame:
     """``lo, id, similar`` of pairs of line ids by exact Jaccard similarity."""
     both = pairs.join(text.withColumnsRenamed({"id": "lo", "norm": "lo_norm"}), "lo").join(text, "id")
-    sets = both.select("lo", "id", F.array_distinct(_shingles("lo_norm")).alias("s"),
-                       F.array_distinct(_shingles("norm")).alias("t"))
+    sets = both.select("lo", "id", _units("lo_norm").alias("s"), _units("norm").alias("t")) \
+        .select("lo", "id", _shingles("s").alias("s"), _shingles("t").alias("t"))
     shared = F.size(F.array_intersect("s", "t"))
     return sets.select("lo", "id", (shared >= SIMILARITY * (F.size("s") + F.size("t") - shared))
                        .alias("similar"))
@@ -119,10 +134,7 @@ def _order(k: int) -> Column:
 def similar_lines(docs: DataFrame) -> DataFrame:
     """``id, component, first_doc`` of every line that is not the only one of
     its kind; ``first_doc`` is the smallest id of a document with one."""
-    # What is dealt are ids and signatures; equal lines have equal ones.
-    lines = stored(_signed(line_rows(docs)).groupBy("id").agg(
-        F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"),
-        *[F.min(f"b{b}").alias(f"b{b}") for b in range(BANDS)]), "op6-lines")
+    lines = stored(_signed(line_rows(docs)), "op6-lines")
     bands = lines.select("id", F.array(*[f"b{b}" for b in range(BANDS)]).alias("bands"))
     rows = bands.select("id", F.posexplode("bands").alias("band", "bucket"))
     edges = text = None

@@ -94,3 +94,51 @@ def test_no_python_in_the_plan(spark):
 
 def test_no_rows(spark):
     assert line_dedup.line_report(docs(spark, [])).collect() == []
+
+
+def dense(line):
+    return {line[i:i + 9] for i in range(max(1, len(line) - 8))}
+
+
+def kinds(lines):
+    """Partition of the lines by comparing all pairs on all 9-grams."""
+    sets = [dense(x) for x in lines]
+    part = list(range(len(lines)))
+
+    def find(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for i, s in enumerate(sets):
+        for j in range(i):
+            both = len(s & sets[j])
+            if 9 * both >= 4 * (len(s) + len(sets[j])):
+                part[find(i)] = find(j)
+    return {i: find(i) for i in range(len(lines))}
+
+
+def n_kept(spark, lines):
+    got = line_dedup.line_report(docs(spark, [row(i, x) for i, x in enumerate(lines)])).collect()
+    return {r.doc_id for r in got if r.n_kept}
+
+
+def word(rng):
+    return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8)))
+
+
+def test_recall_on_all_character_shingles(spark):
+    # One-character edits, in lines with spaces and without.
+    rng = random.Random(23)
+    lines = []
+    for i in range(300):
+        line = ("" if i % 2 else " ").join(word(rng) for _ in range(rng.randint(15, 25)))
+        at = rng.randrange(len(line))
+        lines += [line, line[:at] + "#" + line[at + 1:]]
+    part = kinds(lines)
+    linked = [i for i in range(0, 600, 2) if part[i] == part[i + 1]]
+    assert len(linked) >= 200
+    gone = set(range(600)) - n_kept(spark, lines)
+    found = sum(i + 1 in gone for i in linked)
+    assert found >= 0.98 * len(linked)
+    assert all(i - 1 in linked for i in gone)
