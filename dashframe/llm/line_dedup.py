@@ -3,18 +3,19 @@
 Lines (lower case, trimmed) are reduced to distinct ones; each gets the
 minimum of ``BANDS * ROWS`` keyed hashes over all its shingles of ``SHINGLE``
 characters (a shorter line is one shingle).  Only ids and minima are dealt, not
-the lines.  Lines with an equal band meet in a bucket; every member is compared with the bucket's ``HEADS``
-head lines by the exact Jaccard similarity of the shingle sets.  Where a member
-is like none of them, the bucket's members meet again where they also share a
-later band, and so on, so that a bucket of unlike lines that one common phrase
-brought together falls apart.
+the lines.  Lines with an equal band meet in a bucket; every member is compared
+with a head of the bucket, its line of most copies, and where that leaves lines
+of several components, with a second one.  Buckets that still hold several
+components are resolved whole: in small ones all pairs of different components
+are compared, in crowded ones those that share a shingle of their prefixes (the
+rarest shingles, one of which two similar lines must share).  Comparisons are by
+the exact Jaccard similarity of the whole shingle sets.
 Verified links go through distributed union-find, and one line per component
 stays: its first in the document with the smallest id.
 
 A pair of similarity 0.8 shares a band with probability
-``1 - (1 - 0.8 ** ROWS) ** BANDS`` = 99.7 % and two bands with 97 %; a pair of
-0.9 with 99.999 % and 99.96 %.  Buckets are pre-aggregated and every step is
-linear in a bucket's size.
+``1 - (1 - 0.8 ** ROWS) ** BANDS`` = 99.7 %, a pair of 0.9 with 99.999 %; what
+shares a band is found.
 
 Defined cases: blank lines are never dropped; NULL text has no line and stays
 NULL, empty text has one blank line; a document without an id comes last;
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dashframe.llm.common import stored, text_key
@@ -34,10 +35,9 @@ from dashframe.llm.components import components
 SHINGLE = 9           # UTF-16 code units
 ROWS = 3
 BANDS = 8
-SIMILARITY = 0.8
-HEADS = 3
+HEAD_ROUNDS = 2
+SMALL = 16            # lines of a bucket whose pairs are all compared
 _RANDOM = random.Random(7)
-_KEYS = [_RANDOM.getrandbits(63) for _ in range(HEADS)]
 _BAND_KEYS = [b * (1 << 64) // BANDS - (1 << 63) + _RANDOM.getrandbits(60) for b in range(BANDS)]
 
 
@@ -83,8 +83,10 @@ def _least(row: int, band: int) -> Column:
 def _signed(rows: DataFrame) -> DataFrame:
     """``id, first_doc, copies, b0 ...`` of every distinct line: of every band,
     the hash of its minima.  Equal lines have equal ones."""
+    # Outer, although no array is empty: else a filter that makes the units and
+    # the array once more is put below.
     rows = rows.select("id", "doc_id", _units("norm").alias("units"))
-    rows = rows.select("id", "doc_id", "units", F.explode(_starts("units")).alias("at"))
+    rows = rows.select("id", "doc_id", "units", F.explode_outer(_starts("units")).alias("at"))
     rows = rows.select("id", "doc_id", "at", _shingle("units", F.col("at")).alias("h0"))
     for r in range(1, ROWS):
         rows = rows.withColumn(f"h{r}", F.xxhash64(f"h{r - 1}"))
@@ -118,59 +120,95 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, text: DataFrame) -> DataFrame:
-    """``lo, id, similar`` of pairs of line ids by exact Jaccard similarity."""
-    both = pairs.join(text.withColumnsRenamed({"id": "lo", "norm": "lo_norm"}), "lo").join(text, "id")
-    sets = both.select("lo", "id", _units("lo_norm").alias("s"), _units("norm").alias("t")) \
-        .select("lo", "id", _shingles("s").alias("s"), _shingles("t").alias("t"))
-    shared = F.size(F.array_intersect("s", "t"))
-    return sets.select("lo", "id", (shared >= SIMILARITY * (F.size("s") + F.size("t") - shared))
-                       .alias("similar"))
-
-
-def _order(k: int) -> Column:
-    return F.col("id").bitwiseXOR(F.col("bucket")).bitwiseXOR(F.lit(_KEYS[k]))
+    """``a, b, similar`` of pairs of line ids by exact Jaccard similarity."""
+    both = pairs.join(text.withColumnsRenamed({"id": "a", "norm": "a_norm"}), "a") \
+        .join(text.withColumnsRenamed({"id": "b", "norm": "b_norm"}), "b")
+    sets = both.select("a", "b", _units("a_norm").alias("s"), _units("b_norm").alias("t")) \
+        .select("a", "b", _shingles("s").alias("s"), _shingles("t").alias("t"))
+    return sets.select("a", "b", (9 * F.size(F.array_intersect("s", "t"))
+                                  >= 4 * (F.size("s") + F.size("t"))).alias("similar"))
+
+
+def _mixed(met: DataFrame, parts: DataFrame) -> DataFrame:
+    """The buckets that hold lines of several components, with ``part`` and
+    their number of lines ``n``."""
+    named = met.join(parts.select(F.col("node").alias("id"), F.col("component").alias("part")),
+                     "id", "left").withColumn("part", F.coalesce("part", "id"))
+    several = named.groupBy("bucket").agg(
+        F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("n")) \
+        .where("p != q").select("bucket", "n")
+    return named.join(several, "bucket").select("bucket", "id", "part", "copies", "n")
+
+
+def _prefixes(ids: DataFrame, text: DataFrame) -> DataFrame:
+    """``id, token, pos, size``: of every line the shingles, rare before
+    frequent, one of which any similar line has in its own prefix."""
+    sets = stored(text.join(ids, "id", "left_semi").select("id", _units("norm").alias("units"))
+                  .select("id", _shingles("units").alias("s"))
+                  .select("id", F.size("s").alias("size"), F.explode_outer("s").alias("token")), "op6-tokens")
+    count = sets.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    order = Window.partitionBy("id").orderBy("c", "token")
+    return sets.join(count, "token").withColumn("pos", F.row_number().over(order) - 1) \
+        .where((5 * F.col("pos") <= F.col("size")) & (F.col("c") > 1)).select("id", "token", "pos", "size")
+
+
+def _rest(mixed: DataFrame, tested: DataFrame, text: DataFrame) -> DataFrame:
+    """``a, b`` of the lines of different components that meet in a bucket, are
+    not compared yet and can be similar."""
+    few = mixed.where(F.col("n") <= SMALL).select("bucket", "id", "part")
+    other = few.withColumnsRenamed({"id": "id2", "part": "part2"})
+    pairs = few.join(other, "bucket").where("id < id2 and part != part2") \
+        .select(F.col("id").alias("a"), F.col("id2").alias("b"))
+    crowd = mixed.where(F.col("n") > SMALL).select("bucket", "id", "part")
+    index = stored(_prefixes(crowd.select("id").distinct(), text).join(crowd, "id"), "op6-index")
+    other = index.withColumnsRenamed({c: f"{c}2" for c in ("id", "part", "pos", "size")})
+    # Behind their first common shingle both lines must hold the rest of the overlap.
+    ahead = F.least(F.col("size") - F.col("pos"), F.col("size2") - F.col("pos2"))
+    met = index.join(other, ["bucket", "token"]).where("id < id2 and part != part2").where(
+        (5 * F.least("size", "size2") >= 4 * F.greatest("size", "size2"))
+        & (9 * ahead >= 4 * (F.col("size") + F.col("size2"))))
+    return pairs.unionAll(met.select(F.col("id").alias("a"), F.col("id2").alias("b"))).distinct() \
+        .join(tested.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def _links(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """Edges ``a, b`` whose components are those of all similar lines that share
+    a band."""
+    bands = F.array(*[f"b{b}" for b in range(BANDS)])
+    # One exchange serves the count and the join.
+    rows = lines.select("id", "copies", F.explode(bands).alias("bucket")).repartition("bucket")
+    shared = rows.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")) \
+        .where("least != most").select("bucket")
+    met = stored(rows.join(shared, "bucket"), "op6-buckets")
+    text = stored(_texts(docs, met.select("id").distinct()), "op6-texts")
+    tested = edges = parts = None
+    for turn in range(HEAD_ROUNDS):
+        if parts is None:
+            members = met
+            heads = met.groupBy("bucket").agg(F.max(F.struct(
+                "copies", F.xxhash64("bucket", "id").alias("order"), "id")).alias("h"))
+            faced = members.join(heads, "bucket").where(F.col("id") != F.col("h.id"))
+        else:
+            members = stored(_mixed(met, parts), "op6-mixed")
+            heads = members.groupBy("bucket").agg(F.min(F.struct(
+                F.xxhash64("bucket", "id", F.lit(turn)).alias("order"), "id", "part")).alias("h"))
+            faced = members.join(heads, "bucket").where(F.col("part") != F.col("h.part"))
+        pairs = faced.select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        seen = stored(_verified(pairs, text), "op6-tested")
+        tested = seen if tested is None else tested.unionAll(seen)
+        edges = tested.where("similar").select("a", "b")
+        parts = components(edges, "op6-heads")
+    rest = stored(_rest(stored(_mixed(met, parts), "op6-mixed"), tested, text), "op6-rest")
+    return edges.unionAll(stored(_verified(rest, text), "op6-tested").where("similar").select("a", "b"))
 
 
 def similar_lines(docs: DataFrame) -> DataFrame:
     """``id, component, first_doc`` of every line that is not the only one of
     its kind; ``first_doc`` is the smallest id of a document with one."""
     lines = stored(_signed(line_rows(docs)), "op6-lines")
-    bands = lines.select("id", F.array(*[f"b{b}" for b in range(BANDS)]).alias("bands"))
-    rows = bands.select("id", F.posexplode("bands").alias("band", "bucket"))
-    edges = text = None
-    for _ in range(BANDS):
-        shared = rows.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")) \
-            .where("least != most").select("bucket")
-        met = stored(rows.join(shared, "bucket"), "op6-buckets")
-        if met.isEmpty():
-            break
-        if text is None:
-            text = stored(_texts(docs, met.select("id").distinct()), "op6-texts")
-        # A head is the least id under a key of its own: plain longs, so that
-        # the buckets are aggregated before they are dealt.
-        heads = met.groupBy("bucket").agg(
-            F.count(F.lit(1)).alias("n"), *[F.min(_order(k)).alias(f"head{k}") for k in range(HEADS)])
-        members = stored(met.join(heads, "bucket").select(
-            "bucket", "band", "id", "n", F.array_distinct(F.array(
-                *[F.col(f"head{k}").bitwiseXOR(F.col("bucket")).bitwiseXOR(F.lit(_KEYS[k]))
-                  for k in range(HEADS)])).alias("heads")), "op6-members")
-        faced = members.select("bucket", "id", F.explode("heads").alias("head")).where("id != head") \
-            .withColumns({"lo": F.least("id", "head"), "hi": F.greatest("id", "head")})
-        checked = stored(_verified(faced.select("lo", F.col("hi").alias("id")).distinct(), text),
-                         "op6-pairs").withColumnRenamed("id", "hi")
-        found = checked.where("similar").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-        edges = found if edges is None else edges.unionAll(found)
-        # Buckets of more than HEADS lines with a line that is like no head.
-        alone = faced.join(checked, ["lo", "hi"]).groupBy("bucket", "id").agg(
-            F.max("similar").alias("like")).where(~F.col("like")).select("bucket").distinct()
-        open_rows = members.where((F.col("n") > HEADS + 1) & ~F.array_contains("heads", F.col("id"))) \
-            .join(alone, "bucket", "left_semi")
-        rows = open_rows.join(bands, "id").select(
-            "id", "bucket", F.col("band").alias("last"), F.posexplode("bands").alias("band", "next")) \
-            .where("band > last").select("id", "band", F.xxhash64("bucket", "next").alias("bucket"))
-    if edges is None:
-        edges = lines.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    parts = components(edges, "op6")
+    parts = components(_links(lines, docs), "op6")
     grouped = lines.select("id", "first_doc", "copies").join(
         parts.withColumnRenamed("node", "id"), "id", "left") \
         .where("copies > 1 or component is not null") \

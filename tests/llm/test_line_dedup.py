@@ -127,6 +127,33 @@ def word(rng):
     return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8)))
 
 
+def test_crowded_bucket_of_a_line_and_its_variants(spark):
+    rng = random.Random(21)
+    base = [word(rng) for _ in range(30)]
+    lines = [" ".join(base)]
+    for i in range(1000):
+        at = rng.randrange(30)
+        lines.append(" ".join(base[:at] + [word(rng)] + base[at + 1:]))
+    want = len(set(kinds(lines).values()))
+    assert len(n_kept(spark, lines)) == want <= 3
+
+
+def test_crowded_bucket_of_unlike_lines_with_planted_pairs(spark):
+    # A common phrase brings 1000 unlike lines together, 40 pairs among them.
+    rng = random.Random(22)
+    phrase = " ".join(word(rng) for _ in range(30))
+    lines = []
+    for i in range(960):
+        tail = [word(rng) for _ in range(24)]
+        lines.append(phrase + " " + " ".join(tail))
+        if i < 40:
+            tail[rng.randrange(24)] = word(rng)
+            lines.append(phrase + " " + " ".join(tail))
+    want = len(set(kinds(lines).values()))
+    assert want <= 965
+    assert abs(len(n_kept(spark, lines)) - want) <= 1
+
+
 def test_recall_on_all_character_shingles(spark):
     # One-character edits, in lines with spaces and without.
     rng = random.Random(23)
