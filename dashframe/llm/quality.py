@@ -5,8 +5,8 @@ fixed rules (``base_failed``), and a verdict by the minimum covariance
 determinant: within each language and source, the mean and covariance of the
 ``H`` share of documents whose covariance has the least determinant, found by
 concentration steps from a median/MAD start, then reweighted; a document whose
-transformed statistics lie beyond ``CUTOFF`` in squared Mahalanobis distance
-from them is rejected.
+transformed statistics lie in squared Mahalanobis distance beyond the
+``CUTOFF`` point of the chi-square of their number is rejected.
 
 Every step is a grouped aggregate over all documents of a group: moments, and
 a histogram of log distances whose bin edge gives the nearest ``H`` share, so
@@ -36,10 +36,11 @@ REPEAT = 8            # words of a repeat window
 H = 0.75              # share of a group that the estimate rests on
 STEPS = 5             # concentration steps
 LEAST = 50            # documents of a group with an estimate of its own
-CUTOFF = 200.0        # squared robust distance; see README
+CUTOFF = 0.9999       # chi-square share beyond which a squared distance is rejected
 # Least standard deviation per statistic.  Most documents have no symbol, no
-# repeated line and no repeated window, so the subset's own spread is nil.
-FLOOR = (0.1, 0.02, 0.1, 0.5, 0.15, 0.05, 0.05)
+# repeated line and no repeated window, so the subset's own spread is nil.  One
+# repeated line in 285 words is 0.3, a repeated window of 9 in 900 words 0.1.
+FLOOR = (0.1, 0.02, 0.1, 0.3, 0.1, 0.05, 0.05)
 _SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(65, 91))
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -198,14 +199,18 @@ def _chi2_cdf(x: float, k: int) -> float:
     return total * z ** a * exp(-z) / gamma(a)
 
 
-def _consistency(share: float) -> float:
-    """Factor that makes the covariance of the nearest ``share`` of a normal
-    sample estimate the whole's."""
+def _chi2_point(share: float) -> float:
     lo, hi = 0.0, 200.0
     for _ in range(80):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if _chi2_cdf(mid, _DIM) < share else (lo, mid)
-    return share / _chi2_cdf(lo, _DIM + 2)
+    return lo
+
+
+def _consistency(share: float) -> float:
+    """Factor that makes the covariance of the nearest ``share`` of a normal
+    sample estimate the whole's."""
+    return share / _chi2_cdf(_chi2_point(share), _DIM + 2)
 
 
 REWEIGHT = 0.975
@@ -223,11 +228,7 @@ def quality(docs: DataFrame) -> DataFrame:
     estimate = stored(_start(rows), "op8-start")
     for _ in range(STEPS):
         estimate = stored(_estimates(_nearest(rows, estimate), _consistency(H)), "op8-step")
-    lo, hi = 0.0, 200.0
-    for _ in range(80):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if _chi2_cdf(mid, _DIM) < REWEIGHT else (lo, mid)
-    near = rows.join(estimate.select("g", "mean", "inverse"), "g").where(_distance() <= lo)
+    near = rows.join(estimate.select("g", "mean", "inverse"), "g").where(_distance() <= _chi2_point(REWEIGHT))
     estimate = stored(_estimates(near, _consistency(REWEIGHT)).where(F.col("n") >= LEAST // 2),
                       "op8-final")
     groups = _pooled(stats.where(~F.col("base_failed")).select("lang", "source")) \
@@ -242,7 +243,7 @@ def quality(docs: DataFrame) -> DataFrame:
     far = F.when(~F.col("base_failed"), _distance())
     return scored.select(
         "doc_id", "text_key", *_STATS, "base_failed", far.alias("distance"),
-        (~F.col("base_failed") & F.coalesce(far <= CUTOFF, F.lit(True))).alias("kept"))
+        (~F.col("base_failed") & F.coalesce(far <= _chi2_point(CUTOFF), F.lit(True))).alias("kept"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

@@ -72,3 +72,19 @@ def test_keep_good(spark):
 
 def test_no_rows(spark):
     assert quality.quality(docs(spark, [])).collect() == []
+
+
+def test_moderate_junk_is_rejected(spark):
+    rng = random.Random(15)
+    rows = [row(i, "\n".join(prose(rng, 12) for _ in range(rng.randint(6, 20)))) for i in range(300)]
+    for i in range(10):
+        # 30 to 50 % punctuation; repeated short lines among others.
+        share = 0.3 + 0.02 * i
+        words = prose(rng, 150).replace(",", "").split()
+        rows.append(row(1000 + i, " ".join(w + "." * round(len(w) * share / (1 - share) + 0.5) for w in words)))
+        rows.append(row(2000 + i, "\n".join(prose(rng, 9) + "\nread more" for _ in range(12))))
+    got = quality.quality(docs(spark, rows)).collect()
+    assert not any(r.base_failed for r in got)
+    kept = {r.doc_id for r in got if r.kept}
+    assert len(kept & set(range(300))) >= 297
+    assert not kept & (set(range(1000, 1010)) | set(range(2000, 2010)))
