@@ -7,7 +7,7 @@ next one reads it.  All stages but the last return the columns they were given:
 * quality rules: the documents that the rules reject go;
 * line dedup: lines that another line is a (near) copy of go, and documents
   that keep no word;
-* n-gram Jaccard join: of each class of documents the one with the smallest id
+* n-gram Jaccard join (five words, 0.8): of each class of documents the one with the smallest id
   stays;
 * benchmark decontamination: contaminated documents go;
 * byte-level BPE: ``doc_id, n_tokens, tokens, ids_sha256, decoded_sha256``.
@@ -25,6 +25,7 @@ from dashframe.llm import bpe, line_dedup, ngram_join, quality, winnow
 from dashframe.llm.common import ship_package, stored, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+NEAR = ngram_join.Rule(words=5, num=4, den=5)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return ngram_join.one_per_class(docs)
+    return ngram_join.one_per_class(docs, NEAR)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

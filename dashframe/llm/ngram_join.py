@@ -1,15 +1,15 @@
 """N-gram Jaccard join by set relations (operator 5).
 
-Documents are sets of 3-word shingles; two sets link at a Jaccard similarity of
-``NUM / DEN`` or more.  Equal sets are collapsed first, and only distinct sets
+Documents are sets of word shingles (``Rule``: three words in the operator);
+two sets link at a Jaccard similarity of ``num / den`` (9/10) or more.  Equal sets are collapsed first, and only distinct sets
 are joined.
 
 Index: shingles have one global order, rare before frequent by a fixed-size
 count sketch.  A set's prefix in that order holds so many shingles that two
 linked sets share at least ``need`` of them, so sets that share fewer with all
 others drop out.  An inverted list is cut into blocks by set size and by
-position: two sets whose first common shingle stands beyond ``size / 19`` in
-both cannot link, so blocks of far positions are never joined with each other,
+position: two sets whose first common shingle stands beyond
+``size * (den - num) / (den + num)`` (``size / 19``) in both cannot link, so blocks of far positions are never joined with each other,
 and within blocks only places that sum to at most ``(size + size) / 19`` meet.
 
 Answers: in every list, all sets are compared with one head set and their
@@ -20,7 +20,7 @@ answer from the overlaps with the common head where these bound it
 only the rest is compared.  A group of thousands of near copies thus costs one
 comparison per set and list head, not one per pair.
 
-Defined cases: a text of fewer than three words is one shingle, its whole
+Defined cases: a text of fewer words than a shingle's is one shingle, its whole
 sequence; NULL and wordless texts have the empty set and link with nothing;
 component_id is the smallest id of the component, NULLs apart; repeated rows
 give repeated rows; other columns are not read.
@@ -28,6 +28,8 @@ give repeated rows; other columns are not read.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -38,24 +40,39 @@ from dashframe.llm.common import (binary_values, gram_hashes, mix, slices, store
                                   word_hashes)
 from dashframe.llm.components import components
 
-WORDS = 3
 SKETCH_BITS = 17
 HEAD_ROUNDS = 2
 
 
-def shingle_set(text: bytes | None) -> np.ndarray:
+class Rule(NamedTuple):
+    """Words of a shingle and the least Jaccard similarity, ``num / den``."""
+    words: int = 3
+    num: int = 9
+    den: int = 10
+
+    def linked(self, overlap: Column, a: Column, b: Column) -> Column:
+        return (self.num + self.den) * overlap >= self.num * (a + b)
+
+    def sizes_fit(self, a: Column, b: Column) -> Column:
+        return self.den * F.least(a, b) >= self.num * F.greatest(a, b)
+
+    def places_fit(self, pos: Column, size: Column) -> Column:
+        return pos * (self.den + self.num) <= size * (self.den - self.num)
+
+
+def shingle_set(text: bytes | None, words: int = Rule().words) -> np.ndarray:
     """Sorted distinct shingle hashes."""
     h = word_hashes(text.lower().split()) if text else np.empty(0, np.uint64)
-    if 0 < len(h) < WORDS:
+    if 0 < len(h) < words:
         return mix(gram_hashes(h, len(h)) + np.uint64(len(h)))
-    return np.unique(gram_hashes(h, WORDS))
+    return np.unique(gram_hashes(h, words))
 
 
 def set_id(tokens: np.ndarray) -> int | None:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63) if len(tokens) else None
 
 
-def _sets_and_sketch(docs: DataFrame) -> DataFrame:
+def _sets_and_sketch(docs: DataFrame, rule: Rule) -> DataFrame:
     """``doc_id, text_key, size, sid`` per row, and rows ``cell, n`` of the
     count sketch with the other columns NULL."""
     kinds = ["doc_id", "text_key", "size", "sid", "cell", "n"]
@@ -66,7 +83,7 @@ def _sets_and_sketch(docs: DataFrame) -> DataFrame:
         for b in slices(batches):
             sizes, sids = [], []
             for text in binary_values(b, "text"):
-                s = shingle_set(text)
+                s = shingle_set(text, rule.words)
                 cells += np.bincount((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64),
                                      minlength=len(cells))
                 sizes.append(len(s))
@@ -90,7 +107,7 @@ def _need(size):
     return np.maximum(1, size // 25)
 
 
-def _prefixes(docs: DataFrame, order) -> DataFrame:
+def _prefixes(docs: DataFrame, order, rule: Rule) -> DataFrame:
     """``token, sid, size, pos`` of every set's prefix; ``order``: broadcast
     count per sketch cell."""
 
@@ -100,13 +117,13 @@ def _prefixes(docs: DataFrame, order) -> DataFrame:
             cols = [[], [], [], []]
             seen = set()
             for text in binary_values(b, "text"):
-                s = shingle_set(text)
+                s = shingle_set(text, rule.words)
                 sid = set_id(s)
                 if sid is None or sid in seen:
                     continue
                 seen.add(sid)
                 n = len(s)
-                keep = min(n, n - (9 * n + 9) // 10 + int(_need(n)))
+                keep = min(n, n - (rule.num * n + rule.den - 1) // rule.den + int(_need(n)))
                 c = count[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 head = s[np.lexsort((s, c))[:keep]]
                 cols[0].append(head.view(np.int64))
@@ -120,15 +137,7 @@ def _prefixes(docs: DataFrame, order) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token long, sid long, size int, pos int")
 
 
-def _linked(overlap: Column, a: Column, b: Column) -> Column:
-    return 190 * overlap >= 90 * (a + b)
-
-
-def _sizes_fit(a: Column, b: Column) -> Column:
-    return 100 * F.least(a, b) >= 90 * F.greatest(a, b)
-
-
-def _overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _overlaps(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """``a, b, overlap, sa, sb`` of pairs of set ids, from the texts."""
     both = pairs.join(texts.withColumnsRenamed({"sid": "a", "text": "ta"}), "a") \
         .join(texts.withColumnsRenamed({"sid": "b", "text": "tb"}), "b")
@@ -140,7 +149,7 @@ def _overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             if sid not in last:
                 if len(last) >= 64:
                     last.clear()
-                last[sid] = shingle_set(text)
+                last[sid] = shingle_set(text, rule.words)
             return last[sid]
 
         for part in slices(batches, "ta"):
@@ -159,39 +168,39 @@ def _overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         run, "a long, b long, overlap long, sa long, sb long")
 
 
-def _index(docs: DataFrame, sketch: DataFrame) -> DataFrame:
+def _index(docs: DataFrame, sketch: DataFrame, rule: Rule) -> DataFrame:
     """The prefix entries that can matter: shared shingles of the sets that
     share enough of them, ``token, sid, size, pos``."""
     count = np.zeros(1 << SKETCH_BITS, np.int64)
     for cell, n in sketch.groupBy("cell").agg(F.sum("n")).collect():   # at most 2 ** SKETCH_BITS rows
         count[cell] = n
-    entries = stored(_prefixes(docs, docs.sparkSession.sparkContext.broadcast(count)), "op5-prefixes")
+    entries = stored(_prefixes(docs, docs.sparkSession.sparkContext.broadcast(count), rule), "op5-prefixes")
     shared = entries.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")) \
         .where("lo != hi").select("token")
     kept = stored(entries.join(shared, "token"), "op5-shared")
-    enough = F.greatest(F.lit(1), F.floor(F.floor(F.col("size") * 9 / 10) / 25))
+    enough = F.greatest(F.lit(1), F.floor(F.floor(F.col("size") * rule.num / rule.den) / 25))
     sets = kept.groupBy("sid", "size").agg(F.count_distinct("token").alias("k")) \
         .where(F.col("k") >= enough).select("sid")
     return stored(kept.join(sets, "sid", "left_semi").distinct(), "op5-index")
 
 
-def _lists(index: DataFrame) -> DataFrame:
+def _lists(index: DataFrame, rule: Rule) -> DataFrame:
     """Index lists cut into windows of two adjacent size blocks; sets that may
     link meet in window ``greatest(block, block)``."""
-    block = F.floor(F.log("size") / F.log(F.lit(10 / 9))).cast("int")
+    block = F.floor(F.log("size") / F.log(F.lit(rule.den / rule.num))).cast("int")
     return index.withColumn("block", block).withColumn(
         "window", F.explode(F.array("block", F.col("block") + 1))) \
-        .withColumn("near", F.col("pos") * 19 <= F.col("size"))
+        .withColumn("near", rule.places_fit(F.col("pos"), F.col("size")))
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
     """(``doc_id, text_key, size, sid`` per row, edges ``a, b`` between distinct
     sets whose components are those of all links)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        text_key("text").alias("text_key"), F.col("text").cast("string").alias("text"))
-    first = stored(_sets_and_sketch(docs), "op5-sets")
+    first = stored(_sets_and_sketch(docs, rule), "op5-sets")
     rows = first.where("cell is null").select("doc_id", "text_key", "size", "sid")
-    index = _index(docs, first.where("cell is not null"))
+    index = _index(docs, first.where("cell is not null"), rule)
     holders = rows.join(index.select("sid").distinct(), "sid", "left_semi") \
         .groupBy("sid").agg(F.min(F.struct("doc_id", "text_key")).alias("d")) \
         .select("sid", F.col("d.doc_id").alias("id"), F.col("d.text_key").alias("key"))
@@ -199,7 +208,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                              & (docs["text_key"] == holders["key"]))
                    .groupBy("sid").agg(F.first("text").alias("text")), "op5-texts")
 
-    lists = stored(_lists(index), "op5-lists")
+    lists = stored(_lists(index, rule), "op5-lists")
     parts = None
     tested = None
     for turn in range(HEAD_ROUNDS):
@@ -208,23 +217,23 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.xxhash64("sid", F.lit(turn)).alias("order"), "sid", "size", "pos",
             *([] if parts is None else ["part"]))).alias("h"))
         met = entries.join(heads, ["token", "window"]).where(
-            (F.col("sid") != F.col("h.sid")) & _sizes_fit(F.col("size"), F.col("h.size"))
-            & ((F.col("pos") + F.col("h.pos")) * 19 <= F.col("size") + F.col("h.size")))
+            (F.col("sid") != F.col("h.sid")) & rule.sizes_fit(F.col("size"), F.col("h.size"))
+            & rule.places_fit(F.col("pos") + F.col("h.pos"), F.col("size") + F.col("h.size")))
         if parts is not None:
             met = met.where(F.col("part") != F.col("h.part"))
         pairs = met.select(F.least("sid", "h.sid").alias("a"), F.greatest("sid", "h.sid").alias("b")) \
             .distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        seen = stored(_overlaps(pairs, texts), "op5-tested")
+        seen = stored(_overlaps(pairs, texts, rule), "op5-tested")
         tested = seen if tested is None else tested.unionAll(seen)
-        edges = tested.where(_linked(F.col("overlap"), F.col("sa"), F.col("sb"))).select("a", "b")
+        edges = tested.where(rule.linked(F.col("overlap"), F.col("sa"), F.col("sb"))).select("a", "b")
         parts = components(edges, "op5")
 
-    rest = stored(_rest(_mixed(lists, parts), tested), "op5-rest")
+    rest = stored(_rest(_mixed(lists, parts), tested, rule), "op5-rest")
     derived = rest.where("sure").select("a", "b")
-    seen = stored(_overlaps(rest.where(~F.col("sure")).select("a", "b"), texts), "op5-tested")
-    more = seen.where(_linked(F.col("overlap"), F.col("sa"), F.col("sb"))).select("a", "b")
+    seen = stored(_overlaps(rest.where(~F.col("sure")).select("a", "b"), texts, rule), "op5-tested")
+    more = seen.where(rule.linked(F.col("overlap"), F.col("sa"), F.col("sb"))).select("a", "b")
     return rows, edges.unionAll(derived).unionAll(more)
 
 
@@ -237,7 +246,7 @@ def _mixed(lists: DataFrame, parts: DataFrame) -> DataFrame:
     return named.join(several, ["token", "window"], "left_semi")
 
 
-def _rest(mixed: DataFrame, tested: DataFrame) -> DataFrame:
+def _rest(mixed: DataFrame, tested: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of sets of different components that meet in an index block, are
     not tested yet and are not refuted by the overlaps with a common head:
     ``a, b, sure`` (link proven by them)."""
@@ -248,8 +257,8 @@ def _rest(mixed: DataFrame, tested: DataFrame) -> DataFrame:
     met = x.join(y, ["token", "window"]).where(
         (F.col("sid1") < F.col("sid2")) & (F.col("part1") != F.col("part2"))
         & (F.col("near") | F.col("near2")) & (F.col("window") == F.greatest("block", "block2"))
-        & ((F.col("pos1") + F.col("pos2")) * 19 <= F.col("size1") + F.col("size2"))
-        & _sizes_fit(F.col("size1"), F.col("size2")))
+        & rule.places_fit(F.col("pos1") + F.col("pos2"), F.col("size1") + F.col("size2"))
+        & rule.sizes_fit(F.col("size1"), F.col("size2")))
     pairs = met.select(F.col("sid1").alias("a"), F.col("sid2").alias("b"),
                        F.col("size1").alias("s1"), F.col("size2").alias("s2")).distinct() \
         .join(tested.select("a", "b"), ["a", "b"], "left_anti")
@@ -263,14 +272,14 @@ def _rest(mixed: DataFrame, tested: DataFrame) -> DataFrame:
         F.min(F.least("o1", "o2") + F.least(F.col("s1") - F.col("o1"), F.col("s2") - F.col("o2")))
         .alias("most"), F.max(F.col("o1") + F.col("o2") - F.col("n")).alias("least"))
     judged = pairs.join(known, ["a", "b"], "left")
-    return judged.where(F.col("most").isNull() | _linked(F.col("most"), F.col("s1"), F.col("s2"))) \
-        .select("a", "b", F.coalesce(_linked(F.col("least"), F.col("s1"), F.col("s2")), F.lit(False))
+    return judged.where(F.col("most").isNull() | rule.linked(F.col("most"), F.col("s1"), F.col("s2"))) \
+        .select("a", "b", F.coalesce(rule.linked(F.col("least"), F.col("s1"), F.col("s2")), F.lit(False))
                 .alias("sure"))
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """``doc_id, n_shingles, component_id, text_key`` for every row."""
-    rows, edges = links(docs)
+    rows, edges = links(docs, rule)
     parts = components(edges, "op5-all").select(F.col("node").alias("sid"), "component")
     named = stored(rows.join(parts, "sid", "left").withColumn("component", F.coalesce("component", "sid")),
                    "op5-classes")
@@ -281,10 +290,10 @@ def classes(docs: DataFrame) -> DataFrame:
         "text_key")
 
 
-def one_per_class(docs: DataFrame) -> DataFrame:
+def one_per_class(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """The documents whose id is their class's, one row each, and those without
     an id or a word; all columns kept."""
-    found = classes(docs).select("doc_id", "text_key", "component_id").where(
+    found = classes(docs, rule).select("doc_id", "text_key", "component_id").where(
         F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("doc_id").isNull()) \
         .select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
     return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["__id"])

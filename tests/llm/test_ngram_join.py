@@ -1,6 +1,7 @@
 import random
 import re
 
+import corpus_pipeline
 from dashframe.llm import ngram_join
 from dashframe.llm.components import components
 from tests.llm.helpers import docs, odd_rows, prose, row
@@ -81,3 +82,28 @@ def test_components_of_a_path_and_a_star(spark):
     got = components(spark.createDataFrame(edges, "a long, b long"), "test").collect()
     want = {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
     assert {r.node: r.component for r in got} == want and len(got) == len(want)
+
+
+def test_five_words_at_four_fifths(spark):
+    # Scattered edits: 0.8 or more on five words, under 0.9 on three.
+    rng = random.Random(7)
+    rows, sets, part = [], [], {}
+    for k in range(30):
+        base = [f"w{rng.randrange(9999)}" for _ in range(rng.choice([60, 200, 400]))]
+        for i in range(3):
+            rows.append(row(10 * k + i, near(rng, " ".join(base), i * len(base) // 50)))
+    for i, r in enumerate(rows):
+        w = r[1].split()
+        sets.append({tuple(w[j:j + 5]) for j in range(len(w) - 4)})
+        part[i] = i
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 9 * both >= 4 * (len(sets[i]) + len(sets[j])):
+                a, b = part[i], part[j]
+                part = {k: min(a, b) if v in (a, b) else v for k, v in part.items()}
+    want = {rows[i][0]: rows[v][0] for i, v in part.items()}
+    frame = docs(spark, rows)
+    got = {r.doc_id: r.component_id for r in ngram_join.classes(frame, ngram_join.Rule(5, 4, 5)).collect()}
+    assert got == want and 30 < len(set(want.values())) < 90
+    assert corpus_pipeline.NEAR == (5, 4, 5)
