@@ -5,7 +5,9 @@ Every word is labelled with a language.  Its features are affixes, character
 n-grams and membership in learned lexicons, hashed; neighbouring labels share a
 learned transition.  Forward-backward gives each word's label probabilities,
 and a document's language is the one with the largest mean probability over
-its words, which is the score.
+its words, which is the score.  A run of more than ``PIECE`` characters without a
+space is cut into pieces of that length, each of which counts as a word, so that
+every character is read.
 
 Training: whole texts of at most ``PER_LABEL`` documents a language (those with
 the smallest hash of their id, of at most ``SAMPLE_CHARS`` characters) give
@@ -38,9 +40,14 @@ SEQUENCES = 1500
 SPAN = (4, 40)
 FEATURES = 1 << 16
 LEXICON_COUNT = 3
+PIECE = 64
 MEMO_WORDS = 400_000
 
 
+def pieces(token: str) -> list[str]:
+    return [token[i:i + PIECE] for i in range(0, len(token), PIECE)] or [token]
+
+
 def bare(token: str) -> str:
     """Lower case, without what isn't a letter at either end."""
     a, b = 0, len(token)
@@ -54,12 +61,11 @@ def bare(token: str) -> str:
 def features(word: str, lexicons: dict[str, tuple[int, ...]], labels: int) -> np.ndarray:
     """Feature ids of a bare word: one per lexicon that holds it, then hashes of
     its affixes and n-grams."""
-    w = word[:64]
-    padded = f"^{w}$"
-    names = [f"p{w[:k]}" for k in (1, 2, 3)] + [f"s{w[-k:]}" for k in (1, 2, 3)]
+    padded = f"^{word}$"
+    names = [f"p{word[:k]}" for k in (1, 2, 3)] + [f"s{word[-k:]}" for k in (1, 2, 3)]
     names += [padded[i:i + n] for n in (2, 3) for i in range(len(padded) - n + 1)]
     hashed = [labels + xxhash.xxh32_intdigest(n) % (FEATURES - labels) for n in names]
-    return np.array(list(lexicons.get(w, ())) + hashed, np.int64)
+    return np.array(list(lexicons.get(word, ())) + hashed, np.int64)
 
 
 class Model:
@@ -76,16 +82,20 @@ class Model:
         e = self.weight[features(word, self.lexicons, len(self.labels))].sum(axis=0) if word else None
         if len(self.memo) >= MEMO_WORDS:
             self.memo.clear()
-        if len(token) <= 64:
-            self.memo[token] = e
+        self.memo[token] = e
         return e
 
     def label(self, texts: pa.Array):
-        """(marginals by word, which tokens are words, offsets by text)."""
+        """(marginals by piece, which pieces are words, offsets by text)."""
         cut = pc.utf8_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
         offsets = cut.offsets.to_numpy().astype(np.int64)
         offsets = offsets - offsets[0]
-        coded = cut.flatten().dictionary_encode()
+        tokens = cut.flatten()
+        if (pc.max(pc.utf8_length(tokens)).as_py() or 0) > PIECE:
+            parts = [pieces(t) for t in tokens.to_pylist()]
+            offsets = np.cumsum([0] + [len(p) for p in parts])[offsets]
+            tokens = pa.array([x for p in parts for x in p], pa.string())
+        coded = tokens.dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         none = np.zeros(len(self.labels))
         answers = [self.emission(t) for t in coded.dictionary.to_pylist()]
@@ -107,13 +117,13 @@ def sample(docs: DataFrame, per_label: int = PER_LABEL) -> list[tuple[str, str]]
 
 def fit(rows: list[tuple[str, str]], seed: int = 1) -> Model | None:
     labels = sorted({lang for lang, _ in rows})
-    texts = [(labels.index(lang), [w for w in map(bare, text.split()) if w]) for lang, text in rows]
+    texts = [(labels.index(lang), [w for t in text.split() for w in map(bare, pieces(t)) if w]) for lang, text in rows]
     texts = [(k, ws) for k, ws in texts if ws]
     if not texts:
         return None
     counts: dict[int, Counter] = defaultdict(Counter)
     for k, ws in texts:
-        counts[k].update(w[:64] for w in ws)
+        counts[k].update(ws)
     lexicons: dict[str, tuple[int, ...]] = {}
     for k in sorted(counts):
         for w, c in counts[k].items():

@@ -173,3 +173,16 @@ def test_repeated_entities_get_the_same_label(spark):
 
 def test_no_rows(spark):
     assert pii.detect(docs(spark, [])).collect() == []
+
+
+def test_a_run_without_spaces_is_read_to_its_end():
+    import pyarrow as pa
+    model = language_id.fit([(r[2], r[1]) for r in bilingual(80)])
+    rng = random.Random(9)
+    en = "".join(prose(rng, 80).replace(",", "").split())[:320]
+    de = "".join(rng.choice(GERMAN) for _ in range(100))[:320]
+    marginal, is_word, offsets = model.label(pa.array(["the house", en + de, "", None, "kalt"]))
+    assert offsets.tolist() == [0, 2, 12, 13, 14, 15] and len(marginal) == 15
+    assert is_word.tolist() == [True] * 12 + [False, False, True]
+    best = [model.labels[k] for k in marginal.argmax(axis=1)]
+    assert best[2:12] == ["en"] * 5 + ["de"] * 5 and best[14] == "de"
