@@ -56,6 +56,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+HOT_SHARE = 1024
+
+
+def join_by_key(rows: DataFrame, side: DataFrame, key: str, n: str) -> DataFrame:
+    """``rows`` with the columns of ``side``, which holds one row for every
+    ``key`` (NULL included) of ``rows`` and in ``n`` how many of them there are.
+
+    Keys with more than a ``HOT_SHARE``-th of the rows, fewer than ``HOT_SHARE``
+    by that, are joined by a broadcast; a shuffle deals the others.  Both frames
+    are stored ones: they are read more than once."""
+    total = side.agg(F.sum(n)).first()[0] or 0
+    side = side.withColumnRenamed(key, "__key")
+    hot = F.broadcast(side.where(F.col(n) * HOT_SHARE > total))
+    on = F.col(key).eqNullSafe(F.col("__key"))
+    dealt = rows.join(hot.select("__key"), on, "left_anti").join(
+        side.where(F.col(n) * HOT_SHARE <= total), on)
+    return rows.join(hot, on).unionAll(dealt).drop("__key", n)
+
+
 def remainder(doc_id: str | Column, mod: int) -> Column:
     """crc32 of the id as text, mod ``mod`` (NULL for a NULL id)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

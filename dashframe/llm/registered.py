@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dashframe.llm import (bpe, interpolated_lm, language_id, line_dedup, ngram_join, pii,
+from dashframe.llm import (bpe, interpolated_lm, language_id, line_dedup, ngram_join, part_codes, pii,
                            quality, token_files, toxicity, winnow)
 from dashframe.llm.common import table
 
@@ -77,3 +77,11 @@ def op3_nb_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+SQL["op11_part_codes"] = part_codes.SQL
