@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dashframe.llm import (bpe, interpolated_lm, language_id, line_dedup, ngram_join, part_codes, pii,
-                           quality, token_files, toxicity, winnow)
+from dashframe.llm import (bpe, interpolated_lm, language_id, line_dedup, ngram_join, page_text,
+                           part_codes, pii, prefix_trie, quality, token_files, toxicity, winnow)
 from dashframe.llm.common import table
 
 QUERIES: dict = {}
@@ -85,3 +85,16 @@ def op11_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op11_part_codes"] = part_codes.SQL
+
+
+@query
+def op12_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+SQL["op13_prefix_trie"] = prefix_trie.SQL
