@@ -184,8 +184,8 @@ def compress(embeddings: DataFrame, parts: int = PARTS, entries: int = ENTRIES,
             .where(finite(F.col("vector"))))
     first = [r["vector"] for r in rows.orderBy(F.asc_nulls_last("vec_id"), "vector").limit(entries).collect()]
     dimension = len(first[0]) if first else 0
-    books = integers(np.array([v for v in first if len(v) == dimension], np.float64)
-                     .reshape(-1, dimension))
+    first = [v for v in first if len(v) == dimension]
+    books = integers(np.array(first, np.float64).reshape(len(first), dimension))
 
     label_type = rows.schema["label"].dataType
     chunk_type = T.StructType([
