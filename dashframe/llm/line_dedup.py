@@ -11,7 +11,8 @@ are compared, in crowded ones those that share a shingle of their prefixes (the
 rarest shingles, one of which two similar lines must share).  Comparisons are by
 the exact Jaccard similarity of the whole shingle sets.
 Verified links go through distributed union-find, and one line per component
-stays: its first in the document with the smallest id.
+stays: its first in the document with the smallest id (of equal ids, the
+document whose text has the smallest hash).
 
 A pair of similarity 0.8 shares a band with probability
 ``1 - (1 - 0.8 ** ROWS) ** BANDS`` = 99.7 %, a pair of 0.9 with 99.999 %; what
@@ -73,6 +74,11 @@ def _shingles(units: str) -> Column:
     return F.array_distinct(F.transform(_starts(units), lambda at: _shingle(units, at)))
 
 
+def _place() -> Column:
+    """Orders documents: by id, those without one last, equal ids by their text."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("of"), F.col("text_key").alias("key"))
+
+
 def _least(row: int, band: int) -> Column:
     """The minimum of a band's row: each row has a hash of its own, and under
     the bands' keys, which lead to as many parts of its range, a minimum is the
@@ -85,13 +91,13 @@ def _signed(rows: DataFrame) -> DataFrame:
     the hash of its minima.  Equal lines have equal ones."""
     # Outer, although no array is empty: else a filter that makes the units and
     # the array once more is put below.
-    rows = rows.select("id", "doc_id", _units("norm").alias("units"))
-    rows = rows.select("id", "doc_id", "units", F.explode_outer(_starts("units")).alias("at"))
-    rows = rows.select("id", "doc_id", "at", _shingle("units", F.col("at")).alias("h0"))
+    rows = rows.select("id", _place().alias("place"), _units("norm").alias("units"))
+    rows = rows.select("id", "place", "units", F.explode_outer(_starts("units")).alias("at"))
+    rows = rows.select("id", "place", "at", _shingle("units", F.col("at")).alias("h0"))
     for r in range(1, ROWS):
         rows = rows.withColumn(f"h{r}", F.xxhash64(f"h{r - 1}"))
     lines = rows.groupBy("id").agg(
-        F.min("doc_id").alias("first_doc"), F.count_if(F.col("at") == 0).alias("copies"),
+        F.min("place").alias("first_doc"), F.count_if(F.col("at") == 0).alias("copies"),
         *[_least(r, b) for b in range(BANDS) for r in range(ROWS)])
     return lines.select("id", "first_doc", "copies", *[
         F.xxhash64(F.lit(b), *[f"m{r}_{b}" for r in range(ROWS)]).alias(f"b{b}") for b in range(BANDS)])
@@ -206,7 +212,7 @@ def _links(lines: DataFrame, docs: DataFrame) -> DataFrame:
 
 def similar_lines(docs: DataFrame) -> DataFrame:
     """``id, component, first_doc`` of every line that is not the only one of
-    its kind; ``first_doc`` is the smallest id of a document with one."""
+    its kind; ``first_doc`` is the place of the first document with one."""
     lines = stored(_signed(line_rows(docs)), "op6-lines")
     parts = components(_links(lines, docs), "op6")
     grouped = lines.select("id", "first_doc", "copies").join(
@@ -223,9 +229,9 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     kinds = stored(similar_lines(docs), "op6-kinds")
     places = line_rows(docs).select("doc_id", "text_key", "pos", "id").join(kinds, "id")
     by_kind = places.groupBy("doc_id", "text_key", "component").agg(
-        F.min("pos").alias("first"), F.collect_list("pos").alias("places"),
+        F.min("pos").alias("first"), F.collect_set("pos").alias("places"),
         F.first("first_doc").alias("first_doc"))
-    own = F.col("doc_id").eqNullSafe(F.col("first_doc"))
+    own = _place() == F.col("first_doc")
     gone = F.when(own, F.array_remove("places", F.col("first"))).otherwise(F.col("places"))
     return by_kind.select("doc_id", "text_key", gone.alias("gone")).where(F.size("gone") > 0) \
         .groupBy("doc_id", "text_key").agg(

@@ -5,7 +5,9 @@ from collections import defaultdict
 from dashframe.llm import line_dedup
 from tests.llm.helpers import docs, odd_rows, prose, row
 
-PIECES = re.compile(r"(?s)(?=(.{1,12}))\S{1,8}\s*", re.A)
+
+def shingles(norm):
+    return {norm[i:i + 9] for i in range(max(1, len(norm) - 8))}
 
 
 def dropped(rows):
@@ -17,7 +19,7 @@ def dropped(rows):
             if norm:
                 places[norm].append((r[0] is None, r[0] or 0, r[1], p))
     lines = list(places)
-    sets = [set(PIECES.findall(x)) for x in lines]
+    sets = [shingles(x) for x in lines]
     part = list(range(len(lines)))
 
     def find(x):
@@ -169,3 +171,15 @@ def test_recall_on_all_character_shingles(spark):
     found = sum(i + 1 in gone for i in linked)
     assert found >= 0.98 * len(linked)
     assert all(i - 1 in linked for i in gone)
+
+
+def test_one_line_stays_whatever_shares_an_id(spark):
+    long = "the first line of all that is repeated in other documents"
+    rows = [row(1, long), row(1, long + "\nand another line of the same id"), row(None, long), row(None, long + "\nx"),
+            row(None, long)]
+    got = [(r.n_lines, tuple(r.dropped)) for r in line_dedup.line_report(docs(spark, rows)).collect()]
+    kept = sum(n - len(d) for n, d in got)
+    assert kept == 3 and sum(0 in d for _, d in got) == 4      # long once, and the two other lines
+    # Without an id on any, the one of the smallest text hash keeps it.
+    got = [tuple(r.dropped) for r in line_dedup.line_report(docs(spark, rows[2:])).collect()]
+    assert sorted(map(len, got)) in ([0, 0, 1], [0, 1, 1])
