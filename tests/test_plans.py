@@ -2,6 +2,7 @@
 Python UDF appears in the operator plans."""
 
 import __spark_entry__ as E
+from dashframe.operators.quantiles import cell_sizes, grouped_quantiles
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,11 +53,18 @@ def test_histogram_has_no_exact_distinct_shuffle(spark):
     assert "count(distinct" not in p.lower()
 
 
-def test_median_splits_groups_by_range_and_reuses_it(spark):
-    p = executed(E.queries()["agg_median"](spark, SF))
-    assert "rangepartitioning" in p
-    assert "ReusedExchange" in p
-    assert "percentile" not in p.lower()  # no per-group value map
+def test_median_shuffles_brackets_only(spark):
+    """Three passes: sketches, counts, and the values at the places found."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet")
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "median")
+    out = grouped_quantiles(rows, ["l_returnflag"], "l_extendedprice", {"m": 0.5})
+    assert not jobs.getJobIdsForGroup("planning")      # no job while the plan is built
+    p = executed(out)
+    assert "kll_sketch_agg_double" in p and "percentile" not in p.lower()
+    assert p.count("Scan parquet") <= 3
+    shuffled = [r["shuffled"] for r in cell_sizes(rows, ["l_returnflag"], "l_extendedprice", [0.5]).collect()]
+    assert sum(shuffled) < 0.05 * rows.count()
 
 
 def test_pie_total_is_a_scalar_subquery_not_a_join(spark):

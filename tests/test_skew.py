@@ -4,7 +4,7 @@ that key is spread over several tasks."""
 from pyspark.sql import functions as F
 
 from dashframe.operators.aggregate import chart_aggregate
-from dashframe.operators.quantiles import grouped_quantiles, slice_sizes
+from dashframe.operators.quantiles import LEAST, MARGIN, cell_sizes, grouped_quantiles
 
 SF = "/root/testdata/sf0.01"
 
@@ -16,14 +16,14 @@ def skewed(spark):
     return li.select(hot.alias("k"), F.col("l_extendedprice").alias("v"))
 
 
-def test_hot_group_spans_many_slices(spark):
-    # 32 value ranges stand in for a table much larger than one task (AQE
-    # would merge the ranges of this small fixture into a few tasks).
+def test_hot_group_shuffles_its_brackets_only(spark):
     df = skewed(spark)
-    sizes = slice_sizes(df, ["k"], "v", ranges=32).where("__g0 = -1").collect()
+    sizes = cell_sizes(df, ["k"], "v", [0.5]).where("__g0 = -1").collect()
     total = sum(r["rows"] for r in sizes)
-    assert len(sizes) >= 4
-    assert max(r["rows"] for r in sizes) < 0.5 * total
+    assert total > LEAST
+    # Two brackets' worth of values at most, spread over several cells.
+    assert 0 < sum(r["shuffled"] for r in sizes) <= 2 * 2 * MARGIN * total + 10
+    assert max(r["rows"] for r in sizes) < 0.3 * total
 
 
 def test_hot_group_median_exact(spark):
