@@ -1,16 +1,20 @@
 """Column profiling.
 
-One long *frequency table* ``(column_name, value, count)`` -- every column
-unpivoted to text, then a partial/final aggregate -- answers null counts,
-distinct counts (NULL counted as a value), the type rule for text columns
-and the top values, with a single shuffle for all columns.  Typed statistics
-(min, max, mean, std, sum) come from one plain ``agg``; medians and quartiles
-from the distributed rank selection in :mod:`dashframe.operators.quantiles`.
+One long *fingerprint table* ``(column_name, fingerprint, count)`` -- every
+column unpivoted to text, its values replaced by 128-bit fingerprints, then a
+partial/final aggregate -- answers null counts, distinct counts (NULL counted
+as a value) and the type rule for text columns, with a single shuffle for all
+columns that holds no text.  Top values come from hash-bucket counters (see
+:func:`top_values`).  Typed statistics (min, max, mean, std, sum) come from one
+plain ``agg``; medians and quartiles from the distributed rank selection in
+:mod:`dashframe.operators.quantiles`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dashframe.functions.clean import looks_like_date
@@ -39,17 +43,32 @@ def long_values(df: DataFrame, columns: list[str] | None = None,
 
 def value_frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``(column_name, value, count)``; NULL is a value."""
-    return (long_values(df, columns).groupBy("column_name", "value")
-            .agg(F.count(F.lit(1)).alias("count")))
+    return _count_values(long_values(df, columns))
+
+
+def _count_values(rows: DataFrame, *also: str) -> DataFrame:
+    return rows.groupBy("column_name", "value", *also).agg(F.count(F.lit(1)).alias("count"))
+
+
+def fingerprint_frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``(column_name, f1, f2, count, missing, dated)`` of every distinct value:
+    its fingerprint (two 64-bit hashes), whether it is NULL, and whether it
+    starts like a date."""
+    v = F.col("value")
+    rows = long_values(df, columns).select(
+        "column_name", F.xxhash64(v).alias("f1"), F.xxhash64(F.lit(1), v).alias("f2"),
+        v.isNull().alias("missing"), F.coalesce(looks_like_date(v), F.lit(False)).alias("dated"))
+    return rows.groupBy("column_name", "f1", "f2", "missing", "dated").agg(F.count(F.lit(1)).alias("count"))
 
 
 def column_profile(df: DataFrame, columns: list[str] | None = None,
                    freq: DataFrame | None = None) -> DataFrame:
-    """``column_name, row_count, null_count, unique_count``."""
-    freq = freq if freq is not None else value_frequencies(df, columns)
+    """``column_name, row_count, null_count, unique_count``; ``freq`` is a
+    fingerprint table that is at hand."""
+    freq = freq if freq is not None else fingerprint_frequencies(df, columns)
     return freq.groupBy("column_name").agg(
         F.sum("count").alias("row_count"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("count"))), F.lit(0))
+        F.coalesce(F.sum(F.when(F.col("missing"), F.col("count"))), F.lit(0))
         .cast("long").alias("null_count"),
         F.count(F.lit(1)).alias("unique_count"))
 
@@ -86,13 +105,13 @@ def detect_types(df: DataFrame, columns: list[str] | None = None,
         stats = df.agg(F.array(*per_col).alias("__p")).select(F.inline("__p"))
     elif text_cols:
         if freq is None:
-            freq = value_frequencies(df, text_cols)
+            freq = fingerprint_frequencies(df, text_cols)
         freq = freq.where(F.col("column_name").isin(text_cols))
-        v, cnt = F.col("value"), F.col("count")
+        cnt = F.col("count")
         stats = freq.groupBy("column_name").agg(
-            F.coalesce(F.sum(F.when(v.isNotNull(), cnt)), F.lit(0)).alias("non_null"),
+            F.coalesce(F.sum(F.when(~F.col("missing"), cnt)), F.lit(0)).alias("non_null"),
             F.count(F.lit(1)).alias("uniq"),
-            F.coalesce(F.sum(F.when(v.isNotNull() & looks_like_date(v), cnt)), F.lit(0))
+            F.coalesce(F.sum(F.when(~F.col("missing") & F.col("dated"), cnt)), F.lit(0))
             .alias("dated"))
     if text_cols:
         ratio = F.try_divide(F.col("uniq"), F.col("non_null"))
@@ -148,7 +167,7 @@ def table_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     column, and min, max, mean, std and sum of the numeric ones.  Counts and
     types read one frequency table, which is written once."""
     columns = columns or list(df.columns)
-    freq = store(value_frequencies(df, columns), "frequencies")
+    freq = store(fingerprint_frequencies(df, columns), "frequencies")
     numeric = [f.name for f in df.schema.fields if f.name in columns and is_numeric(f.dataType)]
     out = column_profile(df, columns, freq).join(detect_types(df, columns, freq=freq), "column_name")
     if not numeric:
@@ -169,15 +188,103 @@ def numeric_summary(df: DataFrame, column: str) -> DataFrame:
                                               "std", "q1", "q3")
 
 
-def top_values(df: DataFrame, columns: list[str] | None = None, k: int = TOP_VALUES,
-               freq: DataFrame | None = None) -> DataFrame:
-    """The k most frequent values per column (NULL included),
-    ties by value.  The per-column limit is applied map-side as well."""
-    freq = freq if freq is not None else value_frequencies(df, columns)
+def _best(freq: DataFrame, k: int) -> DataFrame:
     return top_per_group(freq, ["column_name"],
                          [F.col("count").desc(), F.col("value").asc_nulls_first()], k)
 
 
+def top_values(df: DataFrame, columns: list[str] | None = None, k: int = TOP_VALUES) -> DataFrame:
+    """The k most frequent values per column (NULL included),
+    ties by value: ``column_name, value, count, rank``.  Numbers, dates and
+    booleans are counted by value; text, which may be long, as in
+    :func:`_top_text`."""
+    columns = columns or list(df.columns)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    text = [c for c in columns if is_string(types[c])]
+    narrow = [c for c in columns if c not in text]
+    parts = [_best(value_frequencies(df, narrow), k)] if narrow else []
+    parts += [p.select("column_name", "value", "count", "rank") for p in _top_text(df, text, k)] if text else []
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _top_text(df: DataFrame, columns: list[str], k: int) -> list[DataFrame]:
+    """Frames that together hold the k most frequent values of text columns.
+
+    Counting every value of a near-unique text column would shuffle the column.
+    Instead each task counts *hash buckets* (``BUCKETS`` counters a column, summed
+    like any aggregate).  The values in the ``CHOSEN`` fullest buckets are
+    recounted exactly; any other value is at most as frequent as the fullest
+    bucket that was not chosen.  Where the k-th of the recounted is above that,
+    the column's top k are proven.
+
+    A column where no value stands out is counted by 64-bit hashes, still
+    without text: hashes above the k-th count (fewer than k), and of the equally
+    frequent ones those of the column's ``SMALLEST`` first values, which is where
+    the ties in text order are found; both are recounted as text.  Only if that
+    proves nothing either (more than ``SMALLEST`` rarer values come before the
+    ties, or hashes collide), the column's whole values are counted.  Every step
+    gives the same in any evaluation, and Spark drops the later ones when no
+    column is left for them.
+    """
+    rows = long_values(df, columns).withColumn("h", F.xxhash64("value"))
+    bucketed = rows.withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int"))
+    fullest = top_per_group(
+        bucketed.groupBy("column_name", "bucket").agg(F.count(F.lit(1)).alias("size")),
+        ["column_name"], [F.col("size").desc(), F.col("bucket")], CHOSEN + 1, "place")
+    cut = F.max(F.when(F.col("place") > CHOSEN, F.col("size"))).over(Window.partitionBy("column_name"))
+    chosen = fullest.withColumn("cut", F.coalesce(cut, F.lit(0))).where(F.col("place") <= CHOSEN)
+    found = _best(_count_values(
+        bucketed.join(F.broadcast(chosen.select("column_name", "bucket", "cut")),     # CHOSEN a column
+                      ["column_name", "bucket"]), "cut"), k)
+    found = _proven(found, (F.col("cut") == 0) | ((F.col("least") > F.col("cut")) & (F.col("n") == k)))
+
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+    left = _without(names, found)
+    tested = _proven(_by_hash(_only(rows, left), k), (F.col("least") >= F.col("cut")) & (F.col("n") == k))
+    rest = _only(long_values(df, columns), _without(left, tested))
+    return [found, tested, _best(_count_values(rest), k)]
+
+
+BUCKETS = 1 << 16     # counters a column
+CHOSEN = 64           # buckets whose values are recounted
+SMALLEST = 1000       # first values of a column in which ties are looked for
+
+
+def _only(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows of the named columns; there is a name a column at most."""
+    return rows.join(F.broadcast(names.select("column_name")), "column_name", "left_semi")
+
+
+def _without(names: DataFrame, done: DataFrame) -> DataFrame:
+    return names.join(F.broadcast(done.select("column_name")), "column_name", "left_anti")
+
+
+def _proven(best: DataFrame, condition) -> DataFrame:
+    """The ``best`` rows of the columns whose most frequent values they surely
+    are, by the least of their counts and their number."""
+    w = Window.partitionBy("column_name")
+    return best.withColumns({"least": F.min("count").over(w), "n": F.count(F.lit(1)).over(w)}).where(condition)
+
+
+def _by_hash(rows: DataFrame, k: int) -> DataFrame:
+    """The best of the values whose hashes are among the k most frequent, or tie
+    with the k-th and belong to the column's first values; ``cut`` is the k-th
+    hash's count, which no other value exceeds."""
+    counted = rows.groupBy("column_name", "h").agg(F.count(F.lit(1)).alias("c"))
+    top = top_per_group(counted, ["column_name"], [F.col("c").desc(), F.col("h")], k)
+    kth = top.groupBy("column_name").agg(F.min("c").alias("cut"))
+    above = top.join(F.broadcast(kth), "column_name").where("c > cut").select("column_name", "h", "cut")
+    first = rows.withColumn("at", F.dense_rank().over(
+        Window.partitionBy("column_name").orderBy(F.col("value").asc_nulls_first()))) \
+        .where(F.col("at") <= SMALLEST).select("column_name", "h", "value").distinct()
+    ties = (counted.join(F.broadcast(first), ["column_name", "h"])      # SMALLEST a column
+            .join(F.broadcast(kth), "column_name").where("c = cut"))
+    ties = top_per_group(ties, ["column_name"], [F.col("value").asc_nulls_first()], k).select(
+        "column_name", "h", "cut")
+    candidates = above.unionByName(ties).distinct()      # fewer than 2k a column
+    return _best(_count_values(rows.join(F.broadcast(candidates), ["column_name", "h"]), "cut"), k)
+
+
 def sample_values(df: DataFrame, order_col: str, columns: list[str] | None = None,
                   k: int = SAMPLE_VALUES) -> DataFrame:
     """First k non-null values per column in row order, and the
