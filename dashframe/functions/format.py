@@ -13,17 +13,26 @@ DATE_FORMATS = {
 }
 
 
+def _no_number(v: Column) -> Column:
+    """``nan``, ``inf`` and ``-inf`` as text; NULL for any number."""
+    return (F.when(F.isnan(v), F.lit("nan")).when(v == float("inf"), F.lit("inf"))
+            .when(v == float("-inf"), F.lit("-inf")))
+
+
 def _plain(c: Column, digits: int = 2) -> Column:
     return F.regexp_replace(F.format_number(c, digits), ",", "")
 
 
 def short_number(value: Column, is_float: bool = True) -> Column:
     """>= 1e6 -> ``1.23M``, >= 1e3 -> ``1.23K``, else two decimals.
-    Integer results keep all digits with thousands separators."""
+    Integer results keep all digits with thousands separators.  NaN reads
+    ``nan``, and infinities are large: ``infM``."""
     if not is_float:
         return F.format_number(value, 0)
     v = value.cast("double")
     return (F.when(v.isNull(), F.lit(None))
+            .when(F.isnan(v), F.lit("nan"))
+            .when(F.abs(v) == float("inf"), F.concat(_no_number(v), F.lit("M")))
             .when(F.abs(v) >= 1_000_000, F.concat(_plain(v / 1_000_000), F.lit("M")))
             .when(F.abs(v) >= 1_000, F.concat(_plain(v / 1_000), F.lit("K")))
             .otherwise(_plain(v)))
@@ -31,7 +40,8 @@ def short_number(value: Column, is_float: bool = True) -> Column:
 
 def value_label(value: Column, is_float: bool = True) -> Column:
     """Null -> '', floats -> ``1,234.50``, anything else -> its text."""
-    text = F.format_number(value, 2) if is_float else value.cast("string")
+    text = F.coalesce(_no_number(value.cast("double")), F.format_number(value, 2)) if is_float \
+        else value.cast("string")
     return F.coalesce(text, F.lit(""))
 
 

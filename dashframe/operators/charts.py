@@ -8,13 +8,16 @@ shape the plan, are read by the driver.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dashframe.functions.columns import col
 from dashframe.functions.format import short_number, value_label
-from dashframe.operators.aggregate import chart_agg_expr, chart_aggregate, null_safe_sum
+from dashframe.operators.aggregate import chart_agg_expr, null_safe_sum
 from dashframe.operators.filters import search_table
+from dashframe.operators.grouping import Grouping, grouped
 from dashframe.operators.order import asc, chart_order, top_rows
 from dashframe.operators.quantiles import box_positions, grouped_quantiles, rank_select
 from dashframe.schema import is_datetime, is_floating, is_integral, is_numeric
@@ -36,32 +39,58 @@ def _need(df: DataFrame, *names: str | None) -> None:
 
 # --------------------------------------------------------- category charts
 
-def column_chart(df, spec: ChartSpec, sort_by="none"):
-    """G1: several y by x; a series column adds a key (long rows)."""
-    ys = [c for c in spec.effective_y if c in df.columns]
-    _need(df, spec.x_column)
-    if not ys:
-        raise ChartSpecError("no valid y column")
-    return chart_aggregate(df, spec.x_column, ys, spec.aggregation, spec.color_column, sort_by)
-
+def _function(spec: ChartSpec) -> str:
+    return spec.aggregation if spec.aggregation in CHART_AGGREGATIONS else "sum"
 
-def bar_chart(df, spec: ChartSpec, sort_by="none"):
-    """As G1, series ignored."""
-    ys = [c for c in spec.effective_y if c in df.columns]
-    _need(df, spec.x_column)
-    if not ys:
-        raise ChartSpecError("no valid y column")
-    return chart_aggregate(df, spec.x_column, ys, spec.aggregation, None, sort_by)
 
-
-def line_chart(df, spec: ChartSpec, sort_by="none"):
-    """One y by x (and series), always ordered by x."""
-    _need(df, spec.x_column, spec.y_column)
-    return chart_aggregate(df, spec.x_column, [spec.y_column], spec.aggregation,
-                           spec.color_column, "none")
+def grouping_of(df: DataFrame, spec: ChartSpec) -> Grouping | None:
+    """What the visual's dataset is made from, or None where that is no
+    aggregate by key: G1/G2 several y by x (a series column adds a key, which
+    bars ignore), G3/G4 one y by x and series, G5 one y by x, G10 one value by
+    the text of x and y, G12 one value of the whole table."""
+    vt, x, y, fn = spec.visualization_type, spec.x_column, spec.y_column, _function(spec)
+    if vt == V.METRIC_CARD:
+        _need(df, y)
+        return Grouping((), (("__value", y, fn),))
+    if vt == V.HEATMAP:
+        value = spec.color_column or y
+        _need(df, x, y, value)
+        return Grouping((("x", x), ("y", y)), (("value", value, fn),), as_text=True)
+    if vt in (V.COLUMN_CHART, V.BAR_CHART):
+        _need(df, x)
+        ys = [c for c in spec.effective_y if c in df.columns]
+        if not ys:
+            raise ChartSpecError("no valid y column")
+    elif vt in (V.LINE_CHART, V.AREA_CHART):
+        _need(df, x, y)
+        ys = [y]
+    elif vt == V.PIE_CHART:
+        ys = [y or (spec.y_columns[0] if spec.y_columns else None)]
+        _need(df, x, ys[0])
+    else:
+        return None
+    series = spec.color_column if vt not in (V.BAR_CHART, V.PIE_CHART) else None
+    keys = [k for k in dict.fromkeys((x, series)) if k in df.columns]
+    return Grouping(tuple((k, k) for k in keys), tuple((c, c, fn) for c in dict.fromkeys(ys)))
 
 
-area_chart = line_chart
+def dataset_of(rows: DataFrame, spec: ChartSpec, g: Grouping, source: DataFrame, sort_by: str = "none") -> DataFrame:
+    """The visual's dataset from the rows of its grouping; ``source`` is the
+    table they come from, for its column types."""
+    vt = spec.visualization_type
+    if vt == V.METRIC_CARD:
+        return _metric(rows, spec, source.schema[spec.y_column].dataType)
+    if vt == V.HEATMAP:
+        return _scaled(rows)
+    if vt in (V.LINE_CHART, V.AREA_CHART) or vt not in SORTABLE:
+        sort_by = "none"
+    keys, value = [k for k, _ in g.keys], g.measures[0][0]
+    if vt == V.PIE_CHART:
+        rows = share_of_total(rows, value)
+    rows = rows.orderBy(*chart_order(keys, value, sort_by))
+    if spec.show_values and vt != V.PIE_CHART:
+        rows = with_value_labels(rows, spec)
+    return rows
 
 
 def share_of_total(df: DataFrame, value: str, name: str = "share") -> DataFrame:
@@ -73,19 +102,6 @@ def share_of_total(df: DataFrame, value: str, name: str = "share") -> DataFrame:
     return df.withColumn(name, mag / safe * 100)
 
 
-def table_by_key(df: DataFrame, x: str, y: str, fn: str) -> DataFrame:
-    """One measure by one key, unsorted."""
-    return df.groupBy(col(x)).agg(chart_agg_expr(col(y), fn, df.schema[y].dataType).alias(y))
-
-
-def pie_chart(df, spec: ChartSpec, sort_by="none"):
-    """One y by x with its share of the total."""
-    y = spec.y_column or (spec.y_columns[0] if spec.y_columns else None)
-    _need(df, spec.x_column, y)
-    agged = table_by_key(df, spec.x_column, y, spec.aggregation)
-    return share_of_total(agged, y).orderBy(*chart_order([spec.x_column], y, sort_by))
-
-
 # ------------------------------------------------------------ raw-row charts
 
 def scatter_plot(df, spec: ChartSpec, sort_by="none", max_points: int | None = None):
@@ -133,9 +149,18 @@ def _label_counts(df: DataFrame, x: str, split: str | None) -> DataFrame:
     return rows.orderBy(asc("bin"), *([asc(split)] if split else []))
 
 
+def histogram_left_out(df: DataFrame, x: str) -> DataFrame:
+    """One row: how many values of ``x`` are NULL, NaN or infinite, and so in no
+    bin of its histogram."""
+    v = col(x).cast("double")
+    return df.agg(F.count_if(col(x).isNull()).alias("n_null"), F.count_if(F.isnan(v)).alias("n_nan"),
+                  F.count_if(F.abs(v) == float("inf")).alias("n_infinite"))
+
+
 def histogram(df, spec: ChartSpec, sort_by="none"):
     """G7 (G8 when a color column is set): ``min(20, distinct)`` equal-width
-    bins over [min, max], last bin closed; empty bins kept (G7)."""
+    bins over [min, max], last bin closed; empty bins kept (G7).  NaN and
+    infinities have no bin (``histogram_left_out`` counts them)."""
     _need(df, spec.x_column)
     x = spec.x_column
     split = spec.color_column if spec.color_column in df.columns and \
@@ -148,7 +173,7 @@ def histogram(df, spec: ChartSpec, sort_by="none"):
     values = df.select(number.alias("__v"), *([col(split)] if split else [])) \
         .where(F.col("__v").isNotNull())
     if is_floating(df.schema[x].dataType):
-        values = values.where(~F.isnan("__v"))
+        values = values.where(~F.isnan("__v") & (F.abs("__v") != float("inf")))
     stats = histogram_bins(values.select("__v"))
     spark = df.sparkSession
     if stats is None:
@@ -211,7 +236,11 @@ def _cells(df: DataFrame, x: str, y: str, value: Column) -> DataFrame:
 def heatmap_all(df: DataFrame, x: str, y: str, value: str, fn: str = "sum") -> DataFrame:
     """Every (x, y) pair that occurs with the spec's aggregation, and the
     scale's ends on each row."""
-    cells = _cells(df, x, y, chart_agg_expr(col(value), fn, df.schema[value].dataType))
+    fn = fn if fn in CHART_AGGREGATIONS else "sum"
+    return _scaled(grouped(df, Grouping((("x", x), ("y", y)), (("value", value, fn),), as_text=True)))
+
+
+def _scaled(cells: DataFrame) -> DataFrame:
     scale = cells.agg(F.struct(F.min("value").alias("lo"), F.max("value").alias("hi"))).scalar()
     return cells.select("x", "y", "value", scale["lo"].alias("min_value"),
                         scale["hi"].alias("max_value")).orderBy("y", "x")
@@ -249,12 +278,6 @@ def pivot_wide(df: DataFrame, x: str, y: str, value: str, fn: str = "sum",
             .agg(chart_agg_expr(col(value), fn, df.schema[value].dataType)).orderBy(asc(y)))
 
 
-def heatmap(df, spec: ChartSpec, sort_by="none"):
-    value = spec.color_column or spec.y_column
-    _need(df, spec.x_column, spec.y_column, value)
-    return heatmap_all(df, spec.x_column, spec.y_column, value, spec.aggregation)
-
-
 # ----------------------------------------------------------- table & metric
 
 def table_columns(df: DataFrame, spec: ChartSpec) -> list[str]:
@@ -281,19 +304,15 @@ METRIC_LABELS = {"mean": "Average", "sum": "Total", "count": "Count",
                  "min": "Minimum", "max": "Maximum"}
 
 
-def metric_card(df, spec: ChartSpec, sort_by="none"):
+def _metric(rows: DataFrame, spec: ChartSpec, dtype) -> DataFrame:
     """Whole-table value, its label and short form."""
-    _need(df, spec.y_column)
-    y = spec.y_column
-    fn = spec.aggregation if spec.aggregation in CHART_AGGREGATIONS else "sum"
-    dtype = df.schema[y].dataType
+    fn = _function(spec)
     is_float = not (fn == "count" or (fn in ("sum", "min", "max") and is_integral(dtype)))
     label = METRIC_LABELS[fn]
-    agg = df.agg(chart_agg_expr(col(y), fn, dtype).alias("__value"))
-    title = spec.title or f"{label} — {y}"
-    return agg.select(F.lit(label).alias("label"), F.lit(title).alias("title"),
-                      F.col("__value").cast("double").alias("value"),
-                      short_number(F.col("__value"), is_float).alias("formatted"))
+    title = spec.title or f"{label} — {spec.y_column}"
+    return rows.select(F.lit(label).alias("label"), F.lit(title).alias("title"),
+                       F.col("__value").cast("double").alias("value"),
+                       short_number(F.col("__value"), is_float).alias("formatted"))
 
 
 def with_value_labels(data: DataFrame, spec: ChartSpec) -> DataFrame:
@@ -317,23 +336,27 @@ def with_value_labels(data: DataFrame, spec: ChartSpec) -> DataFrame:
     return out
 
 
-_DISPATCH = {
-    V.COLUMN_CHART: column_chart, V.BAR_CHART: bar_chart, V.LINE_CHART: line_chart,
-    V.AREA_CHART: area_chart, V.PIE_CHART: pie_chart, V.SCATTER_PLOT: scatter_plot,
-    V.HISTOGRAM: histogram, V.BOX_PLOT: box_plot, V.HEATMAP: heatmap,
-    V.TABLE: table_view, V.METRIC_CARD: metric_card,
-}
+_RAW = {V.SCATTER_PLOT: scatter_plot, V.HISTOGRAM: histogram, V.BOX_PLOT: box_plot, V.TABLE: table_view}
 
 
 def chart_dataset(df: DataFrame, spec: ChartSpec, sort_by: str = "none") -> DataFrame:
-    fn = _DISPATCH.get(spec.visualization_type)
-    if fn is None:
+    raw = _RAW.get(spec.visualization_type)
+    if raw is not None:
+        return raw(df, spec, sort_by if spec.visualization_type in SORTABLE else "none")
+    g = grouping_of(df, spec)
+    if g is None:
         raise ChartSpecError(f"no dataset for {spec.visualization_type.value}")
-    data = fn(df, spec, sort_by if spec.visualization_type in SORTABLE else "none")
-    if spec.show_values and spec.visualization_type in (V.COLUMN_CHART, V.BAR_CHART,
-                                                         V.LINE_CHART, V.AREA_CHART):
-        data = with_value_labels(data, spec)
-    return data
+    return dataset_of(grouped(df, g), spec, g, df, sort_by)
+
+
+def _named(kind: V):
+    def chart(df: DataFrame, spec: ChartSpec, sort_by: str = "none") -> DataFrame:
+        return chart_dataset(df, replace(spec, visualization_type=kind), sort_by)
+    return chart
+
+
+column_chart, bar_chart, line_chart, area_chart, pie_chart, heatmap, metric_card = map(_named, (
+    V.COLUMN_CHART, V.BAR_CHART, V.LINE_CHART, V.AREA_CHART, V.PIE_CHART, V.HEATMAP, V.METRIC_CARD))
 
 
 def generic_payload(df: DataFrame, spec: ChartSpec) -> DataFrame:

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import datetime as _dt
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,20 +31,31 @@ from dashframe.spec import FilterCondition
 
 # ---------------------------------------------------------------- typed form
 
+# A whole number beyond 64 bits compares like this one with any integer column.
+_BEYOND = 10 ** 30
+
+
+def _literal(v) -> Column:
+    """A literal; whole numbers that no long holds become decimals."""
+    if isinstance(v, int) and not isinstance(v, bool) and not -(1 << 63) <= v < 1 << 63:
+        return F.lit(Decimal(max(-_BEYOND, min(_BEYOND, v))))
+    return F.lit(v)
+
+
 def condition_predicate(cond: FilterCondition) -> Column:
     c, op, v = col(cond.column_name), cond.operator, cond.value
     if op == "eq":
-        return c == F.lit(v)
+        return c == _literal(v)
     if op == "ne":
-        return c != F.lit(v)
+        return c != _literal(v)
     if op == "gt":
-        return c > F.lit(v)
+        return c > _literal(v)
     if op == "lt":
-        return c < F.lit(v)
+        return c < _literal(v)
     if op == "gte":
-        return c >= F.lit(v)
+        return c >= _literal(v)
     if op == "lte":
-        return c <= F.lit(v)
+        return c <= _literal(v)
     if op == "contains":
         return c.rlike(str(v))
     if op == "starts_with":
@@ -52,7 +64,7 @@ def condition_predicate(cond: FilterCondition) -> Column:
         return c.endswith(str(v))
     if op in ("in", "not_in"):
         values = list(v) if isinstance(v, (list, tuple, set)) else [v]
-        test = c.isin(values) if values else F.lit(False)
+        test = c.isin([_literal(x) for x in values]) if values else F.lit(False)
         return test if op == "in" else ~test
     if op == "is_null":
         return c.isNull()
@@ -107,12 +119,12 @@ def _as_date(value, dtype: T.DataType) -> Column:
 
 def comparable_literal(dtype: T.DataType, value) -> Column:
     """The value as a literal of the column's kind -- a number (cut to
-    a whole one for an integral column), text, a date or a boolean -- or
-    ``_Skip`` with the reason why it is none."""
+    a whole one for an integral column, however large), text, a date or a
+    boolean -- or ``_Skip`` with the reason why it is none."""
     if value is None or isinstance(value, (list, tuple, set, dict)):
         raise _Skip("value does not fit the column")
     if is_numeric(dtype):
-        return F.lit(_as_number(value, is_integral(dtype)))
+        return _literal(_as_number(value, is_integral(dtype)))
     if is_datetime(dtype):
         return _as_date(value, dtype)
     for kind, own, reason in ((T.BooleanType, bool, "non-boolean value for a boolean column"),

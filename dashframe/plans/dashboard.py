@@ -9,17 +9,21 @@ S11 the export is a *bundle*: one Parquet dataset per visual plus a manifest.
 
 from __future__ import annotations
 
+import json
+from contextlib import suppress
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from dashframe.functions.columns import col
-from dashframe.operators.charts import ChartSpecError, chart_dataset, metric_card, table_view
+from dashframe.operators.charts import ChartSpecError, chart_dataset, dataset_of, grouping_of, table_view
 from dashframe.operators.filters import apply_dashboard_filters, search_column
+from dashframe.operators.grouping import Grouping, grouping_sets, one_of
 from dashframe.operators.transform import compute_measures
+from dashframe.session import store
 from dashframe.spec import (EXPORT_TABLE_ROWS, SEARCHABLE, ChartSpec,
                             VisualizationType as V)
 
@@ -62,12 +66,18 @@ class Exported:
 
 
 def export_datasets(df: DataFrame, visuals: list[dict], measures=None,
-                    filters_by_viz: dict | None = None) -> tuple[list[Exported], list[str]]:
+                    filters_by_viz: dict | None = None, share: bool = True) -> tuple[list[Exported], list[str]]:
     """L2: ``visuals`` are ``{"slide_id", "viz_id", "config": {...}}``.
     Returns what each visual gives, failures included, and the measures that
-    were skipped.  Nothing is cached: each visual scans the columns it reads."""
+    were skipped.
+
+    Visuals with equal filters whose datasets are aggregates by key share one
+    scan: their groupings are computed together and written once, and each
+    dataset reads its rows from there.  Other visuals scan the columns they
+    read.  If the common job fails, its visuals are planned one by one, so that
+    only those at fault do."""
     base, bad_measures = compute_measures(df, measures or [])
-    out = []
+    out, together = [], {}
     for v in visuals:
         cfg = v.get("config") or {}
         vtype = cfg.get("visualization_type")
@@ -77,19 +87,37 @@ def export_datasets(df: DataFrame, visuals: list[dict], measures=None,
         out.append(one)
         try:
             one.spec = ChartSpec.from_dict(cfg)
-            rows, one.skipped_filters = apply_dashboard_filters(
-                base, (filters_by_viz or {}).get(v["viz_id"], []))
+            wanted = (filters_by_viz or {}).get(v["viz_id"], [])
+            rows, one.skipped_filters = apply_dashboard_filters(base, wanted)
             if one.spec.visualization_type == V.TABLE:
                 one.data = table_view(rows, one.spec, max_rows=EXPORT_TABLE_ROWS)
-            elif one.spec.visualization_type == V.METRIC_CARD:
-                one.data = metric_card(rows, one.spec)
+            elif share and (g := grouping_of(rows, one.spec)):
+                one.data = chart_dataset(rows, one.spec, "none")
+                together.setdefault(json.dumps(wanted, sort_keys=True, default=str), []).append((one, g, rows))
             else:
                 one.data = chart_dataset(rows, one.spec, "none")
         except Exception as exc:  # whatever it is, it is this visual's alone
             one.error = str(exc)
+    for members in together.values():
+        if len(members) > 1:
+            _share_scan(members)
     return out, bad_measures
 
 
+def _share_scan(members: list[tuple[Exported, Grouping, DataFrame]]) -> None:
+    """Replace the datasets of visuals over the same rows by such that read one
+    stored table of all their groupings."""
+    rows = members[0][2]
+    groupings = [g for _, g, _ in members]
+    try:
+        stored = store(grouping_sets(rows, groupings), "export-groupings")
+    except Exception:  # one of them can't be computed: each on its own
+        return
+    for one, g, _ in members:
+        with suppress(AnalysisException):  # a measure named as a key keeps its own scan
+            one.data = dataset_of(one_of(stored, groupings, g), one.spec, g, rows)
+
+
 def long_form(data: DataFrame, spec: ChartSpec) -> DataFrame:
     """One visual's dataset as ``(label, series, measure, value)`` rows, so the
     datasets of an analysis can share one table."""
@@ -154,7 +182,8 @@ def write_bundle(df: DataFrame, visuals: list[dict], out_dir: str, measures=None
     manifest with one row per visual: path, rows, status, the whole error, and
     the filters and measures that were skipped.
 
-    The visuals are independent small jobs, so up to ``concurrency`` of them
+    Visuals that can share a scan do (:func:`export_datasets`).  The others are
+    independent jobs, so up to ``concurrency`` of them
     are submitted at once from driver threads."""
     from concurrent.futures import ThreadPoolExecutor
 
@@ -165,8 +194,10 @@ def write_bundle(df: DataFrame, visuals: list[dict], out_dir: str, measures=None
         path, rows, status, error = f"{out_dir}/slide_id={p.slide_id}/viz_id={p.viz_id}", None, "failed", p.error
         if p.data is not None:
             try:
-                p.data.write.mode("overwrite").parquet(path)
-                rows, status = spark.read.schema(p.data.schema).parquet(path).count(), "ok"
+                # Rows are counted as they are written; the files are not read again.
+                seen = Observation()
+                p.data.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+                rows, status = seen.get["rows"], "ok"
             except Exception as exc:  # a failing visual does not stop the export
                 error = str(exc)
         return (p.slide_id, p.viz_id, p.viz_type, path if status == "ok" else None, rows, status,
@@ -186,7 +217,6 @@ def visuals_of(document: str | dict) -> tuple[list[dict], list[dict]]:
     """One analysis document (its JSON text or dict) -> (visuals, measures) as
     the export expects them; visuals without a config are dropped.  A
     document is a small per-analysis record, read on the driver."""
-    import json
     doc = json.loads(document) if isinstance(document, str) else document
     visuals = []
     for slide in doc.get("slides") or []:

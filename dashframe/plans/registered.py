@@ -5,12 +5,15 @@ are rounded to 4 places on both sides."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dashframe.functions.columns import col
 from dashframe.operators.aggregate import aggregate, chart_aggregate
 from dashframe.operators.charts import (bar_chart, box_plot, column_chart, heatmap_cells,
-                                        histogram, line_chart, metric_card, pie_chart,
+                                        histogram, histogram_left_out, line_chart, metric_card, pie_chart,
                                         pivot_wide, scatter_plot, table_view)
 from dashframe.operators.filters import (apply_dashboard_filters, apply_filters,
                                          search_column, search_table)
@@ -1544,3 +1547,128 @@ def catalog_dashboards_nested(spark, sf_dir):
         "dashboard_id", F.size("visualizations").cast("long").alias("visuals"),
         F.array_join(F.transform("visualizations", lambda v: F.concat(
             v["viz_id"].cast("string"), F.lit(":"), v["viz_type"])), ",").alias("listed"))
+
+
+# ------------------------------------------------- large, infinite, not a number
+
+@register("filter_large_value", """
+select count(*) as n from lineitem where l_orderkey < 1e30 and l_partkey <> 1e30 and l_suppkey >= -1e300""")
+def filter_large_value(spark, sf_dir):
+    """Values that no long holds decide a predicate, they don't end the call."""
+    rows, skipped = apply_dashboard_filters(T(spark, sf_dir, "lineitem"), [
+        {"col": "l_orderkey", "op": "lt", "val": 1e30}, {"col": "l_partkey", "op": "ne", "val": "1e30"},
+        {"col": "l_suppkey", "op": "gte", "val": -1e300}])
+    assert not skipped
+    return rows.agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("agg_sum_large", """
+with t as (select o_orderstatus as g, case o_orderstatus when 'O' then 9223372036854775807 - o_custkey
+           when 'P' then null else o_orderkey end as v from orders)
+select g, case when count(v) = 0 then 0 when sum(v) > 9223372036854775807 then null
+  else cast(sum(v) as bigint) end as v from t group by g""")
+def agg_sum_large(spark, sf_dir):
+    """A group whose sum no long holds is NULL; the others are summed."""
+    v = F.when(F.col("o_orderstatus") == "O", F.lit(2 ** 63 - 1) - F.col("o_custkey")).when(
+        F.col("o_orderstatus") != "P", F.col("o_orderkey"))
+    return chart_aggregate(T(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("g"), v.alias("v")),
+                           "g", ["v"], "sum")
+
+
+def _infinite():
+    return (F.when(F.col("l_linenumber") == 1, float("inf")).when(F.col("l_linenumber") == 2, float("-inf"))
+            .when(F.col("l_linenumber") == 3, float("nan")).otherwise(F.col("l_quantity")))
+
+
+@register("chart_metric_nan", """
+with t as (select case l_linenumber when 1 then 'inf'::double when 2 then '-inf'::double when 3 then 'nan'::double
+             else l_quantity end as v from lineitem)
+select 'Average' as label, case when isnan(avg(v)) then 'nan' else '?' end as formatted,
+  'infM' as largest from t""")
+def chart_metric_nan(spark, sf_dir):
+    """The mean over a value that is no number reads ``nan``, an infinite
+    maximum ``infM``."""
+    rows = T(spark, sf_dir, "lineitem").withColumn("v", _infinite())
+    mean = metric_card(rows, ChartSpec("metric_card", y_column="v", aggregation="mean"))
+    most = metric_card(rows, ChartSpec("metric_card", y_column="v", aggregation="max"))
+    return mean.select("label", "formatted", most.select("formatted").scalar().alias("largest"))
+
+
+@register("chart_histogram_infinite", """
+with t as (select l_quantity as v from lineitem where l_linenumber > 3),
+s as (select min(v) as mn, max(v) as mx, least(20, count(distinct v)) as bins from t),
+b as (select least(cast(floor((v - mn) / ((mx - mn) / bins)) as int), bins - 1) as bin, count(*) as n
+      from t, s group by 1)
+select cast(i as int) as bin, coalesce(n, 0) as count, round(mn + i * (mx - mn) / bins, 4) as bin_start,
+  round(mn + (i + 1) * (mx - mn) / bins, 4) as bin_end,
+  (select count(*) from lineitem where l_linenumber = 3) as n_nan,
+  (select count(*) from lineitem where l_linenumber in (1, 2)) as n_infinite
+from s, unnest(range(20)) as r(i) left join b on b.bin = i where i < bins""")
+def chart_histogram_infinite(spark, sf_dir):
+    """Bins span the finite values; the others are counted beside them."""
+    rows = T(spark, sf_dir, "lineitem").withColumn("v", _infinite())
+    left = histogram_left_out(rows, "v")
+    bins = rounded(histogram(rows, ChartSpec("histogram", x_column="v")), ["bin_start", "bin_end"])
+    return bins.withColumn("n_nan", left.select("n_nan").scalar()).withColumn(
+        "n_infinite", left.select("n_infinite").scalar())
+
+
+# ------------------------------------------------------- one scan, many visuals
+
+def _twelve():
+    def v(i, kind, fn="sum", **config):
+        return {"slide_id": f"s{i // 4}", "viz_id": f"v{i}",
+                "config": {"visualization_type": kind, "aggregation": fn, **config}}
+    return [
+        v(0, "column_chart", x_column="l_returnflag", y_columns=["l_quantity", "revenue"]),
+        v(1, "column_chart", "mean", x_column="l_returnflag", y_column="l_tax", color_column="l_linestatus"),
+        v(2, "bar_chart", "max", x_column="l_linenumber", y_column="l_extendedprice", color_column="l_linestatus"),
+        v(3, "line_chart", "min", x_column="l_linenumber", y_column="l_discount", color_column="l_returnflag"),
+        v(4, "area_chart", "count", x_column="l_shipdate", y_column="l_orderkey"),
+        v(5, "pie_chart", x_column="l_linestatus", y_column="revenue"),
+        v(6, "pie_chart", "count", x_column="l_suppkey", y_column="l_tax"),
+        v(7, "heatmap", "mean", x_column="l_returnflag", y_column="l_linenumber", color_column="l_tax"),
+        v(8, "metric_card", y_column="l_orderkey"),
+        v(9, "metric_card", "mean", y_column="revenue"),
+        v(10, "metric_card", "count", y_column="l_tax"),
+        v(11, "line_chart", x_column="l_partkey", y_column="l_quantity")]
+
+
+def _twelve_sql():
+    agg = {"sum": "sum", "mean": "avg", "max": "max", "min": "min", "count": "count"}
+    parts = []
+    for v in _twelve():
+        c = v["config"]
+        kind, fn = c["visualization_type"], agg[c["aggregation"]]
+        head = f"select '{v['slide_id']}' as slide_id, '{v['viz_id']}' as viz_id, '{kind}' as viz_type"
+        x, series = c.get("x_column"), c.get("color_column")
+        if kind == "metric_card":
+            label = {"sum": "Total", "avg": "Average", "count": "Count"}[fn]
+            parts.append(f"{head}, '{label}' as label, null::varchar as series, '{c['y_column']}' as measure, "
+                         f"{fn}({c['y_column']}) as value from m")
+            continue
+        if kind == "heatmap":
+            parts.append(f"{head}, cast({x} as varchar), cast({c['y_column']} as varchar), 'value', "
+                         f"{fn}({series}) from m group by {x}, {c['y_column']}")
+            continue
+        series = series if series and kind not in ("bar_chart", "pie_chart") else None
+        for y in c.get("y_columns") or [c["y_column"]]:
+            text = f"cast({series} as varchar)" if series else "null"
+            keys = x + (f", {series}" if series else "")
+            label = f"strftime({x}, '%Y-%m-%d %H:%M:%S')" if x == "l_shipdate" else f"cast({x} as varchar)"
+            parts.append(f"{head}, {label}, {text}, '{y}', {fn}({y}) from m group by {keys}")
+            if kind == "pie_chart":
+                parts.append(f"{head}, {label}, {text}, 'share', abs({fn}({y})) / sum(abs({fn}({y}))) over () * 100 "
+                             f"from m group by {keys}")
+    return ("with m as (select *, l_extendedprice * (1 - l_discount) as revenue from lineitem where l_quantity > 5),\n"
+            "u(slide_id, viz_id, viz_type, label, series, measure, value) as (" + "\nunion all ".join(parts) + ")\n"
+            "select slide_id, viz_id, viz_type, label, series, measure, round(cast(value as double), 4) as value from u")
+
+
+@register("export_shared_scan", _twelve_sql())
+def export_shared_scan(spark, sf_dir):
+    """L2: twelve visuals over one filter, answered by one scan."""
+    visuals = _twelve()
+    out = export_long(T(spark, sf_dir, "lineitem"), visuals, FLAGSHIP_MEASURES,
+                      {v["viz_id"]: [{"col": "l_quantity", "op": "gt", "val": 5}] for v in visuals})
+    return out.withColumn("value", r4(F.col("value")))
