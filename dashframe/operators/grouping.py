@@ -83,7 +83,8 @@ def one_of(together: DataFrame, groupings: list[Grouping], g: Grouping) -> DataF
     values = [F.col(f"a{aggs.index((y, fn))}") for _, y, fn in g.measures]
     if not g.keys:
         # An empty table has no row of the empty set, but one of results.
-        values = [F.max(v) if fn not in ("sum", "count") else F.coalesce(F.max(v), F.lit(0))
+        none = F.count(F.lit(1)) == 0
+        values = [F.when(none, F.lit(0)).otherwise(F.max(v)) if fn in ("sum", "count") else F.max(v)
                   for v, (_, _, fn) in zip(values, g.measures)]
         return rows.agg(*[v.alias(n) for v, (n, _, _) in zip(values, g.measures)])
     return rows.select(*[F.col(f"k{i}").alias(n) for i, (n, _) in zip(at, g.keys)],
