@@ -18,7 +18,7 @@ from dashframe.functions.format import short_number, value_label
 from dashframe.operators.aggregate import chart_agg_expr, null_safe_sum
 from dashframe.operators.filters import search_table
 from dashframe.operators.grouping import Grouping, grouped
-from dashframe.operators.order import asc, chart_order, top_rows
+from dashframe.operators.order import asc, chart_order, first_rows
 from dashframe.operators.quantiles import box_positions, grouped_quantiles, rank_select
 from dashframe.schema import is_datetime, is_floating, is_integral, is_numeric
 from dashframe.spec import (CHART_AGGREGATIONS, HEATMAP_AXIS_CAP, HISTOGRAM_MAX_BINS,
@@ -112,9 +112,8 @@ def scatter_plot(df, spec: ChartSpec, sort_by="none", max_points: int | None = N
     for extra in (spec.color_column, spec.size_column):
         if extra and extra in df.columns and extra not in cols:
             cols.append(extra)
-    rows = df.select(*[col(c) for c in cols]).where(
-        col(spec.x_column).isNotNull() & col(spec.y_column).isNotNull())
-    return top_rows(rows, max_points, cols) if max_points else rows
+    rows = df.where(col(spec.x_column).isNotNull() & col(spec.y_column).isNotNull())
+    return first_rows(rows, max_points, cols) if max_points else rows.select(*[col(c) for c in cols])
 
 
 # Above this HyperLogLog estimate the true distinct count is surely >= 20
@@ -291,12 +290,12 @@ def table_columns(df: DataFrame, spec: ChartSpec) -> list[str]:
 
 def table_view(df, spec: ChartSpec, sort_by="none", search: str | None = None,
                max_rows: int = SCREEN_TABLE_ROWS):
-    """Searched, projected, capped rows."""
+    """Searched, projected rows, the first of them in row order."""
     cols = table_columns(df, spec)
     if not cols:
         raise ChartSpecError("no valid column to show")
-    rows = search_table(df, search).select(*[col(c) for c in cols])
-    return top_rows(rows, max_rows, cols) if max_rows else rows
+    rows = search_table(df, search)
+    return first_rows(rows, max_rows, cols) if max_rows else rows.select(*[col(c) for c in cols])
 
 
 # Metric card labels.

@@ -7,11 +7,15 @@ category so results are deterministic.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 from dashframe.functions.columns import col
-from dashframe.session import store
+from dashframe.session import shared_dir, store
 
 
 def asc(name: str) -> Column:
@@ -61,6 +65,29 @@ def with_position(df: DataFrame, order: list[Column], name: str = "position") ->
             .drop("__pid", "__mid", "__off"))
 
 
+def row_order(df: DataFrame) -> Column | None:
+    """The place of a row in the files it was read from (file, row), for frames
+    that select, filter or extend rows of Parquet files; None for others."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    try:
+        df.select(place).schema
+    except AnalysisException:
+        return None
+    return place
+
+
+def first_rows(df: DataFrame, n: int, columns: list[str] | None = None) -> DataFrame:
+    """The first ``n`` rows in row order, as the files hold them.  Planned as
+    the first n of every task and their merge: nothing is sorted whole.  Rows
+    that have no such order are taken by :func:`top_rows`."""
+    cols = columns or df.columns
+    place = row_order(df)
+    if place is None:
+        return top_rows(df.select(*[col(c) for c in cols]), n, cols)
+    kept = df.select(*[col(c) for c in cols], place.alias("__place"))
+    return kept.orderBy("__place").limit(n).drop("__place")
+
+
 def top_rows(df: DataFrame, n: int, columns: list[str] | None = None) -> DataFrame:
     """A row cap made deterministic by ordering on every projected column
     (ties are identical rows).  Planned as a per-partition top-n + merge."""
@@ -94,5 +121,65 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0,
 
 
 def preview(df: DataFrame, n: int = 10) -> DataFrame:
-    """R6 preview: the first n rows in a total order over all columns."""
-    return top_rows(df, n)
+    """R6 preview: the first n rows."""
+    return first_rows(df, n)
+
+
+@dataclass
+class RankIndex:
+    """R9 for tables that are paged often: the rows, clustered once by the
+    order, and a block table with each block's first position.  A page reads the
+    blocks that hold it, wherever it starts.
+
+    Rows are range-partitioned by the order and sorted within; a file holds at
+    most ``block_rows`` of them, so files are blocks.  Their rows are counted
+    from the written files, which later pages read too: positions are those of
+    the files, whatever partitions the index was built with.
+    """
+    spark: SparkSession
+    path: str
+    schema: T.StructType
+
+    @staticmethod
+    def build(df: DataFrame, order: list[Column], block_rows: int = 1_000_000,
+              path: str | None = None) -> RankIndex:
+        spark = df.sparkSession
+        path = path or shared_dir(spark, "rank-index", temporary=True)
+        placed = df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id())
+        placed.write.option("maxRecordsPerFile", block_rows).parquet(f"{path}/rows")
+        files = spark.read.schema(placed.schema).parquet(f"{path}/rows")
+        counted = files.groupBy(F.col("_metadata.file_path").alias("file")).agg(
+            F.min("__at").alias("first"), F.count(F.lit(1)).alias("n"))
+        before = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)     # a row a block
+        counted.select("file", "first", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")) \
+            .write.parquet(f"{path}/blocks")
+        return RankIndex(spark, path, placed.schema)
+
+    @staticmethod
+    def open(spark: SparkSession, path: str) -> RankIndex:
+        return RankIndex(spark, path, spark.read.parquet(f"{path}/rows").schema)
+
+    @property
+    def blocks(self) -> DataFrame:
+        """``file, first, n, before``: ``before`` rows precede the block."""
+        return self.spark.read.schema("file string, first long, n long, before long").parquet(f"{self.path}/blocks")
+
+    def total(self) -> int:
+        return self.blocks.agg(F.coalesce(F.max(F.col("before") + F.col("n")), F.lit(0))).first()[0]
+
+    def page(self, limit: int, offset: int = 0, name: str = "position") -> DataFrame:
+        """The rows after ``offset`` in order, with their 1-based positions."""
+        held = (self.blocks.where((F.col("before") < offset + limit) & (F.col("before") + F.col("n") > offset))
+                .select("file", "first", "before").collect())      # the page's blocks
+        columns = [c for c in self.schema.names if c != "__at"]
+        if not held:
+            return self.spark.createDataFrame([], T.StructType(
+                [f for f in self.schema if f.name != "__at"] + [T.StructField(name, T.LongType())]))
+        rows = self.spark.read.schema(self.schema).parquet(*[b["file"] for b in held])
+        start = F.lit(None).cast("long")
+        # Places within a block are consecutive: its files' rows are.
+        for b in sorted(held, key=lambda b: b["first"]):
+            start = F.when(F.col("__at") >= b["first"], F.lit(b["before"] - b["first"])).otherwise(start)
+        at = (F.col("__at") + start + 1).cast("long")
+        return (rows.withColumn(name, at).where((F.col(name) > offset) & (F.col(name) <= offset + limit))
+                .orderBy(name).select(*[col(c) for c in columns], name))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from dashframe.functions.clean import looks_like_date
 from dashframe.functions.columns import col
-from dashframe.operators.order import top_per_group
+from dashframe.operators.order import row_order, top_per_group
 from dashframe.operators.quantiles import grouped_quantiles
 from dashframe.schema import is_datetime, is_numeric, is_string, semantic_type
 from dashframe.session import store
@@ -285,11 +285,18 @@ def _by_hash(rows: DataFrame, k: int) -> DataFrame:
     return _best(_count_values(rows.join(F.broadcast(candidates), ["column_name", "h"]), "cut"), k)
 
 
-def sample_values(df: DataFrame, order_col: str, columns: list[str] | None = None,
+def sample_values(df: DataFrame, order_col: str | None = None, columns: list[str] | None = None,
                   k: int = SAMPLE_VALUES) -> DataFrame:
-    """First k non-null values per column in row order, and the
-    three-sample preview (each cut to 18 characters, joined by ' · ')."""
+    """First k non-null values per column in row order (that of the files,
+    or of a column that gives one), and the three-sample preview (each cut to 18
+    characters, joined by ' · ')."""
     columns = columns or [c for c in df.columns if c != order_col]
+    if order_col is None:
+        place = row_order(df)
+        if place is None:
+            raise ValueError("these rows come from no file: name a column that orders them")
+        order_col = "__place"
+        df = df.select(*[col(c) for c in columns], place.alias(order_col))
     firsts = top_per_group(
         long_values(df, columns, ids=[order_col]).where(F.col("value").isNotNull()),
         ["column_name"], [col(order_col).asc()], k, "pos")

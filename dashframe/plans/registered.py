@@ -17,7 +17,7 @@ from dashframe.operators.charts import (bar_chart, box_plot, column_chart, heatm
                                         pivot_wide, scatter_plot, table_view)
 from dashframe.operators.filters import (apply_dashboard_filters, apply_filters,
                                          search_column, search_table)
-from dashframe.operators.order import chart_order, with_position
+from dashframe.operators.order import RankIndex, chart_order, with_position
 from dashframe.operators.transform import compute_measures
 from dashframe.plans import derived as D
 from dashframe.plans.dashboard import export_long, render_visual
@@ -348,8 +348,7 @@ def chart_scatter(spark, sf_dir):
 
 @register("chart_scatter_export", """
 select l_quantity, l_extendedprice from lineitem
-where l_quantity is not null and l_extendedprice is not null
-order by l_quantity nulls first, l_extendedprice nulls first limit 500""")
+where l_quantity is not null and l_extendedprice is not null limit 500""")
 def chart_scatter_export(spark, sf_dir):
     spec = ChartSpec("scatter_plot", x_column="l_quantity", y_column="l_extendedprice")
     return scatter_plot(T(spark, sf_dir, "lineitem"), spec, max_points=500)
@@ -357,8 +356,7 @@ def chart_scatter_export(spark, sf_dir):
 
 @register("chart_table", """
 select c_name, c_acctbal, c_mktsegment from customer
-where contains(lower(c_name), 'building') or contains(lower(c_mktsegment), 'building')
-order by c_name nulls first, c_acctbal nulls first, c_mktsegment nulls first limit 200""")
+where contains(lower(c_name), 'building') or contains(lower(c_mktsegment), 'building') limit 200""")
 def chart_table(spark, sf_dir):
     spec = ChartSpec("table", y_columns=("c_name", "c_acctbal", "c_mktsegment", "nope"))
     return table_view(T(spark, sf_dir, "customer"), spec, search="Building")
@@ -1203,8 +1201,7 @@ def catalog_upsert_files(spark, sf_dir):
 
 
 @register("preview_rows", """
-select * from orders order by o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate,
-  o_orderpriority limit 10""")
+select * from orders limit 10""")
 def preview_rows(spark, sf_dir):
     from dashframe.operators.order import preview
     return preview(T(spark, sf_dir, "orders"))
@@ -1323,6 +1320,50 @@ def orders_page(spark, sf_dir):
     return page(o, [F.col("o_orderkey").asc()], limit=100, offset=o.count() // 2)
 
 
+@register("orders_page_indexed", """
+select *, row_number() over (order by o_totalprice desc, o_orderkey) as position from orders
+qualify position > (select count(*) // 2 from orders) and position <= (select count(*) // 2 from orders) + 100""")
+def orders_page_indexed(spark, sf_dir):
+    """R9 by a rank index: the middle page reads the blocks that hold it."""
+    index = RankIndex.build(T(spark, sf_dir, "orders"),
+                            [F.col("o_totalprice").desc(), F.col("o_orderkey").asc()], block_rows=1000)
+    return index.page(100, index.total() // 2)
+
+
+@register("agg_first_row_order", """
+with t as (select o_orderpriority as p, o_custkey as v, row_number() over () as i from orders)
+select p, arg_min(v, i) as v_first from t group by p""")
+def agg_first_row_order(spark, sf_dir):
+    """A9 without an order column: the first row as the files hold them."""
+    rows = T(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("p"), F.col("o_custkey").alias("v"))
+    return aggregate(rows, AggregationConfig(("p",), "v", "first"))
+
+
+@register("agg_last_row_order", """
+with t as (select o_orderpriority as p, o_custkey as v, row_number() over () as i from orders)
+select p, arg_max(v, i) as v_last from t group by p""")
+def agg_last_row_order(spark, sf_dir):
+    """A10 likewise."""
+    rows = T(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("p"), F.col("o_custkey").alias("v"))
+    return aggregate(rows, AggregationConfig(("p",), "v", "last"))
+
+
+@register("profile_samples_row_order", """
+with t as (select *, row_number() over () as i from customer),
+l as (select i, 'c_name' as column_name, c_name as value from t union all
+      select i, 'c_mktsegment', case when c_custkey % 5 = 0 then null else c_mktsegment end from t),
+f as (select *, row_number() over (partition by column_name order by i) as pos from l
+      where value is not null qualify pos <= 10)
+select column_name, string_agg(value, '|' order by pos) as samples,
+  string_agg(case when pos <= 3 then substring(value, 1, 18) end, ' · ' order by pos) as preview
+from f group by column_name""")
+def profile_samples_row_order(spark, sf_dir):
+    """P7/P8 in the files' own order."""
+    c = T(spark, sf_dir, "customer")
+    return P.sample_values(c.select("c_name", F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment"))
+                                    .alias("c_mktsegment")))
+
+
 @register("orders_position", """
 select o_orderkey, row_number() over (order by o_totalprice desc, o_orderkey) as position from orders""")
 def orders_position(spark, sf_dir):
