@@ -69,16 +69,16 @@ def dashboard_documents(viz: DataFrame) -> DataFrame:
         F.struct("created_at", "viz_id", "sheet_id", "viz_type"))).alias("visualizations"))
 
 
-def upsert_files(old: DataFrame, new: DataFrame) -> DataFrame:
-    """A file that exists takes the new name, path and size and keeps its
-    owner and upload time; other files are added."""
-    return upsert(old, new, "file_id", keep_old=["user_id", "uploaded_at"])
-
-
-def replace_children(old: DataFrame, new: DataFrame, parents: DataFrame, parent: str) -> DataFrame:
-    """The children (sheets, columns) of the given parents are replaced by
-    the new ones; all others stay."""
-    return old.join(parents.select(parent).distinct(), parent, "left_anti").unionByName(new)
+def save_files(files: DataFrame, sheets: DataFrame, columns: DataFrame, new_files: DataFrame,
+               new_sheets: DataFrame, new_columns: DataFrame) -> dict[str, DataFrame]:
+    """A batch of uploads saved with their sheets and columns.  A file that
+    exists takes the new name, path and size and keeps its owner and upload
+    time; an existing sheet takes the new name and stays in its file, an
+    existing column takes the new name and type and stays in its sheet; what is
+    new is added and nothing is removed."""
+    return {"files": upsert(files, new_files, "file_id", keep_old=["user_id", "uploaded_at"]),
+            "file_sheets": upsert(sheets, new_sheets, "sheet_id", keep_old=["file_id"]),
+            "sheet_columns": upsert(columns, new_columns, "column_id", keep_old=["sheet_id"])}
 
 
 def dashboard_visuals(viz: DataFrame) -> DataFrame:

@@ -1174,30 +1174,77 @@ def ingest_pipeline(spark, sf_dir):
     return got.table
 
 
-@register("catalog_upsert_files", f"""
-with n as (select file_id, user_id, file_name || '_v2' as file_name,
+# A re-upload: every file uploaded from 1999 on comes back renamed, resized and
+# as another user's, small ones without a path; first sheets renamed, columns
+# retyped; files, sheets and columns under negated ids are new.
+_REUPLOAD_SQL = f"""nf as (select file_id, -user_id as user_id, file_name || '_v2' as file_name,
     case when file_size_kb < 100000 then null else storage_path || '.v2' end as storage_path,
-    file_size_kb + 1 as file_size_kb, uploaded_at
-  from {D.FILES_SQL} f where uploaded_at >= timestamp '1999-01-01')
+    file_size_kb + 1 as file_size_kb, uploaded_at + interval 1 day as uploaded_at
+  from {D.FILES_SQL} f where uploaded_at >= timestamp '1999-01-01'
+  union all select -file_id, user_id, file_name || '_new', storage_path, file_size_kb, uploaded_at
+  from {D.FILES_SQL} f where file_id % 10 = 0),
+ns as (select sheet_id, -file_id as file_id, sheet_name || ' (2)' as sheet_name from {D.SHEETS_SQL} s
+    where sheet_name = 'Sheet1'
+  union all select -sheet_id, -file_id, sheet_name from {D.SHEETS_SQL} s where file_id % 10 = 0),
+nc as (select column_id, -sheet_id as sheet_id, upper(column_name) as column_name, 'Int64' as data_type
+    from {D.COLUMNS_SQL} c where column_name = 'l_tax'
+  union all select -column_id, -sheet_id, column_name, data_type from {D.COLUMNS_SQL} c where sheet_id % 10 = 0)"""
+
+
+def _reupload(spark, sf_dir):
+    f, s, c, _ = _cat(spark, sf_dir)
+    recent = F.col("uploaded_at") >= F.lit("1999-01-01 00:00:00").cast("timestamp_ntz")
+    size = F.col("file_size_kb")
+    nf = f.where(recent).select(
+        "file_id", (-F.col("user_id")).alias("user_id"), F.concat("file_name", F.lit("_v2")).alias("file_name"),
+        F.when(size >= 100000, F.concat("storage_path", F.lit(".v2"))).alias("storage_path"),
+        (size + 1).alias("file_size_kb"), (F.col("uploaded_at") + F.expr("interval 1 day")).alias("uploaded_at"))
+    nf = nf.unionByName(f.where("file_id % 10 = 0").select(
+        (-F.col("file_id")).alias("file_id"), "user_id", F.concat("file_name", F.lit("_new")).alias("file_name"),
+        "storage_path", "file_size_kb", "uploaded_at"))
+    ns = s.where("sheet_name = 'Sheet1'").select("sheet_id", (-F.col("file_id")).alias("file_id"), F.concat(
+        "sheet_name", F.lit(" (2)")).alias("sheet_name")).unionByName(s.where("file_id % 10 = 0").select(
+            (-F.col("sheet_id")).alias("sheet_id"), (-F.col("file_id")).alias("file_id"), "sheet_name"))
+    nc = c.where("column_name = 'l_tax'").select(
+        "column_id", (-F.col("sheet_id")).alias("sheet_id"), F.upper("column_name").alias("column_name"),
+        F.lit("Int64").alias("data_type")).unionByName(c.where("sheet_id % 10 = 0").select(
+            (-F.col("column_id")).alias("column_id"), (-F.col("sheet_id")).alias("sheet_id"), "column_name",
+            "data_type"))
+    return K.save_files(f, s, c, nf, ns, nc)
+
+
+@register("catalog_upsert_files", f"""
+with {_REUPLOAD_SQL}
 select coalesce(n.file_id, o.file_id) as file_id, coalesce(o.user_id, n.user_id) as user_id,
   case when n.file_id is not null then n.file_name else o.file_name end as file_name,
-  case when n.file_id is not null then coalesce(n.storage_path, o.storage_path)
-       else o.storage_path end as storage_path,
+  case when n.file_id is not null then n.storage_path else o.storage_path end as storage_path,
   case when n.file_id is not null then n.file_size_kb else o.file_size_kb end as file_size_kb,
-  case when n.file_id is not null then n.uploaded_at else o.uploaded_at end as uploaded_at
-from {D.FILES_SQL} o full outer join n on o.file_id = n.file_id""")
+  coalesce(o.uploaded_at, n.uploaded_at) as uploaded_at
+from {D.FILES_SQL} o full outer join nf n on o.file_id = n.file_id""")
 def catalog_upsert_files(spark, sf_dir):
-    """A re-upload batch (every file uploaded from 1999 on comes back
-    renamed and resized; small ones without a new storage path) merged into
-    the file catalog."""
-    f = D.catalog_files(spark, sf_dir)
-    size = F.col("file_size_kb")
-    recent = F.col("uploaded_at") >= F.lit("1999-01-01 00:00:00").cast("timestamp_ntz")
-    new = f.where(recent).select(
-        "file_id", "user_id", F.concat("file_name", F.lit("_v2")).alias("file_name"),
-        F.when(size < 100000, F.lit(None)).otherwise(F.concat("storage_path", F.lit(".v2")))
-        .alias("storage_path"), (size + 1).alias("file_size_kb"), "uploaded_at")
-    return K.upsert(f, new, "file_id", keep_if_null=["storage_path"], keep_old=["user_id"])
+    """The files after a batch of uploads; owner and upload time stay, and
+    a path may be emptied."""
+    return _reupload(spark, sf_dir)["files"]
+
+
+@register("catalog_upsert_sheets", f"""
+with {_REUPLOAD_SQL}
+select coalesce(n.sheet_id, o.sheet_id) as sheet_id, coalesce(o.file_id, n.file_id) as file_id,
+  coalesce(n.sheet_name, o.sheet_name) as sheet_name
+from {D.SHEETS_SQL} o full outer join ns n on o.sheet_id = n.sheet_id""")
+def catalog_upsert_sheets(spark, sf_dir):
+    """Its sheets; a known one takes the new name and stays in its file."""
+    return _reupload(spark, sf_dir)["file_sheets"]
+
+
+@register("catalog_upsert_columns", f"""
+with {_REUPLOAD_SQL}
+select coalesce(n.column_id, o.column_id) as column_id, coalesce(o.sheet_id, n.sheet_id) as sheet_id,
+  coalesce(n.column_name, o.column_name) as column_name, coalesce(n.data_type, o.data_type) as data_type
+from {D.COLUMNS_SQL} o full outer join nc n on o.column_id = n.column_id""")
+def catalog_upsert_columns(spark, sf_dir):
+    """And their columns, likewise."""
+    return _reupload(spark, sf_dir)["sheet_columns"]
 
 
 @register("preview_rows", """
