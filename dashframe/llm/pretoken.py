@@ -68,15 +68,15 @@ def distinct_chunks(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]
 
 def encode_texts(texts: pa.Array, encode_chunks, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, flat int32; offsets by text).  ``encode_chunks`` gives
-    a sequence of ids for each of a list of chunks; answers are kept as the
-    bytes of 32-bit ids."""
+    a sequence of ids, or the bytes of 32-bit ids, for each of a list of chunks;
+    answers are kept as such bytes."""
     names, codes, offsets = distinct_chunks(texts)
     used = np.zeros(len(names), bool)
     used[codes] = True
     answers = [memo.get(n) if u else b"" for n, u in zip(names, used.tolist())]
     missing = [i for i, a in enumerate(answers) if a is None]
     for i, ids in zip(missing, encode_chunks([names[i] for i in missing])):
-        answers[i] = np.array(ids, np.int32).tobytes()
+        answers[i] = ids if isinstance(ids, bytes) else np.array(ids, np.int32).tobytes()
         memo.keep(names[i], answers[i])
     sizes = np.fromiter(map(len, answers), np.int64, len(answers)) // 4
     flat = np.frombuffer(b"".join(answers), np.int32)
