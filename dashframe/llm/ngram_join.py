@@ -211,6 +211,7 @@ def links(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
     lists = stored(_lists(index, rule), "op5-lists")
     parts = None
     tested = None
+    roles = None
     for turn in range(HEAD_ROUNDS):
         entries = lists if parts is None else _mixed(lists, parts)
         heads = entries.where("near").groupBy("token", "window").agg(F.min(F.struct(
@@ -221,8 +222,9 @@ def links(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
             & rule.places_fit(F.col("pos") + F.col("h.pos"), F.col("size") + F.col("h.size")))
         if parts is not None:
             met = met.where(F.col("part") != F.col("h.part"))
-        pairs = met.select(F.least("sid", "h.sid").alias("a"), F.greatest("sid", "h.sid").alias("b")) \
-            .distinct()
+        faced = stored(met.select("sid", F.col("h.sid").alias("head")).distinct(), "op5-faced")
+        roles = faced if roles is None else roles.unionAll(faced)
+        pairs = faced.select(F.least("sid", "head").alias("a"), F.greatest("sid", "head").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         seen = stored(_overlaps(pairs, texts, rule), "op5-tested")
@@ -230,7 +232,7 @@ def links(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
         edges = tested.where(rule.linked(F.col("overlap"), F.col("sa"), F.col("sb"))).select("a", "b")
         parts = components(edges, "op5")
 
-    rest = stored(_rest(_mixed(lists, parts), tested, rule), "op5-rest")
+    rest = stored(_rest(_mixed(lists, parts), tested, roles, rule), "op5-rest")
     derived = rest.where("sure").select("a", "b")
     seen = stored(_overlaps(rest.where(~F.col("sure")).select("a", "b"), texts, rule), "op5-tested")
     more = seen.where(rule.linked(F.col("overlap"), F.col("sa"), F.col("sb"))).select("a", "b")
@@ -246,10 +248,35 @@ def _mixed(lists: DataFrame, parts: DataFrame) -> DataFrame:
     return named.join(several, ["token", "window"], "left_semi")
 
 
-def _rest(mixed: DataFrame, tested: DataFrame, rule: Rule) -> DataFrame:
+def _bounds(batches):
+    """Of a pair the least and the most that the overlaps with common heads
+    leave for its own: ``a, b, s1, s2, least, most`` (NULL without one)."""
+    for b in batches:
+        least, most = [], []
+        for s1, s2, one, two in zip(b.column("s1").to_pylist(), b.column("s2").to_pylist(),
+                                    b.column("h1"), b.column("h2")):
+            low = high = None
+            if one.is_valid and two.is_valid:
+                x, y = ([one.values.field(i).to_numpy() for i in range(3)],
+                        [two.values.field(i).to_numpy() for i in range(3)])
+                _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
+                if len(i):
+                    o1, o2 = x[1][i], y[1][j]
+                    low = int((o1 + o2 - x[2][i]).max())
+                    high = int((np.minimum(o1, o2) + np.minimum(s1 - o1, s2 - o2)).min())
+            least.append(low)
+            most.append(high)
+        yield pa.RecordBatch.from_arrays(
+            [b.column(c) for c in ("a", "b", "s1", "s2")] + [pa.array(x, pa.int64()) for x in (least, most)],
+            names=["a", "b", "s1", "s2", "least", "most"])
+
+
+def _rest(mixed: DataFrame, tested: DataFrame, roles: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of sets of different components that meet in an index block, are
     not tested yet and are not refuted by the overlaps with a common head:
-    ``a, b, sure`` (link proven by them)."""
+    ``a, b, sure`` (link proven by them).  A set's heads are those of its own
+    lists, so they are one array in its row; a pair takes its sets' arrays and
+    is judged in its row."""
     x = mixed.select("token", "window", "block", "near", *[
         F.col(c).alias(f"{c}1") for c in ("sid", "size", "pos", "part")])
     y = mixed.select("token", "window", F.col("block").alias("block2"), F.col("near").alias("near2"), *[
@@ -259,26 +286,26 @@ def _rest(mixed: DataFrame, tested: DataFrame, rule: Rule) -> DataFrame:
         & (F.col("near") | F.col("near2")) & (F.col("window") == F.greatest("block", "block2"))
         & rule.places_fit(F.col("pos1") + F.col("pos2"), F.col("size1") + F.col("size2"))
         & rule.sizes_fit(F.col("size1"), F.col("size2")))
-    pairs = met.select(F.col("sid1").alias("a"), F.col("sid2").alias("b"),
-                       F.col("size1").alias("s1"), F.col("size2").alias("s2")).distinct() \
-        .join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    sides = tested.select(F.col("a").alias("head"), F.col("b").alias("sid"), "overlap",
-                          F.col("sa").alias("sh")) \
-        .unionAll(tested.select(F.col("b").alias("head"), F.col("a").alias("sid"), "overlap",
-                                F.col("sb").alias("sh")))
-    one = sides.withColumnsRenamed({"sid": "a", "overlap": "o1", "sh": "n"})
-    two = sides.select(F.col("sid").alias("b"), "head", F.col("overlap").alias("o2"))
-    known = pairs.join(one, "a").join(two, ["b", "head"]).groupBy("a", "b").agg(
-        F.min(F.least("o1", "o2") + F.least(F.col("s1") - F.col("o1"), F.col("s2") - F.col("o2")))
-        .alias("most"), F.max(F.col("o1") + F.col("o2") - F.col("n")).alias("least"))
-    judged = pairs.join(known, ["a", "b"], "left")
+    pairs = stored(met.select(F.col("sid1").alias("a"), F.col("sid2").alias("b"),
+                              F.col("size1").cast("long").alias("s1"), F.col("size2").cast("long").alias("s2"))
+                   .distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "op5-pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    sides = roles.distinct().join(needed, "sid", "left_semi").withColumns({
+        "a": F.least("sid", "head"), "b": F.greatest("sid", "head")}).join(tested, ["a", "b"])
+    heads = stored(sides.groupBy("sid").agg(F.collect_list(F.struct(
+        "head", "overlap", F.when(F.col("head") == F.col("a"), F.col("sa")).otherwise(F.col("sb")).alias("n")))
+        .alias("h")), "op5-heads")
+    both = pairs.join(heads.withColumnsRenamed({"sid": "a", "h": "h1"}), "a", "left") \
+        .join(heads.withColumnsRenamed({"sid": "b", "h": "h2"}), "b", "left")
+    judged = both.mapInArrow(_bounds, "a long, b long, s1 long, s2 long, least long, most long")
     return judged.where(F.col("most").isNull() | rule.linked(F.col("most"), F.col("s1"), F.col("s2"))) \
         .select("a", "b", F.coalesce(rule.linked(F.col("least"), F.col("s1"), F.col("s2")), F.lit(False))
                 .alias("sure"))
 
 
 def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """``doc_id, n_shingles, component_id, text_key`` for every row."""
+    """``doc_id, n_shingles, component_id, text_key, class`` for every row;
+    ``class`` is NULL for the empty set and else the same for linked sets."""
     rows, edges = links(docs, rule)
     parts = components(edges, "op5-all").select(F.col("node").alias("sid"), "component")
     named = stored(rows.join(parts, "sid", "left").withColumn("component", F.coalesce("component", "sid")),
@@ -287,17 +314,27 @@ def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     return named.join(least, "component", "left").select(
         "doc_id", F.col("size").alias("n_shingles"),
         F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"),
-        "text_key")
+        "text_key", F.col("component").alias("class"))
 
 
 def one_per_class(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """The documents whose id is their class's, one row each, and those without
-    an id or a word; all columns kept."""
-    found = classes(docs, rule).select("doc_id", "text_key", "component_id").where(
-        F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("doc_id").isNull()) \
-        .select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["__id"])
-                     & (text_key(docs["text"]) == found["__key"]), "left_semi")
+    """One document of every class, and those without a word; all columns kept.
+    The one that stays has the smallest id (NULL is the last), of equal ids the
+    smallest hash of its text; of rows with equal id and text any one stays."""
+    found = stored(classes(docs, rule), "op5-found")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    stays = (found.where("class is not null").groupBy("class").agg(F.min(place).alias("d"))
+             .select("d.doc_id", "d.text_key"))
+    rows_of = found.where("class is not null").groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    same = rows_of["doc_id"].eqNullSafe(stays["doc_id"]) & (rows_of["text_key"] == stays["text_key"])
+    names = rows_of.join(stays, same, "left_semi").unionAll(
+        found.where("class is null").select("doc_id", F.coalesce("text_key", F.lit(0)), F.lit(1).cast("long"))
+        .distinct()).withColumnsRenamed({"doc_id": "__d", "text_key": "__k", "n": "__n"})
+    row = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__key": F.coalesce(text_key("text"), F.lit(0))})
+    kept = row.join(names, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")))
+    # Only rows that share id and text have to meet.
+    return kept.where("__n = 1").unionAll(kept.where("__n > 1").dropDuplicates(["__id", "__key"])) \
+        .select(*docs.columns)
 
 
 SQL = """

@@ -46,7 +46,7 @@ def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_set_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.classes(table(spark, sf_dir, "documents")).drop("text_key")
+    return ngram_join.classes(table(spark, sf_dir, "documents")).drop("text_key", "class")
 
 
 SQL["op5_set_relations"] = ngram_join.SQL

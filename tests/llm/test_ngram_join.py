@@ -61,16 +61,51 @@ def rows_with_copies():
 
 def test_equals_brute_force(spark):
     rows = rows_with_copies()
-    got = ngram_join.classes(docs(spark, rows)).drop("text_key").collect()
+    got = ngram_join.classes(docs(spark, rows)).drop("text_key", "class").collect()
     assert sorted(map(repr, map(tuple, got))) == brute(rows)
 
 
 def test_one_per_class_keeps_the_columns(spark):
-    text = prose(random.Random(6), 50)
-    frame = docs(spark, [row(3, text), row(2, text.upper()), row(2, text.upper()), row(5, ""), row(None, "x")])
+    rng = random.Random(6)
+    text, other = prose(rng, 50), prose(rng, 50)
+    frame = docs(spark, [row(3, text), row(2, text.upper()), row(2, text.upper()), row(5, ""), row(5, ""),
+                         row(None, "x"), row(None, text), row(None, other), row(None, other.upper()), row(6, None),
+                         row(7, other + " a b"), row(7, other + " a c")])
     left = ngram_join.one_per_class(frame)
     assert left.columns == frame.columns
-    assert sorted(str(r.doc_id) for r in left.collect()) == ["2", "2", "5", "None"]
+    got = sorted((str(r.doc_id), (r.text or "").lower()) for r in left.collect())
+    assert [g for g in got if not g[1].startswith(other.lower())] == [
+        ("2", text.lower()), ("5", ""), ("5", ""), ("6", ""), ("None", "x")]
+    # Of the linked ones with id 7 and without id, one with the id stays.
+    assert [g[0] for g in got if g[1].startswith(other.lower())] == ["7"]
+
+
+def test_pairs_are_judged_from_common_heads():
+    """Bounds of an overlap against sets, whatever heads they share."""
+    import numpy as np
+    import pyarrow as pa
+    rng = random.Random(9)
+    kind = pa.list_(pa.struct([("head", pa.int64()), ("overlap", pa.int64()), ("n", pa.int64())]))
+    sets = [set(rng.sample(range(60), rng.randint(20, 50))) for _ in range(30)]
+    rows = {k: [] for k in ("a", "b", "s1", "s2", "h1", "h2")}
+    for a in range(20):
+        for b in range(a):
+            h = [sorted(rng.sample(range(20, 30), rng.randint(0, 4)), key=lambda _: rng.random()) for _ in "ab"]
+            for c, x, heads in (("h1", a, h[0]), ("h2", b, h[1])):
+                rows[c].append([(t, len(sets[x] & sets[t]), len(sets[t])) for t in heads] or None)
+            for c, v in (("a", a), ("b", b), ("s1", len(sets[a])), ("s2", len(sets[b]))):
+                rows[c].append(v)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(rows[c], kind if c[0] == "h" else pa.int64()) for c in rows], names=list(rows))
+    bounded = 0
+    for out in ngram_join._bounds([batch]):
+        for r, one, two in zip(out.to_pylist(), rows["h1"], rows["h2"]):
+            common = {t for t, _, _ in one or []} & {t for t, _, _ in two or []}
+            assert (r["least"] is None) == (not common)
+            if common:
+                bounded += 1
+                assert r["least"] <= len(sets[r["a"]] & sets[r["b"]]) <= r["most"]
+    assert bounded > 20
 
 
 def test_no_rows(spark):
