@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Every character that a Unicode-aware \s may match, in RE2's syntax.
-_WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 MEMO_KEY_CHARS = 64
 
@@ -37,9 +37,9 @@ class Memo(dict):
             self[key] = value
 
 
-def _pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+def pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Pieces between lone spaces, flat, and each text's offsets into them."""
-    odd = pc.match_substring_regex(texts, _WHITE + "{2}").to_numpy(zero_copy_only=False)
+    odd = pc.match_substring_regex(texts, WHITE + "{2}").to_numpy(zero_copy_only=False)
     if not odd.any():
         cut = pc.split_pattern(texts, pattern=" ")
         return cut.flatten(), cut.offsets.to_numpy().astype(np.int64)
@@ -54,7 +54,7 @@ def distinct_chunks(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]
     """(distinct chunks, each chunk's index among them, offsets by text).
     NULL counts as the empty text; a text has at least one chunk."""
     texts = pc.fill_null(texts.cast(pa.string()), "")
-    flat, offsets = _pieces(texts)
+    flat, offsets = pieces(texts)
     if len(texts) == 0:
         return [], np.empty(0, np.int64), offsets
     heads = offsets[:-1]

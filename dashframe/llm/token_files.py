@@ -28,21 +28,20 @@ and are told apart by their start; other columns are not read.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dashframe.llm.common import slices, stored
-from dashframe.llm.pretoken import Memo, encode_texts
+from dashframe.llm.pretoken import WHITE, pieces
 from dashframe.session import shared_dir
 
 MAGIC = b"DFPACK01"
@@ -51,7 +50,7 @@ BLOCK = 4096
 SHARD_IDS = 4 << 20     # a task starts a new shard beyond so many ids
 _NO_ID = -(1 << 63)
 END = 0
-_WORD = re.compile(r" \S+")
+SLICE = 16 << 20        # bytes of text that are reduced to distinct words at once
 _RUN = 64               # words encoded in one call
 
 
@@ -132,44 +131,72 @@ class Shard:
         self.file.close()
 
 
+class _Encoder:
+    """Ids of whole texts: each Arrow slice is reduced to its distinct words,
+    which are encoded in runs, and the texts gather their words' ids."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        t = Tokenizer.from_file(path)
+        self.batch = getattr(t, "encode_batch_fast", t.encode_batch)
+        self.size = t.get_vocab_size()
+        # Ids whose token begins with a space.
+        self.spaced = np.zeros(self.size, bool)
+        for token, i in t.get_vocab().items():
+            self.spaced[i] = token.startswith("\u0120")
+
+    def some(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all names, flat; how many each has)"""
+        found = [np.array(e.ids, np.int32) for i in range(0, len(names), 1 << 14)
+                 for e in self.batch(names[i:i + (1 << 14)], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.concatenate([np.empty(0, np.int32), *found]), sizes
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``some`` of ``" " + word`` for words without white space.  They are
+        run together, as a call costs more than a word: every word's first id,
+        and no other, is a spaced one."""
+        n = len(words)
+        if not n:
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        cuts = pa.array(np.append(np.arange(0, n, _RUN), n), pa.int32())
+        runs = pc.binary_join(pa.ListArray.from_arrays(cuts, words), " ").to_pylist()
+        ids, _ = self.some([" " + r for r in runs])
+        at = np.flatnonzero(self.spaced[ids])
+        if len(at) != n:
+            return self.some([" " + w for w in words.to_pylist()])
+        return ids, np.diff(np.append(at, len(ids)))
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, flat; offsets by text); NULL is empty."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        flat, offsets = pieces(texts)
+        heads = offsets[:-1]
+        tail = flat.dictionary_encode()
+        head = flat.take(pa.array(heads)).dictionary_encode()
+        plain = pc.invert(pc.match_substring_regex(tail.dictionary, "^$|" + WHITE))
+        odd = pc.invert(plain)
+        ids, sizes = zip(self.words(tail.dictionary.filter(plain)),
+                         self.some([" " + t for t in tail.dictionary.filter(odd).to_pylist()]),
+                         self.some(head.dictionary.to_pylist()))
+        ids, starts = np.concatenate(ids), np.concatenate(sizes)
+        # Distinct pieces in the order in which they were encoded.
+        place = np.empty(len(tail.dictionary), np.int64)
+        mask = plain.to_numpy(zero_copy_only=False)
+        place[np.concatenate([np.flatnonzero(mask), np.flatnonzero(~mask)])] = np.arange(len(place))
+        codes = place[tail.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.empty(0, np.int64)
+        codes[heads] = head.indices.to_numpy(zero_copy_only=False) + len(place)
+        sizes, starts = starts, np.concatenate([[0], np.cumsum(starts)])
+        taken = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(taken)])
+        shift = np.repeat(starts[codes] - ends[:-1], taken)
+        return ids[shift + np.arange(len(shift))], ends[offsets]
+
+
 @lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-    t = Tokenizer.from_file(path)
-    batch = getattr(t, "encode_batch_fast", t.encode_batch)
-
-    # Ids whose token begins with a space.
-    spaced = np.zeros(t.get_vocab_size(), bool)
-    for token, i in t.get_vocab().items():
-        spaced[i] = token.startswith("\u0120")
-
-    def encode_some(names):
-        out = []
-        for i in range(0, len(names), 1 << 14):
-            out += [np.array(e.ids, np.int32).tobytes()
-                    for e in batch(names[i:i + (1 << 14)], add_special_tokens=False)]
-        return out
-
-    def encode_words(words):
-        """Words with a space before each, run together: a call costs more than
-        a word, and every word's first id is the only one that is spaced."""
-        runs = ["".join(words[i:i + _RUN]) for i in range(0, len(words), _RUN)]
-        ids = np.concatenate([np.array(e.ids, np.int32) for e in batch(runs, add_special_tokens=False)])
-        at = np.flatnonzero(spaced[ids])
-        if len(at) != len(words):
-            return encode_some(words)
-        raw, at = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
-        return [raw[i:j] for i, j in zip(at, at[1:])]
-
-    def encode_chunks(names):
-        word = [_WORD.fullmatch(n) is not None for n in names]
-        words = [n for n, w in zip(names, word) if w]
-        coded = chain.from_iterable(encode_words(words[i:i + (1 << 14)]) for i in range(0, len(words), 1 << 14))
-        rest = iter(encode_some([n for n, w in zip(names, word) if not w]))
-        return [next(coded) if w else next(rest) for w in word]
-
-    return encode_chunks, Memo(500_000), t.get_vocab_size()
+def _encoder(path: str) -> _Encoder:
+    return _Encoder(path)
 
 
 def write(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -179,8 +206,8 @@ def write(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches):
         from pyspark import TaskContext
-        encode_chunks, memo, size = _tokenizer(tokenizer_path)
-        bits = max(1, (size - 1).bit_length())
+        encoder = _encoder(tokenizer_path)
+        bits = max(1, (encoder.size - 1).bit_length())
         part, seq = TaskContext.get().partitionId(), 0
         doc_ids, lengths, held = [], [], []
 
@@ -192,8 +219,8 @@ def write(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 {"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()),
                  "path": [path], "n_docs": [len(doc_ids)], "n_ids": [len(ids)]})
 
-        for b in slices(batches, chars=8 << 20):
-            ids, offsets = encode_texts(b.column("text"), encode_chunks, memo)
+        for b in slices(batches, chars=SLICE):
+            ids, offsets = encoder.texts(b.column("text"))
             counts = np.diff(offsets) + 1
             whole = np.full(int(counts.sum()), END, np.int32)
             ends = np.cumsum(counts)
