@@ -3,6 +3,7 @@ Python UDF appears in the operator plans."""
 
 import __spark_entry__ as E
 from dashframe.operators.quantiles import cell_sizes, grouped_quantiles
+from dashframe.plans.registered import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,7 +25,7 @@ WORKBOOK_QUERIES = {"ingest_workbooks", "sheet_catalog"}
 
 
 def test_no_python_udfs_in_operator_plans(spark):
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         if name in WORKBOOK_QUERIES or name == "stream_refresh":
             continue
         p = plan(fn(spark, SF))
