@@ -19,6 +19,10 @@ COLUMNS = {
             "base_failed", "kept"],
     "op9": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
     "op10": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
+    "op11": ["vec_id", "code", "error", "label_error", "codebooks_sha256"],
+    "op12": ["page_id", "url", "text", "n_chars"],
+    "op13": ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+             "ends_sha256"],
 }
 
 
@@ -34,7 +38,9 @@ def test_a_row_for_every_document(spark, name):
         assert res["status"] == "ok", res
         return
     got = QUERIES[name](spark, SF)
+    key, *_ = COLUMNS[name.split("_")[0]]
     assert set(COLUMNS[name.split("_")[0]]) <= set(got.columns)
-    ids = [r.doc_id for r in got.select("doc_id").collect()]
-    want = [r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()]
+    source = {"page_id": "pages"}.get(key, "documents")
+    ids = [r[0] for r in got.select(key).collect()]
+    want = [r[0] for r in spark.read.parquet(f"{SF}/{source}.parquet").select(key).collect()]
     assert sorted(ids) == sorted(want)
