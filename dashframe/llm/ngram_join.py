@@ -212,6 +212,7 @@ def links(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
     parts = None
     tested = None
     roles = None
+    chosen = []
     for turn in range(HEAD_ROUNDS):
         entries = lists if parts is None else _mixed(lists, parts)
         heads = entries.where("near").groupBy("token", "window").agg(F.min(F.struct(
@@ -222,6 +223,7 @@ def links(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
             & rule.places_fit(F.col("pos") + F.col("h.pos"), F.col("size") + F.col("h.size")))
         if parts is not None:
             met = met.where(F.col("part") != F.col("h.part"))
+        chosen.append(stored(heads.select("token", "window", F.col("h.sid").alias("head")), "op5-list-heads"))
         faced = stored(met.select("sid", F.col("h.sid").alias("head")).distinct(), "op5-faced")
         roles = faced if roles is None else roles.unionAll(faced)
         pairs = faced.select(F.least("sid", "head").alias("a"), F.greatest("sid", "head").alias("b")).distinct()
@@ -232,7 +234,7 @@ def links(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
         edges = tested.where(rule.linked(F.col("overlap"), F.col("sa"), F.col("sb"))).select("a", "b")
         parts = components(edges, "op5")
 
-    rest = stored(_rest(_mixed(lists, parts), tested, roles, rule), "op5-rest")
+    rest = stored(_rest(_mixed(lists, parts), tested, roles, chosen, rule), "op5-rest")
     derived = rest.where("sure").select("a", "b")
     seen = stored(_overlaps(rest.where(~F.col("sure")).select("a", "b"), texts, rule), "op5-tested")
     more = seen.where(rule.linked(F.col("overlap"), F.col("sa"), F.col("sb"))).select("a", "b")
@@ -271,30 +273,44 @@ def _bounds(batches):
             names=["a", "b", "s1", "s2", "least", "most"])
 
 
-def _rest(mixed: DataFrame, tested: DataFrame, roles: DataFrame, rule: Rule) -> DataFrame:
+def _rest(mixed: DataFrame, tested: DataFrame, roles: DataFrame, chosen: list[DataFrame],
+          rule: Rule) -> DataFrame:
     """Pairs of sets of different components that meet in an index block, are
     not tested yet and are not refuted by the overlaps with a common head:
-    ``a, b, sure`` (link proven by them).  A set's heads are those of its own
-    lists, so they are one array in its row; a pair takes its sets' arrays and
-    is judged in its row."""
-    x = mixed.select("token", "window", "block", "near", *[
-        F.col(c).alias(f"{c}1") for c in ("sid", "size", "pos", "part")])
+    ``a, b, sure`` (link proven by them).  Entries bring their overlaps with the
+    heads of their own list, so that pairs these refute never leave the join.
+    For the others, a set's heads are one array in its row (they are those of
+    its own lists); a pair takes its sets' arrays and is judged in its row."""
+    sides = stored(roles.distinct().withColumns({"a": F.least("sid", "head"), "b": F.greatest("sid", "head")})
+                   .join(tested, ["a", "b"]).select("sid", "head", "overlap", F.when(
+                       F.col("head") == F.col("a"), F.col("sa")).otherwise(F.col("sb")).alias("n")), "op5-sides")
+    overlaps = [f"o{i}_" for i in range(len(chosen))]
+    for o, heads in zip(overlaps, chosen):
+        mixed = mixed.join(heads, ["token", "window"], "left").join(
+            sides.select("sid", "head", F.col("overlap").alias("found")), ["sid", "head"], "left") \
+            .withColumn(o, F.when(F.col("sid") == F.col("head"), F.col("size").cast("long"))
+                        .otherwise(F.col("found"))).drop("head", "found")
+    mixed = stored(mixed, "op5-mixed")
+    carried = ("sid", "size", "pos", "part", *overlaps)
+    x = mixed.select("token", "window", "block", "near", *[F.col(c).alias(f"{c}1") for c in carried])
     y = mixed.select("token", "window", F.col("block").alias("block2"), F.col("near").alias("near2"), *[
-        F.col(c).alias(f"{c}2") for c in ("sid", "size", "pos", "part")])
-    met = x.join(y, ["token", "window"]).where(
+        F.col(c).alias(f"{c}2") for c in carried])
+    possible = F.lit(True)
+    for o in overlaps:
+        o1, o2, s1, s2 = (F.col(c) for c in (f"{o}1", f"{o}2", "size1", "size2"))
+        most = F.when(o1.isNotNull() & o2.isNotNull(), F.least(o1, o2) + F.least(s1 - o1, s2 - o2))
+        possible = possible & F.coalesce(rule.linked(most, s1, s2), F.lit(True))
+    met = x.join(y, ["token", "window"]).where(possible & (
         (F.col("sid1") < F.col("sid2")) & (F.col("part1") != F.col("part2"))
         & (F.col("near") | F.col("near2")) & (F.col("window") == F.greatest("block", "block2"))
         & rule.places_fit(F.col("pos1") + F.col("pos2"), F.col("size1") + F.col("size2"))
-        & rule.sizes_fit(F.col("size1"), F.col("size2")))
+        & rule.sizes_fit(F.col("size1"), F.col("size2"))))
     pairs = stored(met.select(F.col("sid1").alias("a"), F.col("sid2").alias("b"),
                               F.col("size1").cast("long").alias("s1"), F.col("size2").cast("long").alias("s2"))
                    .distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "op5-pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    sides = roles.distinct().join(needed, "sid", "left_semi").withColumns({
-        "a": F.least("sid", "head"), "b": F.greatest("sid", "head")}).join(tested, ["a", "b"])
-    heads = stored(sides.groupBy("sid").agg(F.collect_list(F.struct(
-        "head", "overlap", F.when(F.col("head") == F.col("a"), F.col("sa")).otherwise(F.col("sb")).alias("n")))
-        .alias("h")), "op5-heads")
+    heads = stored(sides.join(needed, "sid", "left_semi").groupBy("sid").agg(
+        F.collect_list(F.struct("head", "overlap", "n")).alias("h")), "op5-heads")
     both = pairs.join(heads.withColumnsRenamed({"sid": "a", "h": "h1"}), "a", "left") \
         .join(heads.withColumnsRenamed({"sid": "b", "h": "h2"}), "b", "left")
     judged = both.mapInArrow(_bounds, "a long, b long, s1 long, s2 long, least long, most long")
