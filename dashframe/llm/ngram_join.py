@@ -281,16 +281,19 @@ def _rest(mixed: DataFrame, tested: DataFrame, roles: DataFrame, chosen: list[Da
     heads of their own list, so that pairs these refute never leave the join.
     For the others, a set's heads are one array in its row (they are those of
     its own lists); a pair takes its sets' arrays and is judged in its row."""
-    sides = stored(roles.distinct().withColumns({"a": F.least("sid", "head"), "b": F.greatest("sid", "head")})
-                   .join(tested, ["a", "b"]).select("sid", "head", "overlap", F.when(
-                       F.col("head") == F.col("a"), F.col("sa")).otherwise(F.col("sb")).alias("n")), "op5-sides")
+    sides = roles.distinct().withColumns({"a": F.least("sid", "head"), "b": F.greatest("sid", "head")}) \
+        .join(tested, ["a", "b"])
+    heads = stored(sides.groupBy("sid").agg(F.collect_list(F.struct(
+        "head", "overlap", F.when(F.col("head") == F.col("a"), F.col("sa")).otherwise(F.col("sb")).alias("n")))
+        .alias("h")), "op5-heads")
     overlaps = [f"o{i}_" for i in range(len(chosen))]
-    for o, heads in zip(overlaps, chosen):
-        mixed = mixed.join(heads, ["token", "window"], "left").join(
-            sides.select("sid", "head", F.col("overlap").alias("found")), ["sid", "head"], "left") \
-            .withColumn(o, F.when(F.col("sid") == F.col("head"), F.col("size").cast("long"))
-                        .otherwise(F.col("found"))).drop("head", "found")
-    mixed = stored(mixed, "op5-mixed")
+    for o, of in zip(overlaps, chosen):
+        mixed = mixed.join(of.withColumnRenamed("head", f"{o}head"), ["token", "window"], "left")
+    mixed = mixed.join(heads, "sid", "left")
+    mixed = stored(mixed.withColumns({o: F.when(F.col("sid") == F.col(f"{o}head"), F.col("size").cast("long"))
+                                      .otherwise(F.get(F.filter("h", lambda x, o=o: x["head"] == F.col(f"{o}head")),
+                                                       F.lit(0))["overlap"]) for o in overlaps})
+                   .drop("h", *[f"{o}head" for o in overlaps]), "op5-mixed")
     carried = ("sid", "size", "pos", "part", *overlaps)
     x = mixed.select("token", "window", "block", "near", *[F.col(c).alias(f"{c}1") for c in carried])
     y = mixed.select("token", "window", F.col("block").alias("block2"), F.col("near").alias("near2"), *[
@@ -308,9 +311,6 @@ def _rest(mixed: DataFrame, tested: DataFrame, roles: DataFrame, chosen: list[Da
     pairs = stored(met.select(F.col("sid1").alias("a"), F.col("sid2").alias("b"),
                               F.col("size1").cast("long").alias("s1"), F.col("size2").cast("long").alias("s2"))
                    .distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "op5-pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    heads = stored(sides.join(needed, "sid", "left_semi").groupBy("sid").agg(
-        F.collect_list(F.struct("head", "overlap", "n")).alias("h")), "op5-heads")
     both = pairs.join(heads.withColumnsRenamed({"sid": "a", "h": "h1"}), "a", "left") \
         .join(heads.withColumnsRenamed({"sid": "b", "h": "h2"}), "b", "left")
     judged = both.mapInArrow(_bounds, "a long, b long, s1 long, s2 long, least long, most long")
