@@ -290,10 +290,9 @@ def _rest(mixed: DataFrame, tested: DataFrame, roles: DataFrame, chosen: list[Da
     for o, of in zip(overlaps, chosen):
         mixed = mixed.join(of.withColumnRenamed("head", f"{o}head"), ["token", "window"], "left")
     mixed = mixed.join(heads, "sid", "left")
-    mixed = stored(mixed.withColumns({o: F.when(F.col("sid") == F.col(f"{o}head"), F.col("size").cast("long"))
-                                      .otherwise(F.get(F.filter("h", lambda x, o=o: x["head"] == F.col(f"{o}head")),
-                                                       F.lit(0))["overlap"]) for o in overlaps})
-                   .drop("h", *[f"{o}head" for o in overlaps]), "op5-mixed")
+    mixed = stored(mixed.withColumns({o: F.expr(
+        f"IF(sid = {o}head, CAST(size AS BIGINT), GET(FILTER(h, x -> x.head = {o}head), 0).overlap)")
+        for o in overlaps}).drop("h", *[f"{o}head" for o in overlaps]), "op5-mixed")
     carried = ("sid", "size", "pos", "part", *overlaps)
     x = mixed.select("token", "window", "block", "near", *[F.col(c).alias(f"{c}1") for c in carried])
     y = mixed.select("token", "window", F.col("block").alias("block2"), F.col("near").alias("near2"), *[
