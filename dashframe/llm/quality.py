@@ -3,21 +3,28 @@
 Per document: word and line counts of the whole text (:func:`text_stats`), two
 fixed rules (``base_failed``), and a verdict by the minimum covariance
 determinant: within each language and source, the mean and covariance of the
-``H`` share of documents whose covariance has the least determinant, found by
-concentration steps from a median/MAD start, then reweighted; a document whose
+``H`` share of documents whose covariance has the least determinant, searched
+by concentration steps from ``STARTS`` starts: median and MAD, three robust
+shapes of all documents, and covariances of eight documents drawn by hash.  All
+make ``WARM`` steps, the ``BEST`` of them go on until they settle, and the one
+of least determinant is taken.  It is then reweighted; a document whose
 transformed statistics lie in squared Mahalanobis distance beyond the
 ``CUTOFF`` point of the chi-square of their number is rejected.
 
 Every step is a grouped aggregate over all documents of a group: moments, and
-a histogram of log distances whose bin edge gives the nearest ``H`` share, so
-no group meets in one task and the subset doesn't depend on the order of rows.
+a histogram of log distances whose bins give the nearest ``H`` share (documents
+in the bin where it is reached weigh what is left of it), so no group meets in
+one task and ties don't depend on the order of rows.  Groups that hold much of
+the rows meet their estimates by a broadcast, the others by a shuffle.
 Groups of fewer than ``LEAST`` documents are pooled by language, pools that
 are still smaller over all languages; a last pool that is too small has no
 estimate and rejects nothing.
 
 Defined cases: NULL text has no words; empty and wordless texts fail the base
 rules; NULL language and NULL source are groups of their own; repeated rows
-count and return as often as they occur; other columns are not read.
+count and return as often as they occur; a NULL id is an id like another; an
+empty table gives an empty result; texts are read whole, however long; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -30,11 +37,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dashframe.llm.common import binary_values, gram_hashes, slices, stored, text_key, word_hashes
+from dashframe.llm.common import (binary_values, gram_hashes, join_by_key, slices, stored, text_key,
+                                  word_hashes)
 
 REPEAT = 8            # words of a repeat window
 H = 0.75              # share of a group that the estimate rests on
-STEPS = 5             # concentration steps
+STARTS = 8            # starts a group: four from all its documents, four drawn
+WARM = 2              # concentration steps that every start makes
+BEST = 2              # starts that go on until they settle
+SETTLED = 1e-3        # least fall of the determinant's logarithm that counts
+BINS = 1024           # histogram bins per factor e of a squared distance
 LEAST = 50            # documents of a group with an estimate of its own
 CUTOFF = 0.9999       # chi-square share beyond which a squared distance is rejected
 # Least standard deviation per statistic.  Most documents have no symbol, no
@@ -115,18 +127,15 @@ def _x(i: int) -> Column:
     return F.col(f"x{i}")
 
 
-def _pooled(rows: DataFrame) -> DataFrame:
-    """Adds ``g``: the group that a document's estimate comes from."""
-    name = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
-    own = F.concat_ws("\t", name("lang"), name("source"))
-    rows = rows.withColumn("g0", own).withColumn("g1", name("lang"))
-    sizes = rows.groupBy("g0", "g1").agg(F.count(F.lit(1)).alias("n0"))
+def _pools(rows: DataFrame) -> DataFrame:
+    """``g0, g, n``: the group that an estimate comes from for each language
+    and source, and their documents."""
+    sizes = rows.groupBy("g0", "g1").agg(F.count(F.lit(1)).alias("n"))
     pool = sizes.withColumn(
-        "n1", F.sum(F.when(F.col("n0") < LEAST, F.col("n0"))).over(Window.partitionBy("g1")))
-    group = pool.select("g0", F.when(F.col("n0") >= LEAST, F.col("g0"))
-                        .when(F.col("n1") >= LEAST, F.concat(F.col("g1"), F.lit("\tpool")))
-                        .otherwise(F.lit("pool")).alias("g"))
-    return rows.join(group, "g0").drop("g0", "g1")
+        "n1", F.sum(F.when(F.col("n") < LEAST, F.col("n"))).over(Window.partitionBy("g1")))
+    return pool.select("g0", F.when(F.col("n") >= LEAST, F.col("g0"))
+                       .when(F.col("n1") >= LEAST, F.concat(F.col("g1"), F.lit("\tpool")))
+                       .otherwise(F.lit("pool")).alias("g"), "n")
 
 
 def _distance() -> Column:
@@ -138,54 +147,166 @@ def _distance() -> Column:
 
 
 def _bin() -> Column:
-    return F.floor(F.log(_distance() + F.lit(1e-9)) * 32)
+    return F.floor(F.log(_distance() + F.lit(1e-9)) * BINS)
+
+
+def _moments(rows: DataFrame) -> DataFrame:
+    """Weighted sums of each group and start, for rows with a weight ``w``."""
+    return rows.groupBy("g", "s").agg(
+        F.sum("w").alias("w"), *[F.sum(F.col("w") * _x(i)).alias(f"s{i}") for i in range(_DIM)],
+        *[F.sum(F.col("w") * _x(i) * _x(j)).alias(f"s{i}{j}") for i, j in _PAIRS])
+
+
+def _shape(r) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance from a row of sums."""
+    mean = np.array([getattr(r, f"s{i}") for i in range(_DIM)]) / r.w
+    cov = np.zeros((_DIM, _DIM))
+    for i, j in _PAIRS:
+        cov[i, j] = cov[j, i] = getattr(r, f"s{i}{j}") / r.w - mean[i] * mean[j]
+    return mean, cov
+
+
+def _upper_of(m: np.ndarray) -> list[float]:
+    return [float(m[i, j]) for i, j in _PAIRS]
+
+
+_ESTIMATE = "g string, s int, w double, mean array<double>, inverse array<double>, logdet double"
 
 
 def _estimates(rows: DataFrame, scale: float) -> DataFrame:
-    """``g, n, mean, inverse`` from the moments of the rows of each group."""
-    sums = rows.groupBy("g").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(_x(i)).alias(f"s{i}") for i in range(_DIM)],
-        *[F.sum(_x(i) * _x(j)).alias(f"s{i}{j}") for i, j in _PAIRS])
+    """``_ESTIMATE`` from the rows of each group and start: the covariance with
+    the floors on its diagonal, and the logarithm of its determinant."""
 
     def run(parts):
         for pdf in parts:
             out = []
             for r in pdf.itertuples(index=False):
-                n = float(r.n)
-                mean = np.array([getattr(r, f"s{i}") for i in range(_DIM)]) / n
-                cov = np.zeros((_DIM, _DIM))
-                for i, j in _PAIRS:
-                    cov[i, j] = cov[j, i] = getattr(r, f"s{i}{j}") / n - mean[i] * mean[j]
+                mean, cov = _shape(r)
                 cov = cov * scale + np.diag(np.square(FLOOR))
-                inv = np.linalg.inv(cov)
-                out.append((r.g, int(r.n), mean.tolist(), [float(inv[i, j]) for i, j in _PAIRS]))
-            yield pd.DataFrame(out, columns=["g", "n", "mean", "inverse"])
+                out.append((r.g, int(r.s), float(r.w), mean.tolist(), _upper_of(np.linalg.inv(cov)),
+                            float(np.linalg.slogdet(cov)[1])))
+            yield pd.DataFrame(out, columns=["g", "s", "w", "mean", "inverse", "logdet"])
+
+    return _moments(rows).where("w > 0").mapInPandas(run, _ESTIMATE)
+
+
+def _by_group(estimates: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``g, n, starts``: one row a group, its starts (at most STARTS) in an array."""
+    named = F.struct(*[c for c in estimates.columns if c != "g"])
+    return sizes.join(estimates.groupBy("g").agg(F.collect_list(named).alias("starts")), "g")
+
+
+def _at_starts(rows: DataFrame, side: DataFrame) -> DataFrame:
+    """Each row once for every start of its group, beside the start's columns."""
+    return join_by_key(rows, side, "g", "n").select(
+        "g", *[f"x{i}" for i in range(_DIM)], F.explode("starts").alias("e")).select(
+        "g", *[f"x{i}" for i in range(_DIM)], "e.*")
+
+
+def _first(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The starts of every group as ``_ESTIMATE`` (shapes; no determinant yet).
+
+    0: median and MAD.  1 to 3, on values standardised by these: the covariance
+    of their tanh, of their directions, and of those within the normal half.
+    From 4 on: the covariance of ``_DIM + 1`` documents drawn by hash."""
+    mid = stored(_by_columns(rows, [F.percentile_approx(_x(i), 0.5, 1000) for i in range(_DIM)],
+                             "mid").join(sizes, "g"), "op8-middle")
+    dev = _by_columns(join_by_key(rows, mid, "g", "n"), [
+        F.percentile_approx(F.abs(_x(i) - F.col("mid")[i]), 0.5, 1000) for i in range(_DIM)], "mad")
+    unit = F.array(*[F.sqrt(F.pow(1.4826 * F.col("mad")[i], F.lit(2)) + FLOOR[i] ** 2)
+                     for i in range(_DIM)])
+    mid = stored(mid.join(dev, "g").select("g", "n", "mid", unit.alias("unit")), "op8-scale")
+    z = [(_x(i) - F.col("mid")[i]) / F.col("unit")[i] for i in range(_DIM)]
+    norm = F.sqrt(reduce(lambda a, b: a + b, [v * v for v in z]))
+    placed = join_by_key(rows, mid.withColumn("size", F.col("n")), "g", "n").select(
+        "g", "h", "size", norm.alias("norm"), *[v.alias(f"x{i}") for i, v in enumerate(z)])
+
+    def with_values(s, f):
+        return F.struct(F.lit(s).alias("s"), *[f(_x(i)).alias(f"x{i}") for i in range(_DIM)])
+
+    shapes = F.array(
+        with_values(1, F.tanh),
+        with_values(2, lambda v: F.when(F.col("norm") > 0, v / F.col("norm") * _DIM ** 0.5).otherwise(0.0)),
+        F.when(F.col("norm") ** 2 <= _chi2_point(0.5), with_values(3, lambda v: v)))
+    whole = placed.select("g", F.explode(F.filter(shapes, lambda e: e.isNotNull())).alias("e")) \
+        .select("g", "e.*")
+    # A few dozen rows a group and start, by the group's size; the first of them are drawn.
+    draw = F.pmod(F.xxhash64("h", "s"), F.lit(1 << 40))
+    few = placed.withColumn("s", F.explode(F.array(*[F.lit(s) for s in range(4, STARTS)]))) \
+        .withColumn("draw", draw).where(F.col("draw") * F.col("size") < float(32 << 40))
+    order = Window.partitionBy("g", "s").orderBy("draw", "h", *[f"x{i}" for i in range(_DIM)])
+    drawn = few.withColumn("at", F.row_number().over(order)).where(F.col("at") <= _DIM + 1)
+    columns = ["g", "s", *[f"x{i}" for i in range(_DIM)]]
+    sums = _moments(whole.select(columns).unionAll(drawn.select(columns)).withColumn("w", F.lit(1.0)))
 
-    return sums.mapInPandas(run, "g string, n long, mean array<double>, inverse array<double>")
-
-
-def _start(rows: DataFrame) -> DataFrame:
-    """Median and MAD per statistic as a first, diagonal estimate."""
-    mid = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.array(
-        *[F.percentile_approx(_x(i), 0.5, 1000) for i in range(_DIM)]).alias("mean"))
-    dev = rows.join(mid, "g").groupBy("g").agg(F.array(
-        *[F.percentile_approx(F.abs(_x(i) - F.col("mean")[i]), 0.5, 1000) for i in range(_DIM)])
-        .alias("mad"))
-    precision = [F.lit(1.0) / (F.pow(1.4826 * F.col("mad")[i], F.lit(2)) + FLOOR[i] ** 2)
-                 if i == j else F.lit(0.0) for i, j in _PAIRS]
-    return mid.join(dev, "g").select("g", "n", "mean", F.array(*precision).alias("inverse"))
-
-
-def _nearest(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """The rows of the H share of each group nearest to its estimate."""
-    placed = rows.join(estimate.select("g", "mean", "inverse"), "g").withColumn("bin", _bin())
-    counts = placed.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.partitionBy("g").orderBy("bin")
-    edge = (counts.withColumn("before", F.sum("c").over(upto) - F.col("c"))
-            .withColumn("total", F.sum("c").over(Window.partitionBy("g")))
-            .where(F.col("before") < H * F.col("total"))
-            .groupBy("g").agg(F.max("bin").alias("edge")))
-    return placed.join(edge, "g").where(F.col("bin") <= F.col("edge"))
+    def run(parts):
+        for pdf in parts:
+            out = []
+            for r in pdf.itertuples(index=False):
+                mean, cov = _shape(r)
+                if r.s in (1, 2):
+                    mean = np.zeros(_DIM)
+                unit = np.array(r.unit)
+                cov = cov * np.outer(unit, unit) + np.diag(np.square(FLOOR))
+                out.append((r.g, int(r.s), float(r.w), (np.array(r.mid) + mean * unit).tolist(),
+                            _upper_of(np.linalg.inv(cov)), float("inf")))
+            yield pd.DataFrame(out, columns=["g", "s", "w", "mean", "inverse", "logdet"])
+
+    precision = [F.pow(F.col("unit")[i], F.lit(-2)) if i == j else F.lit(0.0) for i, j in _PAIRS]
+    plain = mid.select("g", F.lit(0).alias("s"), F.col("n").cast("double").alias("w"),
+                       F.col("mid").alias("mean"), F.array(*precision).alias("inverse"),
+                       F.lit(float("inf")).alias("logdet"))
+    return sums.join(mid.drop("n"), "g").mapInPandas(run, _ESTIMATE).unionAll(plain)
+
+
+def _by_columns(rows: DataFrame, values: list[Column], name: str) -> DataFrame:
+    return rows.groupBy("g").agg(F.array(*values).alias(name))
+
+
+def _concentrated(rows: DataFrame, side: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``_ESTIMATE`` of the H share of each group nearest to each of its starts.
+    Rows in the bin where the share is reached weigh what is left of it."""
+    counts = _at_starts(rows, side).groupBy("g", "s", _bin().alias("bin")).agg(
+        F.count(F.lit(1)).alias("c"))
+    upto = Window.partitionBy("g", "s").orderBy("bin")
+    left = H * F.sum("c").over(Window.partitionBy("g", "s")) - (F.sum("c").over(upto) - F.col("c"))
+    edge = (counts.withColumn("left", left).where("left > 0").groupBy("g", "s")
+            .agg(F.max("bin").alias("edge"), F.min_by(F.least(F.lit(1.0), F.col("left") / F.col("c")),
+                                                      -F.col("bin")).alias("share")))
+    starts = side.select("g", F.explode("starts").alias("e")).select("g", "e.*")
+    side = stored(_by_group(starts.join(edge, ["g", "s"]), sizes), "op8-edges")
+    at = _bin()
+    weight = F.when(at < F.col("edge"), 1.0).when(at == F.col("edge"), F.col("share")).otherwise(0.0)
+    return _estimates(_at_starts(rows, side).withColumn("w", weight).where("w > 0"), _consistency(H))
+
+
+def least_determinant(rows: DataFrame) -> DataFrame:
+    """``_ESTIMATE`` and ``n`` per group ``g`` of rows ``g, h, x0..x6``: of all
+    starts the estimate whose covariance has the least determinant.
+
+    All starts make WARM concentration steps; then the BEST of each group go on
+    until a step no longer lowers the logarithm of the determinant by SETTLED,
+    which a determinant bounded by the floors can do a finite number of times."""
+    sizes = stored(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "op8-sizes")
+    now = stored(_first(rows, sizes).withColumn("going", F.lit(True)), "op8-starts")
+    step = 0
+    while not now.where("going").isEmpty():
+        side = stored(_by_group(now.where("going").drop("going"), sizes), "op8-side")
+        new = _concentrated(rows, side, sizes)
+        old = now.select("g", "s", F.struct("w", "mean", "inverse", "logdet").alias("old"), "going")
+        both = old.join(new.select("g", "s", F.struct("w", "mean", "inverse", "logdet").alias("new")),
+                        ["g", "s"], "left")
+        fell = F.coalesce(F.col("new.logdet") < F.col("old.logdet") - SETTLED, F.lit(False))
+        now = both.select("g", "s", F.when(F.coalesce(F.col("new.logdet") < F.col("old.logdet"), F.lit(False)),
+                                           F.col("new")).otherwise(F.col("old")).alias("e"),
+                          fell.alias("going")).select("g", "s", "e.*", "going")
+        step += 1
+        if step == WARM:
+            now = now.withColumn("place", F.row_number().over(
+                Window.partitionBy("g").orderBy("logdet", "s"))).where(F.col("place") <= BEST).drop("place")
+        now = stored(now, "op8-step")
+    best = now.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy("logdet", "s")))
+    return best.where("place = 1").drop("place", "going").join(sizes, "g")
 
 
 def _chi2_cdf(x: float, k: int) -> float:
@@ -220,30 +341,28 @@ def quality(docs: DataFrame) -> DataFrame:
     """``doc_id, text_key``, the statistics, ``base_failed``, ``distance``
     (squared, NULL without an estimate) and ``kept`` for every row."""
     n = F.col("n_words")
+    name = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
     stats = stored(text_stats(docs).withColumn(
-        "base_failed", (n < 20) | (100 * F.col("n_repeat_words") > 30 * n)), "op8-stats")
-    rows = stats.where(~F.col("base_failed"))
-    rows = stored(_pooled(rows.select("lang", "source", *[
-        x.alias(f"x{i}") for i, x in enumerate(_vector())])).drop("lang", "source"), "op8-vectors")
-    estimate = stored(_start(rows), "op8-start")
-    for _ in range(STEPS):
-        estimate = stored(_estimates(_nearest(rows, estimate), _consistency(H)), "op8-step")
-    near = rows.join(estimate.select("g", "mean", "inverse"), "g").where(_distance() <= _chi2_point(REWEIGHT))
-    estimate = stored(_estimates(near, _consistency(REWEIGHT)).where(F.col("n") >= LEAST // 2),
-                      "op8-final")
-    groups = _pooled(stats.where(~F.col("base_failed")).select("lang", "source")) \
-        .distinct().join(estimate, "g").select(
-        F.col("lang").alias("l"), F.col("source").alias("s"), "mean", "inverse")
-    scored = stats
-    for i, x in enumerate(_vector()):
-        scored = scored.withColumn(f"x{i}", F.when(
-            ~F.col("base_failed"), x))
-    scored = scored.join(groups, scored["lang"].eqNullSafe(groups["l"])
-                         & scored["source"].eqNullSafe(groups["s"]), "left")
-    far = F.when(~F.col("base_failed"), _distance())
-    return scored.select(
-        "doc_id", "text_key", *_STATS, "base_failed", far.alias("distance"),
-        (~F.col("base_failed") & F.coalesce(far <= _chi2_point(CUTOFF), F.lit(True))).alias("kept"))
+        "base_failed", (n < 20) | (100 * F.col("n_repeat_words") > 30 * n))
+        .withColumn("g0", F.concat_ws("\t", name("lang"), name("source")))
+        .withColumn("g1", name("lang")).drop("lang", "source"), "op8-stats")
+    judged = stats.where(~F.col("base_failed"))
+    rows = stored(join_by_key(judged, stored(_pools(judged), "op8-pools"), "g0", "n").drop("g0", "g1")
+                  .select("*", F.xxhash64("doc_id", "text_key").alias("h"),
+                          *[x.alias(f"x{i}") for i, x in enumerate(_vector())]), "op8-vectors")
+    best = stored(least_determinant(rows), "op8-least")
+    near = join_by_key(rows, best.select("g", "s", "mean", "inverse", "n"), "g", "n") \
+        .where(_distance() <= _chi2_point(REWEIGHT)).withColumn("w", F.lit(1.0))
+    final = _estimates(near, _consistency(REWEIGHT)).where(F.col("w") >= LEAST // 2)
+    side = stored(best.select("g", "n").join(final.select("g", "mean", "inverse"), "g", "left"),
+                  "op8-final")
+    scored = join_by_key(rows, side, "g", "n").select(
+        "doc_id", "text_key", *_STATS, "base_failed",
+        F.when(F.col("mean").isNotNull(), _distance()).alias("distance"))
+    failed = stats.where("base_failed").select(
+        "doc_id", "text_key", *_STATS, "base_failed", F.lit(None).cast("double").alias("distance"))
+    return scored.unionAll(failed).withColumn("kept", ~F.col("base_failed") & F.coalesce(
+        F.col("distance") <= _chi2_point(CUTOFF), F.lit(True)))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
