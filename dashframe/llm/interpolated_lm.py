@@ -12,12 +12,17 @@ written once.  A chunk asks for the corpus counts of its distinct words and
 word pairs (64-bit hashes, sorted, in ranges of the hash); each range is
 counted in one task and answers every chunk.  Ranges are cut so that one holds
 about ``RANGE_KEYS`` of the asked keys, and a key is asked once a chunk, so
-frequent words and pairs weigh no more than rare ones.
+frequent words and pairs weigh no more than rare ones.  A chunk has requests
+for the ranges it has keys in alone: they grow with the keys, not with chunks
+times ranges.  The EM reads the training tokens' estimates from a table of log
+bins (``_STEP`` a factor e), so its weights are those of the bins' centres;
+scores are computed from the counts themselves.
 
 Defined cases: NULL and empty texts have one token, the end; a NULL id is not
 in training and not held out; with no training token at all every estimate is
-the uniform one; repeated rows count and return as often as they occur; other
-columns are not read.
+the uniform one; an empty table gives an empty result; a text longer than a
+chunk is a chunk of its own, read whole; repeated rows count and return as
+often as they occur; other columns are not read.
 """
 
 from __future__ import annotations
@@ -106,28 +111,37 @@ def _unfold(row: dict):
 _CHUNK_SCHEMA = ("chunk", "lengths", "training", "words", "places")
 
 
+def _part(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Range of each key: the hash's upper half, scaled."""
+    return ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+
+
 def _requests(chunks: DataFrame, ranges: int) -> DataFrame:
     """``range, chunk, words, word_counts, pairs, pair_counts``: keys of the
-    range in a chunk, with the chunk's training counts."""
+    range in a chunk, with the chunk's training counts.  Only ranges in which
+    the chunk has a key: at most a row for each of its keys, whatever the
+    number of ranges, which grows with the corpus."""
 
-    def cut(keys, counts):
-        part = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-        at = np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64))
-        return [(keys[i:j], counts[i:j]) for i, j in zip(at, at[1:])]
+    def cut(keys, part, asked, counts):
+        first = np.searchsorted(part, asked)
+        last = np.searchsorted(part, asked, side="right")
+        return ([squeeze_keys(keys[i:j]) for i, j in zip(first, last)],
+                [_squeeze(counts[i:j]) for i, j in zip(first, last)])
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
                 row = {c: b.column(c)[i].as_py() for c in _CHUNK_SCHEMA}
                 words, places, _, pairs, pair, training = _unfold(row)
-                w = cut(words, np.bincount(places[training], minlength=len(words)))
-                p = cut(pairs, np.bincount(pair[training], minlength=len(pairs)))
+                in_words, in_pairs = _part(words, ranges), _part(pairs, ranges)
+                asked = np.union1d(in_words, in_pairs)
+                w, wc = cut(words, in_words, asked,
+                            np.bincount(places[training], minlength=len(words)))
+                p, pc = cut(pairs, in_pairs, asked,
+                            np.bincount(pair[training], minlength=len(pairs)))
                 yield pa.RecordBatch.from_pydict({
-                    "range": pa.array(range(ranges), pa.int32()), "chunk": [row["chunk"]] * ranges,
-                    "words": [squeeze_keys(k) for k, _ in w],
-                    "word_counts": [_squeeze(c) for _, c in w],
-                    "pairs": [squeeze_keys(k) for k, _ in p],
-                    "pair_counts": [_squeeze(c) for _, c in p]})
+                    "range": pa.array(asked.astype(np.int32)), "chunk": [row["chunk"]] * len(asked),
+                    "words": w, "word_counts": wc, "pairs": p, "pair_counts": pc})
 
     return chunks.select(*_CHUNK_SCHEMA).mapInArrow(
         run, "range int, chunk string, words binary, word_counts binary, pairs binary, "

@@ -36,6 +36,60 @@ def test_counts_and_scores(spark, monkeypatch):
                    and r.score < 0 for r in by[i])
 
 
+def test_scores_equal_the_formula(spark, monkeypatch):
+    # Counts of words and pairs by dictionaries over the whole corpus, the
+    # deleted estimates of every training token, and the stated mixture.
+    monkeypatch.setattr(lm, "CHUNK", 2500)
+    monkeypatch.setattr(lm, "RANGE_KEYS", 300)     # many ranges, few keys in each
+    rng = random.Random(23)
+    rows = [r for r in odd_rows() if r[0] != 8] + [row(100 + i, prose(rng, rng.randint(1, 90))) for i in range(60)]
+    rows = [r for r in rows if r[0] is not None]
+    got = {r.doc_id: r.score for r in lm.scores(docs(spark, rows)).collect()}
+    texts = {r[0]: tokens(r[1]) for r in rows}
+    train = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10]
+    c, pair = Counter(), Counter()
+    for t in train:
+        c.update(t)
+        c["<start>"] += 1
+        pair.update(zip(["<start>"] + t, t))
+    n = sum(c.values()) - c["<start>"]
+    v = len(c) - 1
+    table = Counter()
+    for t in train:
+        for a, w in zip(["<start>"] + t, t):
+            left = c[a] - 1
+            table[(int(lm._bucket(np.array([left]))[0]),
+                   int(lm._bins(np.array([(pair[a, w] - 1) / max(left, 1)]))[0]),
+                   int(lm._bins(np.array([(c[w] - 1) / (n - 1)]))[0]))] += 1
+    weights = lm.mixture(np.array([(*k, x) for k, x in table.items()]), v)
+    for i, t in texts.items():
+        want = 0.0
+        for a, w in zip(["<start>"] + t, t):
+            m = weights[int(lm._bucket(np.array([c[a]]))[0])]
+            want += log10(m[0] * pair[a, w] / max(c[a], 1) + m[1] * c[w] / n + m[2] / (v + 1))
+        assert isclose(got[i], want, rel_tol=1e-6), i
+
+
+def test_requests_grow_with_keys(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK", 1500)
+    rng = random.Random(24)
+    made = []
+    for n in (10, 20, 40):
+        frame = docs(spark, [row(i, prose(rng, 250)) for i in range(n)]).coalesce(1).selectExpr(
+            "doc_id", "true AS training", "false AS held_out", "text")
+        chunks = spark.createDataFrame(lm._chunks(frame).toPandas(), lm._chunks(frame).schema)
+        ranges = 500 * n
+        keys = asked = 0
+        for c in chunks.collect():
+            words, _, _, pairs, _, _ = lm._unfold(c.asDict())
+            keys += len(words) + len(pairs)
+            asked += len(set(lm._part(words, ranges)) | set(lm._part(pairs, ranges)))
+        requests = lm._requests(chunks, ranges).collect()
+        assert len({(r.range, r.chunk) for r in requests}) == len(requests) == asked <= keys
+        made.append(len(requests) / n)
+    assert made[2] < 1.5 * made[0]
+
+
 def test_the_mixture_is_a_distribution_and_beats_its_parts(spark):
     # Pairs repeat, so the two-word estimate must take most of the weight.
     rng = random.Random(22)
