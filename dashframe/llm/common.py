@@ -75,6 +75,20 @@ def join_by_key(rows: DataFrame, side: DataFrame, key: str, n: str) -> DataFrame
     return rows.join(hot, on).unionAll(dealt).drop("__key", n)
 
 
+def lowest(rows: DataFrame, draw: Column, size: int) -> DataFrame:
+    """Rows among which are the ``size`` ones of smallest ``draw`` (a 64-bit
+    hash): those below a bound taken from one count, so that ordering them
+    moves a few times ``size`` rows and not ``size`` rows of every partition.
+    Too few below it (rows that share a hash) raise the bound, up to all rows."""
+    share = min(1.0, 4 * size / max(rows.count(), 1))
+    while share < 1:
+        few = rows.where(draw < int(share * 2.0 ** 64) - (1 << 63))
+        if few.count() >= size:
+            return few
+        share = min(1.0, 4 * share)
+    return rows
+
+
 def remainder(doc_id: str | Column, mod: int) -> Column:
     """crc32 of the id as text, mod ``mod`` (NULL for a NULL id)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dashframe.llm.common import slices
+from dashframe.llm.common import lowest, slices
 from dashframe.llm.crf import forward_backward, train
 
 KINDS = ("email", "ip", "card", "phone")
@@ -241,7 +241,8 @@ def sample(docs: DataFrame, size: int = SAMPLE) -> list[str]:
     """At most ``size`` texts with something to label."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(
         F.col("text").rlike("[0-9@]") & (F.length("text") <= SAMPLE_CHARS))
-    return [r[0] for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    draw = F.xxhash64("doc_id")
+    return [r[0] for r in lowest(rows, draw, size).orderBy(draw, "doc_id", F.xxhash64("text"))
             .limit(size).select("text").collect()]
 
 

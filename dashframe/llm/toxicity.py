@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dashframe.llm.common import remainder, slices
+from dashframe.llm.common import lowest, remainder, slices
 
 LENGTHS = (3, 4, 5, 6)
 SAMPLE = 3000
@@ -90,7 +90,8 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> list[tuple
         .groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
     picked = None
     for k in (0, 1):
-        part = known.where(F.col("toxic") == k).orderBy(F.xxhash64("id"), "id").limit(size)
+        part = lowest(known.where(F.col("toxic") == k), F.xxhash64("id"), size) \
+            .orderBy(F.xxhash64("id"), "id").limit(size)
         picked = part if picked is None else picked.unionAll(part)
     # At most 2 * size ids are broadcast.
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")) \
