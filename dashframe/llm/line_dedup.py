@@ -86,20 +86,26 @@ def _least(row: int, band: int) -> Column:
     return F.min(F.col(f"h{row}").bitwiseXOR(F.lit(_BAND_KEYS[band]))).alias(f"m{row}_{band}")
 
 
+def _distinct(rows: DataFrame) -> DataFrame:
+    """``id, first_doc, copies, units`` of every distinct line."""
+    lines = rows.groupBy("id").agg(F.min(_place()).alias("first_doc"), F.count(F.lit(1)).alias("copies"),
+                                   F.min("norm").alias("norm"))
+    return lines.select("id", "first_doc", "copies", _units("norm").alias("units"))
+
+
 def _signed(rows: DataFrame) -> DataFrame:
     """``id, first_doc, copies, b0 ...`` of every distinct line: of every band,
-    the hash of its minima.  Equal lines have equal ones."""
+    the hash of its minima.  Lines are dealt once, by id, and what their shingles
+    are reduced to holds numbers only: the shingles are neither dealt nor sorted."""
+    keys = ["id", "first_doc", "copies"]
     # Outer, although no array is empty: else a filter that makes the units and
     # the array once more is put below.
-    rows = rows.select("id", _place().alias("place"), _units("norm").alias("units"))
-    rows = rows.select("id", "place", "units", F.explode_outer(_starts("units")).alias("at"))
-    rows = rows.select("id", "place", "at", _shingle("units", F.col("at")).alias("h0"))
+    rows = _distinct(rows).select(*keys, "units", F.explode_outer(_starts("units")).alias("at"))
+    rows = rows.select(*keys, _shingle("units", F.col("at")).alias("h0"))
     for r in range(1, ROWS):
         rows = rows.withColumn(f"h{r}", F.xxhash64(f"h{r - 1}"))
-    lines = rows.groupBy("id").agg(
-        F.min("place").alias("first_doc"), F.count_if(F.col("at") == 0).alias("copies"),
-        *[_least(r, b) for b in range(BANDS) for r in range(ROWS)])
-    return lines.select("id", "first_doc", "copies", *[
+    lines = rows.groupBy(*keys).agg(*[_least(r, b) for b in range(BANDS) for r in range(ROWS)])
+    return lines.select(*keys, *[
         F.xxhash64(F.lit(b), *[f"m{r}_{b}" for r in range(ROWS)]).alias(f"b{b}") for b in range(BANDS)])
 
 

@@ -183,3 +183,19 @@ def test_one_line_stays_whatever_shares_an_id(spark):
     # Without an id on any, the one of the smallest text hash keeps it.
     got = [tuple(r.dropped) for r in line_dedup.line_report(docs(spark, rows[2:])).collect()]
     assert sorted(map(len, got)) in ([0, 0, 1], [0, 1, 1])
+
+
+def test_shingles_are_neither_sorted_nor_dealt(spark):
+    plan = line_dedup._signed(line_dedup.line_rows(docs(spark, odd_rows())))._jdf.queryExecution() \
+        .executedPlan().toString().split("Generate explode(sequence(")[0]
+    assert "HashAggregate" in plan and "Sort" not in plan and "Exchange" not in plan
+
+
+def test_signed_lines(spark):
+    rows = [row(2, "A line\nother"), row(1, "a line "), row(None, "a line"), row(1, "a line ")]
+    lines = line_dedup.line_rows(docs(spark, rows))
+    got = {r.id: r for r in line_dedup._signed(lines).collect()}
+    ids = {r.norm: r.id for r in lines.collect()}
+    assert len(got) == 2
+    assert [got[ids[x]].copies for x in ("a line", "other")] == [4, 1]
+    assert [got[ids[x]].first_doc.of for x in ("a line", "other")] == [1, 2]
