@@ -17,6 +17,11 @@ from pyspark.sql.utils import AnalysisException
 from dashframe.functions.columns import col
 from dashframe.session import shared_dir, store
 
+# Up to this row a page is taken from every task's first rows;
+# the largest block that a deeper one reads.
+SHALLOW_ROWS = 1000
+PAGE_BLOCK_ROWS = 100_000
+
 
 def asc(name: str) -> Column:
     return col(name).asc_nulls_first()
@@ -115,7 +120,12 @@ def page_per_group(df: DataFrame, group_cols: list[str], order: list[Column],
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0,
          name: str = "position") -> DataFrame:
     """R9 over the whole table, deep offsets included: the ordered rows after
-    ``offset``, with their positions.  Only the page is numbered."""
+    ``offset``, with their positions.  Pages near the top are the first rows of
+    every task and their merge; for deeper ones, where these would be most of the
+    table in one task, the rows are sorted by range into blocks and the page reads
+    the blocks that hold it."""
+    if offset + limit > SHALLOW_ROWS:
+        return RankIndex.build(df, order, block_rows=PAGE_BLOCK_ROWS).page(limit, offset, name)
     rows = df.orderBy(*order).offset(offset).limit(limit)
     return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long") + offset)
 

@@ -90,3 +90,16 @@ def test_index_of_no_rows(spark):
     empty = spark.createDataFrame([], "k long, s string")
     index = RankIndex.build(empty, [F.col("k")])
     assert index.total() == 0 and index.page(5).collect() == []
+
+
+def test_deep_page_reads_blocks(spark, monkeypatch):
+    monkeypatch.setattr("dashframe.operators.order.PAGE_BLOCK_ROWS", 500)
+    rows = spark.range(20_000).selectExpr("cast(hash(id) as long) as h", "id as k").repartition(7)
+    order = [F.col("h").asc(), F.col("k").asc()]
+    keys = [r.k for r in rows.orderBy(*order).collect()]
+    for offset, limit in ((10_000, 100), (0, 20), (19_990, 50), (900, 200)):
+        got = page(rows, order, limit, offset)
+        assert got.columns == ["h", "k", "position"]
+        assert [(r.position, r.k) for r in got.collect()] == list(enumerate(keys, 1))[offset:offset + limit]
+    deep = page(rows, order, 100, 10_000)
+    assert spark.read.parquet(*deep.inputFiles()).count() <= 1000
