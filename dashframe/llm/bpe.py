@@ -18,6 +18,7 @@ columns other than the id and the text are not read.
 from __future__ import annotations
 
 import base64
+import sys
 from functools import lru_cache
 
 import numpy as np
@@ -119,9 +120,9 @@ class PairRanks:
 
 
 def merge_together(pieces: list[bytes], width: int, byte_ids: np.ndarray,
-                   pair: PairRanks) -> list[list[int]]:
-    """:func:`merge` of many matches of 2 to ``width`` bytes at once: row r of
-    ``tree`` is the segment tree of match r."""
+                   pair: PairRanks) -> list[bytes]:
+    """:func:`merge` of many matches of 2 to ``width`` bytes at once, each as
+    the bytes of 32-bit ids: row r of ``tree`` is the segment tree of match r."""
     m = len(pieces)
     n = np.fromiter(map(len, pieces), np.int64, m)
     raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8)
@@ -170,8 +171,8 @@ def merge_together(pieces: list[bytes], width: int, byte_ids: np.ndarray,
         r, at = rows[has], left[has]
         put(r, at, leaf(pair(ids[r, at], ids[r, i[has]]), at))
         rows = rows[tree[rows, 1] < _NEVER]
-    flat = ids[alive].tolist()
-    ends = np.cumsum(alive.sum(axis=1)).tolist()
+    flat = ids[alive].astype(np.int32).tobytes()
+    ends = (4 * np.cumsum(alive.sum(axis=1))).tolist()
     return [flat[a:b] for a, b in zip([0] + ends, ends)]
 
 
@@ -191,13 +192,17 @@ class Codec:
 
     def merge_all(self, pieces: list[bytes]) -> dict[bytes, list[int]]:
         """Ids of each of some distinct matches."""
+        return {p: np.frombuffer(ids, np.int32).tolist() for p, ids in self.merged(pieces).items()}
+
+    def merged(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """:meth:`merge_all` as the bytes of 32-bit ids, which are joined as they are."""
         out, rest = {}, {w: [] for w in _WIDTHS}
         for p in pieces:
             whole = self.ranks.get(p)
             if whole is not None:
-                out[p] = [whole]
+                out[p] = whole.to_bytes(4, sys.byteorder)
             elif len(p) > _WIDTHS[-1]:
-                out[p] = merge(p, self.ranks)
+                out[p] = np.array(merge(p, self.ranks), np.int32).tobytes()
             else:
                 rest[next(w for w in _WIDTHS if len(p) <= w)].append(p)
         for width, group in rest.items():
@@ -206,10 +211,10 @@ class Codec:
                 out.update(zip(part, merge_together(part, width, self.byte_ids, self.pair)))
         return out
 
-    def encode_chunks(self, names: list[str]) -> list[tuple[int, ...]]:
+    def encode_chunks(self, names: list[str]) -> list[bytes]:
         cut = [[p.encode() for p in self.find(c)] for c in names]
-        ids = self.merge_all(list({p for pieces in cut for p in pieces}))
-        return [tuple(i for p in pieces for i in ids[p]) for pieces in cut]
+        ids = self.merged(list({p for pieces in cut for p in pieces}))
+        return [ids[pieces[0]] if len(pieces) == 1 else b"".join([ids[p] for p in pieces]) for pieces in cut]
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return encode_texts(texts, self.encode_chunks, self.memo)

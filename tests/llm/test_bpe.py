@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -38,6 +39,12 @@ def test_one_tree_and_many_trees_agree():
     assert coder.merge_all(list(pieces)) == {p: bpe.merge(p, ranks) for p in pieces}
 
 
+def test_chunks_are_the_bytes_of_their_ids(library):
+    chunks = ["one", " river's", " x1234é", "\n\n", " qqzxv" * 30, ""]
+    got = bpe.codec(PATH, PATTERN).encode_chunks(chunks)
+    assert got == [np.array(library.encode_ordinary(c), np.int32).tobytes() for c in chunks]
+
+
 def test_rows_and_digests(spark, library):
     rows = odd_rows()
     got = bpe.round_trip(docs(spark, rows), PATH, PATTERN).collect()
