@@ -3,8 +3,8 @@
 One long *fingerprint table* ``(column_name, fingerprint, count)`` -- every
 column unpivoted to text, its values replaced by 128-bit fingerprints, then a
 partial/final aggregate -- answers null counts, distinct counts (NULL counted
-as a value) and the type rule for text columns, with a single shuffle for all
-columns that holds no text.  Top values come from hash-bucket counters (see
+as a value) and the type rule for text columns, with shuffles for all columns
+that hold no text.  Top values come from hash-bucket counters (see
 :func:`top_values`).  Typed statistics (min, max, mean, std, sum) come from one
 plain ``agg``; medians and quartiles from the distributed rank selection in
 :mod:`dashframe.operators.quantiles`.
@@ -22,13 +22,14 @@ from dashframe.functions.columns import col
 from dashframe.operators.order import row_order, top_per_group
 from dashframe.operators.quantiles import grouped_quantiles
 from dashframe.schema import is_datetime, is_numeric, is_string, semantic_type
-from dashframe.session import store
+from dashframe.session import store, tasks_for
 from dashframe.spec import SAMPLE_VALUES, TOP_VALUES, ColumnType
 
 # Thresholds of the text-column type rule.
 CATEGORICAL_RATIO = 0.5
 TEXT_RATIO = 0.8
 DATE_SHARE = 0.7
+VALUES = 1 << 20      # values that a task counts
 
 
 def long_values(df: DataFrame, columns: list[str] | None = None,
@@ -53,12 +54,29 @@ def _count_values(rows: DataFrame, *also: str) -> DataFrame:
 def fingerprint_frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``(column_name, f1, f2, count, missing, dated)`` of every distinct value:
     its fingerprint (two 64-bit hashes), whether it is NULL, and whether it
-    starts like a date."""
-    v = F.col("value")
-    rows = long_values(df, columns).select(
-        "column_name", F.xxhash64(v).alias("f1"), F.xxhash64(F.lit(1), v).alias("f2"),
-        v.isNull().alias("missing"), F.coalesce(looks_like_date(v), F.lit(False)).alias("dated"))
-    return rows.groupBy("column_name", "f1", "f2", "missing", "dated").agg(F.count(F.lit(1)).alias("count"))
+    starts like a date.
+
+    Rows are dealt as fingerprints, counted where they are, and the counts dealt
+    by value: both times to tasks of about ``VALUES`` values, whatever the
+    session's number of shuffle partitions.  Frequent values are dealt as a count
+    a task."""
+    columns = columns or list(df.columns)
+    n = tasks_for(df.sparkSession, df.count() * len(columns), VALUES)
+    prints, values = [], []
+    for i, c in enumerate(columns):
+        v = col(c).cast("string")
+        kind = F.when(v.isNull(), 2).when(looks_like_date(v), 1).otherwise(0).cast("byte")
+        prints += [F.xxhash64(v).alias(f"f1_{i}"), F.xxhash64(F.lit(1), v).alias(f"f2_{i}"), kind.alias(f"kind_{i}")]
+        values.append(F.struct(*[F.col(f"{x}_{i}").alias(x) for x in ("f1", "f2", "kind")]))
+    rows = df.select(*prints)
+    # The partition's number parts equal rows; 16 salts a task even the tasks out.
+    salt = F.pmod(F.xxhash64(F.spark_partition_id(), *rows.columns), F.lit(16 * n)).alias("salt")
+    rows = rows.select("*", salt).repartition(n, "salt").select("salt", F.posexplode(F.array(*values)).alias("at", "v"))
+    keys = ["at", "f1", "f2", "kind"]
+    dealt = rows.select("salt", "at", "v.*").groupBy("salt", *keys).agg(F.count(F.lit(1)).alias("count"))
+    freq = dealt.repartition(n, *keys).groupBy(*keys).agg(F.sum("count").alias("count"))
+    return freq.select(F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("at") + 1).alias("column_name"), "f1",
+                       "f2", "count", (F.col("kind") == 2).alias("missing"), (F.col("kind") == 1).alias("dated"))
 
 
 def column_profile(df: DataFrame, columns: list[str] | None = None,

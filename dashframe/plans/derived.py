@@ -6,6 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dashframe.session import tasks_for
+
+LINES = 1 << 18       # rows of a spread table a task
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -13,8 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def spread(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
     """A table dealt by its key: the fixture files have one row group, and what
-    is derived from them here costs more per row than dealing the row."""
-    return table(spark, sf_dir, name).repartition(key)
+    is derived from them here costs more per row than dealing the row.  Its tasks
+    grow with its rows (counted from the files' footers)."""
+    rows = table(spark, sf_dir, name)
+    return rows.repartition(tasks_for(spark, rows.count(), LINES), key)
 
 
 # ------------------------------------------------------------------ nulls

@@ -88,6 +88,14 @@ def shared_dir(spark: SparkSession, name: str, temporary: bool = False) -> str:
     return path
 
 
+def tasks_for(spark: SparkSession, rows: int, most: int) -> int:
+    """Partitions for ``rows`` of which a task gets about ``most``: given to
+    ``repartition``, adaptive execution does not merge them.  Few rows keep the
+    session's parallelism, very few go to fewer tasks."""
+    few = min(spark.sparkContext.defaultParallelism, rows * 16 // most)
+    return max(1, few, -(-rows // most))
+
+
 def store(df, name: str):
     """Write ``df`` once to the shared folder and read it back: whatever uses
     the result sees the same rows, however often it is evaluated."""
