@@ -68,22 +68,79 @@ def features(word: str, lexicons: dict[str, tuple[int, ...]], labels: int) -> np
     return np.array(list(lexicons.get(word, ())) + hashed, np.int64)
 
 
+def _keys(codes: list[np.ndarray]) -> np.ndarray:
+    """One number for up to three code points, each raised by one (0: none)."""
+    return sum(c << np.uint64(21 * i) for i, c in enumerate(codes))
+
+
 class Model:
     def __init__(self, labels: list[str], lexicons, weight, transition):
         self.labels, self.lexicons = labels, lexicons
         self.weight, self.transition = weight, transition
-        self.memo: dict[str, np.ndarray | None] = {}
-
-    def emission(self, token: str) -> np.ndarray | None:
-        """Label scores of a token; None without a letter."""
-        if token in self.memo:
-            return self.memo[token]
-        word = bare(token)
-        e = self.weight[features(word, self.lexicons, len(self.labels))].sum(axis=0) if word else None
-        if len(self.memo) >= MEMO_WORDS:
-            self.memo.clear()
-        self.memo[token] = e
-        return e
+        self.forget()
+
+    def forget(self) -> None:
+        self.memo: dict[str, int] = {}      # rows of the table by token; 0: no letter
+        self.table = np.zeros((1, len(self.labels)))
+        self.ids: dict[str, dict[int, int]] = {kind: {} for kind in ("p", "s", "")}
+
+    def _hashed(self, kind: str, keys: np.ndarray) -> np.ndarray:
+        """Feature ids of affixes or n-grams; only those not met before are hashed."""
+        coded = pa.array(keys).dictionary_encode()
+        known, ids = self.ids[kind], []
+        for key in coded.dictionary.to_pylist():
+            found = known.get(key)
+            if found is None:
+                codes = (key & 0x1FFFFF, key >> 21 & 0x1FFFFF, key >> 42)
+                name = kind + "".join(chr(c - 1) for c in codes if c)
+                found = known[key] = len(self.labels) + xxhash.xxh32_intdigest(name) % (FEATURES - len(self.labels))
+            ids.append(found)
+        return np.array(ids, np.int64)[coded.indices.to_numpy()]
+
+    def _scores(self, words: list[str]) -> np.ndarray:
+        """Label scores of distinct bare words: the weights of their features,
+        summed in the features' order."""
+        out = np.zeros((len(words), len(self.labels)))
+        for i, w in enumerate(words):
+            if w in self.lexicons:
+                out[i] = self.weight[features(w, self.lexicons, len(self.labels))].sum(axis=0)
+        rest = np.array([i for i, w in enumerate(words) if w not in self.lexicons], np.int64)
+        if not len(rest):
+            return out
+        chosen = [words[i] for i in rest]
+        n = np.fromiter(map(len, chosen), np.int64, len(chosen))
+        rest, chosen, n = (rest[o := np.argsort(-n, kind="stable")], [chosen[i] for i in o], n[o])   # long before short
+        text = np.frombuffer("".join(f"^{w}$" for w in chosen).encode("utf-32-le"), np.uint32).astype(np.uint64) + 1
+        first = np.concatenate([[0], np.cumsum(n + 2)[:-1]]) + 1
+        total = np.zeros((len(chosen), len(self.labels)))
+        for kind in ("p", "s"):
+            for k in (1, 2, 3):
+                size = np.minimum(n, k)
+                start = first if kind == "p" else first + n - size
+                codes = [np.where(i < size, text[np.minimum(start + i, len(text) - 1)], 0).astype(np.uint64)
+                         for i in range(k)]
+                total += self.weight[self._hashed(kind, _keys(codes))]
+        for size in (2, 3):
+            grams = self._hashed("", _keys([text[i:len(text) - size + 1 + i] for i in range(size)]))
+            for at in range(int(n[0]) + 3 - size):
+                m = int(np.searchsorted(-n, 2 - size - at, side="right"))    # words of more than at grams
+                total[:m] += self.weight[grams[first[:m] - 1 + at]]
+        out[rest] = total
+        return out
+
+    def emissions(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(label scores, which have a letter) of distinct tokens."""
+        new = [t for t in tokens if t not in self.memo]
+        if len(self.memo) + len(new) > MEMO_WORDS:
+            self.forget()
+            new = tokens
+        words = [bare(t) for t in new]
+        fresh = list(dict.fromkeys(w for w in words if w))
+        row = {w: len(self.table) + i for i, w in enumerate(fresh)}
+        self.table = np.concatenate([self.table, self._scores(fresh)])
+        self.memo.update(zip(new, [row.get(w, 0) for w in words]))
+        rows = np.fromiter(map(self.memo.__getitem__, tokens), np.int64, len(tokens))
+        return self.table[rows], rows > 0
 
     def label(self, texts: pa.Array):
         """(marginals by piece, which pieces are words, offsets by text)."""
@@ -97,10 +154,7 @@ class Model:
             tokens = pa.array([x for p in parts for x in p], pa.string())
         coded = tokens.dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        none = np.zeros(len(self.labels))
-        answers = [self.emission(t) for t in coded.dictionary.to_pylist()]
-        is_word = np.array([a is not None for a in answers], bool)
-        table = np.array([none if a is None else a for a in answers]).reshape(-1, len(self.labels))
+        table, is_word = self.emissions(coded.dictionary.to_pylist())
         marginal = forward_backward(table[codes], self.transition, np.diff(offsets))
         return marginal, is_word[codes], offsets
 
