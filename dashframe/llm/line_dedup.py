@@ -38,6 +38,7 @@ ROWS = 3
 BANDS = 8
 HEAD_ROUNDS = 2
 SMALL = 16            # lines of a bucket whose pairs are all compared
+BEFORE = 8            # shingles ahead of one that tell whether a pair has met
 _RANDOM = random.Random(7)
 _BAND_KEYS = [b * (1 << 64) // BANDS - (1 << 63) + _RANDOM.getrandbits(60) for b in range(BANDS)]
 
@@ -153,15 +154,40 @@ def _mixed(met: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def _prefixes(ids: DataFrame, text: DataFrame) -> DataFrame:
-    """``id, token, pos, size``: of every line the shingles, rare before
-    frequent, one of which any similar line has in its own prefix."""
+    """``id, token, pos, size, before``: of every line the shingles, rare before
+    frequent, one of which any similar line has in its own prefix; ``before``:
+    those of the last ``BEFORE`` ahead of it that another line has too."""
     sets = stored(text.join(ids, "id", "left_semi").select("id", _units("norm").alias("units"))
                   .select("id", _shingles("units").alias("s"))
                   .select("id", F.size("s").alias("size"), F.explode_outer("s").alias("token")), "op6-tokens")
     count = sets.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
     order = Window.partitionBy("id").orderBy("c", "token")
-    return sets.join(count, "token").withColumn("pos", F.row_number().over(order) - 1) \
-        .where((5 * F.col("pos") <= F.col("size")) & (F.col("c") > 1)).select("id", "token", "pos", "size")
+    shared = F.collect_list(F.when(F.col("c") > 1, F.col("token")))
+    return sets.join(count, "token").withColumns({
+        "pos": F.row_number().over(order) - 1, "before": shared.over(order.rowsBetween(-BEFORE, -1))}) \
+        .where((5 * F.col("pos") <= F.col("size")) & (F.col("c") > 1)).select("id", "token", "pos", "size", "before")
+
+
+def _met(mixed: DataFrame, text: DataFrame) -> DataFrame:
+    """``a, b`` of the lines of different components that share a crowded bucket
+    and there a shingle of their prefixes, and can be similar.  A pair leaves the
+    join at its first common shingle (again where none was common for BEFORE
+    shingles) and in the least of its common buckets, not once for every one."""
+    crowd = stored(mixed.where(F.col("n") > SMALL).groupBy("id", "part").agg(F.collect_set("bucket").alias("buckets")),
+                   "op6-crowd")
+    index = stored(_prefixes(crowd.select("id"), text).join(crowd, "id")
+                   .withColumn("bucket", F.explode("buckets")), "op6-index")
+    other = index.withColumnsRenamed({c: f"{c}2" for c in ("id", "part", "pos", "size", "before", "buckets")})
+    # Behind their first common shingle both lines must hold the rest of the overlap.
+    ahead = F.least(F.col("size") - F.col("pos"), F.col("size2") - F.col("pos2"))
+    # One condition, the cheap parts first.
+    return index.join(other, ["bucket", "token"]).where(
+        (F.col("id") < F.col("id2")) & (F.col("part") != F.col("part2"))
+        & (5 * F.least("size", "size2") >= 4 * F.greatest("size", "size2"))
+        & (9 * ahead >= 4 * (F.col("size") + F.col("size2")))
+        & ~F.arrays_overlap("before", "before2")
+        & (F.array_min(F.array_intersect("buckets", "buckets2")) == F.col("bucket"))
+    ).select(F.col("id").alias("a"), F.col("id2").alias("b"))
 
 
 def _rest(mixed: DataFrame, tested: DataFrame, text: DataFrame) -> DataFrame:
@@ -171,16 +197,7 @@ def _rest(mixed: DataFrame, tested: DataFrame, text: DataFrame) -> DataFrame:
     other = few.withColumnsRenamed({"id": "id2", "part": "part2"})
     pairs = few.join(other, "bucket").where("id < id2 and part != part2") \
         .select(F.col("id").alias("a"), F.col("id2").alias("b"))
-    crowd = mixed.where(F.col("n") > SMALL).select("bucket", "id", "part")
-    index = stored(_prefixes(crowd.select("id").distinct(), text).join(crowd, "id"), "op6-index")
-    other = index.withColumnsRenamed({c: f"{c}2" for c in ("id", "part", "pos", "size")})
-    # Behind their first common shingle both lines must hold the rest of the overlap.
-    ahead = F.least(F.col("size") - F.col("pos"), F.col("size2") - F.col("pos2"))
-    met = index.join(other, ["bucket", "token"]).where("id < id2 and part != part2").where(
-        (5 * F.least("size", "size2") >= 4 * F.greatest("size", "size2"))
-        & (9 * ahead >= 4 * (F.col("size") + F.col("size2"))))
-    return pairs.unionAll(met.select(F.col("id").alias("a"), F.col("id2").alias("b"))).distinct() \
-        .join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    return pairs.unionAll(_met(mixed, text)).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def _links(lines: DataFrame, docs: DataFrame) -> DataFrame:
