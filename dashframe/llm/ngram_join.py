@@ -33,7 +33,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dashframe.llm.common import (binary_values, gram_hashes, mix, slices, stored, text_key,
@@ -42,6 +42,8 @@ from dashframe.llm.components import components
 
 SKETCH_BITS = 17
 HEAD_ROUNDS = 2
+BEFORE = 8            # entries ahead of one that tell whether a pair has met
+PARITIES = 16         # 64-bit words of a set's parities
 
 
 class Rule(NamedTuple):
@@ -56,6 +58,10 @@ class Rule(NamedTuple):
     def sizes_fit(self, a: Column, b: Column) -> Column:
         return self.den * F.least(a, b) >= self.num * F.greatest(a, b)
 
+    def differ_fits(self, differ: Column, a: Column, b: Column) -> Column:
+        """Whether sets that differ in so many shingles can link."""
+        return (self.num + self.den) * differ <= (self.den - self.num) * (a + b)
+
     def places_fit(self, pos: Column, size: Column) -> Column:
         return pos * (self.den + self.num) <= size * (self.den - self.num)
 
@@ -234,7 +240,7 @@ def links(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
         edges = tested.where(rule.linked(F.col("overlap"), F.col("sa"), F.col("sb"))).select("a", "b")
         parts = components(edges, "op5")
 
-    rest = stored(_rest(_mixed(lists, parts), tested, roles, chosen, rule), "op5-rest")
+    rest = stored(_rest(_mixed(lists, parts), texts, tested, roles, chosen, rule), "op5-rest")
     derived = rest.where("sure").select("a", "b")
     seen = stored(_overlaps(rest.where(~F.col("sure")).select("a", "b"), texts, rule), "op5-tested")
     more = seen.where(rule.linked(F.col("overlap"), F.col("sa"), F.col("sb"))).select("a", "b")
@@ -250,6 +256,26 @@ def _mixed(lists: DataFrame, parts: DataFrame) -> DataFrame:
     return named.join(several, ["token", "window"], "left_semi")
 
 
+def _parities(texts: DataFrame, rule: Rule) -> DataFrame:
+    """``sid, q0 ...`` of every set: of each of 64 * PARITIES classes of shingles
+    (by hash) whether the set holds an odd number.  Where the parities of two
+    sets differ, a shingle is in one of them only."""
+    names = [f"q{i}" for i in range(PARITIES)]
+    drop = np.uint64(64 - (64 * PARITIES).bit_length() + 1)
+
+    def run(batches):
+        for b in slices(batches):
+            odd = [np.packbits((np.bincount((shingle_set(t, rule.words) >> drop).astype(np.int64),
+                                            minlength=64 * PARITIES) & 1).astype(np.uint8)).view(np.int64)
+                   for t in binary_values(b, "text")]
+            odd = np.array(odd, np.int64).reshape(-1, PARITIES)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("sid")] + [pa.array(np.ascontiguousarray(odd[:, i])) for i in range(PARITIES)],
+                names=["sid", *names])
+
+    return texts.select("sid", "text").mapInArrow(run, "sid long, " + ", ".join(f"{q} long" for q in names))
+
+
 def _bounds(batches):
     """Of a pair the least and the most that the overlaps with common heads
     leave for its own: ``a, b, s1, s2, least, most`` (NULL without one)."""
@@ -273,12 +299,13 @@ def _bounds(batches):
             names=["a", "b", "s1", "s2", "least", "most"])
 
 
-def _rest(mixed: DataFrame, tested: DataFrame, roles: DataFrame, chosen: list[DataFrame],
+def _rest(mixed: DataFrame, texts: DataFrame, tested: DataFrame, roles: DataFrame, chosen: list[DataFrame],
           rule: Rule) -> DataFrame:
     """Pairs of sets of different components that meet in an index block, are
     not tested yet and are not refuted by the overlaps with a common head:
     ``a, b, sure`` (link proven by them).  Entries bring their overlaps with the
-    heads of their own list, so that pairs these refute never leave the join.
+    heads of their own list and their sets' parities, so that pairs these refute
+    never leave the join.
     For the others, a set's heads are one array in its row (they are those of
     its own lists); a pair takes its sets' arrays and is judged in its row."""
     sides = roles.distinct().withColumns({"a": F.least("sid", "head"), "b": F.greatest("sid", "head")}) \
@@ -290,10 +317,14 @@ def _rest(mixed: DataFrame, tested: DataFrame, roles: DataFrame, chosen: list[Da
     for o, of in zip(overlaps, chosen):
         mixed = mixed.join(of.withColumnRenamed("head", f"{o}head"), ["token", "window"], "left")
     mixed = mixed.join(heads, "sid", "left")
+    marks = stored(_parities(texts.join(mixed.select("sid").distinct(), "sid", "left_semi"), rule), "op5-parities")
     mixed = stored(mixed.withColumns({o: F.expr(
         f"IF(sid = {o}head, CAST(size AS BIGINT), GET(FILTER(h, x -> x.head = {o}head), 0).overlap)")
         for o in overlaps}).drop("h", *[f"{o}head" for o in overlaps]), "op5-mixed")
-    carried = ("sid", "size", "pos", "part", *overlaps)
+    order = Window.partitionBy("sid", "window").orderBy("pos")
+    mixed = mixed.withColumn("before", F.collect_list("token").over(order.rowsBetween(-BEFORE, -1))).join(marks, "sid")
+    parities = [f"q{i}" for i in range(PARITIES)]
+    carried = ("sid", "size", "pos", "part", "before", *overlaps, *parities)
     x = mixed.select("token", "window", "block", "near", *[F.col(c).alias(f"{c}1") for c in carried])
     y = mixed.select("token", "window", F.col("block").alias("block2"), F.col("near").alias("near2"), *[
         F.col(c).alias(f"{c}2") for c in carried])
@@ -302,11 +333,16 @@ def _rest(mixed: DataFrame, tested: DataFrame, roles: DataFrame, chosen: list[Da
         o1, o2, s1, s2 = (F.col(c) for c in (f"{o}1", f"{o}2", "size1", "size2"))
         most = F.when(o1.isNotNull() & o2.isNotNull(), F.least(o1, o2) + F.least(s1 - o1, s2 - o2))
         possible = possible & F.coalesce(rule.linked(most, s1, s2), F.lit(True))
-    met = x.join(y, ["token", "window"]).where(possible & (
+    differ = sum((F.bit_count(F.col(f"{q}1").bitwiseXOR(F.col(f"{q}2"))) for q in parities), F.lit(0))
+    met = x.join(y, ["token", "window"]).where((
         (F.col("sid1") < F.col("sid2")) & (F.col("part1") != F.col("part2"))
         & (F.col("near") | F.col("near2")) & (F.col("window") == F.greatest("block", "block2"))
         & rule.places_fit(F.col("pos1") + F.col("pos2"), F.col("size1") + F.col("size2"))
-        & rule.sizes_fit(F.col("size1"), F.col("size2"))))
+        & rule.sizes_fit(F.col("size1"), F.col("size2"))
+        & rule.differ_fits(differ, F.col("size1"), F.col("size2")) & possible
+        # A pair leaves the join at its first common entry (again where none was common for
+        # BEFORE entries), not at every one.
+        & ~F.arrays_overlap("before1", "before2")))
     pairs = stored(met.select(F.col("sid1").alias("a"), F.col("sid2").alias("b"),
                               F.col("size1").cast("long").alias("s1"), F.col("size2").cast("long").alias("s2"))
                    .distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "op5-pairs")
