@@ -64,12 +64,17 @@ def join_by_key(rows: DataFrame, side: DataFrame, key: str, n: str) -> DataFrame
     ``key`` (NULL included) of ``rows`` and in ``n`` how many of them there are.
 
     Keys with more than a ``HOT_SHARE``-th of the rows, fewer than ``HOT_SHARE``
-    by that, are joined by a broadcast; a shuffle deals the others.  Both frames
+    by that, are joined by a broadcast; a shuffle deals the others.  Where all
+    keys are of one kind, the plan holds that kind's join alone.  Both frames
     are stored ones: they are read more than once."""
-    total = side.agg(F.sum(n)).first()[0] or 0
+    total, least, most = side.agg(F.sum(n), F.min(n), F.max(n)).first()
     side = side.withColumnRenamed(key, "__key")
-    hot = F.broadcast(side.where(F.col(n) * HOT_SHARE > total))
     on = F.col(key).eqNullSafe(F.col("__key"))
+    if total and least * HOT_SHARE > total:
+        return rows.join(F.broadcast(side), on).drop("__key", n)
+    if not total or most * HOT_SHARE <= total:
+        return rows.join(side, on).drop("__key", n)
+    hot = F.broadcast(side.where(F.col(n) * HOT_SHARE > total))
     dealt = rows.join(hot.select("__key"), on, "left_anti").join(
         side.where(F.col(n) * HOT_SHARE <= total), on)
     return rows.join(hot, on).unionAll(dealt).drop("__key", n)

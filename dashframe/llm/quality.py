@@ -14,7 +14,8 @@ transformed statistics lie in squared Mahalanobis distance beyond the
 Every step is a grouped aggregate over all documents of a group: moments, and
 a histogram of log distances whose bins give the nearest ``H`` share (documents
 in the bin where it is reached weigh what is left of it), so no group meets in
-one task and ties don't depend on the order of rows.  Groups that hold much of
+one task and ties don't depend on the order of rows.  Tasks take the distances
+and sum by batch; the aggregates add the batches up.  Groups that hold much of
 the rows meet their estimates by a broadcast, the others by a shuffle.
 Groups of fewer than ``LEAST`` documents are pooled by language, pools that
 are still smaller over all languages; a last pool that is too small has no
@@ -146,8 +147,72 @@ def _distance() -> Column:
     return F.greatest(F.lit(0.0), reduce(lambda a, b: a + b, terms))
 
 
-def _bin() -> Column:
-    return F.floor(F.log(_distance() + F.lit(1e-9)) * BINS)
+def _distances(b: pa.RecordBatch) -> np.ndarray:
+    """``_distance`` of a batch's rows: 0 where a value is NULL."""
+
+    def columns(name, n):
+        return b.column(name).flatten().to_numpy(zero_copy_only=False).reshape(-1, n).T
+
+    d = _values(b) - columns("mean", _DIM)
+    terms = [v * d[i] * d[j] * (1 if i == j else 2)
+             for v, (i, j) in zip(columns("inverse", len(_PAIRS)), _PAIRS)]
+    return np.fmax(0.0, reduce(lambda x, y: x + y, terms))
+
+
+def _values(b: pa.RecordBatch) -> np.ndarray:
+    return np.stack([b.column(f"x{i}").to_numpy(zero_copy_only=False) for i in range(_DIM)])
+
+
+def _bins(b: pa.RecordBatch) -> np.ndarray:
+    return np.floor(np.log(_distances(b) + 1e-9) * BINS)
+
+
+def _by_start(b: pa.RecordBatch, at: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(``g`` and ``s`` of the kinds of the batch's rows ``at``; of each row its kind)"""
+    g = b.column("g").dictionary_encode(null_encoding="encode")
+    s = b.column("s").to_numpy(zero_copy_only=False).astype(np.int64)
+    codes = (g.indices.to_numpy(zero_copy_only=False).astype(np.int64) * STARTS + s)[at]
+    kinds, kind = np.unique(codes, return_inverse=True)
+    return g.dictionary.take(pa.array(kinds // STARTS)), kinds % STARTS, kind
+
+
+def _histogram(batches):
+    """Rows of ``_at_starts``: ``g, s, bin, c``, counts by batch."""
+    for b in batches:
+        g, s, kind = _by_start(b, np.arange(b.num_rows))
+        pairs, count = np.unique(np.stack([kind, _bins(b).astype(np.int64)]), axis=1, return_counts=True)
+        of, bins = pairs
+        yield pa.RecordBatch.from_arrays(
+            [g.take(pa.array(of)), pa.array(s[of], pa.int32()), pa.array(bins, pa.int64()),
+             pa.array(count, pa.int64())], names=["g", "s", "bin", "c"])
+
+
+_SUMS = [f"s{i}" for i in range(_DIM)] + [f"s{i}{j}" for i, j in _PAIRS]
+
+
+def _sums(weight):
+    """Rows of ``_at_starts``, each of the weight that ``weight`` gives it:
+    the weighted sums ``g, s, w, s0 ...``, by batch."""
+
+    def run(batches):
+        for b in batches:
+            w = weight(b)
+            at = np.flatnonzero(w > 0)
+            g, s, kind = _by_start(b, at)
+            w, x = w[at], np.nan_to_num(_values(b)[:, at])   # NULL adds nothing
+            columns = [w, *[w * v for v in x], *[w * x[i] * x[j] for i, j in _PAIRS]]
+            yield pa.RecordBatch.from_arrays(
+                [g, pa.array(s, pa.int32()), *[pa.array(np.bincount(kind, c, len(s))) for c in columns]],
+                names=["g", "s", "w", *_SUMS])
+
+    return run
+
+
+def _nearest(b: pa.RecordBatch) -> np.ndarray:
+    """1 below the bin where the H share is reached, the rest of it within."""
+    bins, edge = _bins(b), b.column("edge").to_numpy(zero_copy_only=False)
+    share = b.column("share").to_numpy(zero_copy_only=False)
+    return np.where(bins < edge, 1.0, np.where(bins == edge, share, 0.0))
 
 
 def _moments(rows: DataFrame) -> DataFrame:
@@ -170,11 +235,18 @@ def _upper_of(m: np.ndarray) -> list[float]:
     return [float(m[i, j]) for i, j in _PAIRS]
 
 
+def _weighted(rows: DataFrame, weight) -> DataFrame:
+    """As ``_moments`` of rows of ``_at_starts``, whose weights tasks take from
+    their distances: no plan repeats the distance's terms."""
+    parts = rows.mapInArrow(_sums(weight), "g string, s int, w double, " + ", ".join(f"{c} double" for c in _SUMS))
+    return parts.groupBy("g", "s").agg(*[F.sum(c).alias(c) for c in ("w", *_SUMS)])
+
+
 _ESTIMATE = "g string, s int, w double, mean array<double>, inverse array<double>, logdet double"
 
 
-def _estimates(rows: DataFrame, scale: float) -> DataFrame:
-    """``_ESTIMATE`` from the rows of each group and start: the covariance with
+def _estimates(moments: DataFrame, scale: float) -> DataFrame:
+    """``_ESTIMATE`` from the sums of each group and start: the covariance with
     the floors on its diagonal, and the logarithm of its determinant."""
 
     def run(parts):
@@ -187,7 +259,7 @@ def _estimates(rows: DataFrame, scale: float) -> DataFrame:
                             float(np.linalg.slogdet(cov)[1])))
             yield pd.DataFrame(out, columns=["g", "s", "w", "mean", "inverse", "logdet"])
 
-    return _moments(rows).where("w > 0").mapInPandas(run, _ESTIMATE)
+    return moments.where("w > 0").mapInPandas(run, _ESTIMATE)
 
 
 def _by_group(estimates: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -266,8 +338,8 @@ def _by_columns(rows: DataFrame, values: list[Column], name: str) -> DataFrame:
 def _concentrated(rows: DataFrame, side: DataFrame, sizes: DataFrame) -> DataFrame:
     """``_ESTIMATE`` of the H share of each group nearest to each of its starts.
     Rows in the bin where the share is reached weigh what is left of it."""
-    counts = _at_starts(rows, side).groupBy("g", "s", _bin().alias("bin")).agg(
-        F.count(F.lit(1)).alias("c"))
+    counts = _at_starts(rows, side).mapInArrow(_histogram, "g string, s int, bin long, c long") \
+        .groupBy("g", "s", "bin").agg(F.sum("c").alias("c"))
     upto = Window.partitionBy("g", "s").orderBy("bin")
     left = H * F.sum("c").over(Window.partitionBy("g", "s")) - (F.sum("c").over(upto) - F.col("c"))
     edge = (counts.withColumn("left", left).where("left > 0").groupBy("g", "s")
@@ -275,9 +347,7 @@ def _concentrated(rows: DataFrame, side: DataFrame, sizes: DataFrame) -> DataFra
                                                       -F.col("bin")).alias("share")))
     starts = side.select("g", F.explode("starts").alias("e")).select("g", "e.*")
     side = stored(_by_group(starts.join(edge, ["g", "s"]), sizes), "op8-edges")
-    at = _bin()
-    weight = F.when(at < F.col("edge"), 1.0).when(at == F.col("edge"), F.col("share")).otherwise(0.0)
-    return _estimates(_at_starts(rows, side).withColumn("w", weight).where("w > 0"), _consistency(H))
+    return _estimates(_weighted(_at_starts(rows, side), _nearest), _consistency(H))
 
 
 def least_determinant(rows: DataFrame) -> DataFrame:
@@ -352,8 +422,10 @@ def quality(docs: DataFrame) -> DataFrame:
                           *[x.alias(f"x{i}") for i, x in enumerate(_vector())]), "op8-vectors")
     best = stored(least_determinant(rows), "op8-least")
     near = join_by_key(rows, best.select("g", "s", "mean", "inverse", "n"), "g", "n") \
-        .where(_distance() <= _chi2_point(REWEIGHT)).withColumn("w", F.lit(1.0))
-    final = _estimates(near, _consistency(REWEIGHT)).where(F.col("w") >= LEAST // 2)
+        .select("g", "s", *[f"x{i}" for i in range(_DIM)], "mean", "inverse")
+    point = _chi2_point(REWEIGHT)
+    final = _estimates(_weighted(near, lambda b: (_distances(b) <= point).astype(float)),
+                       _consistency(REWEIGHT)).where(F.col("w") >= LEAST // 2)
     side = stored(best.select("g", "n").join(final.select("g", "mean", "inverse"), "g", "left"),
                   "op8-final")
     scored = join_by_key(rows, side, "g", "n").select(

@@ -2,6 +2,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dashframe.llm import quality
 
@@ -65,3 +66,36 @@ def test_ties_weigh_alike(spark):
         rows, "g string, h long, " + ", ".join(f"x{i} double" for i in range(7)))).collect()
     assert r.w == pytest.approx(30) and r.mean == pytest.approx([1.0] * 7)
     assert r.logdet == pytest.approx(2 * np.log(quality.FLOOR).sum())
+
+
+def test_batches_add_up_to_the_aggregates_of_expressions(spark):
+    # The tasks' histogram and sums against the same by Spark's expressions, with
+    # a row that has a NULL, several groups in a batch and none to weigh.
+    rng = np.random.default_rng(5)
+    inverse = [float(i + 1 if i == j else 0.01 * (i - j)) for i, j in quality._PAIRS]
+    rows = [(["a", "b", None][k % 3], k % 2, *[None if k == 7 else float(v) for v in rng.normal(size=7)],
+             [0.1 * i for i in range(7)], inverse, 2000 if k % 3 else -90000, 0.25) for k in range(90)]
+    df = spark.createDataFrame(rows, "g string, s int, " + ", ".join(f"x{i} double" for i in range(7))
+                               + ", mean array<double>, inverse array<double>, edge long, share double")
+    at = F.floor(F.log(quality._distance() + 1e-9) * quality.BINS)
+    want = {tuple(r) for r in df.groupBy("g", "s", at).count().collect()}
+    counted = df.mapInArrow(quality._histogram, "g string, s int, bin long, c long") \
+        .groupBy("g", "s", "bin").agg(F.sum("c")).collect()
+    assert {tuple(r) for r in counted} == want
+    weight = F.when(at < F.col("edge"), 1.0).when(at == F.col("edge"), F.col("share")).otherwise(0.0)
+    sums = {(r.g, r.s): r for r in quality._moments(df.withColumn("w", weight).where("w > 0")).collect()}
+    got = quality._weighted(df, quality._nearest).collect()
+    assert len(got) == len(sums) == 4
+    for r in got:
+        assert tuple(r)[2:] == pytest.approx(tuple(sums[r.g, r.s])[2:])
+
+
+def test_a_step_is_a_small_plan(spark):
+    # The driver held the distance's 28 terms eight times a step, for every step.
+    rows = spark.range(200).select(F.lit("a").alias("g"), F.col("id").alias("h"),
+                                   *[F.rand(i).alias(f"x{i}") for i in range(7)]).localCheckpoint()
+    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    side = quality._by_group(quality._first(rows, sizes), sizes).localCheckpoint()
+    plan = quality._concentrated(rows, side, sizes)._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().count("inverse") < 40
+    assert "Union" not in plan.toString()
