@@ -52,6 +52,7 @@ _NO_ID = -(1 << 63)
 END = 0
 SLICE = 16 << 20        # bytes of text that are reduced to distinct words at once
 _RUN = 64               # words encoded in one call
+KNOWN = 20 << 20        # bytes of words whose ids a worker keeps, offsets included
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -131,9 +132,18 @@ class Shard:
         self.file.close()
 
 
+def _gathered(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The runs ``codes`` of ``ids``, which holds runs of ``sizes``, flat."""
+    starts = np.cumsum(sizes) - sizes
+    taken = sizes[codes]
+    shift = np.repeat(starts[codes] - (np.cumsum(taken) - taken), taken)
+    return ids[shift + np.arange(len(shift))]
+
+
 class _Encoder:
     """Ids of whole texts: each Arrow slice is reduced to its distinct words,
-    which are encoded in runs, and the texts gather their words' ids."""
+    those that are not known from slices before are encoded in runs, and the
+    texts gather their words' ids."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -145,6 +155,8 @@ class _Encoder:
         self.spaced = np.zeros(self.size, bool)
         for token, i in t.get_vocab().items():
             self.spaced[i] = token.startswith("\u0120")
+        # Known words, their ids, flat, and how many each has.
+        self.known = pa.array([], pa.string()), np.empty(0, np.int32), np.empty(0, np.int64)
 
     def some(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all names, flat; how many each has)"""
@@ -154,9 +166,27 @@ class _Encoder:
         return np.concatenate([np.empty(0, np.int32), *found]), sizes
 
     def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """As ``some`` of ``" " + word`` for words without white space.  They are
-        run together, as a call costs more than a word: every word's first id,
-        and no other, is a spaced one."""
+        """As ``some`` of ``" " + word`` for distinct words without white space.
+        Known ones are looked up; when they are too many, those of this call
+        take their place."""
+        known, ids, sizes = self.known
+        found = pc.index_in(words, value_set=known)
+        new = words.filter(pc.is_null(found))
+        at = pc.fill_null(found, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at[pc.is_null(found).to_numpy(zero_copy_only=False)] = len(known) + np.arange(len(new))
+        more = self.runs(new)
+        ids, sizes = np.concatenate([ids, more[0]]), np.concatenate([sizes, more[1]])
+        own = _gathered(ids, sizes, at)
+        if known.nbytes + new.nbytes <= KNOWN:
+            self.known = pa.concat_arrays([known, new]), ids, sizes
+        elif words.nbytes <= KNOWN:
+            self.known = words, own, sizes[at]
+        return own, sizes[at]
+
+    def runs(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``words``, but all are encoded.  They are run together, as a call
+        costs more than a word: every word's first id, and no other, is a spaced
+        one."""
         n = len(words)
         if not n:
             return np.empty(0, np.int32), np.empty(0, np.int64)
@@ -180,18 +210,15 @@ class _Encoder:
         ids, sizes = zip(self.words(tail.dictionary.filter(plain)),
                          self.some([" " + t for t in tail.dictionary.filter(odd).to_pylist()]),
                          self.some(head.dictionary.to_pylist()))
-        ids, starts = np.concatenate(ids), np.concatenate(sizes)
+        ids, sizes = np.concatenate(ids), np.concatenate(sizes)
         # Distinct pieces in the order in which they were encoded.
         place = np.empty(len(tail.dictionary), np.int64)
         mask = plain.to_numpy(zero_copy_only=False)
         place[np.concatenate([np.flatnonzero(mask), np.flatnonzero(~mask)])] = np.arange(len(place))
         codes = place[tail.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.empty(0, np.int64)
         codes[heads] = head.indices.to_numpy(zero_copy_only=False) + len(place)
-        sizes, starts = starts, np.concatenate([[0], np.cumsum(starts)])
-        taken = sizes[codes]
-        ends = np.concatenate([[0], np.cumsum(taken)])
-        shift = np.repeat(starts[codes] - ends[:-1], taken)
-        return ids[shift + np.arange(len(shift))], ends[offsets]
+        ends = np.concatenate([[0], np.cumsum(sizes[codes])])
+        return _gathered(ids, sizes, codes), ends[offsets]
 
 
 @lru_cache(maxsize=2)

@@ -50,3 +50,23 @@ def test_files_hold_every_document(spark, monkeypatch):
 
 def test_no_rows(spark):
     assert token_files.read(token_files.write(docs(spark, []), PATH)).collect() == []
+
+
+def test_known_words_are_not_encoded_again(monkeypatch):
+    import pyarrow as pa
+    texts = pa.array([f"stone{i} river{i % 7} été 東京 x{i % 3}" for i in range(300)])
+    fresh = token_files._Encoder(PATH)
+    ids, offsets = fresh.texts(texts)
+    called = []
+    monkeypatch.setattr(fresh, "batch", lambda names, _f=fresh.batch, **kw: (called.extend(names), _f(names, **kw))[1])
+    again, _ = fresh.texts(texts)
+    assert (again == ids).all()
+    assert not any("river" in n or "東京" in n for n in called)   # first words of texts are no part of this
+    # Too many to keep: those of the last slice stay, and nothing changes.
+    monkeypatch.setattr(token_files, "KNOWN", 400)
+    small = token_files._Encoder(PATH)
+    for k in (40, 3, 300, 5):
+        got, at = small.texts(texts.slice(0, k))
+        assert (got == ids[:offsets[k]]).all() and (at == offsets[:k + 1]).all()
+        assert small.known[0].nbytes <= 400 and len(small.known[2]) == len(small.known[0])
+        assert small.known[2].sum() == len(small.known[1])
