@@ -74,7 +74,7 @@ def test_batches_add_up_to_the_aggregates_of_expressions(spark):
     rng = np.random.default_rng(5)
     inverse = [float(i + 1 if i == j else 0.01 * (i - j)) for i, j in quality._PAIRS]
     rows = [(["a", "b", None][k % 3], k % 2, *[None if k == 7 else float(v) for v in rng.normal(size=7)],
-             [0.1 * i for i in range(7)], inverse, 2000 if k % 3 else -90000, 0.25) for k in range(90)]
+             [0.1 * i for i in range(7)], inverse, 4000 if k % 3 else -90000, 0.25) for k in range(90)]
     df = spark.createDataFrame(rows, "g string, s int, " + ", ".join(f"x{i} double" for i in range(7))
                                + ", mean array<double>, inverse array<double>, edge long, share double")
     at = F.floor(F.log(quality._distance() + 1e-9) * quality.BINS)
