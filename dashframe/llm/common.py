@@ -80,6 +80,25 @@ def join_by_key(rows: DataFrame, side: DataFrame, key: str, n: str) -> DataFrame
     return rows.join(hot, on).unionAll(dealt).drop("__key", n)
 
 
+# Cells of the bitmap of hashes, 1 MB.
+CELLS = 1 << 23
+
+
+def _cell(key: str) -> Column:
+    return F.col(key).bitwiseAND(F.lit(CELLS - 1)) + 1
+
+
+def nearly_among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key``, a 64-bit hash, is in ``keys``, and a few others
+    that share its cell, for a join to deal no more than them.  A bitmap of the
+    keys' cells (CELLS bits, whatever the number of keys) is broadcast."""
+    part, bit = F.bitmap_bucket_number(_cell(key)), F.bitmap_bit_position(_cell(key))
+    bitmap = keys.groupBy(part.alias("__part")).agg(F.bitmap_construct_agg(bit).alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", (F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10)
+    return rows.withColumns({"__part": part, "__bit": bit}).join(F.broadcast(bitmap), "__part") \
+        .where(F.getbit(byte.cast("int"), (F.col("__bit") % 8).cast("int")) == 1).drop("__part", "__bit", "__bits")
+
+
 def lowest(rows: DataFrame, draw: Column, size: int) -> DataFrame:
     """Rows among which are the ``size`` ones of smallest ``draw`` (a 64-bit
     hash): those below a bound taken from one count, so that ordering them

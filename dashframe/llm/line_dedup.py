@@ -30,7 +30,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dashframe.llm.common import stored, text_key
+from dashframe.llm.common import nearly_among, stored, text_key
 from dashframe.llm.components import components
 
 SHINGLE = 9           # UTF-16 code units
@@ -110,25 +110,9 @@ def _signed(rows: DataFrame) -> DataFrame:
         F.xxhash64(F.lit(b), *[f"m{r}_{b}" for r in range(ROWS)]).alias(f"b{b}") for b in range(BANDS)])
 
 
-# Cells of the bitmap of line ids, and how many of them a bitmap row holds.
-CELLS = 1 << 23
-
-
-def _cell(line_id: str) -> Column:
-    return F.col(line_id).bitwiseAND(F.lit(CELLS - 1)) + 1
-
-
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``id, norm`` of the lines with these ids.  A bitmap of the ids' cells
-    (CELLS bits, 1 MB, whatever the number of ids) is broadcast, so that of the
-    other lines only a few per cent of false hits are dealt."""
-    bitmap = ids.groupBy(F.bitmap_bucket_number(_cell("id")).alias("part")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(_cell("id"))).alias("bits"))
-    rows = line_rows(docs).select("id", "norm", F.bitmap_bucket_number(_cell("id")).alias("part"),
-                                  F.bitmap_bit_position(_cell("id")).alias("bit"))
-    byte = F.conv(F.hex(F.substring("bits", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10)
-    near = rows.join(F.broadcast(bitmap), "part") \
-        .where(F.getbit(byte.cast("int"), (F.col("bit") % 8).cast("int")) == 1)
+    """``id, norm`` of the lines with these ids."""
+    near = nearly_among(line_rows(docs).select("id", "norm"), ids, "id")
     return near.groupBy("id").agg(F.min("norm").alias("norm")).join(ids, "id", "left_semi")
 
 

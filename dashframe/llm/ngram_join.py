@@ -36,8 +36,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dashframe.llm.common import (binary_values, gram_hashes, mix, slices, stored, text_key,
-                                  word_hashes)
+from dashframe.llm.common import (binary_values, gram_hashes, mix, nearly_among, slices, stored,
+                                  text_key, word_hashes)
 from dashframe.llm.components import components
 
 SKETCH_BITS = 17
@@ -180,10 +180,11 @@ def _index(docs: DataFrame, sketch: DataFrame, rule: Rule) -> DataFrame:
     count = np.zeros(1 << SKETCH_BITS, np.int64)
     for cell, n in sketch.groupBy("cell").agg(F.sum("n")).collect():   # at most 2 ** SKETCH_BITS rows
         count[cell] = n
-    entries = stored(_prefixes(docs, docs.sparkSession.sparkContext.broadcast(count), rule), "op5-prefixes")
-    shared = entries.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")) \
-        .where("lo != hi").select("token")
-    kept = stored(entries.join(shared, "token"), "op5-shared")
+    entries = _prefixes(docs, docs.sparkSession.sparkContext.broadcast(count), rule)
+    # Entries are dealt once, by their shingle, and not written before.
+    holders = Window.partitionBy("token")
+    kept = stored(entries.withColumns({"lo": F.min("sid").over(holders), "hi": F.max("sid").over(holders)})
+                  .where("lo != hi").drop("lo", "hi"), "op5-shared")
     enough = F.greatest(F.lit(1), F.floor(F.floor(F.col("size") * rule.num / rule.den) / 25))
     sets = kept.groupBy("sid", "size").agg(F.count_distinct("token").alias("k")) \
         .where(F.col("k") >= enough).select("sid")
@@ -192,11 +193,16 @@ def _index(docs: DataFrame, sketch: DataFrame, rule: Rule) -> DataFrame:
 
 def _lists(index: DataFrame, rule: Rule) -> DataFrame:
     """Index lists cut into windows of two adjacent size blocks; sets that may
-    link meet in window ``greatest(block, block)``."""
+    link meet in window ``greatest(block, block)``, so one that holds a single
+    set, none of its own block or no near place goes."""
     block = F.floor(F.log("size") / F.log(F.lit(rule.den / rule.num))).cast("int")
-    return index.withColumn("block", block).withColumn(
+    entries = index.withColumn("block", block).withColumn(
         "window", F.explode(F.array("block", F.col("block") + 1))) \
         .withColumn("near", rule.places_fit(F.col("pos"), F.col("size")))
+    of = Window.partitionBy("token", "window")
+    return entries.withColumns({"lo": F.min("sid").over(of), "hi": F.max("sid").over(of),
+                                "own": F.max("block").over(of), "some": F.max("near").over(of)}) \
+        .where("lo != hi and own = window and some").drop("lo", "hi", "own", "some")
 
 
 def links(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
@@ -207,11 +213,13 @@ def links(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
     first = stored(_sets_and_sketch(docs, rule), "op5-sets")
     rows = first.where("cell is null").select("doc_id", "text_key", "size", "sid")
     index = _index(docs, first.where("cell is not null"), rule)
-    holders = rows.join(index.select("sid").distinct(), "sid", "left_semi") \
-        .groupBy("sid").agg(F.min(F.struct("doc_id", "text_key")).alias("d")) \
-        .select("sid", F.col("d.doc_id").alias("id"), F.col("d.text_key").alias("key"))
-    texts = stored(docs.join(holders, docs["doc_id"].eqNullSafe(holders["id"])
-                             & (docs["text_key"] == holders["key"]))
+    holders = stored(rows.join(index.select("sid").distinct(), "sid", "left_semi")
+                     .groupBy("sid").agg(F.min(F.struct("doc_id", "text_key")).alias("d"))
+                     .select("sid", F.col("d.doc_id").alias("id"), F.col("d.text_key").alias("key")), "op5-holders")
+    # Of the other texts few are dealt.
+    near = nearly_among(docs, holders.select(F.col("key").alias("text_key")), "text_key")
+    texts = stored(near.join(holders, near["doc_id"].eqNullSafe(holders["id"])
+                             & (near["text_key"] == holders["key"]))
                    .groupBy("sid").agg(F.first("text").alias("text")), "op5-texts")
 
     lists = stored(_lists(index, rule), "op5-lists")
@@ -324,10 +332,9 @@ def _rest(mixed: DataFrame, texts: DataFrame, tested: DataFrame, roles: DataFram
     order = Window.partitionBy("sid", "window").orderBy("pos")
     mixed = mixed.withColumn("before", F.collect_list("token").over(order.rowsBetween(-BEFORE, -1))).join(marks, "sid")
     parities = [f"q{i}" for i in range(PARITIES)]
-    carried = ("sid", "size", "pos", "part", "before", *overlaps, *parities)
-    x = mixed.select("token", "window", "block", "near", *[F.col(c).alias(f"{c}1") for c in carried])
-    y = mixed.select("token", "window", F.col("block").alias("block2"), F.col("near").alias("near2"), *[
-        F.col(c).alias(f"{c}2") for c in carried])
+    carried = ("block", "near", "sid", "size", "pos", "part", "before", *overlaps, *parities)
+    # Both sides name their columns alike: one exchange serves them.
+    x, y = (mixed.select("token", "window", *[F.col(c).alias(f"{c}{i}") for c in carried]) for i in (1, 2))
     possible = F.lit(True)
     for o in overlaps:
         o1, o2, s1, s2 = (F.col(c) for c in (f"{o}1", f"{o}2", "size1", "size2"))
@@ -336,7 +343,7 @@ def _rest(mixed: DataFrame, texts: DataFrame, tested: DataFrame, roles: DataFram
     differ = sum((F.bit_count(F.col(f"{q}1").bitwiseXOR(F.col(f"{q}2"))) for q in parities), F.lit(0))
     met = x.join(y, ["token", "window"]).where((
         (F.col("sid1") < F.col("sid2")) & (F.col("part1") != F.col("part2"))
-        & (F.col("near") | F.col("near2")) & (F.col("window") == F.greatest("block", "block2"))
+        & (F.col("near1") | F.col("near2")) & (F.col("window") == F.greatest("block1", "block2"))
         & rule.places_fit(F.col("pos1") + F.col("pos2"), F.col("size1") + F.col("size2"))
         & rule.sizes_fit(F.col("size1"), F.col("size2"))
         & rule.differ_fits(differ, F.col("size1"), F.col("size2")) & possible

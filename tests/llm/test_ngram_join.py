@@ -1,8 +1,11 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from dashframe.llm import ngram_join
+from dashframe.llm.common import nearly_among
 from dashframe.llm.components import components
 from tests.llm.helpers import docs, odd_rows, prose, row
 
@@ -142,3 +145,28 @@ def test_five_words_at_four_fifths(spark):
     got = {r.doc_id: r.component_id for r in ngram_join.classes(frame, ngram_join.Rule(5, 4, 5)).collect()}
     assert got == want and 30 < len(set(want.values())) < 90
     assert corpus_pipeline.NEAR == (5, 4, 5)
+
+
+def test_lists_hold_only_windows_where_sets_may_meet(spark):
+    rule = ngram_join.Rule()
+    # Shingle 1: two sets of one block, which meet in its own window alone; 2: a block and the next;
+    # 3: one set; 4: two sets, both far in their order; 5: two sets of blocks apart.
+    index = spark.createDataFrame([(1, 10, 100, 0), (1, 11, 100, 1), (2, 10, 100, 1), (2, 12, 110, 0), (3, 10, 100, 2),
+                                   (4, 10, 100, 9), (4, 11, 100, 9), (5, 10, 100, 3), (5, 13, 300, 0)],
+                                  "token long, sid long, size int, pos int")
+    got = {}
+    for r in ngram_join._lists(index, rule).collect():
+        got.setdefault((r.token, r.window), set()).add(r.sid)
+        blocks = {r.block, r.window}
+        assert len(blocks) == 1 or max(blocks) == r.window
+    assert [(t, s) for (t, _), s in sorted(got.items())] == [(1, {10, 11}), (2, {10, 12})]
+
+
+def test_nearly_among_keeps_every_row_of_a_key(spark):
+    rows = spark.range(-3000, 3000).withColumn("key", F.xxhash64("id"))
+    keys = rows.where("id % 7 = 0").select("key")
+    got = {r.id for r in nearly_among(rows, keys, "key").collect()}
+    want = {i for i in range(-3000, 3000) if i % 7 == 0}
+    assert want <= got and len(got) < len(want) + 100
+    assert nearly_among(rows, keys.where("false"), "key").columns == ["id", "key"]
+    assert nearly_among(rows, keys.where("false"), "key").collect() == []
