@@ -199,3 +199,15 @@ def test_signed_lines(spark):
     assert len(got) == 2
     assert [got[ids[x]].copies for x in ("a line", "other")] == [4, 1]
     assert [got[ids[x]].first_doc.of for x in ("a line", "other")] == [1, 2]
+
+
+def test_signing_groups_by_numbers(spark):
+    # A struct among the keys keeps a task's hash aggregate off its faster map.
+    lines = line_dedup._signed(line_dedup.line_rows(docs(spark, [row(1, "alpha beta gamma"), row(None, "alpha beta gamma"),
+                                                                 row(2, "delta\nalpha beta gamma")])))
+    plan = lines._jdf.queryExecution().optimizedPlan()
+    keys = plan.toString().split("Aggregate [", 1)[1].split("]")[0]
+    assert len(keys.split(", ")) == 5 and "first_doc" not in keys
+    got = {(r.copies, r.first_doc.no_id, r.first_doc.of) for r in lines.collect()}
+    assert got == {(3, False, 1), (1, False, 2)} and lines.columns == ["id", "first_doc", "copies"] + [
+        f"b{b}" for b in range(line_dedup.BANDS)]
