@@ -9,7 +9,9 @@ of several components, with a second one.  Buckets that still hold several
 components are resolved whole: in small ones all pairs of different components
 are compared, in crowded ones those that share a shingle of their prefixes (the
 rarest shingles, one of which two similar lines must share).  Comparisons are by
-the exact Jaccard similarity of the whole shingle sets.
+the exact Jaccard similarity of the whole shingle sets; pairs whose marks (bits
+of their shingles' hashes) differ by more than similar sets can are refuted
+without making the sets.
 Verified links go through distributed union-find, and one line per component
 stays: its first in the document with the smallest id (of equal ids, the
 document whose text has the smallest hash).
@@ -26,6 +28,7 @@ rows with equal id and text are treated alike; other columns pass through.
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,22 +40,27 @@ SHINGLE = 9           # UTF-16 code units
 ROWS = 3
 BANDS = 8
 HEAD_ROUNDS = 2
-SMALL = 16            # lines of a bucket whose pairs are all compared
+SMALL = 64            # lines of a bucket whose pairs are all compared
 BEFORE = 8            # shingles ahead of one that tell whether a pair has met
+CHUNK = 8             # shingles of a line that a row of the signing's aggregate holds
+WORDS = 16            # longs of a line's marks
+BLANKS = " \t\r\x0b\x0c"
 _RANDOM = random.Random(7)
 _BAND_KEYS = [b * (1 << 64) // BANDS - (1 << 63) + _RANDOM.getrandbits(60) for b in range(BANDS)]
 
 
-def _norm(line: Column) -> Column:
-    return F.lower(F.btrim(line, F.lit(" \t\r\x0b\x0c")))
+def _trimmed(line: Column) -> Column:
+    """Trimming counts all characters of a line: only where there are blanks."""
+    ends = [f(line, F.lit(c)) for f in (F.startswith, F.endswith) for c in BLANKS]
+    return F.when(reduce(Column.__or__, ends), F.btrim(line, F.lit(BLANKS))).otherwise(line)
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
     """``doc_id, text_key, pos, norm, id`` of every non-blank line; ``id`` is a
     64-bit hash of the normalised line."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key("text").alias("text_key"),
-                       F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return rows.select("doc_id", "text_key", "pos", _norm(F.col("line")).alias("norm")) \
+                       F.posexplode(F.split(F.lower("text"), "\n")).alias("pos", "line"))
+    return rows.select("doc_id", "text_key", "pos", _trimmed(F.col("line")).alias("norm")) \
         .where("norm != ''").withColumn("id", F.xxhash64("norm"))
 
 
@@ -61,18 +69,34 @@ def _units(norm: str) -> Column:
     return F.encode(norm, "UTF-16BE")
 
 
-def _starts(units: str) -> Column:
-    return F.sequence(F.lit(0), F.greatest(
-        (F.octet_length(units) / 2).cast("int") - SHINGLE, F.lit(0)))
+def _last(units: Column | str) -> Column:
+    return F.greatest((F.octet_length(units) / 2).cast("int") - SHINGLE, F.lit(0))
 
 
-def _shingle(units: str, at: Column) -> Column:
-    return F.xxhash64(F.substring(units, at * 2 + 1, F.lit(2 * SHINGLE)))
+def _shingle(units: str, byte: Column) -> Column:
+    return F.xxhash64(F.substring(units, byte + 1, F.lit(2 * SHINGLE)))
 
 
 def _shingles(units: str) -> Column:
     """The set of a line's shingle hashes."""
-    return F.array_distinct(F.transform(_starts(units), lambda at: _shingle(units, at)))
+    # The lambda is interpreted: its argument is the place to read, without
+    # arithmetic, and the units are an argument too, as a column of bytes would
+    # be copied whole for every shingle.
+    hashes = F.transform(F.array(units), lambda line: F.transform(
+        F.sequence(F.lit(1), 2 * _last(line) + 1, F.lit(2)),
+        lambda at: F.xxhash64(F.substring(line, at, F.lit(2 * SHINGLE)))))
+    return F.array_distinct(F.element_at(hashes, 1))
+
+
+def _chunks(rows: DataFrame, *keep: str) -> DataFrame:
+    """The columns ``keep`` and ``h0_0 ...``, the hashes of CHUNK shingles a row;
+    behind a line's last shingle it stands again, which no minimum or mark shows."""
+    # Outer, although no array is empty: else a filter that makes the units and
+    # the array once more is put below.
+    rows = rows.select("*", _last("units").alias("last")) \
+        .select("*", F.explode_outer(F.sequence(F.lit(0), F.col("last"), F.lit(CHUNK))).alias("at"))
+    return rows.select(*keep, *[_shingle("units", 2 * F.least(F.col("at") + i, F.col("last"))).alias(f"h0_{i}")
+                                for i in range(CHUNK)])
 
 
 def _place() -> Column:
@@ -84,7 +108,10 @@ def _least(row: int, band: int) -> Column:
     """The minimum of a band's row: each row has a hash of its own, and under
     the bands' keys, which lead to as many parts of its range, a minimum is the
     hash nearest to a key."""
-    return F.min(F.col(f"h{row}").bitwiseXOR(F.lit(_BAND_KEYS[band]))).alias(f"m{row}_{band}")
+    least = [F.col(f"h{row}_{i}").bitwiseXOR(F.lit(_BAND_KEYS[band])) for i in range(CHUNK)]
+    while len(least) > 1:
+        least = [F.least(*least[i:i + 2]) for i in range(0, len(least), 2)]
+    return F.min(least[0]).alias(f"m{row}_{band}")
 
 
 def _distinct(rows: DataFrame) -> DataFrame:
@@ -100,31 +127,55 @@ def _signed(rows: DataFrame) -> DataFrame:
     are reduced to holds numbers only: the shingles are neither dealt nor sorted."""
     # No struct among the keys: numbers take the faster map of a task's hash aggregate.
     keys = ["id", "no_id", "of", "key", "copies"]
-    # Outer, although no array is empty: else a filter that makes the units and
-    # the array once more is put below.
-    rows = _distinct(rows).select("id", "first_doc.*", "copies", "units", F.explode_outer(_starts("units")).alias("at"))
-    rows = rows.select(*keys, _shingle("units", F.col("at")).alias("h0"))
+    rows = _chunks(_distinct(rows).select("id", "first_doc.*", "copies", "units"), *keys)
     for r in range(1, ROWS):
-        rows = rows.withColumn(f"h{r}", F.xxhash64(f"h{r - 1}"))
+        rows = rows.select("*", *[F.xxhash64(f"h{r - 1}_{i}").alias(f"h{r}_{i}") for i in range(CHUNK)])
     lines = rows.groupBy(*keys).agg(*[_least(r, b) for b in range(BANDS) for r in range(ROWS)])
     return lines.select("id", F.struct("no_id", "of", "key").alias("first_doc"), "copies", *[
         F.xxhash64(F.lit(b), *[f"m{r}_{b}" for r in range(ROWS)]).alias(f"b{b}") for b in range(BANDS)])
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _texts(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """``id, norm`` of the lines with these ids."""
-    near = nearly_among(line_rows(docs).select("id", "norm"), ids, "id")
+    near = nearly_among(rows.select("id", "norm"), ids, "id")
     return near.groupBy("id").agg(F.min("norm").alias("norm")).join(ids, "id", "left_semi")
 
 
-def _verified(pairs: DataFrame, text: DataFrame) -> DataFrame:
-    """``a, b, similar`` of pairs of line ids by exact Jaccard similarity."""
+def _marks(text: DataFrame) -> DataFrame:
+    """``id, n, w0 ...``: of every line the number of its shingles, repeated ones
+    included, and WORDS longs in which each shingle has set a bit."""
+    rows = _chunks(text.select("id", _units("norm").alias("units")), "id", "last")
+    rows = rows.select("id", "last", *[F.shiftrightunsigned(f"h0_{i}", 6).bitwiseAND(F.lit(WORDS - 1)).alias(f"word{i}")
+                                       for i in range(CHUNK)],
+                       *[F.call_function("shiftleft", F.lit(1).cast("long"), F.col(f"h0_{i}").bitwiseAND(F.lit(63)).cast("int"))
+                         .alias(f"bit{i}") for i in range(CHUNK)])
+    none = F.lit(0).cast("long")
+    return rows.groupBy("id").agg((F.max("last") + 1).alias("n"), *[
+        F.bit_or(reduce(Column.bitwiseOR, [F.when(F.col(f"word{i}") == j, F.col(f"bit{i}")).otherwise(none)
+                                           for i in range(CHUNK)])).alias(f"w{j}") for j in range(WORDS)])
+
+
+def _near(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """``a, b, near``: whether the marks allow a Jaccard similarity of 0.8.  A bit
+    that one line alone has set is of a shingle that the other has not, and of
+    similar sets at most a ninth of both sizes' sum is in one alone."""
+    def side(s: str) -> DataFrame:
+        return marks.withColumnsRenamed({"id": s, **{c: f"{s}_{c}" for c in marks.columns if c != "id"}})
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"a_w{j}").bitwiseXOR(F.col(f"b_w{j}"))) for j in range(WORDS)])
+    return both.select("a", "b", (9 * apart <= F.col("a_n") + F.col("b_n")).alias("near"))
+
+
+def _similar(pairs: DataFrame, text: DataFrame) -> DataFrame:
+    """``a, b`` of those pairs of line ids whose exact Jaccard similarity is 0.8 or more."""
     both = pairs.join(text.withColumnsRenamed({"id": "a", "norm": "a_norm"}), "a") \
         .join(text.withColumnsRenamed({"id": "b", "norm": "b_norm"}), "b")
     sets = both.select("a", "b", _units("a_norm").alias("s"), _units("b_norm").alias("t")) \
         .select("a", "b", _shingles("s").alias("s"), _shingles("t").alias("t"))
-    return sets.select("a", "b", (9 * F.size(F.array_intersect("s", "t"))
-                                  >= 4 * (F.size("s") + F.size("t"))).alias("similar"))
+    tested = sets.select("a", "b", (9 * F.size(F.array_intersect("s", "t"))
+                                    >= 4 * (F.size("s") + F.size("t"))).alias("similar"))
+    # Stored first: a filter on it would be put below the sets and make them again.
+    return stored(tested, "op6-compared").where("similar").select("a", "b")
 
 
 def _mixed(met: DataFrame, parts: DataFrame) -> DataFrame:
@@ -148,9 +199,10 @@ def _prefixes(ids: DataFrame, text: DataFrame) -> DataFrame:
     count = sets.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
     order = Window.partitionBy("id").orderBy("c", "token")
     shared = F.collect_list(F.when(F.col("c") > 1, F.col("token")))
-    return sets.join(count, "token").withColumns({
-        "pos": F.row_number().over(order) - 1, "before": shared.over(order.rowsBetween(-BEFORE, -1))}) \
-        .where((5 * F.col("pos") <= F.col("size")) & (F.col("c") > 1)).select("id", "token", "pos", "size", "before")
+    return sets.join(count, "token").withColumn("pos", F.row_number().over(order) - 1) \
+        .where(5 * F.col("pos") <= F.col("size")) \
+        .withColumn("before", shared.over(order.rowsBetween(-BEFORE, -1))) \
+        .where("c > 1").select("id", "token", "pos", "size", "before")
 
 
 def _met(mixed: DataFrame, text: DataFrame) -> DataFrame:
@@ -185,22 +237,24 @@ def _rest(mixed: DataFrame, tested: DataFrame, text: DataFrame) -> DataFrame:
     return pairs.unionAll(_met(mixed, text)).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
 
-def _links(lines: DataFrame, docs: DataFrame) -> DataFrame:
+def _links(lines: DataFrame, rows: DataFrame) -> DataFrame:
     """Edges ``a, b`` whose components are those of all similar lines that share
     a band."""
     bands = F.array(*[f"b{b}" for b in range(BANDS)])
-    # One exchange serves the count and the join.
-    rows = lines.select("id", "copies", F.explode(bands).alias("bucket")).repartition("bucket")
-    shared = rows.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")) \
-        .where("least != most").select("bucket")
-    met = stored(rows.join(shared, "bucket"), "op6-buckets")
-    text = stored(_texts(docs, met.select("id").distinct()), "op6-texts")
+    # One exchange serves the count and the join: both read the same columns.
+    dealt = lines.select("id", "copies", F.explode(bands).alias("bucket")).repartition("bucket")
+    shared = dealt.groupBy("bucket").agg(
+        F.min("id").alias("least"), F.max("id").alias("most"), F.max("copies").alias("top")) \
+        .where("least != most").select("bucket", "top")
+    met = stored(dealt.join(shared.hint("shuffle_hash"), "bucket"), "op6-buckets")
+    text = stored(_texts(rows, met.select("id").distinct()), "op6-texts")
+    marks = stored(_marks(text), "op6-marks")
     tested = edges = parts = None
     for turn in range(HEAD_ROUNDS):
         if parts is None:
             members = met
-            heads = met.groupBy("bucket").agg(F.max(F.struct(
-                "copies", F.xxhash64("bucket", "id").alias("order"), "id")).alias("h"))
+            heads = met.where("copies = top").groupBy("bucket").agg(F.max(F.struct(
+                F.xxhash64("bucket", "id").alias("order"), "id")).alias("h"))
             faced = members.join(heads, "bucket").where(F.col("id") != F.col("h.id"))
         else:
             members = stored(_mixed(met, parts), "op6-mixed")
@@ -210,19 +264,20 @@ def _links(lines: DataFrame, docs: DataFrame) -> DataFrame:
         pairs = faced.select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        seen = stored(_verified(pairs, text), "op6-tested")
+        seen = stored(_near(pairs, marks), "op6-tested")
         tested = seen if tested is None else tested.unionAll(seen)
-        edges = tested.where("similar").select("a", "b")
+        found = _similar(seen.where("near").select("a", "b"), text)
+        edges = found if edges is None else edges.unionAll(found)
         parts = components(edges, "op6-heads")
-    rest = stored(_rest(stored(_mixed(met, parts), "op6-mixed"), tested, text), "op6-rest")
-    return edges.unionAll(stored(_verified(rest, text), "op6-tested").where("similar").select("a", "b"))
+    rest = stored(_near(_rest(stored(_mixed(met, parts), "op6-mixed"), tested, text), marks).where("near"), "op6-rest")
+    return edges.unionAll(_similar(rest.select("a", "b"), text))
 
 
-def similar_lines(docs: DataFrame) -> DataFrame:
+def similar_lines(rows: DataFrame) -> DataFrame:
     """``id, component, first_doc`` of every line that is not the only one of
     its kind; ``first_doc`` is the place of the first document with one."""
-    lines = stored(_signed(line_rows(docs)), "op6-lines")
-    parts = components(_links(lines, docs), "op6")
+    lines = stored(_signed(rows), "op6-lines")
+    parts = components(_links(lines, rows), "op6")
     grouped = lines.select("id", "first_doc", "copies").join(
         parts.withColumnRenamed("node", "id"), "id", "left") \
         .where("copies > 1 or component is not null") \
@@ -234,8 +289,9 @@ def similar_lines(docs: DataFrame) -> DataFrame:
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """``doc_id, text_key, dropped array<int>`` (0-based line numbers,
     ascending) of the documents that lose lines."""
-    kinds = stored(similar_lines(docs), "op6-kinds")
-    places = line_rows(docs).select("doc_id", "text_key", "pos", "id").join(kinds, "id")
+    rows = stored(line_rows(docs), "op6-rows")
+    kinds = stored(similar_lines(rows), "op6-kinds")
+    places = rows.select("doc_id", "text_key", "pos", "id").join(kinds, "id")
     by_kind = places.groupBy("doc_id", "text_key", "component").agg(
         F.min("pos").alias("first"), F.collect_set("pos").alias("places"),
         F.first("first_doc").alias("first_doc"))

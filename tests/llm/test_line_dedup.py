@@ -211,3 +211,41 @@ def test_signing_groups_by_numbers(spark):
     got = {(r.copies, r.first_doc.no_id, r.first_doc.of) for r in lines.collect()}
     assert got == {(3, False, 1), (1, False, 2)} and lines.columns == ["id", "first_doc", "copies"] + [
         f"b{b}" for b in range(line_dedup.BANDS)]
+
+
+def test_marks_refute_unlike_pairs_and_no_similar_one(spark):
+    rng = random.Random(24)
+    lines = ["ab" * 40, "ab" * 41 + "c", "short", "shorter"]
+    for _ in range(12):
+        base = [word(rng) for _ in range(rng.randint(6, 300))]
+        lines.append(" ".join(base))
+        for edits in (1, 2, 6):
+            lines.append(" ".join(word(rng) if rng.random() < edits / len(base) else w for w in base))
+    text = spark.createDataFrame(list(enumerate(lines)), "id long, norm string")
+    marks = line_dedup._marks(text)
+    assert {r.id: r.n for r in marks.collect()} == {i: max(1, len(x) - 8) for i, x in enumerate(lines)}
+    pairs = [(i, j) for i in range(len(lines)) for j in range(i)]
+    near = {(r.a, r.b): r.near for r in line_dedup._near(spark.createDataFrame(pairs, "a long, b long"), marks).collect()}
+    sets = [dense(x) for x in lines]
+    similar = {(i, j) for i, j in pairs if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))}
+    assert len(near) == len(pairs) and len(similar) > 20 and all(near[p] for p in similar)
+    assert sum(near.values()) < len(pairs) / 4
+
+
+def test_documents_are_split_once(spark):
+    plan = line_dedup.dropped_lines(docs(spark, [row(1, "alpha beta\nalpha beta"), row(2, "alpha beta ")]))
+    assert "posexplode" not in plan._jdf.queryExecution().toString()
+    assert {(r.doc_id, tuple(r.dropped)) for r in plan.collect()} == {(1, (1,)), (2, (0,))}
+
+
+def test_blanks_and_capitals(spark):
+    rows = [row(1, " \tOne ΣΑΣ\x0b\r\nΟΔΟΣ\n\x0c \nİstanbul\n x"), row(2, "one σας\nοδος\nx")]
+    got = [r.norm for r in line_dedup.line_rows(docs(spark, rows)).orderBy("doc_id", "pos").collect()]
+    assert got == ["one σας", "οδος", "i̇stanbul", " x", "one σας", "οδος", "x"]
+
+
+def test_a_chunk_of_shingles_is_signed_by_a_row(spark):
+    line = "".join(chr(97 + i * 7 % 26) for i in range(52))        # 44 shingles
+    chunks = line_dedup._chunks(spark.createDataFrame([(1, line), (2, "short")], "id long, norm string")
+                                .select("id", line_dedup._units("norm").alias("units")), "id")
+    assert [r["count"] for r in chunks.groupBy("id").count().orderBy("id").collect()] == [6, 1]
