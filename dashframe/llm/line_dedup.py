@@ -42,7 +42,7 @@ BANDS = 8
 HEAD_ROUNDS = 2
 SMALL = 64            # lines of a bucket whose pairs are all compared
 BEFORE = 8            # shingles ahead of one that tell whether a pair has met
-CHUNK = 8             # shingles of a line that a row of the signing's aggregate holds
+CHUNK = 8             # shingles of a line that a row of the signing holds, a power of two
 WORDS = 16            # longs of a line's marks
 BLANKS = " \t\r\x0b\x0c"
 _RANDOM = random.Random(7)
